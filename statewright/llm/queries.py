@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .kneser_ney import judged
 from .packing import pack_documents
 from .secrets import secret_digests
 from .simhash import near_components
@@ -27,6 +28,10 @@ def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_golay_simhash": op6_golay_simhash,
+    "op7_kneser_ney_quality": op7_kneser_ney_quality,
     "op9_secret_scan": op9_secret_scan,
 }
 
