@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .kneser_ney import judged
+from .merkle import audit
 from .packing import pack_documents
 from .secrets import secret_digests
 from .simhash import near_components
 from .toxicity import toxicity_scores
+from .url_rules import url_verdicts
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,14 @@ def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits `pages` against a replica that lost and damaged records, chosen by a digest of the id."""
+    pages = table(spark, sf_dir, "pages")
+    mark = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
+    replica = pages.where(mark != "0a").withColumn("html", F.when(mark == "1b", F.concat(F.lit("~"), F.col("html"))).otherwise(F.col("html")))
+    return audit(pages, replica).drop("url")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +49,10 @@ def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -56,16 +71,33 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY z ORDER BY length(t) DESC, doc_id)
 """
 
+OP3_SQL = r"""
+WITH n AS (SELECT greatest(0, ceil(log2(greatest(1, count(*) / 1024.0)) / 4))::BIGINT AS digits FROM pages),
+r AS (SELECT page_id, url, 'WARC/1.1' || chr(10) || 'WARC-Type: response' || chr(10) || page_id::VARCHAR || chr(10) || url || chr(10) || chr(10) AS head,
+             html, chr(10) || chr(10) AS tail, left(sha256(page_id::VARCHAR), 2) AS mark,
+             left(sha256(page_id::VARCHAR || chr(10) || url), (SELECT digits FROM n)) AS file
+      FROM pages),
+p AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(strlen(head || html || tail)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id, url))
+SELECT CASE mark WHEN '0a' THEN 'missing' ELSE 'changed' END AS status, file, place, start, page_id AS record_id,
+       sha256(head || html || tail) AS digest,
+       CASE mark WHEN '1b' THEN sha256(head || '~' || html || tail) END AS other_digest
+FROM p WHERE mark IN ('0a', '1b')
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_weak_toxicity": op2_weak_toxicity,
+    "op3_merkle_audit": op3_merkle_audit,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_golay_simhash": op6_golay_simhash,
     "op7_kneser_ney_quality": op7_kneser_ney_quality,
+    "op8_url_rules": op8_url_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_merkle_audit": OP3_SQL,
 }
