@@ -17,6 +17,7 @@ from .secrets import secret_digests
 from .simhash import near_components
 from .toxicity import toxicity_scores
 from .url_rules import url_verdicts
+from .wrapper import extract_main_text
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(pages, replica).drop("url")
 
 
+def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_weak_toxicity": op2_weak_toxicity,
     "op3_merkle_audit": op3_merkle_audit,
+    "op4_wrapper_text": op4_wrapper_text,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_golay_simhash": op6_golay_simhash,
     "op7_kneser_ney_quality": op7_kneser_ney_quality,
