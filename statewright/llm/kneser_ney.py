@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, settle, spread_name
+from .common import discard, partitions, settle, spread_name
 
 ORDER = 5
 BITS = 12
@@ -124,44 +124,43 @@ def discounts(counts_of: dict[int, int]) -> list[float]:
 
 
 def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """From n-gram counts (gram, n) the model: ord, gram, logp, backoff: for each n-gram seen, its log probability in full
-    interpolation and, as a context, the log weight of the next lower order (null if it is none)."""
+    """From n-gram counts (half, gram, n) a model for each half: half, ord, gram, logp, backoff.
+
+    For each n-gram seen, its log probability in full interpolation and, as a
+    context, the log weight of the next lower order (null if it is none).
+    """
     levels = {order: counts}
     for k in range(order - 1, 0, -1):  # continuation counts: how many distinct symbols stand before
-        shorter = levels[k + 1].select(F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("gram"))
-        levels[k] = settle(shorter.groupBy("gram").agg(F.count("*").alias("n")))
+        shorter = levels[k + 1].select("half", F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("gram"))
+        levels[k] = settle(shorter.groupBy("half", "gram").agg(F.count("*").alias("n")))
     below: DataFrame | None = None
-    done: list[DataFrame] = []
-    weights: dict[int, DataFrame] = {}
+    out: DataFrame | None = None
+    held: list[DataFrame] = []
     for k in range(1, order + 1):
-        few = {r["n"]: r["m"] for r in levels[k].where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-        d1, d2, d3 = discounts(few)
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        few: dict[int, dict[int, int]] = {}
+        for r in levels[k].where("n <= 4").groupBy("half", "n").agg(F.count("*").alias("m")).collect():
+            few.setdefault(r["half"], {})[r["n"]] = r["m"]
+        cut = F.lit(None).cast("double")
+        for half, found in few.items():
+            for seen, d in enumerate(discounts(found), 1):
+                cut = F.when((F.col("half") == half) & (F.least("n", F.lit(3)) == seen), d).otherwise(cut)
+        cut = F.coalesce(cut, F.lit(0.0))
         here = levels[k].withColumns({"cut": cut, "context": F.shiftrightunsigned("gram", BITS), "shorter": F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))})
-        sums = here.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight"))
-        weights[k] = settle(sums)
-        here = here.join(weights[k], "context")
+        weights = settle(here.groupBy("half", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight")))
+        here = here.join(weights, ["half", "context"])
         if below is None:
             here = here.withColumn("low", F.lit(1.0 / SYMBOLS))
         else:
-            here = here.join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("low")), "shorter")
-        below = settle(here.select("gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")))
-        done.append(below)
-    out: DataFrame | None = None
-    for k in range(0, order + 1):
-        # Contexts of length k belong to order k + 1; the empty context is gram 0 of order 0.
-        seen = done[k - 1].select("gram", F.log("p").alias("logp")) if k else None
-        back = weights[k + 1].select(F.col("context").alias("gram"), F.log("weight").alias("backoff")) if k < order else None
-        if seen is None:
-            level = back.select("gram", F.lit(None).cast("double").alias("logp"), "backoff")
-        elif back is None:
-            level = seen.withColumn("backoff", F.lit(None).cast("double"))
-        else:
-            level = seen.join(back, "gram", "full")
-        level = level.select(F.lit(k).alias("ord"), "gram", "logp", "backoff")
-        out = level if out is None else out.unionByName(level)
-    model = settle(out)
-    for old in (*[levels[k] for k in range(1, order)], *weights.values(), *done):
+            here = here.join(below.select("half", F.col("gram").alias("shorter"), F.col("p").alias("low")), ["half", "shorter"])
+        below = settle(here.select("half", "gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")))
+        none = F.lit(None).cast("double")
+        # Contexts of an order are n-grams of the one below it; the empty context is gram 0 of order 0.
+        back = weights.where("weight > 0").select("half", F.lit(k - 1).alias("ord"), F.col("context").alias("gram"), none.alias("logp"), F.log("weight").alias("backoff"))
+        seen = below.select("half", F.lit(k).alias("ord"), "gram", F.log("p").alias("logp"), none.alias("backoff"))
+        out = back.unionByName(seen) if out is None else out.unionByName(back).unionByName(seen)
+        held += [weights, below]
+    model = settle(out.coalesce(partitions(out.sparkSession)))
+    for old in (*[levels[k] for k in range(1, order)], *held):
         discard(old)
     return model
 
@@ -239,12 +238,11 @@ def _scorers(name: str, models: Broadcast, order: int) -> list[Scorer]:
     return _SCORERS[name]
 
 
-def _scored_by_broadcast(docs: DataFrame, text_col: str, models: list[DataFrame], order: int, keep: list[str]) -> DataFrame:
-    tables = []
-    for model in models:
-        rows = model.toPandas()
-        columns = {"ord": rows["ord"].to_numpy(np.int8), "gram": rows["gram"].to_numpy(np.int64)}
-        tables.append(columns | {c: rows[c].to_numpy(np.float64) for c in ("logp", "backoff")})
+def _scored_by_broadcast(docs: DataFrame, text_col: str, model: DataFrame, order: int, keep: list[str]) -> DataFrame:
+    rows = model.toArrow()
+    columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
+    tables = [{c: columns[c][columns["half"] == half] for c in ("ord", "gram", "logp", "backoff")} for half in (0, 1)]
+    del rows, columns
     shared, name = docs.sparkSession.sparkContext.broadcast(tables), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +261,9 @@ def _scored_by_broadcast(docs: DataFrame, text_col: str, models: list[DataFrame]
                 keys = np.concatenate(held)
                 logp = np.empty(len(keys))
                 of = np.repeat(half[at - len(held) : at], n)
-                for k, scorer in enumerate(scorers):
-                    logp[of == k] = scorer.score(keys[of == k])
+                for half_of_text in (0, 1):
+                    mine = of == half_of_text
+                    logp[mine] = scorers[1 - half_of_text].score(keys[mine])
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
                 mean = np.add.reduceat(logp, starts) / n
                 square = np.add.reduceat(logp * logp, starts) / n
@@ -294,7 +293,7 @@ def _scored_by_joins(docs: DataFrame, text_col: str, model: DataFrame, order: in
     todo = grams.select(F.col("gram").alias("whole")).distinct().withColumns({"gram": F.col("whole"), "gathered": F.lit(0.0)})
     parts: list[DataFrame] = []
     for k in range(order, 0, -1):
-        found = todo.join(model.where(F.col("ord") == k).select("gram", "logp"), "gram", "left")
+        found = todo.join(model.where((F.col("ord") == k) & F.col("logp").isNotNull()).select("gram", "logp"), "gram", "left")
         found = settle(found)
         parts.append(found.where("logp is not null").select("whole", (F.col("gathered") + F.col("logp")).alias("logp")))
         left = found.where("logp is null").withColumn("context", F.shiftrightunsigned("gram", BITS))
@@ -319,15 +318,12 @@ def _half(id_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int")
 
 
-def scored(docs: DataFrame, models: list[DataFrame], text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The columns ``keep`` with nll, spread (standard deviation a symbol) and symbols of each row.
-
-    ``models`` has the model that scores the documents of half 0, then that of half 1.
-    """
+def scored(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The columns ``keep`` with nll, spread (standard deviation a symbol) and symbols of each row, by the other half's model."""
     keep = keep or ["doc_id"]
-    if sum(m.count() for m in models) <= broadcast_rows:
-        return _scored_by_broadcast(docs, text_col, models, order, keep)
-    out = [_scored_by_joins(docs.where(_half("doc_id") == k), text_col, m, order, keep) for k, m in enumerate(models)]
+    if model.count() <= broadcast_rows:
+        return _scored_by_broadcast(docs, text_col, model, order, keep)
+    out = [_scored_by_joins(docs.where(_half("doc_id") == k), text_col, model.where(F.col("half") == 1 - k), order, keep) for k in (0, 1)]
     return out[0].unionByName(out[1])
 
 
@@ -339,9 +335,9 @@ def judged(
     side = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
     trusted = docs.join(side, docs["doc_id"] == side["_good"], "left_semi")
     counts = settle(count_ngrams(trusted.withColumn("_half", _half("doc_id")), text_col, order, "_half"))
-    models = [train(counts.where(F.col("half") == other).select("gram", "n"), order) for other in (1, 0)]
+    model = train(counts, order)
     lean = docs.select("doc_id", "lang", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    rows = scored(lean, models, "text", order, ["doc_id", "lang", "text_key"], broadcast_rows)
+    rows = scored(lean, model, "text", order, ["doc_id", "lang", "text_key"], broadcast_rows)
     rows = rows.withColumn("bound", F.col("nll") - sigmas * F.col("spread") / F.sqrt("symbols"))
     rows = settle(rows)
     marked = rows.join(side, rows["doc_id"] == side["_good"], "left_semi").withColumn("bin", F.ceil(F.col("bound") / BIN))
