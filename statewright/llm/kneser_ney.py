@@ -49,6 +49,7 @@ START, END = 1, 2
 QUANTILE = 0.995
 SIGMAS = 2.0
 LEAST_TRUSTED = 30
+LEAST_DISCOUNT = 0.1
 BROADCAST_ROWS = 8_000_000
 BROADCAST_LABELS = 2_000_000
 SYMBOLS = 1 << BITS
@@ -116,11 +117,15 @@ def count_ngrams(texts: DataFrame, text_col: str, order: int, half_col: str) ->
 
 
 def discounts(counts_of: dict[int, int]) -> list[float]:
-    """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
+    """D1, D2, D3+ from the numbers of n-grams seen once to four times.
+
+    Never below ``LEAST_DISCOUNT``: where few n-grams are known an estimate can
+    be zero, and nothing would be left for what wasn't seen.
+    """
     n1, n2, n3, n4 = (counts_of.get(i, 0) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
     raw = [1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)]
-    return [min(max(d, 0.0), top) for d, top in zip(raw, (1.0, 2.0, 3.0), strict=True)]
+    return [min(max(d, LEAST_DISCOUNT), top) for d, top in zip(raw, (1.0, 2.0, 3.0), strict=True)]
 
 
 def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -155,7 +160,7 @@ def train(counts: DataFrame, order: int = ORDER) -> DataFrame:
         below = settle(here.select("half", "gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")))
         none = F.lit(None).cast("double")
         # Contexts of an order are n-grams of the one below it; the empty context is gram 0 of order 0.
-        back = weights.where("weight > 0").select("half", F.lit(k - 1).alias("ord"), F.col("context").alias("gram"), none.alias("logp"), F.log("weight").alias("backoff"))
+        back = weights.select("half", F.lit(k - 1).alias("ord"), F.col("context").alias("gram"), none.alias("logp"), F.log("weight").alias("backoff"))
         seen = below.select("half", F.lit(k).alias("ord"), "gram", F.log("p").alias("logp"), none.alias("backoff"))
         out = back.unionByName(seen) if out is None else out.unionByName(back).unionByName(seen)
         held += [weights, below]
