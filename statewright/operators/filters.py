@@ -67,31 +67,20 @@ def filter_states(symbols: DataFrame, model: SuffixModel, chunk: int = CHUNK) ->
     spread = symbols.select("series_id", "t", "x", "y", F.explode(places).alias("part"))
     key = symbols.schema["series_id"].dataType.simpleString()
 
-    def strings(rows: pd.DataFrame) -> tuple[pd.DataFrame, str, str, int, int]:
-        rows = rows.sort_values("t")
-        first, part = int(rows["t"].iloc[0]), int(rows["part"].iloc[0])
-        return rows, "".join(rows["x"]), "".join(rows["y"]), first, part * chunk - first
-
     def ends(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, xs, ys, first, start = strings(rows)
-        if start >= len(ys):  # a halo with no symbols of its own after it
+        """Where a chunk leads from each state it may be met in."""
+        rows = rows.sort_values("t")
+        part = int(rows["part"].iloc[0])
+        if int(rows["t"].iloc[-1]) < part * chunk:  # a halo with no symbols of its own after it
             return pd.DataFrame({"series_id": [], "part": [], "begins": [], "ends": []})
-        starts = [UNKNOWN] if start == 0 and first == 0 else [UNKNOWN, *sorted(set(model.states.values()))]
+        starts = [UNKNOWN] if part == 0 else [UNKNOWN, *sorted(set(model.states.values()))]
         last = []
         for s in starts:
-            before = model.walk(s, xs, ys, first, start)
-            # ``walk`` steps into its first index; a chunk begins in the given state instead.
-            last.append(before[-1] if start == 0 and first == 0 else after(s, xs, ys, first, start)[-1])
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": int(rows["part"].iloc[0]), "begins": starts, "ends": last})
-
-    def after(state: int, xs: str, ys: str, first: int, start: int) -> list[int]:
-        """States before each symbol of a chunk whose first symbol is met in ``state``, and the one after the last."""
-        out = [state]
-        for i in range(start + 1, len(ys) + 1):
-            out.append(model.walk(out[-1], xs[: i], ys[: i], first, i)[0])
-        return out
-
-    maps = spread.groupBy("series_id", "part").applyInPandas(ends, f"series_id {key}, part bigint, begins bigint, ends bigint")
+            cursor = Cursor(model, part, chunk, s)
+            for t, x, y in zip(rows["t"].tolist(), rows["x"], rows["y"], strict=True):
+                cursor.take(t, x, y)
+            last.append(cursor.upcoming())
+        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": part, "begins": starts, "ends": last})
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = UNKNOWN, []
@@ -100,23 +89,52 @@ def filter_states(symbols: DataFrame, model: SuffixModel, chunk: int = CHUNK) ->
             state = dict(zip(group["begins"], group["ends"], strict=True)).get(state, UNKNOWN)
         return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": [p for p, _ in out], "begins": [s for _, s in out]})
 
+    # Only series of more than one chunk need the first pass.
+    long = symbols.where(F.col("t") == chunk).select("series_id").distinct()
+    maps = spread.join(long, "series_id", "left_semi").groupBy("series_id", "part").applyInPandas(ends, f"series_id {key}, part bigint, begins bigint, ends bigint")
     begins = maps.groupBy("series_id").applyInPandas(compose, f"series_id {key}, part bigint, begins bigint")
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, xs, ys, first, start = strings(rows)
-        if start >= len(ys):
-            return pd.DataFrame({"series_id": [], "t": [], "state": []})
-        if start == 0 and first == 0:
-            found = model.walk(UNKNOWN, xs, ys, first, start)[:-1]
-        else:
-            found = after(int(rows["begins"].iloc[0]), xs, ys, first, start)[:-1]
-        mine = rows.iloc[start:]
-        return pd.DataFrame({"series_id": mine["series_id"].to_numpy(), "t": mine["t"].to_numpy(), "state": found})
-
-    replayed = spread.join(begins, ["series_id", "part"]).groupBy("series_id", "part").applyInPandas(replay, f"series_id {key}, t bigint, state bigint")
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cursor = None, None
+        for rows in batches:
+            out = []
+            columns = (rows[c].tolist() for c in ("series_id", "part", "t", "x", "y", "begins"))
+            for s, part, t, x, y, b in zip(*columns, strict=True):
+                if (s, part) != at:
+                    at, cursor = (s, part), Cursor(model, part, chunk, b)
+                state = cursor.take(t, x, y)
+                if state is not None:
+                    out.append((s, t, state))
+            yield pd.DataFrame(out, columns=["series_id", "t", "state"])
+
+    met = spread.join(begins, ["series_id", "part"], "left").select("series_id", "part", "t", "x", "y", F.coalesce("begins", F.lit(UNKNOWN)).alias("begins"))
+    ordered = met.repartition("series_id", "part").sortWithinPartitions("series_id", "part", "t")
+    replayed = ordered.mapInPandas(replay, f"series_id {key}, t bigint, state bigint")
     return replayed.select("series_id", "t", F.when(F.col("state") != UNKNOWN, F.col("state")).alias("state"))
 
 
+class Cursor:
+    """Goes through one chunk: the halo before it only tells what came before."""
+
+    def __init__(self, model: SuffixModel, part: int, chunk: int, state: int) -> None:
+        self.model, self.first, self.state = model, part * chunk, state
+        self.xs, self.ys, self.next, self.fresh = "", "", 0, True
+
+    def take(self, t: int, x: str, y: str) -> int | None:
+        """The state before this symbol; None in the halo."""
+        self.next = t
+        out = None
+        if t >= self.first:
+            if not (self.fresh and self.first > 0):  # a chunk's first symbol is met in the given state
+                self.state = self.upcoming()
+            self.fresh, out = False, self.state
+        self.xs, self.ys, self.next = (self.xs + x)[-self.model.length :], (self.ys + y)[-self.model.length :], t + 1
+        return out
+
+    def upcoming(self) -> int:
+        return self.model.walk(self.state, self.xs, self.ys, self.next - len(self.ys), len(self.ys))[0]
+
+
 def predict(filtered: DataFrame, symbols: DataFrame, emission: DataFrame, ays: list[str], prior: float | None = None) -> DataFrame:
     """series_id, t, state, p (of the last symbol of ``ays``), y_pred: the likeliest output given state and input.
 
