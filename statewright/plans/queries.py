@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.small import pinned
 from ..functions.stats import state_label
 from ..operators import algebra, counts, encode, filters, graph, hypothesis, infer, measures, metrics, selection, simulate
+from ..sources import models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -778,6 +779,31 @@ def simulate_transducer(spark, sf):
     return simulate.simulate_transducer(inputs(spark, sf), delay, "A")
 
 
+@query(
+    MT + """ SELECT s_from || ' -> ' || s_to || ' [label = "' || string_agg(y || '|' || x || ':' || printf('%.6f', p) || '\\l', '' ORDER BY x, y) || '"];' AS text FROM tr GROUP BY s_from, s_to"""
+)
+def graph_lines(spark, sf):
+    return models.graph_lines(transducer(spark, sf))
+
+
+@query(MT + " SELECT s_from, x, y, s_to, round(p, 6) AS p FROM tr")
+def graph_lines_parsed(spark, sf):
+    text = models.graph_lines(transducer(spark, sf)).select(F.lit("memory").alias("path"), F.monotonically_increasing_id().alias("line"), "text")
+    return models.labels_of(models.edge_lines(text)).select("s_from", "x", "y", "s_to", "p")
+
+
+@query()
+def lstep_simulated(spark, sf):
+    """Shares of outputs 1 to 3 steps ahead over 4,000 simulated runs from one state."""
+    drawn = simulate.simulate_machine(spark, EVEN, 4000, 3, start="A")
+    return drawn.groupBy((F.col("t") + 1).alias("step"), "y").agg((F.count("*") / 4000).alias("p"))
+
+
+@query("SELECT 'A' AS s_from, '0' AS x, 'A' AS s_to, 1.0::DOUBLE AS p")
+def null_machine(spark, sf):
+    return models.null_machine(spark)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(next event | the last two events) of every user, all lengths up to two."""
     return QUERIES["conditional_probs"](spark, sf_dir)

@@ -32,27 +32,45 @@ def pair_series(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.select(F.col("line").cast("long").alias("series_id"), F.when(F.coalesce(ok, F.lit(False)), F.col("X")).otherwise(F.raise_error(F.lit("series differ in number or length"))).alias("X"), "Y")
 
 
-def _edge_lines(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("lines"))
-    rows = files.select("path", F.posexplode("lines").alias("line", "text")).where(F.col("text").contains("->"))
+def edge_lines(text: DataFrame) -> DataFrame:
+    """path, line, s_from, s_to, label from rows (path, line, text): the lines that are edges."""
     part = lambda i: F.regexp_extract("text", EDGE, i)
-    return rows.select("path", "line", part(1).alias("s_from"), part(2).alias("s_to"), part(3).alias("label"))
+    return text.where(F.col("text").contains("->")).select("path", "line", part(1).alias("s_from"), part(2).alias("s_to"), part(3).alias("label"))
 
 
-def read_transducer(spark: SparkSession, path: str) -> DataFrame:
-    """path, line, s_from, x, y, s_to, p of labels ``y|x:p``, each ended by a literal backslash and l."""
-    parts = _edge_lines(spark, path).select("path", "line", "s_from", "s_to", F.explode(F.filter(F.split("label", r"\\l"), lambda s: F.trim(s) != "")).alias("one"))
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, text of each file; a model's file is small, so it is read whole to number its lines."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("lines"))
+    return files.select("path", F.posexplode("lines").alias("line", "text"))
+
+
+def labels_of(lines: DataFrame) -> DataFrame:
+    """path, line, s_from, x, y, s_to, p from edge lines with labels ``y|x:p``."""
+    parts = lines.select("path", "line", "s_from", "s_to", F.explode(F.filter(F.split("label", r"\\l"), lambda s: F.trim(s) != "")).alias("one"))
     get = lambda i: F.regexp_extract("one", r"^(.*?)\|(.*?):(.*)$", i)
     return parts.select("path", "line", "s_from", get(2).alias("x"), get(1).alias("y"), "s_to", get(3).cast("double").alias("p"))
 
 
+def graph_lines(edges: DataFrame, places: int = 6) -> DataFrame:
+    """text: one edge line per pair of states of ``edges(s_from, x, y, s_to, p)``, labels by input, then output."""
+    one = F.concat(F.col("y"), F.lit("|"), F.col("x"), F.lit(":"), F.format_string(f"%.{places}f", "p"), F.lit("\\l"))
+    shown = edges.where("p > 0").select("s_from", "s_to", F.struct("x", "y", one.alias("one")).alias("label"))
+    joined = shown.groupBy("s_from", "s_to").agg(F.array_join(F.transform(F.array_sort(F.collect_list("label")), lambda r: r["one"]), "").alias("label"))
+    return joined.select(F.concat(F.col("s_from"), F.lit(" -> "), F.col("s_to"), F.lit(' [label = "'), F.col("label"), F.lit('"];')).alias("text"))
+
+
+def read_transducer(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, s_from, x, y, s_to, p of labels ``y|x:p``, each ended by a literal backslash and l."""
+    return labels_of(edge_lines(file_lines(spark, path)))
+
+
 def read_machine(spark: SparkSession, path: str, dialect: str = "transducer") -> DataFrame:
     """path, line, s_from, x (the emitted symbol), s_to, p.
 
     Dialects: 'machine' has one ``x:p`` per edge, 'machine-lines' several ended
     by a backslash and l, 'transducer' ignores the input part of ``x|input:p``.
     """
-    lines = _edge_lines(spark, path)
+    lines = edge_lines(file_lines(spark, path))
     if dialect == "machine":
         parts = lines.withColumn("one", F.col("label"))
     elif dialect in ("machine-lines", "transducer"):
