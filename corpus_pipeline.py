@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm.common import settle, table
+from statewright.llm.common import discard, settle, table
 from statewright.llm.decontaminate import decontaminate
 from statewright.llm.exact_dedup import exact_dedup
 from statewright.llm.kneser_ney import quality_filter
@@ -64,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = settle(docs)
+            discard(before)
     return docs
