@@ -38,14 +38,18 @@ GROUP_ITEMS = 16_384
 #: A bin with at most this part of its capacity left is nearly full.
 NEARLY = 1 / 128
 #: Words remembered per generation of a worker's cache; two generations live at a time.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Bytes of text whose words are looked up together.
+TOGETHER = 1 << 21
 
 
 class WordIds(dict):
     """Ids of white-space-free words as little-endian 32-bit bytes, remembered in two generations.
 
     The tokenizer never joins characters across white space and folds case, so
-    the ids of a text are those of its words one after another.
+    the ids of a text are those of its words one after another.  Words that are
+    new to a batch are encoded together: a word of letters is one run of the
+    tokenizer, and the last token of a run is marked in the vocabulary.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,29 +57,79 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
+    def learn(self, words: set[bytes]) -> None:
+        letters: list[str] = []
+        marked: list[bytes] = []
+        for word in words:
+            ids = self.old.get(word)
+            if ids is not None:
+                self[word] = ids
+                continue
+            core = word
             if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-                ids = self[word[:-1]] + self[word[-1:]]  # a mark after a letter is a token run of its own
+                core = word[:-1]  # a mark after a letter is a token run of its own
+                marked.append(word)
+                if core in self:
+                    continue
+            text = core.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0130":
+                letters.append(text)
             else:
-                ids = self.encode(word.decode("utf-8", "replace"))
-        if len(self) >= REMEMBERED:
+                self[core] = self.encode(text)
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, begin = ids.tobytes(), 0
+                for text, stop in zip(part, (4 * stops).tolist(), strict=True):
+                    self[text.encode()] = raw[begin:stop]
+                    begin = stop
+            else:
+                self.update({text.encode(): self.encode(text) for text in part})
+        for mark in (b".", b","):
+            if mark not in self:
+                self[mark] = self.encode(mark.decode())
+        for word in marked:
+            self[word] = self[word[:-1]] + self[word[-1:]]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
-
-    def of(self, data: bytes) -> bytes:
-        if b"<|" in data:  # may spell a special token: leave it to the tokenizer
-            return self.encode(data.decode("utf-8", "replace"))
-        if b"\xcc" not in data and b"\xcd" not in data:  # no combining marks: folding A-Z early changes nothing
-            data = data.lower()
-        return b"".join(map(self.__getitem__, data.split()))
+        lists: list[list[bytes] | None] = []
+        for data in texts:
+            if b"<|" in data:  # may spell a special token: leave it to the tokenizer
+                lists.append(None)
+                continue
+            if b"\xcc" not in data and b"\xcd" not in data:  # no combining marks: folding A-Z early changes nothing
+                data = data.lower()
+            lists.append(data.split())
+        found = [x if x is None else list(map(self.get, x)) for x in lists]
+        lacking = [i for i, f in enumerate(found) if f is not None and None in f]
+        self.learn({w for i in lacking for w, f in zip(lists[i], found[i], strict=True) if f is None})
+        for i in lacking:
+            found[i] = [self[w] if f is None else f for w, f in zip(lists[i], found[i], strict=True)]
+        return [self.encode(t.decode("utf-8", "replace")) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
+
+
+def in_parts(column: pa.Array, size: int) -> Iterator[list[bytes]]:
+    """Values of a binary column, null as empty, in runs of about ``size`` bytes."""
+    part, held = [], 0
+    for value in column:
+        part.append(value.as_py() or b"")
+        held += len(part[-1])
+        if held >= size:
+            yield part
+            part, held = [], 0
+    yield part
 
 
 @lru_cache(maxsize=2)
@@ -90,8 +144,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         known, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                ids = known.of(value.as_py() or b"") + end
+            ids_of_rows = (ids for part in in_parts(batch.column(1), TOGETHER) for ids in known.of(part))
+            for row, found in enumerate(ids_of_rows):
+                ids = found + end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     at.append(row)
