@@ -238,7 +238,7 @@ def fold_series(symbols: DataFrame, make: Callable[[], object], step: Callable[[
 
 
 def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi: DataFrame, ays: list[str], mode: str = "restart") -> DataFrame:
-    """series_id, t, p_<y> before each output, states possible after it, forbidden; ``pi``: t, m, pi."""
+    """series_id, t, p_<y> before each output, p_seen of the one that came, states possible after it, forbidden; ``pi``: t, m, pi."""
     t_edges = {(str(r["s_from"]), r["x"], r["y"]): (str(r["s_to"]), r["p"]) for r in edges_t.collect()}  # model tables
     m_edges = {(str(r["s_from"]), r["x"]): (str(r["s_to"]), r["p"]) for r in edges_m.collect()}
     start = {(str(r["t"]), str(r["m"])): r["pi"] for r in pi.collect()}
@@ -246,11 +246,11 @@ def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi
     def step(b: Belief, x: str, y: str) -> tuple:
         p = b.forecast(x)
         forbidden = b.update(x, y)
-        return (*p, b.possible(), forbidden)
+        return (*p, p[ays.index(y)], b.possible(), forbidden)
 
     names = [f"p_{y}" for y in ays]
-    shape = ", ".join(f"`{n}` double" for n in names) + ", states array<string>, forbidden boolean"
-    return fold_series(symbols, lambda: Belief(t_edges, m_edges, start, ays, mode), step, shape, [*names, "states", "forbidden"])
+    shape = ", ".join(f"`{n}` double" for n in names) + ", p_seen double, states array<string>, forbidden boolean"
+    return fold_series(symbols, lambda: Belief(t_edges, m_edges, start, ays, mode), step, shape, [*names, "p_seen", "states", "forbidden"])
 
 
 def next_symbol(words: DataFrame, past: str) -> DataFrame:

@@ -8,10 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.small import pinned
 from ..functions.stats import entropy
-from .filters import Belief
-from .infer import Clustering, canonical
-from .measures import measures
+from .algebra import stationary_exact
+from .counts import word_counts
+from .encode import constant_input
+from .filters import Belief, belief_filter
+from .graph import history_transitions
+from .infer import Clustering, canonical, edges, infer, morphs
+from .measures import measures, symbol_matrices
 from .simulate import Walker, generator
 
 
@@ -44,14 +49,11 @@ def topology(found: Clustering) -> str:
     return canonical(list(found.members), steps, first)
 
 
-def log_likelihood(edges: list[tuple[int, str, int, float]], series: list[str], ays: list[str]) -> float:
+def log_likelihood(moves: list[tuple[int, str, int, float]], series: list[str], ays: list[str]) -> float:
     """Log probability of the strings under the belief filter, unsettled steps included; -inf if impossible."""
-    from .algebra import stationary_exact
-    from .measures import symbol_matrices
-
-    states, mats = symbol_matrices(edges)
+    states, mats = symbol_matrices(moves)
     pi = stationary_exact(sum(mats.values()))
-    t_edges = {(a, "0", y): (b, p) for a, y, b, p in edges}
+    t_edges = {(a, "0", y): (b, p) for a, y, b, p in moves}
     start = {(s, 0): float(w) for s, w in zip(states, pi, strict=True)}
     total = 0.0
     for ys in series:
@@ -88,6 +90,36 @@ def choose_length(spark: SparkSession, series: list[str], ays: list[str], longes
     return lengths.groupBy("length").applyInPandas(run, "length int, states int, loglik double, score double, topology string")
 
 
+def choose_length_of(symbols: DataFrame, ays: list[str], longest: int, alpha: float = 0.001, kind: str = "chi2") -> DataFrame:
+    """length, states, loglik, score (BIC) for symbol tables of any size under a constant input.
+
+    Counts are taken once, at the longest length; each length's machine is
+    inferred from them and its likelihood summed by the distributed belief
+    filter.  A length without a recurrent part, or that finds a symbol
+    impossible, has an infinite score.
+    """
+    spark = symbols.sparkSession
+    symbols = constant_input(symbols)
+    words = pinned(word_counts(symbols, longest)).withColumn("model_id", F.lit(0))
+    n = symbols.count()
+    emissions = spark.createDataFrame([("0", y) for y in ays], "x string, y string")
+    rows = []
+    for length in range(1, longest + 1):
+        known = words.where(F.col("k") <= length + 1)
+        found = pinned(infer(known, ["0"], ays, length, alpha, kind))
+        edges_t = pinned(edges(history_transitions(found, emissions, length), morphs(found, known)).select(F.col("s_from").cast("string"), "x", "y", F.col("s_to").cast("string"), "p"))
+        table = [(r["s_from"], r["y"], r["s_to"], r["p"]) for r in edges_t.orderBy("s_from", "y").collect()]
+        states, mats = symbol_matrices(table)
+        pi = stationary_exact(sum(mats.values()))
+        start = spark.createDataFrame([(s, "M", float(p)) for s, p in zip(states, pi, strict=True)], "t string, m string, pi double")
+        one = spark.createDataFrame([("M", "0", "M", 1.0)], "s_from string, x string, s_to string, p double")
+        seen = belief_filter(symbols, one, edges_t, start, ays)
+        ll = seen.agg(F.sum(F.when(F.col("p_seen") > 0, F.log("p_seen")).otherwise(float("-inf")))).first()[0] or 0.0
+        count = found.select("state").distinct().count()
+        rows.append((length, count, float(ll), float(-2 * ll + count * (len(ays) - 1) * math.log(max(n, 1)))))
+    return spark.createDataFrame(rows, "length int, states int, loglik double, score double")
+
+
 def best_length(scores: DataFrame) -> int:
     """The least score's length, then the shortest with as many states and the same topology."""
     rows = {r["length"]: r for r in scores.collect()}  # one row per length
@@ -95,11 +127,11 @@ def best_length(scores: DataFrame) -> int:
     return min(r["length"] for r in rows.values() if r["states"] == best["states"] and r["topology"] == best["topology"])
 
 
-def bootstrap(spark: SparkSession, edges: list[tuple[object, str, object, float]], ays: list[str], length: int, size: int, replicates: int, alpha: float = 0.001, seed: int = 0) -> DataFrame:
+def bootstrap(spark: SparkSession, moves: list[tuple[object, str, object, float]], ays: list[str], length: int, size: int, replicates: int, alpha: float = 0.001, seed: int = 0) -> DataFrame:
     """boot_id, cmu, hmu, excess, failed: a machine simulated, inferred and measured anew per replicate, a task for each group."""
 
     def run(batches):
-        walker = Walker(edges)
+        walker = Walker(moves)
         for rows in batches:
             out = []
             for b in rows["boot_id"]:
@@ -142,4 +174,4 @@ def quantile(thetas: DataFrame, measure: str, q: float) -> DataFrame:
     return thetas.agg(F.percentile(measure, F.lit(q)).alias("theta"))
 
 
-__all__ = ["best_length", "bootstrap", "choose_length", "confidence_curve", "interval", "quantile"]
+__all__ = ["best_length", "bootstrap", "choose_length", "choose_length_of", "confidence_curve", "interval", "quantile"]

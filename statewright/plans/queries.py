@@ -667,6 +667,11 @@ def choose_length_logloss(spark, sf):
     return selection.choose_length(spark, sample, ["0", "1"], 4, held_out=True)
 
 
+@query()
+def choose_length_conversations(spark, sf):
+    return selection.choose_length_of(conversations(spark, sf), ["a", "s", "u"], 3)
+
+
 @query()
 def bootstrap_replicates(spark, sf):
     return selection.bootstrap(spark, EVEN, ["0", "1"], 3, 1000, 40)
