@@ -45,6 +45,8 @@ def test_pages_without_article_or_markup():
     assert text("<body><div id=sidebar>no</div><div>yes <i>in</i>line</div><aside>no</aside></body>") == "yes inline"
     assert text("") == "" and text("<!-- only") == "" and text("<p>a<p>b") == "a b"
     assert text("<ul><li><a>x</a><li><a>y</a></ul><p>z") == "z"
+    assert text("<main>out<article>in</article></main><article class=comment>he said</article>") == "in"
+    assert text("<main><p>only main</main><div class=comments><article>c</article></div>") == "only main"
     assert text("<p>1 < 2 and <b>3</p> > 2</p>") == "1 < 2 and 3 > 2"
 
 
