@@ -72,3 +72,20 @@ def test_symbols_outside_the_alphabet_raise(spark):
 
 def test_empty(spark):
     assert counts.word_counts(strings(spark, [("", "")]), 2).count() == 0
+
+
+def test_ranks_by_bucket_equal_plain_ranks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(u, d, i, "ab"[(i + d) % 2]) for u in range(3) for d in range(4) for i in range(u + 2)]
+    table = spark.createDataFrame(rows, "u long, day int, i int, y string")
+    plain = encode.encode(table, "u", ["day", "i"], F.col("y"))
+    cut = encode.encode(table, "u", ["day", "i"], F.col("y"), bucket=F.col("day"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_methods_are_named(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="method"):
+        counts.word_counts(strings(spark, [("0", "1")]), 1, method=2)
