@@ -55,7 +55,7 @@ BROADCAST_LABELS = 2_000_000
 SYMBOLS = 1 << BITS
 BIN = 0.001
 #: Characters handled at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def symbols(text: str) -> np.ndarray:
@@ -108,7 +108,7 @@ def count_ngrams(texts: DataFrame, text_col: str, order: int, half_col: str) ->
                 size += len(held[half][-1])
                 if size >= CHUNK:
                     fold()
-            if sum(len(k) for k, _ in total.values()) > CHUNK:
+            if sum(len(k) for k, _ in total.values()) > 4 * CHUNK:
                 yield from out()
         fold()
         yield from out()
@@ -178,7 +178,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        bits = max(4, int(len(keys) * 4).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slot_key = np.full(1 << bits, -1, dtype=np.int64)
         self.slot_value = np.zeros(1 << bits, dtype=np.float32)
