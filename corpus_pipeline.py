@@ -21,6 +21,8 @@ from statewright.llm.packing import pack_documents
 from statewright.llm.simhash import near_dedup
 
 TOKENIZER = "word_bpe_49k.json"
+#: Jaccard similarity of five-word shingles from which documents are near copies.
+SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
-    return near_dedup(docs)
+    """One document of each component linked by fingerprints within two bits or by five-word shingles of similarity 0.8 or more."""
+    return near_dedup(docs, similarity=SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,18 @@ def settle(df: DataFrame) -> DataFrame:
     return back
 
 
+def settle_in_small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``settle`` with fewer rows an Arrow batch: less memory of executors and their Python workers for texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        return settle(df)
+    finally:
+        conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that no later plan reads."""
     path = getattr(df, "_settled_at", None)

@@ -17,6 +17,10 @@ words one bit away.  Two words within two bits share such a midpoint, and a
 midpoint has 65 words around it at most, so the work is linear and no link of
 the graph's connectivity is lost.
 
+Two bits are little: a few changed words in a page of text move more of them.
+Given a ``similarity``, texts with at least that Jaccard similarity of five-word
+shingles are linked too (see :mod:`.shingles`).
+
 How it is laid out on a cluster
     Texts are read once and never shuffled.  Equal fingerprints are one node.
     Keys are counted with map-side combine; single keys, nearly all, are
@@ -39,8 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, spread_name
+from .common import discard, settle, settle_in_small_batches, spread_name
 from .components import components
+from .shingles import similar_links, sketch
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width: 22 + 21 + 21 bits
@@ -81,11 +86,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, text_key bigint")
 
 
+def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``fingerprints`` with the digest and the keys of each text's set of five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [x.as_py() or b"" for x in batch.column(1)]
+                fps = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
+                names, bands = zip(*map(sketch, texts), strict=True)
+                more = [pa.array(names, pa.int64()), pa.array([x.view(np.int64) for x in bands], longs)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), *more], ["doc_id", "fp", "text_key", "set_key", "bands"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary"), F.xxhash64(text_col))
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, text_key bigint, set_key bigint, bands array<bigint>")
+
+
 @lru_cache(maxsize=1)
 def decoded_index() -> np.ndarray:
     """For each of the 2^23 words the 12-bit index of the one codeword within three bits."""
-    words = np.arange(1 << 23, dtype=np.uint32)
-
     def remainder(x: np.ndarray) -> np.ndarray:
         for bit in range(22, 10, -1):
             x = np.where(x >> bit & 1, x ^ np.uint32(GENERATOR << (bit - 11)), x)
@@ -98,7 +120,11 @@ def decoded_index() -> np.ndarray:
     errors = np.array(leaders, dtype=np.uint32)
     by_syndrome = np.zeros(1 << 11, dtype=np.uint32)
     by_syndrome[remainder(errors)] = errors
-    return ((words ^ by_syndrome[remainder(words)]) >> 11).astype(np.uint16)
+    out = np.empty(1 << 23, dtype=np.uint16)
+    for at in range(0, len(out), 1 << 18):  # in parts, so that a worker's memory stays small
+        words = np.arange(at, at + (1 << 18), dtype=np.uint32)
+        out[at : at + (1 << 18)] = (words ^ by_syndrome[remainder(words)]) >> 11
+    return out
 
 
 def segment(fps: np.ndarray, i: int) -> np.ndarray:
@@ -158,11 +184,15 @@ def links(nodes: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairwise: int = PAIRWISE) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairwise: int = PAIRWISE, similarity: float | None = None) -> DataFrame:
     """A row per row of ``docs``: doc_id, fp, text_key, component_id, root (fingerprint that names the component)."""
-    rows = settle(fingerprints(docs, id_col, text_col))
+    whole = settle(fingerprints(docs, id_col, text_col)) if similarity is None else settle_in_small_batches(sketched(docs, id_col, text_col))
+    rows = whole.select("doc_id", "fp", "text_key")
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = settle(components(links(nodes, pairwise)))
+    edges = links(nodes, pairwise)
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(whole, docs, similarity, text_col, pairwise))
+    roots = settle(components(edges))
     placed = settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = settle(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     known = settle(placed.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
@@ -175,9 +205,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, all columns as they were."""
-    found = settle(near_groups(docs, id_col, text_col))
+    found = settle(near_groups(docs, id_col, text_col, similarity=similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("first")
     own = {c: spread_name(docs.columns, c) for c in ("_id", "_key")}
     kept = settle(found.groupBy("root").agg(first).select(F.col("first.id").alias(own["_id"]), F.col("first.key").alias(own["_key"])).distinct())

@@ -53,3 +53,15 @@ def test_awkward_rows_pass_every_stage(spark, folder):
             assert out.columns == docs.columns
             out.count()
         corpus_pipeline.STAGES[-1][1](spark, docs, folder).count()
+
+
+def test_near_copies_go(spark, folder):
+    text = words(800, 200).split()
+    # Every change of a word costs five shingles: four leave 176 of 216 (0.81), five leave 171 of 221 (0.77).
+    changed = lambda n: " ".join("changed" if i % 30 == 20 and i < 30 * n else w for i, w in enumerate(text))
+    rows = [(1, changed(0), "en", "s", 1), (2, changed(4), "en", "s", 1), (3, words(801, 200), "en", "s", 1), (4, " ".join(text[:100]) + " " + words(802, 100), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = dict(corpus_pipeline.STAGES)["near dedup"]
+    assert {r["doc_id"] for r in near(spark, docs, folder).collect()} == {1, 3, 4}
+    far = docs.where("doc_id <> 2").unionByName(spark.createDataFrame([(5, changed(5), "en", "s", 1)], docs.schema))
+    assert near(spark, far, folder).count() == 4

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from statewright.llm.simhash import fingerprint, key_sets, links, near_components, near_dedup
+from statewright.llm.simhash import fingerprint, key_sets, links, near_components, near_dedup, sketched
 from statewright.llm.components import components
+from statewright.llm.shingles import similar_sets
 
 from .helpers import awkward, empty, words
 
@@ -102,3 +103,29 @@ def test_rows(spark):
 def test_empty(spark):
     assert near_components(empty(spark)).count() == 0
     assert near_dedup(empty(spark)).count() == 0
+
+
+def slow_shingles(text):
+    found = text.split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+@pytest.mark.parametrize("pairwise", [1, 64])
+def test_similar_texts_are_linked_as_brute_force_links_them(spark, pairwise):
+    rng = random.Random(4)
+    texts = ["one", "one two", "one two three four five six"]
+    for k in range(12):
+        base = words(900 + k, rng.randint(20, 300)).split()
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(copy) // 20)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    sets = [slow_shingles(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sketched(docs).cache()
+    name = {r["doc_id"]: r["set_key"] for r in rows.collect()}
+    root = {r["node"]: r["root"] for r in components(similar_sets(rows, docs, 0.8, pairwise=pairwise)).collect()}
+    want = spark.createDataFrame([(name[i], name[j]) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], "a long, b long")
+    assert root == {r["node"]: r["root"] for r in components(want).collect()}
