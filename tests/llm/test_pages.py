@@ -39,6 +39,17 @@ def test_copies_do_not_make_a_template(spark):
     assert {r["text"] for r in wrapper.extract_main_text(pages).collect()} == {"Title 1 Bold 1 & more next Second para 1 Its own end"}
 
 
+def test_copies_of_pages_without_article_keep_their_text(spark):
+    page = lambda i: f"<body><div>menu</div><div><h1>Title {i}</h1><p>Text {i}</p></div><div>end</div></body>"
+    one = page_table(spark, [(i, "http://one/x", page(1)) for i in range(8)])
+    assert {r["text"] for r in wrapper.extract_main_text(one).collect()} == {"menu Title 1 Text 1 end"}
+    # Half of the host's pages are copies of one; whichever is the exemplar, every page keeps its own text alone.
+    for k in range(4):
+        rows = [(i, "http://h/x", page(k)) for i in range(8)] + [(i, "http://h/x", page(i)) for i in range(10, 18)]
+        got = {(r["page_id"], r["text"]) for r in wrapper.extract_main_text(page_table(spark, rows)).collect()}
+        assert got == {(i, f"Title {k} Text {k}") for i in range(8)} | {(i, f"Title {i} Text {i}") for i in range(10, 18)}
+
+
 def test_pages_without_article_or_markup():
     text = lambda h: wrapper.extract(h, None)
     assert text("plain &lt;b&gt; text") == "plain <b> text"
