@@ -61,6 +61,17 @@ def test_pages_without_article_or_markup():
     assert text("<p>1 < 2 and <b>3</p> > 2</p>") == "1 < 2 and 3 > 2"
 
 
+def test_names_of_layout_do_not_hide_the_article():
+    text = lambda h: wrapper.extract(h, None)
+    for name in ("layout has-sidebar", "no-sidebar", "content-with-header", "search-result", "sidebar", "search widget"):
+        for key in ("class", "id"):
+            assert text(f"<div>top</div><div {key}='{name}'><div class=ad>buy</div><article><p>the whole story</p></article></div>") == "the whole story"
+            assert text(f"<div {key}='{name}'><div class=ad>buy</div><p>the whole story</p></div>") == "the whole story"
+    for name in ("cookie-notice", "main-nav", "comment-12", "left sidebar", "related_posts"):
+        assert text(f"<div class='{name}'>this and that</div><div>the whole story of it</div>") == "the whole story of it"
+    assert text("<div>story</div><div class=comments><article>a long answer to it</article></div>") == "story"
+
+
 def test_matching_is_the_best_there_is():
     a = ["r", 0, [["p", 1, []], ["d", 2, [["p", 3, []]]], ["p", 4, []]]]
     b = ["r", 0, [["d", 2, [["p", 3, []], ["p", 9, []]]], ["p", 4, []]]]
