@@ -1,6 +1,7 @@
 """Operators on pages: the audit, the extraction and the url rules."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,11 +73,123 @@ def test_names_of_layout_do_not_hide_the_article():
     assert text("<div>story</div><div class=comments><article>a long answer to it</article></div>") == "story"
 
 
+def tree_of(nested):
+    labels, parents = [], []
+
+    def add(node, up):
+        labels.append(node[0])
+        parents.append(up)
+        me = len(labels) - 1
+        for c in node[1]:
+            add(c, me)
+
+    add(nested, -1)
+    return wrapper.Blocks(labels, parents)
+
+
+def slow_matching(a, b):
+    """Size of the greatest matching of two nested trees, by its definition."""
+    if a[0] != b[0]:
+        return 0
+
+    def forests(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(forests(xs[1:], ys), forests(xs, ys[1:]), slow_matching(xs[0], ys[0]) + forests(xs[1:], ys[1:]))
+
+    return 1 + forests(a[1], b[1])
+
+
+def random_tree(rng, depth=0):
+    return [rng.choice("pdu") if depth else "r", [random_tree(rng, depth + 1) for _ in range(rng.randint(0, 3 if depth < 3 else 0))]]
+
+
 def test_matching_is_the_best_there_is():
-    a = ["r", 0, [["p", 1, []], ["d", 2, [["p", 3, []]]], ["p", 4, []]]]
-    b = ["r", 0, [["d", 2, [["p", 3, []], ["p", 9, []]]], ["p", 4, []]]]
-    m = wrapper.Matcher()
-    assert m.score(a, b) == 4 and len(list(m.pairs(a, b))) == 4
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = random_tree(rng), random_tree(rng)
+        m = wrapper.Matcher(tree_of(a), tree_of(b))
+        pairs = list(m.pairs())
+        assert len(pairs) == m.score(0, 0) == slow_matching(a, b)
+        x, y = m.a, m.b
+        assert all(x.labels[i] == y.labels[j] for i, j in pairs)
+        place = dict(pairs)
+        assert len(set(place.values())) == len(place) and all(place[x.parents[i]] == y.parents[j] for i, j in pairs if i)
+
+
+def test_merging_keeps_every_node():
+    rng = random.Random(2)
+    for _ in range(100):
+        trees = [tree_of(random_tree(rng)) for _ in range(4)]
+        whole = wrapper.merged(trees)
+        for t in trees:  # each tree's nodes are in the whole, in order and nested alike
+            assert wrapper.Matcher(t, whole).score(0, 0) == len(t.labels)
+        assert len(whole.labels) <= sum(len(t.labels) for t in trees)
+
+
+def test_long_lists_are_matched_in_one_sweep():
+    xs = ["r", [["p" if i % 3 else "d", []] for i in range(900)]]
+    ys = ["r", [["u", []], *xs[1][:-1], ["u", []]]]
+    pairs = list(wrapper.Matcher(tree_of(xs), tree_of(ys)).pairs())
+    assert len(pairs) == 900 and len({j for _, j in pairs}) == 900
+
+
+def plain_site(rng, pages, pool=5):
+    """Pages of div elements whose names say nothing, and the article of each: menus, adverts and footers come from small pools."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    menus, adverts, feet = ([line(n) for _ in range(pool)] for n in (3, 12, 9))
+    out = []
+    for i in range(pages):
+        paragraphs = [line(rng.randint(1, 40)) for _ in range(rng.randint(1, 9))]
+        title = line(4)
+        advert = f"<div class=x7>{rng.choice(adverts)}</div>" if rng.random() < 0.7 else ""
+        menu = "".join(f"<div>{rng.choice(menus)}</div>" for _ in range(rng.randint(2, 5)))
+        page = f"<body><div class=x1>{menu}</div>{advert}<div class='x2 n{i}'><h2>{title}</h2>{''.join(f'<p>{p}' for p in paragraphs)}</div><div class=x3>{rng.choice(feet)}<br>{i % 3}</div></body>"
+        out.append((f"http://plain.org/{i}", page, " ".join([title, *paragraphs])))
+    return out
+
+
+def test_the_wrapper_alone_tells_the_article(spark):
+    made = plain_site(random.Random(4), 60)
+    rows = [(i, url, page) for i, (url, page, _) in enumerate(made)] + [(100 + i, made[0][0], made[0][1]) for i in range(30)]
+    want = {i: text for i, (_, _, text) in enumerate(made)} | {100 + i: made[0][2] for i in range(30)}
+    for limit in (1 << 25, 0):
+        got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(page_table(spark, rows), broadcast_bytes=limit).collect()}
+        assert got == want
+    # Without it nothing tells them apart.
+    assert all(wrapper.extract(page, None) != text for _, page, text in made)
+
+
+def test_slots_count_more_than_names(spark):
+    rng = random.Random(6)
+    made = plain_site(rng, 40)
+    rows = [(i, url, page.replace("class='x2 ", "class='sidebar ")) for i, (url, page, _) in enumerate(made)]
+    teaser = "<article><p>Read {}</p></article>"
+    rows += [(100 + i, url.replace("plain", "teaser"), page.replace("<div class=x3>", teaser.format(i) + "<div class=x3>")) for i, (url, page, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(page_table(spark, rows)).collect()}
+    assert all(got[i] == text for i, (_, _, text) in enumerate(made))
+    assert all(got[100 + i].startswith(text) for i, (_, _, text) in enumerate(made))
+
+
+def test_attributes_are_read_whole():
+    text = lambda h: wrapper.extract(h, None)
+    assert text('<article style="overflow:hidden">whole</article>') == "whole"
+    assert text('<p title="a hidden gem" data-class="sidebar">whole</p>') == "whole"
+    assert text("<p data-x=don't>whole</p><p>it's</p>") == "whole it's"
+    assert text("<p hidden>not</p><p aria-hidden='true'>not</p><p style='display: none'>not</p><p aria-hidden=false>whole</p>") == "whole"
+    assert text("<div class=\"layout has-sidebar\"><main>whole</main></div>") == "whole"
+    assert text("<article><div class='article-header'><h1>Title</h1></div><p>text</article>") == "Title text"
+    assert text("<div class=siteFooter>us</div><div>the whole text of it</div>") == "the whole text of it"
+    assert text("<p a='x>y' b=\"<p>\" c = z>whole</p><a href=/x/>in</a>") == "whole in"
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 10_000 + "deep" + "</div>" * 10_000
+    rows = [(i, f"http://deep/{i}", deep.replace("deep", f"deep {i}") if i % 2 else "<p>flat") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(page_table(spark, rows)).collect()}
+    assert got == {i: f"deep {i}" if i % 2 else "flat" for i in range(6)}
+    assert wrapper.extract("<b>" * 5000 + "x", None) == "x" and wrapper.extract("<ul><li>" * 3000 + "x", None) == "x"
 
 
 def test_awkward_pages(spark):
