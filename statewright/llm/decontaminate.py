@@ -2,9 +2,13 @@
 
 A test item of n normalised characters may be found with k = floor(rate * n)
 edits.  It is split into k + 1 pieces; k edits leave one piece whole, so exact
-hits of the pieces (one automaton over a block of items) propose places, and
-Myers' bit-parallel distance verifies each place.  Places that propose the same
-window of the same item are verified once.
+hits of the pieces (one automaton over a block of items) propose places.  The
+pieces are the leaves of a binary tree over the item: where a branch of c pieces
+has c - 1 edits at most, one of its halves keeps the same bound.  So some hit has
+every branch above it within its bound, and a hit is given up at the first branch
+that isn't: most go after two pieces.  Myers' bit-parallel distance verifies the
+branches and last the item.  Places that propose the same window of the same item
+are verified once.
 
 Items are the stated query set and are held in blocks of a bounded number of
 characters; each block meets every document in one pass over the whole texts.
@@ -13,10 +17,12 @@ one Arrow batch.
 
 Defined results
     Texts are compared in lower case with white space runs as one space.  Null
-    or empty items match nothing; null texts count as empty.  The best place of
-    each item in a document is reported (least distance, then first).  Repeated
-    rows are searched alike.  Items repeated under other ids are each reported.
-    Empty documents or an empty benchmark give an empty result.
+    or empty items match nothing; null texts count as empty.  Items of under
+    ``LEAST_CHARS`` normalised characters are ordinary phrases: they match a text
+    that is nothing else.  The best place of each item in a document is reported
+    (least distance, then first).  Repeated rows are searched alike.  Items
+    repeated under other ids are each reported.  Empty documents or an empty
+    benchmark give an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import settle, spread_name
 
-RATE = 0.08
-#: Characters of items in one block: bounds the automaton in a worker to some 60 MB.
-BLOCK_CHARS = 400_000
+RATE = 0.1
+LEAST_CHARS = 32
+#: Characters of items in one block: bounds the automaton in a worker.
+BLOCK_CHARS = 1_000_000
 
 
 def normal(text: str | None) -> str:
@@ -53,8 +60,8 @@ def pattern_bits(pattern: str) -> dict[str, int]:
     return bits
 
 
-def best_end(bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """Least edit distance of a pattern of length m to any substring of ``text``, and that substring's end (the first such)."""
+def best_end(bits: dict[str, int], m: int, text: str, enough: int = 0) -> tuple[int, int]:
+    """Least edit distance of a pattern of length m to any substring of ``text``, and that substring's end (the first such); any within ``enough`` will do."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
     best, end = m, 0
@@ -73,46 +80,113 @@ def best_end(bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
         minus = up & d0
         if score < best:
             best, end = score, at
+            if best <= enough:
+                break
     return best, end
 
 
+class Item:
+    """A test item with its pieces, and the branches above them in a binary tree."""
+
+    __slots__ = ("name", "text", "cuts", "budget", "bits", "back")
+
+    def __init__(self, name: object, text: str, rate: float) -> None:
+        self.name, self.text = name, text
+        found = pieces(text, rate)
+        self.cuts = [start for start, _ in found] + [len(text)]
+        self.budget = len(found) - 1
+        self.bits: dict[tuple[int, int], dict[str, int]] = {}
+        self.back: dict[str, int] | None = None
+
+    def branches(self, piece: int) -> Iterator[tuple[int, int]]:
+        """First and last piece (exclusive) of the branches above a piece, from the smallest, without the whole."""
+        low, high, above = 0, self.budget + 1, []
+        while high - low > 2:
+            half = (low + high) // 2
+            low, high = (low, half) if piece < half else (half, high)
+            if high - low > 1:
+                above.append((low, high))
+        return reversed(above)
+
+    def pattern(self, low: int, high: int) -> dict[str, int]:
+        found = self.bits.get((low, high))
+        if found is None:
+            found = self.bits[low, high] = pattern_bits(self.text[self.cuts[low] : self.cuts[high]])
+        return found
+
+    def bears(self, piece: int, at: int, text: str, known: dict) -> bool:
+        """Whether a hit of a piece at ``at`` has every branch above it within its bound."""
+        for low, high in self.branches(piece):
+            a, b, edits = self.cuts[low], self.cuts[high], high - low - 1
+            start = at - (self.cuts[piece] - a)
+            part = text[max(0, start - edits) : start + b - a + edits]
+            key = (id(self), low, high, part)  # texts repeat themselves
+            found = known.get(key)
+            if found is None:
+                found = known[key] = best_end(self.pattern(low, high), b - a, part, edits)[0] <= edits
+            if not found:
+                return False
+        return True
+
+
 class Block:
-    """Items, their pieces in one automaton, and their patterns for both directions."""
+    """Items and their pieces in one automaton."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float) -> None:
         import ahocorasick
 
-        self.items, self.rate = items, rate
-        self.machine = ahocorasick.Automaton()
-        owners: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(items):
-            for start, piece in pieces(text, rate):
-                owners.setdefault(piece, []).append((k, start))
-        for piece, found in owners.items():
-            self.machine.add_word(piece, (len(piece), found))
+        self.short: dict[str, list[int]] = {}
+        self.items = [Item(name, text, rate) for name, text in items]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.owners: list[list[tuple[int, int]]] = []
+        self.sizes: list[int] = []
+        seen: dict[str, int] = {}
+        for k, item in enumerate(self.items):
+            if len(item.text) < LEAST_CHARS:
+                self.short.setdefault(item.text, []).append(k)
+                continue
+            for i, (a, b) in enumerate(zip(item.cuts, item.cuts[1:], strict=False)):
+                piece = item.text[a:b]
+                at = seen.get(piece)
+                if at is None:
+                    at = seen[piece] = len(self.owners)
+                    self.owners.append([])
+                    self.sizes.append(len(piece))
+                    self.machine.add_word(piece, at)
+                self.owners[at].append((k, i))
         self.machine.make_automaton()
-        self.forward = [pattern_bits(t) for _, t in items]
-        self.backward = [pattern_bits(t[::-1]) for _, t in items]
 
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """Item number, distance, start and end in the normalised text, of each item found."""
+        for k in self.short.get(text, ()):
+            yield k, 0, 0, len(text)
         proposed: dict[int, set[int]] = {}
-        for last, (size, owners) in self.machine.iter(text):
-            for k, start in owners:
-                proposed.setdefault(k, set()).add(last + 1 - size - start)
+        known: dict[tuple, bool] = {}
+        for last, piece in self.machine.iter(text) if self.owners else ():
+            at = last + 1 - self.sizes[piece]
+            for k, i in self.owners[piece]:
+                item = self.items[k]
+                shift = at - item.cuts[i]
+                found = proposed.get(k)
+                if (found is None or shift not in found) and item.bears(i, at, text, known):
+                    proposed.setdefault(k, set()).add(shift)
+            if len(known) > 100_000:
+                known.clear()
         for k, shifts in proposed.items():
-            item = self.items[k][1]
-            m, budget = len(item), int(self.rate * len(item))
+            item = self.items[k]
+            m, budget = len(item.text), item.budget
             best: tuple[int, int, int] | None = None
             for a, b in self.windows(sorted(shifts), m, budget, len(text)):
                 part = text[a:b]
-                if (at := part.find(item)) >= 0:
+                if (at := part.find(item.text)) >= 0:
                     best = (0, a + at, a + at + m)
                     break
-                distance, end = best_end(self.forward[k], m, part)
+                distance, end = best_end(item.pattern(0, budget + 1), m, part)
                 if distance <= budget and (best is None or distance < best[0]):
                     # The reversed pattern, in the reversed text before that end, gives the start.
-                    _, back = best_end(self.backward[k], m, part[max(0, end - m - budget) : end][::-1])
+                    if item.back is None:
+                        item.back = pattern_bits(item.text[::-1])
+                    _, back = best_end(item.back, m, part[max(0, end - m - budget) : end][::-1])
                     best = (distance, a + end - back, a + end)
             if best is not None:
                 yield k, *best

@@ -1,6 +1,6 @@
 import random
 
-from statewright.llm.decontaminate import best_end, contamination, decontaminate, normal, pattern_bits, pieces
+from statewright.llm.decontaminate import RATE, Item, best_end, contamination, decontaminate, normal, pattern_bits, pieces
 
 from .helpers import awkward, empty, words
 
@@ -25,11 +25,42 @@ def test_myers_equals_the_table():
 
 def test_pieces_cover_an_item():
     text = words(1, 30)
-    parts = pieces(text, 0.08)
-    assert "".join(p for _, p in parts) == text and len(parts) == int(0.08 * len(text)) + 1
+    parts = pieces(text, RATE)
+    assert "".join(p for _, p in parts) == text and len(parts) == int(RATE * len(text)) + 1
     assert pieces("a", 0.9) == [(0, "a")]
 
 
+def test_some_piece_bears_every_match():
+    """Within the budget, some exact hit has all branches above it within their bounds."""
+    rng = random.Random(8)
+    for _ in range(400):
+        item = Item(0, "".join(rng.choice("abcdef") for _ in range(rng.randint(32, 150))), RATE)
+        text = "".join(rng.choice("abcdef") for _ in range(40))
+        text += edited(rng, item.text, item.budget) + "".join(rng.choice("abcdef") for _ in range(40))
+        assert slow_best(item.text, text)[0] <= item.budget
+        hits = [(i, at) for i, (a, b) in enumerate(zip(item.cuts, item.cuts[1:])) for at in range(len(text)) if text.startswith(item.text[a:b], at)]
+        assert any(item.bears(i, at, text, {}) for i, at in hits)
+        for i in range(item.budget + 1):
+            above = list(item.branches(i))
+            assert all(low <= i < high for low, high in above) and above == sorted(above, key=lambda x: x[1] - x[0])
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages with edits in one tenth of their characters are found, whatever stands around."""
+    rng = random.Random(3)
+    items = [(i, normal(words(900 + i, 30))) for i in range(20)]
+    docs = [(i, words(i, 40) + " " + edited(rng, items[i % 20][1], int(0.1 * len(items[i % 20][1]))) + " " + words(300 + i, 40)) for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {(i, i % 20) for i in range(100)}
+
+
+def test_short_items_match_whole_texts_only(spark):
+    docs = spark.createDataFrame([(1, "  YES\n"), (2, "yes it is"), (3, "no")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "Yes ")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in contamination(docs, bench).collect()} == {(1, 1, 0), (1, 2, 0)}
+
+
 def edited(rng, text, n):
     text = list(text)
     for _ in range(n):
@@ -50,7 +81,7 @@ def test_rows_equal_brute_force(spark):
     docs = []
     for i in range(40):
         item = items[i % 6][1]
-        body = [words(i, 30), edited(rng, item, rng.randint(0, int(0.16 * len(item)))), words(500 + i, 30)]
+        body = [words(i, 30), edited(rng, item, rng.randint(0, int(2 * RATE * len(item)))), words(500 + i, 30)]
         docs.append((i, "\n ".join(body).upper() if i % 3 == 0 else " ".join(body)))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -60,7 +91,7 @@ def test_rows_equal_brute_force(spark):
             item = normal(item)
             if item:
                 distance, _ = slow_best(item, normal(t))
-                if distance <= int(0.08 * len(item)):
+                if distance <= int(RATE * len(item)):
                     want[d, k] = distance
     for block in (400_000, 200):
         rows = contamination(table, bench, block_chars=block).collect()
