@@ -88,7 +88,7 @@ def best_end(bits: dict[str, int], m: int, text: str, enough: int = 0) -> tuple[
 class Item:
     """A test item with its pieces, and the branches above them in a binary tree."""
 
-    __slots__ = ("name", "text", "cuts", "budget", "bits", "back")
+    __slots__ = ("name", "text", "cuts", "budget", "bits", "back", "above")
 
     def __init__(self, name: object, text: str, rate: float) -> None:
         self.name, self.text = name, text
@@ -97,6 +97,7 @@ class Item:
         self.budget = len(found) - 1
         self.bits: dict[tuple[int, int], dict[str, int]] = {}
         self.back: dict[str, int] | None = None
+        self.above: dict[int, list[tuple[int, int, int, int, int, tuple[str, ...]]]] = {}
 
     def branches(self, piece: int) -> Iterator[tuple[int, int]]:
         """First and last piece (exclusive) of the branches above a piece, from the smallest, without the whole."""
@@ -114,16 +115,39 @@ class Item:
             found = self.bits[low, high] = pattern_bits(self.text[self.cuts[low] : self.cuts[high]])
         return found
 
+    def rest(self, piece: int, low: int, high: int) -> tuple[str, ...]:
+        """Parts of a branch beside one of its pieces, one more than it may have edits: one of them is whole."""
+        sides = [(self.cuts[low], self.cuts[piece]), (self.cuts[piece + 1], self.cuts[high])]
+        total, parts, out = sum(b - a for a, b in sides), high - low, []
+        for a, b in sides:
+            share = max(1, -(-parts * (b - a) // total)) if b > a else 0
+            out += [self.text[a + (b - a) * i // share : a + (b - a) * (i + 1) // share] for i in range(share)]
+        return tuple(out)
+
+    def checks(self, piece: int) -> list[tuple[int, int, int, int, int, tuple[str, ...]]]:
+        """For each branch above a piece: its pieces, its size, where the piece is in it, its edits, and parts of which one is whole."""
+        found = self.above.get(piece)
+        if found is None:
+            found = self.above[piece] = []
+            for low, high in self.branches(piece):
+                a, b = self.cuts[low], self.cuts[high]
+                found.append((low, high, b - a, self.cuts[piece] - a, high - low - 1, self.rest(piece, low, high)))
+        return found
+
     def bears(self, piece: int, at: int, text: str, known: dict) -> bool:
         """Whether a hit of a piece at ``at`` has every branch above it within its bound."""
-        for low, high in self.branches(piece):
-            a, b, edits = self.cuts[low], self.cuts[high], high - low - 1
-            start = at - (self.cuts[piece] - a)
-            part = text[max(0, start - edits) : start + b - a + edits]
+        for low, high, size, offset, edits, rest in self.checks(piece):
+            start = at - offset
+            part = text[max(0, start - edits) : start + size + edits]
+            for piece_of_rest in rest:
+                if piece_of_rest in part:
+                    break
+            else:
+                return False
             key = (id(self), low, high, part)  # texts repeat themselves
             found = known.get(key)
             if found is None:
-                found = known[key] = best_end(self.pattern(low, high), b - a, part, edits)[0] <= edits
+                found = known[key] = best_end(self.pattern(low, high), size, part, edits)[0] <= edits
             if not found:
                 return False
         return True
