@@ -4,24 +4,20 @@ import random
 
 from pyspark.sql import types as T
 
+#: Names that operators use for columns of their own, or that other tables have.
+CLASHING = ["key", "fp", "text_key", "points", "_keep", "score", "toxic", "quality", "_toxic", "_id", "_doc", "_key", "_lang", "_good", "half", "nll", "root", "node", "name", "host", "item_id", "verdict", "start", "end", "n"]
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("text", T.StringType()),
     T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()),
     T.StructField("n_chars", T.LongType()),
-    # Names that operators use for columns of their own.
-    T.StructField("key", T.StringType()),
-    T.StructField("fp", T.StringType()),
-    T.StructField("text_key", T.StringType()),
-    T.StructField("points", T.StringType()),
-    T.StructField("_keep", T.StringType()),
-    T.StructField("score", T.StringType()),
+    *[T.StructField(c, T.StringType()) for c in CLASHING],
 ])
 
 
 def row(i, text, lang="en"):
-    return (i, text, lang, "src0", None if text is None else len(text), "k", "f", "t", "p", "x", "s")
+    return (i, text, lang, "src0", None if text is None else len(text), *["x"] * len(CLASHING))
 
 
 def words(seed, n):
@@ -47,7 +43,7 @@ def awkward(spark):
         row(9, words(2, 40)),
         row(9, words(3, 40)),
         row(10, "Ünï \U0001f600 " + words(4, 50), "de"),
-        (11, words(5, 60), None, None, None, None, None, None, None, None, None),
+        (11, words(5, 60), None, None, None, *[None] * len(CLASHING)),
     ]
     return spark.createDataFrame(rows, DOCS)
 

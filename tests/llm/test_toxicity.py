@@ -1,6 +1,6 @@
 import numpy as np
 
-from statewright.llm.toxicity import in_held_out, label_model, linear_fit, toxicity_scores
+from statewright.llm.toxicity import PATTERNS, best_cut, in_held_out, label_model, linear_fit, toxicity_scores
 
 from .helpers import awkward, empty, words
 
@@ -54,6 +54,25 @@ def test_linear_fit_separates():
     assert w[0] + b > 1 and w[1] + b < -1
 
 
+def test_patterns_count_in_scores(spark):
+    """Texts told apart by a phrase alone: its words are in all of them."""
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        rows.append((i, words(i, 30) + (" go to hell " if toxic else " to hell go ") + words(900 + i, 30)))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity_scores(docs, known).collect() if r["held_out"]]
+    assert len(PATTERNS) >= 3 and np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held]) > 0.95
+
+
+def test_best_cut_lies_in_the_gap():
+    odds = np.array([-5.0, -4.0, -3.5, -1.0, -0.5, 2.0])
+    target = np.array([0, 0, 0, 1, 1, 1.0])
+    assert best_cut(odds, target) == -2.25
+    assert best_cut(odds, np.zeros(6)) == 0.0 and best_cut(odds[::-1].copy(), target[::-1].copy()) == -2.25
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     _, labels = corpus(spark, 12)
