@@ -3,21 +3,24 @@
 Two texts are linked if the Jaccard similarity of their shingle sets is at least
 ``similarity``.  Candidates are texts that share a key: ``BANDS`` keys a text,
 each of ``ROWS`` minimum hashes.  At similarity 0.8 a pair shares some key with
-probability 1 - (1 - 0.8^5)^24 = 0.9999, above it sooner.  Every candidate pair
-is verified on the whole sets, so no link is an estimate.
+probability 1 - (1 - 0.8^5)^24 = 0.9999, above it sooner.  Every link is verified
+on the whole sets, so none is an estimate, and every two texts under a key are
+compared unless links found before join them already.
 
 Links are found in two rounds.  First, texts that are neighbours under a key are
 compared, which joins nearly all groups.  Then texts under a key that are still
-in different components are compared: all pairs of them where a key has
-``PAIRWISE`` texts at most; where it has more, each text with the last text of
-each of the ``RECENT`` components before it in an order that puts similar texts
-side by side, for every such key of the text.
+in different components are compared: pair by pair where a key has ``PAIRWISE``
+texts at most; where it has more, in blocks of bounded weight, each two blocks
+of a key in one task that multiplies their incidence matrices.  Blocks of one
+component needn't meet, so a large group costs as much as its texts; a task
+returns links that join components, never all pairs.
 
 How it is laid out on a cluster
     Equal sets are one node.  Keys are counted with map-side combine and single
     keys dropped.  Neighbours come from a range sort, so a hot key is spread over
-    tasks; a text is in a bounded number of pairs there.  Only keys are kept of all
-    texts; sets are made again for the texts that share a key.
+    tasks; a text is in a bounded number of pairs there.  Blocks are dealt by hash
+    within a component or a mix of small ones, without gathering a key.  Only keys
+    are kept of all texts; sets are made again for the texts that share a key.
 """
 
 from __future__ import annotations
@@ -33,7 +36,11 @@ from .common import discard, partitions, settle, settle_in_small_batches
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 24, 5
-PAIRWISE, RECENT = 64, 32
+PAIRWISE = 16
+#: Weight of the sets in one block: their shingles and a constant each, which bounds a task's matrices too.
+BLOCK_WEIGHT, SET_WEIGHT = 1 << 20, 512
+#: Columns of the incidence matrices that are held at a time.
+COLUMNS = 2048
 BROADCAST_TEXTS = 1_000_000
 #: Odd multiplier of the mixing steps (2^64 over the golden ratio), and the minimum hashes' factors.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -114,22 +121,86 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_set = keys[-1:], sets[-1:]
 
 
-def _recent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a set and the last set of each component just before it under a key."""
-    here, seen = None, {}
-    for batch in batches:
-        a, b = [], []
-        for key, node, root in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if key != here:
-                here, seen = key, {}
-            seen.pop(root, None)
-            for other in seen.values():
-                a.append(min(node, other))
-                b.append(max(node, other))
-            seen[root] = node
-            if len(seen) > RECENT:
-                del seen[next(iter(seen))]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def joining_links(flat: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of ``left`` and of ``right`` (row numbers) that join their components: similar pairs, fewer than there are components.
+
+    Set i holds flat[starts[i]:starts[i + 1]].
+    """
+    sizes = np.diff(starts)
+    order = np.argsort(flat, kind="stable")
+    values, owners = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1  # a shingle of one set alone is in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owners, column = owners[keep], number[column[keep]]
+    row_left, row_right = np.full(len(sizes), -1), np.full(len(sizes), -1)
+    row_left[left], row_right[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + COLUMNS + 1, COLUMNS))
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        who, what = owners[a:b], column[a:b] - k * COLUMNS
+        one, two = np.zeros((len(left), COLUMNS), dtype=np.float32), np.zeros((len(right), COLUMNS), dtype=np.float32)
+        here = row_left[who] >= 0
+        one[row_left[who[here]], what[here]] = 1
+        here = row_right[who] >= 0
+        two[row_right[who[here]], what[here]] = 1
+        common += one @ two.T
+    total = (sizes[left][:, None] + sizes[right][None, :]).astype(np.float64)
+    alike = (common >= similarity * (total - common)) & (roots[left][:, None] != roots[right][None, :])
+    above = {int(r): int(r) for r in np.unique(roots)}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(alike), strict=True):
+        x, y = top(int(roots[left[i]])), top(int(roots[right[j]]))
+        if x != y:
+            above[x] = y
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def blocks_compared(rest: DataFrame, sets: DataFrame, similarity: float, weight: int = BLOCK_WEIGHT) -> DataFrame:
+    """Verified links (a, b) between sets of different components under a key; ``rest``: key, set_key, root."""
+    sized = settle(rest.join(sets.select("set_key", (F.size("shingles") + SET_WEIGHT).alias("w")), "set_key"))
+    by_root = sized.groupBy("key", "root").agg(F.sum("w").alias("w"))
+    by_root = by_root.withColumn("large", F.col("w") > weight)
+    small = by_root.where("not large").groupBy("key").agg(F.sum("w").alias("small"))
+    parts = lambda c: F.ceil(F.col(c) / weight)
+    placed = by_root.join(small, "key", "left").select(F.col("key").alias("_k"), F.col("root").alias("_r"), "large", F.when(F.col("large"), parts("w")).otherwise(parts("small")).alias("parts"))
+    joined = sized.join(placed, (sized["key"] == placed["_k"]) & (sized["root"] == placed["_r"]))
+    # A large component has blocks of its own; small ones share blocks, each whole in one.
+    salt = F.pmod(F.xxhash64(F.when(F.col("large"), F.col("set_key")).otherwise(F.col("root"))), F.col("parts"))
+    member = settle(joined.select("key", F.when(F.col("large"), F.col("root")).alias("owner"), salt.alias("salt"), "set_key", "root"))
+    known = member.groupBy("key", "owner", "salt").agg(F.count_distinct("root").alias("roots"))
+    known = settle(known.select("key", "roots", "owner", "salt", F.struct(F.coalesce("owner", F.lit(0)).alias("o"), F.col("owner").isNull().alias("mixed"), "salt").alias("block")))
+    one, two = known.alias("one"), known.alias("two")
+    meeting = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.block") <= F.col("two.block")))
+    meeting = meeting.where((F.col("one.owner").isNull() | ~F.col("one.owner").eqNullSafe(F.col("two.owner"))) & ((F.col("one.block") != F.col("two.block")) | (F.col("one.roots") > 1)))
+    meeting = settle(meeting.select(F.col("one.key").alias("key"), F.col("one.block").alias("x"), F.col("two.block").alias("y"), F.monotonically_increasing_id().alias("task")))
+    ends = meeting.select("task", "key", F.col("x").alias("block"), F.lit(1).alias("side")).unionByName(meeting.where("x <> y").select("task", "key", F.col("y").alias("block"), F.lit(2).alias("side")))
+    ends = ends.unionByName(meeting.where("x = y").select("task", "key", F.col("x").alias("block"), F.lit(2).alias("side"))).groupBy("task", "key", "block").agg(F.sum("side").alias("side"))
+    of = member.select("key", "set_key", "root", F.struct(F.coalesce("owner", F.lit(0)).alias("o"), F.col("owner").isNull().alias("mixed"), "salt").alias("block"))
+    dealt = ends.join(of, ["key", "block"]).select("task", "side", "set_key", "root").join(sets, "set_key").select("task", "side", "set_key", "root", "shingles")
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, keys, roots = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        lists = rows.column(4).combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
+        found = joining_links(flat, starts, np.nonzero(side & 1)[0], np.nonzero(side & 2)[0], roots, similarity)
+        a, b = keys[[i for i, _ in found]] if found else keys[:0], keys[[j for _, j in found]] if found else keys[:0]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    links = settle(dealt.groupBy("task").applyInArrow(run, "a bigint, b bigint").distinct())
+    for old in (sized, member, known, meeting):
+        discard(old)
+    return links
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -142,11 +213,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def similar_sets(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", pairwise: int = PAIRWISE) -> DataFrame:
+def similar_sets(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", pairwise: int = PAIRWISE, weight: int = BLOCK_WEIGHT) -> DataFrame:
     """Verified links (a, b) of set digests; ``rows`` has text_key, set_key and bands of ``docs``."""
     parts = partitions(rows.sparkSession)
-    turned = rows.where("set_key is not null").selectExpr("set_key", "explode(transform(bands, (x, i) -> named_struct('key', x, 'turn', bands[(i + 1) % size(bands)]))) AS band")
-    keyed = settle(turned.select("set_key", "band.key", "band.turn").distinct())
+    keyed = settle(rows.where("set_key is not null").select("set_key", F.explode("bands").alias("key")).distinct())
     counts = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = settle(keyed.join(counts, "key"))
     discard(keyed)
@@ -155,25 +225,25 @@ def similar_sets(rows: DataFrame, docs: DataFrame, similarity: float, text_col:
     ordered = shared.select("key", "set_key").repartitionByRange(parts, "key", "set_key").sortWithinPartitions("key", "set_key")
     first = verified(ordered.mapInArrow(_neighbours, "a bigint, b bigint"), sets, similarity)
     roots = settle(components(first))
-    placed = settle(shared.join(roots, shared["set_key"] == roots["node"], "left").select("key", "turn", "set_key", "n", F.coalesce("root", "set_key").alias("root")))
+    placed = settle(shared.join(roots, shared["set_key"] == roots["node"], "left").select("key", "set_key", "n", F.coalesce("root", "set_key").alias("root")))
     mixed = settle(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key"))
     rest = settle(placed.join(mixed, "key"))
     few = rest.where(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("set_key", "root"))).alias("of"))
     pairs = few.selectExpr(
         "explode(flatten(transform(of, (x, i) -> transform(filter(slice(of, i + 2, size(of)), y -> y.root <> x.root), y -> named_struct('a', x.set_key, 'b', y.set_key))))) AS pair"
     ).select("pair.a", "pair.b")
-    many = rest.where(F.col("n") > pairwise).select("key", "set_key", "root", "turn").repartitionByRange(parts, "key", "turn", "set_key").sortWithinPartitions("key", "turn", "set_key")
-    second = verified(pairs.unionByName(many.mapInArrow(_recent, "a bigint, b bigint")), sets, similarity)
+    second = verified(pairs, sets, similarity)
+    third = blocks_compared(rest.where(F.col("n") > pairwise).select("key", "set_key", "root"), sets, similarity, weight)
     for old in (counts, shared, sets, placed, mixed, rest, roots):
         discard(old)
-    return first.unionByName(second)
+    return first.unionByName(second).unionByName(third)
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", pairwise: int = PAIRWISE) -> DataFrame:
+def similar_links(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", pairwise: int = PAIRWISE, weight: int = BLOCK_WEIGHT) -> DataFrame:
     """Links (a, b) of fingerprints whose texts are similar; ``rows`` has fp beside text_key, set_key and bands of ``docs``."""
     known = settle(rows.where("set_key is not null").select("set_key", "fp").distinct())
     named = settle(known.groupBy("set_key").agg(F.min("fp").alias("least")))
-    found = similar_sets(rows, docs, similarity, text_col, pairwise)
+    found = similar_sets(rows, docs, similarity, text_col, pairwise, weight)
     ends = found.join(named.select(F.col("set_key").alias("a"), F.col("least").alias("x")), "a").join(named.select(F.col("set_key").alias("b"), F.col("least").alias("y")), "b")
     alike = known.join(named, "set_key").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     return ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(alike).where("a <> b").distinct()

@@ -191,7 +191,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(nodes, pairwise)
     if similarity is not None:
-        edges = edges.unionByName(similar_links(whole, docs, similarity, text_col, pairwise))
+        edges = edges.unionByName(similar_links(whole, docs, similarity, text_col))
     roots = settle(components(edges))
     placed = settle(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = settle(placed.groupBy("root").agg(F.min("least").alias("component_id")))

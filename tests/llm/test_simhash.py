@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from statewright.llm.simhash import fingerprint, key_sets, links, near_components, near_dedup, sketched
+from statewright.llm import shingles
 from statewright.llm.components import components
 from statewright.llm.shingles import similar_sets
 
@@ -110,8 +111,34 @@ def slow_shingles(text):
     return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
 
 
-@pytest.mark.parametrize("pairwise", [1, 64])
-def test_similar_texts_are_linked_as_brute_force_links_them(spark, pairwise):
+def test_block_links_join_what_similar_pairs_join():
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        bases = [rng.choice(10_000, rng.integers(1, 60), replace=False) for _ in range(6)]
+        sets = []
+        for _ in range(40):
+            base = set(bases[rng.integers(6)].tolist())
+            sets.append(sorted((base - set(rng.choice(list(base), 1 if rng.random() < 0.7 else 0).tolist())) | set(rng.choice(10_000, rng.integers(0, 4)).tolist())) or [1])
+        flat, starts = np.concatenate([np.array(x, dtype=np.int64) for x in sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        roots = rng.integers(0, 25, len(sets)) + 100
+        left, right = (np.arange(40), np.arange(40)) if trial % 2 else (np.arange(0, 25), np.arange(25, 40))
+        alike = lambda i, j: roots[i] != roots[j] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))
+        want = [(i, j) for i in left for j in right if alike(i, j)]
+        got = shingles.joining_links(flat, starts, left, right, roots, 0.8)
+        assert set(got) <= {(int(i), int(j)) for i, j in want} and len(got) < len(set(roots.tolist()))
+
+        def joined(links):
+            above = {int(r): int(r) for r in roots}
+            for i, j in links:
+                a, b = above[int(roots[i])], above[int(roots[j])]
+                above = {k: b if v == a else v for k, v in above.items()}
+            return {frozenset(k for k, v in above.items() if v == w) for w in above.values()}
+
+        assert joined(got) == joined(want)
+
+
+@pytest.mark.parametrize(("pairwise", "weight"), [(1, 1 << 20), (1, 3000), (64, 1 << 20)])
+def test_similar_texts_are_linked_as_brute_force_links_them(spark, pairwise, weight):
     rng = random.Random(4)
     texts = ["one", "one two", "one two three four five six"]
     for k in range(12):
@@ -126,6 +153,6 @@ def test_similar_texts_are_linked_as_brute_force_links_them(spark, pairwise):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = sketched(docs).cache()
     name = {r["doc_id"]: r["set_key"] for r in rows.collect()}
-    root = {r["node"]: r["root"] for r in components(similar_sets(rows, docs, 0.8, pairwise=pairwise)).collect()}
+    root = {r["node"]: r["root"] for r in components(similar_sets(rows, docs, 0.8, pairwise=pairwise, weight=weight)).collect()}
     want = spark.createDataFrame([(name[i], name[j]) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], "a long, b long")
     assert root == {r["node"]: r["root"] for r in components(want).collect()}
