@@ -14,11 +14,19 @@ compared, so that short texts are judged leniently).
 How it is laid out on a cluster
     * Counting covers every trusted document.  A task merges its n-grams before
       the shuffle, so what travels is the distinct n-grams of each split.
-    * Probabilities reach the documents in one of two ways that give the same
-      figures: as one broadcast while the tables have ``BROADCAST_ROWS`` rows at
-      most (counted first), else by joining documents' n-grams with the shards.
+    * All that is looked up for one position of a text ends in the same two
+      symbols (before the last, for a probability; last, for a context).  The
+      model is cut into shards by these two, as many as keep a shard within
+      ``SHARD_BYTES`` (counted first).  Each shard is one broadcast and one pass
+      over the texts that scores the positions in its charge; a document's partial
+      sums are added.  N-grams of documents are never shuffled, and no more than a
+      shard is ever held on the driver or in a worker, however large the model is.
     * Quantiles come from counts in bins of 0.001 nats: as many rows as bins.
 
+Symbols
+    Code points take one symbol of 12 bits below ``WIDE``, and two above (a high
+    part, then a low part), so that no two texts are written alike.
+
 Defined results
     Null text counts as empty; an empty text has its end alone and is scored as
     such.  A language without ``LEAST_TRUSTED`` trusted documents (null counts
@@ -43,14 +51,18 @@ from .common import discard, partitions, settle, spread_name
 
 ORDER = 5
 BITS = 12
-#: Code points from here on share the symbols above it.
-SHARED_FROM = 3968
+#: Code points from here on are written as two symbols: this plus their upper bits, then their lower 12 bits.
+WIDE = 3824
 START, END = 1, 2
 QUANTILE = 0.995
 SIGMAS = 2.0
 LEAST_TRUSTED = 30
 LEAST_DISCOUNT = 0.1
-BROADCAST_ROWS = 8_000_000
+#: Bytes of model rows in one shard (a gram, a probability and a weight each).
+SHARD_BYTES = 64 << 20
+ROW_BYTES = 16
+#: Fixed value: odd multiplier that spreads pairs of symbols over shards.
+SPREAD = 40503
 BROADCAST_LABELS = 2_000_000
 SYMBOLS = 1 << BITS
 BIN = 0.001
@@ -61,9 +73,15 @@ CHUNK = 1 << 19
 def symbols(text: str) -> np.ndarray:
     """Symbols of a text: white space as one space, digits alike, case kept."""
     points = np.frombuffer(re.sub(r"\s+", " ", text).strip().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    points = np.where(points >= SHARED_FROM, SHARED_FROM + points % (SYMBOLS - SHARED_FROM), points)
     points[(points >= 48) & (points < 58)] = 48
-    return points
+    wide = points >= WIDE
+    if not wide.any():
+        return points
+    places = np.cumsum(wide + 1) - 1
+    out = np.empty(places[-1] + 1, dtype=np.int64)
+    out[places] = np.where(wide, points & (SYMBOLS - 1), points)
+    out[places[wide] - 1] = WIDE + (points[wide] >> BITS)
+    return out
 
 
 def ngrams(text: str, order: int) -> np.ndarray:
@@ -243,19 +261,32 @@ def _scorers(name: str, models: Broadcast, order: int) -> list[Scorer]:
     return _SCORERS[name]
 
 
-def _scored_by_broadcast(docs: DataFrame, text_col: str, model: DataFrame, order: int, keep: list[str]) -> DataFrame:
-    rows = model.toArrow()
+def _in_shard(pairs: np.ndarray, shards: int, shard: int) -> np.ndarray:
+    return ((pairs * SPREAD) >> 8) % shards == shard
+
+
+def _shard_of(model: DataFrame, shards: int, shard: int) -> DataFrame:
+    """The model's rows that positions of a shard look up; the shortest are in all shards."""
+    pair = F.when(F.col("logp").isNotNull(), F.shiftrightunsigned("gram", BITS)).otherwise(F.col("gram")).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
+    short = F.when(F.col("logp").isNotNull(), F.col("ord") < 3).otherwise(F.col("ord") < 2)
+    return model.where(short | (F.shiftright(pair * SPREAD, 8) % shards == shard))
+
+
+def _partial_sums(docs: DataFrame, text_col: str, model: DataFrame, order: int, keep: list[str], shards: int, shard: int) -> tuple[DataFrame, Broadcast]:
+    """The columns ``keep`` with s1, s2 (sums of log probabilities and of their squares) and symbols over the shard's positions of each row."""
+    rows = (model if shards == 1 else _shard_of(model, shards, shard)).select("half", "ord", "gram", F.col("logp").cast("float"), F.col("backoff").cast("float")).toArrow()
     columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
     tables = [{c: columns[c][columns["half"] == half] for c in ("ord", "gram", "logp", "backoff")} for half in (0, 1)]
     del rows, columns
     shared, name = docs.sparkSession.sparkContext.broadcast(tables), uuid.uuid4().hex
+    del tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = _scorers(name, shared, order)
         for batch in batches:
             texts, at = batch.column(batch.num_columns - 1), 0
             half = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
-            nll, spread, length = [], [], []
+            sums: list[list[np.ndarray]] = [[], [], []]
             while at < len(texts):
                 held, size = [], 0
                 while at < len(texts) and size < CHUNK:
@@ -263,77 +294,58 @@ def _scored_by_broadcast(docs: DataFrame, text_col: str, model: DataFrame, order
                     size += len(held[-1])
                     at += 1
                 n = np.array([len(x) for x in held])
-                keys = np.concatenate(held)
+                keys, row = np.concatenate(held), np.repeat(np.arange(len(held)), n)
+                if shards > 1:
+                    mine = _in_shard((keys >> BITS) & ((1 << (2 * BITS)) - 1), shards, shard)
+                    keys, row = keys[mine], row[mine]
                 logp = np.empty(len(keys))
-                of = np.repeat(half[at - len(held) : at], n)
+                of = half[at - len(held) : at][row]
                 for half_of_text in (0, 1):
-                    mine = of == half_of_text
-                    logp[mine] = scorers[1 - half_of_text].score(keys[mine])
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                mean = np.add.reduceat(logp, starts) / n
-                square = np.add.reduceat(logp * logp, starts) / n
-                nll.append(-mean)
-                spread.append(np.sqrt(np.maximum(square - mean * mean, 0)))
-                length.append(n)
-            cat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.array([], kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], cat(nll, "f8"), cat(spread, "f8"), cat(length, "i8")], [*batch.schema.names[:-2], "nll", "spread", "symbols"])
+                    own = of == half_of_text
+                    logp[own] = scorers[1 - half_of_text].score(keys[own])
+                sums[0].append(np.bincount(row, logp, len(held)))
+                sums[1].append(np.bincount(row, logp * logp, len(held)))
+                sums[2].append(np.bincount(row, minlength=len(held)))
+            cat = lambda xs, kind: pa.array(np.concatenate(xs).astype(kind) if xs else np.array([], kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], cat(sums[0], "f8"), cat(sums[1], "f8"), cat(sums[2], "i8")], [*batch.schema.names[:-2], "s1", "s2", "symbols"])
 
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], _half("doc_id"), F.col(f"`{text_col}`")).mapInArrow(run, f"{shape}, nll double, spread double, symbols bigint")
-
-
-def _scored_by_joins(docs: DataFrame, text_col: str, model: DataFrame, order: int, keep: list[str]) -> DataFrame:
-    """The same figures from joins with the model's shards; no table travels whole."""
-    row = spread_name(docs.columns, "_row")
-    numbered = settle(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).withColumn(row, F.monotonically_increasing_id()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, counts = np.unique(ngrams(batch.column(1)[i].as_py() or "", order), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[i].as_py())), pa.array(keys), pa.array(counts)], ["row", "gram", "n"])
-
-    grams = settle(numbered.select(F.col(row), "_text").mapInArrow(run, "row bigint, gram bigint, n bigint"))
-    # Every distinct n-gram is scored once, by joins from the highest order down.
-    todo = grams.select(F.col("gram").alias("whole")).distinct().withColumns({"gram": F.col("whole"), "gathered": F.lit(0.0)})
-    parts: list[DataFrame] = []
-    for k in range(order, 0, -1):
-        found = todo.join(model.where((F.col("ord") == k) & F.col("logp").isNotNull()).select("gram", "logp"), "gram", "left")
-        found = settle(found)
-        parts.append(found.where("logp is not null").select("whole", (F.col("gathered") + F.col("logp")).alias("logp")))
-        left = found.where("logp is null").withColumn("context", F.shiftrightunsigned("gram", BITS))
-        back = model.where((F.col("ord") == k - 1) & F.col("backoff").isNotNull()).select(F.col("gram").alias("context"), "backoff")
-        todo = left.join(back, "context", "left").select(
-            "whole", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("gram"), (F.col("gathered") + F.coalesce("backoff", F.lit(0.0))).alias("gathered")
-        )
-    parts.append(todo.select("whole", (F.col("gathered") - F.log(F.lit(float(SYMBOLS)))).alias("logp")))
-    scored = parts[0]
-    for more in parts[1:]:
-        scored = scored.unionByName(more)
-    scored = settle(scored.withColumnRenamed("whole", "gram"))
-    sums = grams.join(scored, "gram").groupBy("row").agg(
-        F.sum("n").alias("symbols"), F.sum(F.col("n") * F.col("logp")).alias("s1"), F.sum(F.col("n") * F.col("logp") * F.col("logp")).alias("s2")
-    )
-    mean = F.col("s1") / F.col("symbols")
-    figures = sums.select("row", (-mean).alias("nll"), F.sqrt(F.greatest(F.col("s2") / F.col("symbols") - mean * mean, F.lit(0.0))).alias("spread"), "symbols")
-    return numbered.join(figures, numbered[row] == figures["row"]).select(*[F.col(f"`{c}`") for c in keep], "nll", "spread", "symbols")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], _half("doc_id"), F.col(f"`{text_col}`")).mapInArrow(run, f"{shape}, s1 double, s2 double, symbols bigint"), shared
 
 
 def _half(id_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int")
 
 
-def scored(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The columns ``keep`` with nll, spread (standard deviation a symbol) and symbols of each row, by the other half's model."""
+def scored(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int = ORDER, keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The columns ``keep`` with nll, spread (standard deviation a symbol) and symbols of each row, by the other half's model.
+
+    ``keep`` names a text: rows equal in it have equal texts.
+    """
     keep = keep or ["doc_id"]
-    if model.count() <= broadcast_rows:
-        return _scored_by_broadcast(docs, text_col, model, order, keep)
-    out = [_scored_by_joins(docs.where(_half("doc_id") == k), text_col, model.where(F.col("half") == 1 - k), order, keep) for k in (0, 1)]
-    return out[0].unionByName(out[1])
+    shards = max(1, -(-model.count() * ROW_BYTES // shard_bytes)) if order > 2 else 1
+    if shards == 1:
+        sums, _ = _partial_sums(docs, text_col, model, order, keep, 1, 0)
+    else:
+        done: list[DataFrame] = []
+        for k in range(shards):  # one shard at a time is held
+            part, shared = _partial_sums(docs, text_col, model, order, keep, shards, k)
+            done.append(settle(part))
+            shared.unpersist()
+        whole = done[0]
+        for more in done[1:]:
+            whole = whole.unionByName(more)
+        # Equal rows come once for each shard and copy.
+        totals = whole.groupBy(*keep).agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("symbols").alias("symbols"), (F.count("*") / shards).cast("long").alias("_copies"))
+        repeat = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
+        sums = totals.select(*keep, *[(F.col(c) / F.col("_copies")).cast(kind).alias(c) for c, kind in (("s1", "double"), ("s2", "double"), ("symbols", "long"))], repeat).drop("_copy")
+    mean = F.col("s1") / F.col("symbols")
+    spread = F.sqrt(F.greatest(F.col("s2") / F.col("symbols") - mean * mean, F.lit(0.0)))
+    return sums.select(*keep, (-mean).alias("nll"), spread.alias("spread"), "symbols")
 
 
 def judged(
-    docs: DataFrame, labels: DataFrame, text_col: str = "text", order: int = ORDER, quantile: float = QUANTILE, sigmas: float = SIGMAS, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", order: int = ORDER, quantile: float = QUANTILE, sigmas: float = SIGMAS, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """doc_id, lang, text_key, nll, perplexity, threshold (of the score less its margin), keep: a row per row of ``docs``."""
     good = settle(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct())
@@ -342,7 +354,7 @@ def judged(
     counts = settle(count_ngrams(trusted.withColumn("_half", _half("doc_id")), text_col, order, "_half"))
     model = train(counts, order)
     lean = docs.select("doc_id", "lang", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    rows = scored(lean, model, "text", order, ["doc_id", "lang", "text_key"], broadcast_rows)
+    rows = scored(lean, model, "text", order, ["doc_id", "lang", "text_key"], shard_bytes)
     rows = rows.withColumn("bound", F.col("nll") - sigmas * F.col("spread") / F.sqrt("symbols"))
     rows = settle(rows)
     marked = rows.join(side, rows["doc_id"] == side["_good"], "left_semi").withColumn("bin", F.ceil(F.col("bound") / BIN))
