@@ -1,13 +1,46 @@
-"""Tables that are as large as a model: computed once and held."""
+"""Tables that are as large as a model: computed once and held.  The folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that may be held in a plan; larger tables are checkpointed instead.
 HELD_ROWS = 100_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Only on one machine, where neither names one (as in tests), a temporary
+    folder is made, once, and set as the session's.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        folder = folder.rstrip("/")
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
+        return folder
+    if folder := spark.sparkContext.getCheckpointDir():
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="statewright-")
+    spark.sparkContext.setCheckpointDir(folder)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def held(df: DataFrame, limit: int = HELD_ROWS) -> list:
+    """The rows of a table that is as large as a model; raises if it is larger than that."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows where a model's table is expected")
+    return rows
+
+
 def pinned(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
     """``df`` computed now, so that later steps don't compute it again.
 
@@ -17,4 +50,5 @@ def pinned(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
         return df.sparkSession.createDataFrame(rows, df.schema)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
