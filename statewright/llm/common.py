@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.small import shared_folder
+
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -17,18 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder
-    is made, once, and set as the session's checkpoint folder.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    own = tempfile.mkdtemp(prefix="statewright-")
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    """The folder that driver and executors share; raises on a cluster that names none."""
+    return shared_folder(spark)
 
 
 def settle(df: DataFrame) -> DataFrame:
