@@ -10,8 +10,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.small import pinned
+from ..functions.small import pinned, shared_folder
+
+#: States of a chain that is solved on the driver: a dense matrix of 8 MB.
+STATES_HELD = 1000
 
 
 def machine_from_counts(words: DataFrame, order: int) -> DataFrame:
@@ -58,23 +62,38 @@ def uniform_machine(edges_m: DataFrame) -> DataFrame:
     return seen.withColumn("p", 1.0 / F.count("*").over(Window.partitionBy("s_from")))
 
 
-def stationary(matrix: DataFrame, steps: int, source: list[str], target: list[str]) -> DataFrame:
-    """Distribution after ``steps`` lazy steps, half a chance to stay, from the uniform one.
+def stationary(matrix: DataFrame, source: list[str], target: list[str], tolerance: float = 1e-13, states_most: int = STATES_HELD) -> DataFrame:
+    """The state columns ``source`` and pi, with pi P = pi; source and target name the state columns.
 
-    Laziness makes periodic chains converge; source and target name the state
-    columns.  For a model small enough, :func:`stationary_exact` solves instead.
+    A model of up to ``states_most`` states is solved on the driver.  A larger one
+    takes lazy steps, half a chance to stay so that periodic chains converge, from
+    the uniform distribution until none moves ``tolerance``.
     """
-    matrix = pinned(matrix)
+    matrix = pinned(matrix.select(*source, *target, "p"))
     back = [F.col(t).alias(s) for s, t in zip(source, target, strict=True)]
-    states = pinned(matrix.select(*source).unionByName(matrix.select(*back)).distinct())
-    stay = states.select(*source, *[F.col(s).alias(t) for s, t in zip(source, target, strict=True)], F.lit(0.5).alias("p"))
-    lazy = pinned(matrix.select(*source, *target, (F.col("p") / 2).alias("p")).unionByName(stay))
-    now = states.withColumn("pi", F.lit(1.0 / max(1, states.count())))
-    for k in range(1, steps + 1):
-        now = now.join(lazy, source).groupBy(*back).agg(F.sum(F.col("pi") * F.col("p")).alias("pi"))
-        if k % 4 == 0:
-            now = pinned(now)
-    return now
+    states = matrix.select(*source).unionByName(matrix.select(*back)).distinct()
+    names = states.orderBy(*source).limit(states_most + 1).collect()
+    if len(names) <= states_most:
+        at = {tuple(r): i for i, r in enumerate(names)}
+        dense, width = np.zeros((len(at), len(at))), len(source)
+        for r in matrix.collect():  # at most as many rows as pairs of those states
+            dense[at[tuple(r[:width])], at[tuple(r[width : 2 * width])]] += r["p"]
+        pi = stationary_exact(dense) if len(at) else []
+        shape = StructType([*[matrix.schema[c] for c in source], StructField("pi", DoubleType())])
+        return matrix.sparkSession.createDataFrame([(*r, float(w)) for r, w in zip(names, pi, strict=True)], shape)
+    shared_folder(matrix.sparkSession)
+    states = states.checkpoint()
+    now = states.withColumn("pi", F.lit(1.0 / states.count()))
+    back_again = [F.col(s).alias(f"_{s}") for s in source]
+    while True:
+        before = now
+        moved = now.join(matrix, source).select(*[F.col(t).alias(s) for s, t in zip(source, target, strict=True)], (F.col("pi") * F.col("p") / 2).alias("pi"))
+        now = moved.unionByName(now.withColumn("pi", F.col("pi") / 2)).groupBy(*source).agg(F.sum("pi").alias("pi")).checkpoint()
+        old = before.select(*back_again, F.col("pi").alias("_pi"))
+        same = [now[s] == old[f"_{s}"] for s in source]
+        gap = now.join(old, same).agg(F.max(F.abs(F.col("pi") - F.col("_pi")))).first()[0]
+        if gap is None or gap <= tolerance:
+            return now
 
 
 def stationary_exact(matrix: np.ndarray) -> np.ndarray:

@@ -1,21 +1,27 @@
 """Filtering: which state a series is in, and what it will do next.
 
-The suffix filter is a finite automaton; a long series is cut into chunks, each
-chunk tells for every state it may start in where it ends, these maps are
-composed in order (one small row per chunk and state), and each chunk is then
-replayed from its start: two parallel passes over the symbols, no task longer
-than a chunk.  Belief filters carry their state from one symbol to the next
-inside a sorted partition and hold one batch at a time.
+Every filter cuts a long series into chunks.  Each chunk tells for whatever it
+may be met in where that leads, these maps are composed in order (a small row per
+chunk), and each chunk is then replayed from its start: two parallel passes over
+the symbols, no task longer than a chunk.  For the suffix filter and the processes
+of :mod:`.simulate` a map is from state to state.  A belief over pairs of states
+is a mixture, and models are unifilar: each pair goes one way until it dies, so a
+chunk's map is where each pair ends and with what weight, or when it dies, and
+what a fresh start after each such death comes to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import math
+from collections.abc import Callable, Hashable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.small import held, pinned
+
 CHUNK = 1 << 16
 UNKNOWN = -1
 
@@ -30,8 +36,8 @@ class SuffixModel:
     @classmethod
     def read(cls, histories: DataFrame, transitions: DataFrame, length: int) -> SuffixModel:
         """From model tables, which are as large as a model: bounded by its words, not by its data."""
-        states = {(r["xs"], r["ys"]): r["state"] for r in histories.select("xs", "ys", "state").collect()}
-        steps = {(r["s_from"], r["x"], r["y"]): r["s_to"] for r in transitions.select("s_from", "x", "y", "s_to").collect()}
+        states = {(r["xs"], r["ys"]): r["state"] for r in held(histories.select("xs", "ys", "state"))}
+        steps = {(r["s_from"], r["x"], r["y"]): r["s_to"] for r in held(transitions.select("s_from", "x", "y", "s_to"))}
         return cls(states, steps, length)
 
     def walk(self, state: int, xs: str, ys: str, first: int, start: int) -> list[int]:
@@ -142,7 +148,7 @@ def predict(filtered: DataFrame, symbols: DataFrame, emission: DataFrame, ays: l
     and y_pred null.  ``emission``: state, x, y, p.
     """
     spread = emission.groupBy("state", "x").agg(*[F.coalesce(F.max(F.when(F.col("y") == y, F.col("p"))), F.lit(0.0)).alias(f"p_{i}") for i, y in enumerate(ays)])
-    rows = filtered.join(symbols, ["series_id", "t"]).join(F.broadcast(spread), ["state", "x"], "left")  # model-sized
+    rows = filtered.join(symbols, ["series_id", "t"]).join(F.broadcast(pinned(spread)), ["state", "x"], "left")
     likeliest = F.lit(None).cast("string")
     best = F.greatest(*[F.col(f"p_{i}") for i in range(len(ays))]) if len(ays) > 1 else F.col("p_0")
     for i, y in reversed(list(enumerate(ays))):
@@ -155,7 +161,7 @@ def lagged_prior(filtered: DataFrame, symbols: DataFrame, emission: DataFrame, a
     """series_id, t, then p_<y> per output: predictions made from the state after the symbol before; the prior while unknown."""
     prior = prior or [1.0 / len(ays)] * len(ays)
     spread = emission.groupBy("state", "x").agg(*[F.max(F.when(F.col("y") == y, F.col("p"))).alias(f"_p{i}") for i, y in enumerate(ays)])
-    rows = filtered.join(symbols, ["series_id", "t"]).join(F.broadcast(spread), ["state", "x"], "left")
+    rows = filtered.join(symbols, ["series_id", "t"]).join(F.broadcast(pinned(spread)), ["state", "x"], "left")
     known = F.col("_p0").isNotNull() if len(ays) == 1 else F.coalesce(*[F.col(f"_p{i}") for i in range(len(ays))]).isNotNull()
     return rows.select("series_id", "t", *[F.when(known, F.coalesce(f"_p{i}", F.lit(0.0))).otherwise(F.lit(prior[i])).alias(f"p_{y}") for i, y in enumerate(ays)])
 
@@ -216,32 +222,189 @@ class Belief:
         return [self.synced] if self.synced is not None else sorted({t for t, _ in self.weights})
 
 
-def fold_series(symbols: DataFrame, make: Callable[[], object], step: Callable[[object, str, str], tuple], shape: str, names: list[str]) -> DataFrame:
-    """Carries a state along each series in order; partitions are read batch by batch, never whole."""
+    def written(self) -> str:
+        return json.dumps([self.synced, [[*k, w] for k, w in self.weights.items()]])
+
+    def resume(self, text: str) -> None:
+        self.synced, weights = json.loads(text)
+        self.weights = {(t, m): w for t, m, w in weights}
+
+    # -- a chunk as a map of beliefs
+
+    def map_of(self, pairs: list[tuple[str, str]]) -> dict:
+        """Where each state and pair goes along ``pairs``, and the belief at the end after a fresh start past each death."""
+        alone, both, deaths = {}, [], set()
+        for t in sorted({k[0] for k in self.t} | {to for to, _ in self.t.values()} | {k[0] for k in self.pi}):
+            here = t
+            for i, (x, y) in enumerate(pairs):
+                to, p = self.t.get((here, x, y), (None, 0.0))
+                if p <= 0:
+                    deaths.add(i)
+                    alone[t] = [None, i]
+                    break
+                here = to
+            else:
+                alone[t] = [here, -1]
+        for t in alone:
+            for m in sorted({k[0] for k in self.m} | {to for to, _ in self.m.values()} | {k[1] for k in self.pi}):
+                a, b, w = t, m, 0.0
+                for i, (x, y) in enumerate(pairs):
+                    (to, p), (at, q) = self.t.get((a, x, y), (None, 0.0)), self.m.get((b, x), (None, 0.0))
+                    if p * q <= 0:
+                        deaths.add(i)
+                        both.append([t, m, None, a, i])
+                        break
+                    a, b, w = to, at, w + math.log(p * q)
+                else:
+                    both.append([t, m, a, b, w])
+        fresh = {}
+        for d in sorted(deaths) if self.mode != "strict" else ():
+            self.start()
+            for x, y in pairs[d + 1 :]:
+                self.update(x, y)
+            fresh[str(d)] = self.written()
+        return {"alone": alone, "both": both, "fresh": fresh}
+
+    def follow(self, step: dict) -> None:
+        """Go through a chunk by its map."""
+
+        def alone(t: str) -> None:
+            to, death = step["alone"].get(t, [None, 0])
+            if to is not None:
+                self.synced = to
+            else:
+                self.anew(step, death)
+
+        if self.synced is not None:
+            alone(self.synced)
+            return
+        ways = {(t, m): rest for t, m, *rest in step["both"]}
+        alive = {k: ways[k] for k in self.weights if k in ways and ways[k][0] is not None}
+        if alive:
+            top = max(w for _, _, w in alive.values())
+            moved: dict[tuple, float] = {}
+            for k, (t, m, w) in alive.items():
+                moved[t, m] = moved.get((t, m), 0.0) + self.weights[k] * math.exp(w - top)
+            total = sum(moved.values())
+            self.weights = {k: w / total for k, w in moved.items() if w > 0}
+            possible = {t for t, _ in self.weights}
+            if len(possible) == 1 and self.mode != "never":
+                self.synced = possible.pop()
+            return
+        dead = [(ways[k][2], ways[k][1], k[0]) for k in self.weights if k in ways]
+        last = max((d for d, _, _ in dead), default=0)
+        before = {t for d, t, _ in dead if d == last}
+        if len(before) == 1 and last > 0 and self.mode != "never":  # one state was left: it goes on whatever the machine does
+            alone(next(start for d, _, start in dead if d == last))
+        else:
+            self.anew(step, last)
+
+    def anew(self, step: dict, death: int) -> None:
+        if self.mode == "strict":
+            raise ValueError("impossible pair")
+        self.resume(step["fresh"][str(death)])
+
+
+def folded(
+    symbols: DataFrame,
+    chunk: int,
+    map_of: Callable[[list[tuple]], str],
+    compose: Callable[[list[str]], list[str]],
+    begin: Callable[[str | None], object],
+    step: Callable[[object, str, str], tuple],
+    shape: str,
+    names: list[str],
+) -> DataFrame:
+    """Carries a state along each series in order, chunk by chunk.
+
+    ``map_of`` writes what a chunk's (x, y) do, ``compose`` what each chunk of a
+    series is met in, given the chunks' maps in order; ``begin`` makes the state
+    from that (None at the start of a series), ``step`` takes a pair in and
+    returns the columns ``names``.
+    """
     key = symbols.schema["series_id"].dataType.simpleString()
+    placed = symbols.select("series_id", "t", "x", "y", F.floor(F.col("t") / chunk).alias("part"))
+    # Only series of more than one chunk need maps, and their last chunk's isn't used.
+    sizes = symbols.groupBy("series_id").agg(F.max("t").alias("last")).where(F.col("last") >= chunk)
+    long = placed.join(sizes, "series_id").where(F.col("part") < F.floor(F.col("last") / chunk))
+
+    def one_map(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        return pd.DataFrame({"series_id": [rows["series_id"].iloc[0]], "part": [int(rows["part"].iloc[0])], "map": [map_of(list(zip(rows["x"], rows["y"], strict=True)))]})
+
+    def composed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": rows["part"] + 1, "begins": compose(rows["map"].tolist())})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
+    maps = long.select("series_id", "part", "t", "x", "y").groupBy("series_id", "part").applyInPandas(one_map, f"series_id {key}, part bigint, map string")
+    begins = maps.groupBy("series_id").applyInPandas(composed, f"series_id {key}, part bigint, begins string")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
         for rows in batches:
             out = []
-            for s, x, y in zip(rows["series_id"], rows["x"], rows["y"], strict=True):
-                if s != last:
-                    last, state = s, make()
+            for s, part, b, x, y in zip(rows["series_id"], rows["part"], rows["begins"], rows["x"], rows["y"], strict=True):
+                if (s, part) != at:
+                    at, state = (s, part), begin(b if isinstance(b, str) else None)
                 out.append(step(state, x, y))
             frame = pd.DataFrame(out, columns=names)
             frame.insert(0, "t", rows["t"].to_numpy())
             frame.insert(0, "series_id", rows["series_id"].to_numpy())
             yield frame
 
-    ordered = symbols.repartition("series_id").sortWithinPartitions("series_id", "t")
-    return ordered.mapInPandas(run, f"series_id {key}, t bigint, {shape}")
+    met = placed.join(begins, ["series_id", "part"], "left").select("series_id", "part", "t", "x", "y", "begins")
+    ordered = met.repartition("series_id", "part").sortWithinPartitions("series_id", "part", "t")
+    return ordered.mapInPandas(replay, f"series_id {key}, t bigint, {shape}")
+
+
+def folded_states(symbols: DataFrame, states: list[Hashable], first: Hashable, rule: Callable[[Hashable, str, str], tuple[tuple, Hashable]], shape: str, names: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Outputs of a rule (state, x, y) -> (columns, state) along each series, for a finite set of states (beside the first)."""
 
+    class Run:
+        def __init__(self, state: Hashable) -> None:
+            self.state = state
 
-def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi: DataFrame, ays: list[str], mode: str = "restart") -> DataFrame:
+    def map_of(pairs: list[tuple]) -> str:
+        ends = []
+        for state in [first, *states]:
+            for x, y in pairs:
+                _, state = rule(state, x, y)
+            ends.append(states.index(state))
+        return json.dumps(ends)
+
+    def compose(maps: list[str]) -> list[str]:
+        at, out = 0, []
+        for m in maps:
+            at = json.loads(m)[at] + 1
+            out.append(str(at - 1))
+        return out
+
+    def step(run: Run, x: str, y: str) -> tuple:
+        out, run.state = rule(run.state, x, y)
+        return out
+
+    return folded(symbols, chunk, map_of, compose, lambda b: Run(first if b is None else states[int(b)]), step, shape, names)
+
+
+def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi: DataFrame, ays: list[str], mode: str = "restart", chunk: int = CHUNK) -> DataFrame:
     """series_id, t, p_<y> before each output, p_seen of the one that came, states possible after it, forbidden; ``pi``: t, m, pi."""
-    t_edges = {(str(r["s_from"]), r["x"], r["y"]): (str(r["s_to"]), r["p"]) for r in edges_t.collect()}  # model tables
-    m_edges = {(str(r["s_from"]), r["x"]): (str(r["s_to"]), r["p"]) for r in edges_m.collect()}
-    start = {(str(r["t"]), str(r["m"])): r["pi"] for r in pi.collect()}
+    t_edges = {(str(r["s_from"]), r["x"], r["y"]): (str(r["s_to"]), r["p"]) for r in held(edges_t)}
+    m_edges = {(str(r["s_from"]), r["x"]): (str(r["s_to"]), r["p"]) for r in held(edges_m)}
+    start = {(str(r["t"]), str(r["m"])): r["pi"] for r in held(pi)}
+    fresh = lambda: Belief(t_edges, m_edges, start, ays, mode)
+
+    def begin(text: str | None) -> Belief:
+        b = fresh()
+        if text is not None:
+            b.resume(text)
+        return b
+
+    def compose(maps: list[str]) -> list[str]:
+        b, out = fresh(), []
+        for m in maps:
+            b.follow(json.loads(m))
+            out.append(b.written())
+        return out
 
     def step(b: Belief, x: str, y: str) -> tuple:
         p = b.forecast(x)
@@ -250,7 +413,7 @@ def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi
 
     names = [f"p_{y}" for y in ays]
     shape = ", ".join(f"`{n}` double" for n in names) + ", p_seen double, states array<string>, forbidden boolean"
-    return fold_series(symbols, lambda: Belief(t_edges, m_edges, start, ays, mode), step, shape, [*names, "p_seen", "states", "forbidden"])
+    return folded(symbols, chunk, lambda pairs: json.dumps(fresh().map_of(pairs)), compose, begin, step, shape, [*names, "p_seen", "states", "forbidden"])
 
 
 def next_symbol(words: DataFrame, past: str) -> DataFrame:

@@ -3,12 +3,30 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Critical values of chi-squared at 0.001 by degrees of freedom.
-CRITICAL_001 = {1: 10.827566170662733, 2: 13.815510557964274, 3: 16.26623619623813, 4: 18.46682695290317, 5: 20.515005652432873, 6: 22.457744484825326, 8: 26.12448155837614, 10: 29.58829844507442}
+from ..functions.stats import chi2_tail
+
+#: Degrees of freedom up to which critical values are laid out in a plan; beyond, :func:`rejected` raises.
+MOST_DF = 128
+
+
+@lru_cache(maxsize=64)
+def critical_values(alpha: float, most: int = MOST_DF) -> tuple[float, ...]:
+    """The chi-squared statistic that is passed with probability ``alpha``, for 1 to ``most`` degrees of freedom."""
+    out = []
+    for df in range(1, most + 1):
+        low, high = 0.0, df + 10.0
+        while chi2_tail(high, df) > alpha:
+            high *= 2
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if chi2_tail(middle, df) > alpha else (low, middle)
+        out.append(high)
+    return tuple(out)
 
 
 def even_tail(stat: Column, half_df: int) -> Column:
@@ -59,7 +77,9 @@ def two_histogram_stats(pairs: DataFrame) -> DataFrame:
     return both.groupBy("xs", "past").agg(F.sum(term).alias("stat"), (F.max("bins") - 1).alias("df"))
 
 
-def rejected(stats: DataFrame) -> DataFrame:
-    """With ``reject``: whether the statistic passes the critical value at 0.001 (false without degrees of freedom)."""
-    limit = F.element_at(F.create_map(*[F.lit(v) for kv in CRITICAL_001.items() for v in kv]), F.col("df").cast("int"))
-    return stats.withColumn("reject", F.coalesce(F.col("stat") > limit, F.lit(False)))
+def rejected(stats: DataFrame, alpha: float = 0.001, most: int = MOST_DF) -> DataFrame:
+    """With ``reject``: whether the statistic passes the critical value at ``alpha`` (false without degrees of freedom; more than ``most`` raise)."""
+    limits = F.array(*[F.lit(v) for v in critical_values(alpha, most)])
+    df = F.col("df").cast("int")
+    too_many = F.raise_error(F.lit(f"more than {most} degrees of freedom")).cast("boolean")
+    return stats.withColumn("reject", F.when(df > most, too_many).when(df > 0, F.col("stat") > F.element_at(limits, F.greatest(df, F.lit(1)))).otherwise(F.lit(False)))

@@ -1,13 +1,15 @@
 """Simulation of machines, transducers and well-known processes.
 
-Random runs are seeded by (seed, series), so that a repeated or recomputed task
-makes the same series.  Long series are made and handed on in pieces.
+Random runs of machines are seeded by (seed, series); draws along given inputs are
+digests of (seed, series, position).  So a repeated or recomputed task makes the
+same series, and series that are given can be cut into chunks.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .algebra import stationary_exact
-from .filters import fold_series
+from .filters import CHUNK, folded_states
 from .measures import symbol_matrices
 
 PIECE = 1 << 16
@@ -64,33 +66,32 @@ def simulate_machine(spark: SparkSession, edges: list[tuple[object, str, object,
     return spark.range(series).withColumnRenamed("id", "series_id").mapInPandas(run, "series_id bigint, t bigint, x string, y string")
 
 
-def simulate_transducer(inputs: DataFrame, edges: list[tuple[object, str, str, object, float]], start: object, seed: int = 0) -> DataFrame:
+def simulate_transducer(inputs: DataFrame, edges: list[tuple[object, str, str, object, float]], start: object, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
     """The inputs (series_id, t, x) with a drawn output y; an impossible input gives null and keeps the state."""
     table: dict[tuple[object, str], list[tuple[float, str, object]]] = {}
     for a, x, y, b, p in edges:
         table.setdefault((a, x), []).append((p, y, b))
+    states = list(dict.fromkeys([start, *[e[0] for e in edges], *[e[3] for e in edges]]))
 
-    class Run:
-        def __init__(self) -> None:
-            self.state, self.rng = start, None
-
-    def step(run: Run, x: str, s: object) -> tuple[str | None]:
-        if run.rng is None:
-            run.rng = generator(seed, s)
-        moves, u = table.get((run.state, x)), run.rng.random()
+    def rule(state: object, x: str, u: str) -> tuple[tuple, object]:
+        moves = table.get((state, x))
         if not moves:
-            return (None,)
-        u *= sum(p for p, _, _ in moves)
+            return (None,), state
+        left = float(u) * sum(p for p, _, _ in moves)
         for p, y, b in moves:
-            u -= p
-            if u <= 0:
+            left -= p
+            if left < 0:
                 break
-        run.state = b
-        return (y,)
+        return (y,), b
+
+    return _drawn(inputs, states, start, rule, seed, chunk)
+
 
-    named = inputs.select("series_id", "t", "x", F.col("series_id").cast("string").alias("y"))
-    drawn = fold_series(named, Run, step, "drawn string", ["drawn"])
-    return drawn.join(inputs.select("series_id", "t", "x"), ["series_id", "t"]).select("series_id", "t", "x", F.col("drawn").alias("y"))
+def _drawn(inputs: DataFrame, states: list, first: object, rule, seed: int, chunk: int) -> DataFrame:
+    """The inputs with the outputs of a rule (state, x, draw) -> ((y,), state)."""
+    named = inputs.select("series_id", "t", "x", uniform(seed).cast("string").alias("y"))
+    made = folded_states(named, states, first, rule, "made string", ["made"], chunk)
+    return made.join(inputs.select("series_id", "t", "x"), ["series_id", "t"]).select("series_id", "t", "x", F.col("made").alias("y"))
 
 
 # -- processes as plans: the outputs of well-known channels for given inputs
@@ -140,27 +141,22 @@ def odd_random(inputs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def uniform(seed: int) -> Column:
-    """A number in [0, 1) fixed by seed, series and position: the same whenever a task is run again."""
-    return F.pmod(F.xxhash64(F.lit(seed), "series_id", "t"), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) fixed by seed, series and position: 32 bits of an MD5 digest of the three, colons between."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("series_id").cast("string"), F.col("t").cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def _process(inputs: DataFrame, start: tuple, rule) -> DataFrame:
-    """Outputs of a rule (state, previous x, x, draw) -> (y, state), carried along each series."""
+def _process(inputs: DataFrame, states: list, start: object, rule, chunk: int = CHUNK) -> DataFrame:
+    """Outputs of a rule (state, input before: '1', '0' or None, x, draw) -> (y, state), carried along each series."""
 
-    class Run:
-        def __init__(self) -> None:
-            self.state, self.before = start, None
+    def with_input(state: tuple, x: str, u: str) -> tuple[tuple, tuple]:
+        y, after = rule(state[0], state[1], x, float(u))
+        return (y,), (after, "1" if x == "1" else "0")
 
-    def step(run: Run, x: str, u: str) -> tuple[str]:
-        y, run.state = rule(run.state, run.before, x, float(u))
-        run.before = x
-        return (y,)
+    return _drawn(inputs, [(s, b) for s in states for b in "01"], (start, None), with_input, 7, chunk)
 
-    drawn = fold_series(inputs.withColumn("y", uniform(7).cast("string")), Run, step, "made string", ["made"])
-    return drawn.join(inputs.select("series_id", "t", "x"), ["series_id", "t"]).select("series_id", "t", "x", F.col("made").alias("y"))
 
-
-def even_transducer(inputs: DataFrame) -> DataFrame:
+def even_transducer(inputs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Ones come in pairs: after an odd run of ones always a one, else the input before."""
 
     def rule(odd: bool, before: str | None, x: str, u: float) -> tuple[str, bool]:
@@ -168,10 +164,10 @@ def even_transducer(inputs: DataFrame) -> DataFrame:
             return "0", False
         return ("1", not odd) if odd or before == "1" else ("0", False)
 
-    return _process(inputs, False, rule)
+    return _process(inputs, [False, True], False, rule, chunk)
 
 
-def even_flip(inputs: DataFrame, up: float = 0.35, keep: float = 0.75) -> DataFrame:
+def even_flip(inputs: DataFrame, up: float = 0.35, keep: float = 0.75, chunk: int = CHUNK) -> DataFrame:
     """Like the even transducer, with a one after an even run drawn: ``up`` after input 0, ``keep`` after 1."""
 
     def rule(odd: bool, before: str | None, x: str, u: float) -> tuple[str, bool]:
@@ -181,10 +177,10 @@ def even_flip(inputs: DataFrame, up: float = 0.35, keep: float = 0.75) -> DataFr
             return "1", not odd
         return "0", False
 
-    return _process(inputs, False, rule)
+    return _process(inputs, [False, True], False, rule, chunk)
 
 
-def float_reset(inputs: DataFrame, top: int = 2) -> DataFrame:
+def float_reset(inputs: DataFrame, top: int = 2, chunk: int = CHUNK) -> DataFrame:
     """A walk on 0 to ``top``: input 0 floats it a step either way, 1 resets it to the top; a reset at the top answers 1."""
 
     def rule(place: int, before: str | None, x: str, u: float) -> tuple[str, int]:
@@ -194,31 +190,38 @@ def float_reset(inputs: DataFrame, top: int = 2) -> DataFrame:
             return ("1" if place == top else "0"), top
         return "0", min(top, max(0, place + (-1 if u < 0.5 else 1)))
 
-    return _process(inputs, top, rule)
+    return _process(inputs, list(range(top + 1)), top, rule, chunk)
 
 
-def periodic_even_kick(inputs: DataFrame, period: int = 3) -> DataFrame:
+def periodic_even_kick(inputs: DataFrame, period: int = 3, chunk: int = CHUNK) -> DataFrame:
     """The cycle of the periodic kick, begun anew after every even, non-empty run of input ones."""
 
     def rule(state: tuple[int, int], before: str | None, x: str, u: float) -> tuple[str, tuple[int, int]]:
-        ones, place = state
+        ones, place = state  # of the run of ones only that there is one and its parity matter: 0, odd as 1, even as 2
         if before is None:
-            return "0", (int(x == "1"), 1)
-        if ones and ones % 2 == 0:
+            return "0", (int(x == "1"), 1 % period)
+        if ones == 2:
             y, place = "1", 0
         else:
-            y, place = ("0" if place % period == 0 else "1"), place + 1
-        return y, (ones + 1 if x == "1" else 0, place)
+            y, place = ("0" if place == 0 else "1"), (place + 1) % period
+        return y, ((2 if ones == 1 else 1) if x == "1" else 0, place)
 
-    return _process(inputs, (0, 1), rule)
+    return _process(inputs, [(o, k) for o in range(3) for k in range(period)], (0, 1 % period), rule, chunk)
 
 
-def lookup_process(inputs: DataFrame, table: dict[tuple[str, str], float]) -> DataFrame:
+def lookup_process(inputs: DataFrame, table: dict[tuple[str, str], float], chunk: int = CHUNK) -> DataFrame:
     """Ones with the probability that the last inputs and outputs (as strings) have in ``table``; zeros until there are enough."""
     length = len(next(iter(table))[0])
+    known = sorted({c for xs, _ in table for c in xs})
+    other = next(c for c in "?~#" if c not in known)  # stands for inputs that no entry has
+
+    def strings(symbols: list[str]) -> list[str]:
+        return ["".join(w) for k in range(length + 1) for w in product(symbols, repeat=k)]
 
-    def rule(past: tuple[str, str], before: str | None, x: str, u: float) -> tuple[str, tuple[str, str]]:
-        y = "1" if past in table and u <= table[past] and table[past] > 0 else "0"
-        return y, ((past[0] + x)[-length:], (past[1] + y)[-length:])
+    def rule(past: tuple[str, str], x: str, u: str) -> tuple[tuple, tuple[str, str]]:
+        p = table.get(past, 0.0)
+        y = "1" if p > 0 and float(u) <= p else "0"
+        return (y,), ((past[0] + (x if x in known else other))[-length:], (past[1] + y)[-length:])
 
-    return _process(inputs, ("", ""), rule)
+    states = [(xs, ys) for xs in strings([*known, other]) for ys in strings(["0", "1"]) if len(xs) == len(ys)]
+    return _drawn(inputs, states, ("", ""), rule, 7, chunk)

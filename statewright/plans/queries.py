@@ -47,16 +47,28 @@ def binary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("y", F.when(F.col("y").isin("p", "v"), "1").otherwise("0"))
 
 
-def input_words(symbols: DataFrame, length: int) -> DataFrame:
-    return counts.word_counts(symbols.select("series_id", "t", F.lit("0").alias("x"), F.col("x").alias("y")), length)
+def pair_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of single pairs and of two in a row: the only look at the events that the models below take."""
+    return pinned(counts.word_counts(binary_events(spark, sf_dir), 1))
+
+
+def machine_of(words: DataFrame) -> DataFrame:
+    """The Markov machine of the inputs."""
+    return algebra.machine_from_counts(words.select("k", F.col("xs").alias("ys"), "n"), 1)
+
+
+def models_of_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The machine of the inputs and the transducer of the outputs, from one count."""
+    words = pair_words(spark, sf_dir)
+    return pinned(machine_of(words)), pinned(algebra.transducer_from_counts(words, 1))
 
 
 def machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pinned(algebra.machine_from_counts(input_words(binary_events(spark, sf_dir), 1), 1))
+    return machine_of(pair_words(spark, sf_dir))
 
 
 def transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pinned(algebra.transducer_from_counts(counts.word_counts(binary_events(spark, sf_dir), 1), 1))
+    return pinned(algebra.transducer_from_counts(pair_words(spark, sf_dir), 1))
 
 
 def letter_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +279,28 @@ def chi2_stat(spark, sf):
     return hypothesis.rejected(hypothesis.homogeneity_stats(hypothesis.parent_pairs(counts.word_counts(binary_events(spark, sf), 2))))
 
 
+# Critical values of chi-squared at 0.001, from tables, for 1 to 16 degrees of freedom.
+TABLED = "[10.828, 13.816, 16.266, 18.467, 20.515, 22.458, 24.322, 26.124, 27.877, 29.588, 31.264, 32.909, 34.528, 36.123, 37.697, 39.252]"
+WIDE = f"""WITH v AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
+ CASE WHEN value < 15 THEN '0' WHEN value < 30 THEN '1' WHEN value < 60 THEN '2' ELSE '3' END AS x, substr(event_type, 1, 1) AS y FROM events), {words_sql(1, "v")},
+""" + PAIRS[PAIRS.index("r AS (SELECT k, left") :]
+
+
+@query(
+    WIDE
+    + SIZED
+    + f""", st AS (SELECT xs, past, sum(CASE WHEN o > 0 THEN (n_child - o * a) ** 2 / (o * a) + (n_parent - o * b) ** 2 / (o * b) ELSE 0 END) AS stat, count(DISTINCT x) * 4 AS df FROM z WHERE a > 0 AND b > 0 GROUP BY 1, 2)
+SELECT xs, past, round(stat, 6) AS stat, df, stat > {TABLED}[df] AS reject FROM st"""
+)
+def chi2_stat_wide(spark, sf):
+    """Four inputs and five outputs: up to 16 degrees of freedom."""
+    value = F.col("value")
+    x = F.when(value < 15, "0").when(value < 30, "1").when(value < 60, "2").otherwise("3")
+    table = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value")
+    symbols = encode.encode(table, "user_id", ["ts", "event_id"], F.substring("event_type", 1, 1), x, bucket=F.to_date("ts"))
+    return hypothesis.rejected(hypothesis.homogeneity_stats(hypothesis.parent_pairs(counts.word_counts(symbols, 1))))
+
+
 @query(
     PAIRS
     + SIZED
@@ -394,12 +428,12 @@ MIXED = f"{MT}, j AS (SELECT tr.s_from AS t_from, m.s_from AS m_from, tr.x, y, t
 
 @query(MIXED + " SELECT t_from, m_from, t_to, m_to, round(sum(p), 6) AS p FROM j GROUP BY ALL")
 def mixed_matrix(spark, sf):
-    return algebra.mixed_matrix(machine(spark, sf), transducer(spark, sf))
+    return algebra.mixed_matrix(*models_of_events(spark, sf))
 
 
 @query(MIXED + " SELECT t_from, m_from, y, t_to, m_to, round(sum(p), 6) AS p FROM j GROUP BY ALL")
 def output_matrix(spark, sf):
-    return algebra.output_matrix(machine(spark, sf), transducer(spark, sf))
+    return algebra.output_matrix(*models_of_events(spark, sf))
 
 
 @query(f"WITH {LETTERS} SELECT s_from, s_to, round(sum(p), 6) AS p FROM l GROUP BY ALL")
@@ -417,43 +451,56 @@ def uniform_machine(spark, sf):
     return algebra.uniform_machine(algebra.machine_from_counts(counts.word_counts(encode.constant_input(events(spark, sf)), 2), 2))
 
 
-LAZY = """, k0 AS (SELECT state, 1.0::DOUBLE / count(*) OVER () AS pi FROM (SELECT s_from AS state FROM {e} UNION SELECT s_to FROM {e}))""" + "".join(
-    f", k{i} AS (SELECT state, sum(pi) AS pi FROM (SELECT state, pi / 2 AS pi FROM k{i - 1} UNION ALL SELECT s_to, pi * p / 2 FROM k{i - 1} JOIN {{e}} ON s_from = state) GROUP BY 1)" for i in range(1, 13)
-)
+# The limit of lazy steps, by squaring (P + I) / 2 eight times: 256 steps.
+LIMIT = """, k0 AS MATERIALIZED (SELECT s_from, s_to, sum(p) / 2 AS p FROM (SELECT s_from, s_to, p FROM {e} UNION ALL SELECT DISTINCT s_from, s_from, 1.0::DOUBLE FROM {e}) GROUP BY 1, 2)""" + "".join(
+    f", k{i} AS MATERIALIZED (SELECT a.s_from, b.s_to, sum(a.p * b.p) AS p FROM k{i - 1} a JOIN k{i - 1} b ON a.s_to = b.s_from GROUP BY 1, 2)" for i in range(1, 9)
+) + ", st AS (SELECT s_to AS state, avg(p) AS pi FROM k8 GROUP BY 1)"
 
 
-@query(f"WITH {LETTERS}{LAZY.format(e='l')} SELECT state AS s_from, round(pi, 6) AS pi FROM k12")
-def stationary_lazy(spark, sf):
-    return algebra.stationary(letter_machine(spark, sf), 12, ["s_from"], ["s_to"])
+@query(f"WITH {LETTERS}{LIMIT.format(e='l')} SELECT state AS s_from, round(pi, 6) AS pi FROM st")
+def stationary_distribution(spark, sf):
+    return algebra.stationary(letter_machine(spark, sf), ["s_from"], ["s_to"])
 
 
-MIXED_PI = MIXED + ", mm AS (SELECT t_from || m_from AS s_from, t_to || m_to AS s_to, sum(p) AS p FROM j GROUP BY ALL)" + LAZY.format(e="mm")
+@query(f"WITH {LETTERS} SELECT DISTINCT s_from AS state, 0.0::DOUBLE AS gap, 1.0::DOUBLE AS total FROM l")
+def stationary_balance(spark, sf):
+    """How far pi P is from pi in each state, and the sum of pi: what a stationary distribution is."""
+    edges = letter_machine(spark, sf)
+    pi = pinned(algebra.stationary(edges, ["s_from"], ["s_to"]))
+    moved = pi.join(edges, "s_from").groupBy(F.col("s_to").alias("state")).agg(F.sum(F.col("pi") * F.col("p")).alias("moved"))
+    total = pi.agg(F.sum("pi").alias("total"))
+    both = pi.join(moved, pi["s_from"] == moved["state"], "left")
+    return both.select(F.col("s_from").alias("state"), F.abs(F.round(F.col("pi") - F.coalesce("moved", F.lit(0.0)), 9)).alias("gap"), "pi").join(F.broadcast(total)).select("state", "gap", "total")
 
 
-def mixed_pi(spark: SparkSession, sf: str) -> DataFrame:
-    pi = algebra.stationary(algebra.mixed_matrix(machine(spark, sf), transducer(spark, sf)), 12, ["t_from", "m_from"], ["t_to", "m_to"])
+MIXED_PI = MIXED + ", mm AS (SELECT t_from || m_from AS s_from, t_to || m_to AS s_to, sum(p) AS p FROM j GROUP BY ALL)" + LIMIT.format(e="mm")
+
+
+def mixed_pi_of(edges_m: DataFrame, edges_t: DataFrame) -> DataFrame:
+    pi = algebra.stationary(algebra.mixed_matrix(edges_m, edges_t), ["t_from", "m_from"], ["t_to", "m_to"])
     return pi.select(F.col("t_from").alias("t"), F.col("m_from").alias("m"), "pi")
 
 
-@query(MIXED_PI + " SELECT left(state, 1) AS state, round(sum(pi), 6) AS pi FROM k12 GROUP BY 1")
+@query(MIXED_PI + " SELECT left(state, 1) AS state, round(sum(pi), 6) AS pi FROM st GROUP BY 1")
 def stationary_marginal(spark, sf):
-    return algebra.marginal(mixed_pi(spark, sf), "t")
+    return algebra.marginal(mixed_pi_of(*models_of_events(spark, sf)), "t")
 
 
 @query(
     MIXED_PI
-    + ", q AS (SELECT left(state, 1) AS t, sum(pi) AS pi FROM k12 GROUP BY 1) SELECT round((SELECT -sum(pi * log2(pi)) FROM q WHERE pi > 0), 6) AS c_x, round((SELECT -sum(k.pi * m.p * tr.p * log2(tr.p)) FROM k12 k JOIN m ON m.s_from = right(k.state, 1) JOIN tr ON tr.s_from = left(k.state, 1) AND tr.x = m.x), 6) AS h_x"
+    + ", q AS (SELECT left(state, 1) AS t, sum(pi) AS pi FROM st GROUP BY 1) SELECT round((SELECT -sum(pi * log2(pi)) FROM q WHERE pi > 0), 6) AS c_x, round((SELECT -sum(k.pi * m.p * tr.p * log2(tr.p)) FROM st k JOIN m ON m.s_from = right(k.state, 1) JOIN tr ON tr.s_from = left(k.state, 1) AND tr.x = m.x), 6) AS h_x"
 )
 def conditional_measures(spark, sf):
-    return algebra.conditional_measures(mixed_pi(spark, sf), machine(spark, sf), transducer(spark, sf))
+    m, t = models_of_events(spark, sf)
+    return algebra.conditional_measures(mixed_pi_of(m, t), m, t)
 
 
-WORDS3 = f"WITH {LETTERS}{LAZY.format(e='l')}, p1 AS (SELECT x AS word, s_to, pi * p AS w FROM k12 JOIN l ON s_from = state), p2 AS (SELECT word || x AS word, l.s_to, w * p AS w FROM p1 JOIN l ON l.s_from = p1.s_to), p3 AS (SELECT word || x AS word, l.s_to, w * p AS w FROM p2 JOIN l ON l.s_from = p2.s_to), wp AS (SELECT word, sum(w) AS p FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1)"
+WORDS3 = f"WITH {LETTERS}{LIMIT.format(e='l')}, p1 AS (SELECT x AS word, s_to, pi * p AS w FROM st JOIN l ON s_from = state), p2 AS (SELECT word || x AS word, l.s_to, w * p AS w FROM p1 JOIN l ON l.s_from = p1.s_to), p3 AS (SELECT word || x AS word, l.s_to, w * p AS w FROM p2 JOIN l ON l.s_from = p2.s_to), wp AS (SELECT word, sum(w) AS p FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1)"
 
 
 def letter_words(spark: SparkSession, sf: str, length: int = 3) -> DataFrame:
     machine_edges = letter_machine(spark, sf)
-    pi = algebra.stationary(machine_edges, 12, ["s_from"], ["s_to"]).select(F.col("s_from").alias("state"), "pi")
+    pi = algebra.stationary(machine_edges, ["s_from"], ["s_to"]).select(F.col("s_from").alias("state"), "pi")
     return algebra.word_probabilities(machine_edges, pi, length)
 
 
@@ -465,7 +512,7 @@ def word_probs(spark, sf):
 @query(WORDS3 + " SELECT 'pvp' AS word, round(coalesce((SELECT p FROM wp WHERE word = 'pvp'), 0), 6) AS p")
 def word_probability_one(spark, sf):
     machine_edges = letter_machine(spark, sf)
-    pi = algebra.stationary(machine_edges, 12, ["s_from"], ["s_to"]).select(F.col("s_from").alias("state"), "pi")
+    pi = algebra.stationary(machine_edges, ["s_from"], ["s_to"]).select(F.col("s_from").alias("state"), "pi")
     return algebra.word_probability(machine_edges, pi, "pvp")
 
 
@@ -487,10 +534,11 @@ def predict_presync_machine(spark, sf):
 
 @query(
     MIXED_PI
-    + ", a AS (SELECT j.t_to || j.m_to AS state, sum(pi * p) AS w FROM k12 JOIN j ON state = t_from || m_from WHERE j.x = '0' AND j.y = '1' GROUP BY 1), z AS (SELECT j.y, sum(w * p) AS w FROM a JOIN j ON state = t_from || m_from WHERE j.x = '1' GROUP BY 1) SELECT y, round(w / sum(w) OVER (), 6) AS p FROM z WHERE w > 0"
+    + ", a AS (SELECT j.t_to || j.m_to AS state, sum(pi * p) AS w FROM st JOIN j ON state = t_from || m_from WHERE j.x = '0' AND j.y = '1' GROUP BY 1), z AS (SELECT j.y, sum(w * p) AS w FROM a JOIN j ON state = t_from || m_from WHERE j.x = '1' GROUP BY 1) SELECT y, round(w / sum(w) OVER (), 6) AS p FROM z WHERE w > 0"
 )
 def predict_presync_transducer(spark, sf):
-    return filters.next_output(machine(spark, sf), transducer(spark, sf), mixed_pi(spark, sf), "01", "1")
+    m, t = models_of_events(spark, sf)
+    return filters.next_output(m, t, mixed_pi_of(m, t), "01", "1")
 
 
 @query(
@@ -500,7 +548,7 @@ def predict_presync_transducer(spark, sf):
 )
 def lstep_forecast(spark, sf):
     start = spark.createDataFrame([("0", "0", 1.0)], "t string, m string, w double")
-    return algebra.forecast(machine(spark, sf), transducer(spark, sf), start, 3)
+    return algebra.forecast(*models_of_events(spark, sf), start, 3)
 
 
 # -- filters and scores
@@ -592,19 +640,42 @@ def topological_morph(spark, sf):
     return counts.topological(counts.morphs_from_filtered(filters.filter_states(symbols, markov_model(["0", "1"])), symbols))
 
 
-@query()
+# After one pair the last output and the last input are known, and with them both states: before, the stationary mixture tells.
+BELIEFS = (
+    MIXED_PI
+    + """, e AS (SELECT s_from AS s, x, sum(p) FILTER (y = '0') AS p0, sum(p) FILTER (y = '1') AS p1 FROM tr GROUP BY 1, 2),
+f AS (SELECT m.x, sum(pi * m.p * e.p0) / sum(pi * m.p) AS p0, sum(pi * m.p * e.p1) / sum(pi * m.p) AS p1 FROM st JOIN m ON m.s_from = right(state, 1) JOIN e ON e.s = left(state, 1) AND e.x = m.x GROUP BY 1),
+q AS (SELECT b.series_id, b.t, b.y, coalesce(CASE WHEN b.t = 0 THEN f.p0 ELSE e.p0 END, 0) AS p0, coalesce(CASE WHEN b.t = 0 THEN f.p1 ELSE e.p1 END, 0) AS p1
+ FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS was FROM b) b JOIN f ON f.x = b.x LEFT JOIN e ON e.s = b.was AND e.x = b.x)
+SELECT series_id, t, round(p0, 6) AS p_0, round(p1, 6) AS p_1, round(CASE y WHEN '0' THEN p0 ELSE p1 END, 6) AS p_seen, y AS states, false AS forbidden FROM q"""
+)
+
+
+def beliefs(spark: SparkSession, sf: str, mode: str = "restart", chunk: int = filters.CHUNK) -> DataFrame:
+    m, t = models_of_events(spark, sf)
+    found = filters.belief_filter(binary_events(spark, sf), m, t, mixed_pi_of(m, t), ["0", "1"], mode, chunk)
+    return found.withColumn("states", F.array_join("states", ","))
+
+
+@query(BELIEFS)
 def filter_beliefs(spark, sf):
-    return filters.belief_filter(binary_events(spark, sf), machine(spark, sf), transducer(spark, sf), mixed_pi(spark, sf), ["0", "1"])
+    return beliefs(spark, sf)
 
 
-@query()
+@query(BELIEFS)
+def filter_beliefs_chunked(spark, sf):
+    """Chunks of 16 symbols, met in the beliefs that the chunks before lead to."""
+    return beliefs(spark, sf, chunk=16)
+
+
+@query(BELIEFS)
 def filter_beliefs_unsettled(spark, sf):
-    return filters.belief_filter(binary_events(spark, sf), machine(spark, sf), transducer(spark, sf), mixed_pi(spark, sf), ["0", "1"], mode="never")
+    return beliefs(spark, sf, "never", 32)
 
 
-@query()
+@query(BELIEFS)
 def filter_beliefs_strict(spark, sf):
-    return filters.belief_filter(binary_events(spark, sf), machine(spark, sf), transducer(spark, sf), mixed_pi(spark, sf), ["0", "1"], mode="strict")
+    return beliefs(spark, sf, "strict")
 
 
 # -- inference
@@ -647,9 +718,14 @@ def causal_states_output_memoryless(spark, sf):
     return infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False, output_memoryless=True)
 
 
-@query()
+@query(
+    f"WITH {LETTERS}{LIMIT.format(e='l')}, h AS (SELECT s_from, -sum(p * log2(p)) AS bits FROM l GROUP BY 1), q AS (SELECT (SELECT -sum(pi * log2(pi)) FROM st) AS c, (SELECT sum(pi * bits) FROM st JOIN h ON state = s_from) AS h) "
+    "SELECT 'letters' AS model_id, round(c, 6) AS cmu, round(h, 6) AS hmu, round(h, 6) AS hmu_state_graph, round(c - h, 6) AS excess, round(c, 6) AS h_1, round(h, 6) AS h_2, round(c + h, 6) AS big_h_2 FROM q"
+)
 def model_measures(spark, sf):
-    return measures.measure_models(letter_machine(spark, sf).withColumn("model_id", F.lit("letters")))
+    """Of a machine whose state is its last symbol the measures have closed forms."""
+    found = measures.measure_models(letter_machine(spark, sf).withColumn("model_id", F.lit("letters")))
+    return found.select("model_id", "cmu", "hmu", "hmu_state_graph", "excess", F.col("h_l")[0].alias("h_1"), F.col("h_l")[1].alias("h_2"), F.col("big_h")[1].alias("big_h_2"))
 
 
 EVEN = [("A", "0", "A", 0.5), ("A", "1", "B", 0.5), ("B", "1", "A", 1.0)]
@@ -748,27 +824,48 @@ def periodic_even_kick(spark, sf):
     return simulate.periodic_even_kick(inputs(spark, sf))
 
 
-@query()
+DRAWN = RUN.replace("r AS (", "u AS (SELECT *, ('0x' || substr(md5('{seed}:' || series_id || ':' || t), 1, 8))::BIGINT / 4294967296 AS u FROM s), r AS (").replace("JOIN s ON s", "JOIN u s ON s").replace("s.x, r.x AS b", "s.x, s.u, r.x AS b")
+STAY = "st = 1 OR u <= CASE b WHEN '1' THEN 0.75 ELSE 0.35 END"
+
+
+@query(DRAWN.format(seed=7, start="0", y=f"CASE WHEN {STAY} THEN '1' ELSE '0' END", next=f"CASE WHEN {STAY} THEN 1 - st ELSE 0 END"))
 def even_flip(spark, sf):
     return simulate.even_flip(inputs(spark, sf))
 
 
-@query()
+@query(
+    DRAWN.format(
+        seed=7,
+        start="2",
+        y="CASE WHEN b = '1' AND st = 2 THEN '1' ELSE '0' END",
+        next="CASE WHEN b = '1' THEN 2 ELSE least(2, greatest(0, st + CASE WHEN u < 0.5 THEN -1 ELSE 1 END)) END",
+    )
+)
 def float_reset(spark, sf):
     return simulate.float_reset(inputs(spark, sf))
 
 
-@query()
+U0 = f"WITH {S}, u AS (SELECT *, ('0x' || substr(md5('0:' || series_id || ':' || t), 1, 8))::BIGINT / 4294967296 AS u FROM s)"
+
+
+@query(U0 + " SELECT series_id, t, x, CASE WHEN x = '0' OR u < 0.5 THEN '0' ELSE '1' END AS y FROM u")
 def z_channel(spark, sf):
     return simulate.z_channel(inputs(spark, sf))
 
 
-@query()
+@query(
+    U0
+    + """, g AS (SELECT *, count(*) FILTER (x = '0') OVER (PARTITION BY series_id ORDER BY t) AS g FROM u), q AS (SELECT *, count(*) FILTER (x = '1') OVER (PARTITION BY series_id, g ORDER BY t) AS run FROM g)
+SELECT series_id, t, x, CASE WHEN run % 2 = 1 THEN CASE WHEN u < 0.5 THEN '0' ELSE '1' END ELSE x END AS y FROM q"""
+)
 def odd_random(spark, sf):
     return simulate.odd_random(inputs(spark, sf))
 
 
-@query()
+LOOKED = "CASE WHEN {u} <= CASE WHEN b = '1' AND st = 0 THEN 0.95 WHEN b = '0' AND st = 0 THEN 0.1 ELSE -1 END THEN {one} ELSE {zero} END"
+
+
+@query(DRAWN.format(seed=7, start="0", y=LOOKED.format(u="u", one="'1'", zero="'0'"), next=LOOKED.format(u="u", one="1", zero="0")))
 def lookup_process(spark, sf):
     return simulate.lookup_process(inputs(spark, sf), {("1", "0"): 0.95, ("0", "1"): 0.0, ("1", "1"): 0.0, ("0", "0"): 0.1})
 
@@ -778,7 +875,7 @@ def simulate_machine(spark, sf):
     return simulate.simulate_machine(spark, EVEN, 4, 2000, seed=1)
 
 
-@query()
+@query(f"WITH {S} SELECT series_id, t, x, coalesce(lag(x) OVER (PARTITION BY series_id ORDER BY t), '0') AS y FROM s")
 def simulate_transducer(spark, sf):
     delay = [("A", "0", "0", "A", 1.0), ("A", "1", "0", "B", 1.0), ("B", "0", "1", "A", 1.0), ("B", "1", "1", "B", 1.0)]
     return simulate.simulate_transducer(inputs(spark, sf), delay, "A")

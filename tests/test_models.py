@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from statewright.functions.stats import chi2_tail, homogeneity, homogeneity_test, significant, state_label
-from statewright.operators import algebra, counts, encode, filters, graph, infer, measures, selection, simulate
+from statewright.operators import algebra, counts, encode, filters, graph, hypothesis, infer, measures, selection, simulate
 from statewright.sources import models
 
 EVEN = [("A", "0", "A", 0.5), ("A", "1", "B", 0.5), ("B", "1", "A", 1.0)]
@@ -133,8 +133,59 @@ def test_word_probabilities_and_blocks(spark):
     rows = {r["length"]: r for r in algebra.block_measures(words).collect()}
     assert rows[2]["h_block"] == pytest.approx(1.584963, abs=1e-5) and rows[3]["excess"] == pytest.approx(0.251629, abs=1e-5)
     assert algebra.word_probability(edges, pi, "00").first()["p"] == 0
-    lazy = {r["s_from"]: r["pi"] for r in algebra.stationary(algebra.machine_matrix(edges), 40, ["s_from"], ["s_to"]).collect()}
-    assert lazy["A"] == pytest.approx(1 / 3, abs=1e-6)
+    for most in (1000, 1):  # solved, and by steps until they stop
+        found = {r["s_from"]: r["pi"] for r in algebra.stationary(algebra.machine_matrix(edges), ["s_from"], ["s_to"], 1e-8, most).collect()}
+        assert found["A"] == pytest.approx(1 / 3, abs=1e-6) and found["B"] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_rejection_at_any_degree_and_level(spark):
+    cases = [(df, limit, alpha) for df, limit, alpha in ((1, 10.828, 0.001), (7, 24.322, 0.001), (9, 27.877, 0.001), (11, 31.264, 0.001), (30, 59.703, 0.001), (9, 16.919, 0.05), (100, 124.342, 0.05))]
+    for df, limit, alpha in cases:
+        stats = spark.createDataFrame([(limit - 0.01, df), (limit + 0.01, df), (500.0, 0)], "stat double, df int")
+        assert [r["reject"] for r in hypothesis.rejected(stats, alpha).orderBy("stat").collect()] == [False, True, False]
+    with pytest.raises(Exception, match="degrees of freedom"):
+        hypothesis.rejected(spark.createDataFrame([(500.0, 9)], "stat double, df int"), most=8).collect()
+
+
+def random_models(rng, t_states, m_states, dead):
+    """A unifilar transducer and machine with some transitions missing."""
+    t = [(f"t{s}", x, y, f"t{rng.integers(t_states)}", 0.5) for s in range(t_states) for x in "01" for y in "01" if rng.random() > dead]
+    m = [(f"m{s}", x, f"m{rng.integers(m_states)}", 0.5) for s in range(m_states) for x in "01" if rng.random() > dead]
+    return t, m
+
+
+@pytest.mark.parametrize("mode", ["restart", "never"])
+def test_a_chunk_as_a_map_equals_going_through_it(mode):
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        t, m = random_models(rng, int(rng.integers(1, 4)), int(rng.integers(1, 3)), rng.choice([0.0, 0.15, 0.4]))
+        t_edges, m_edges = {(a, x, y): (b, p) for a, x, y, b, p in t}, {(a, x): (b, p) for a, x, b, p in m}
+        pairs = [(a, b) for a in {e[0] for e in t} | {e[3] for e in t} for b in {e[0] for e in m} | {e[2] for e in m}]
+        if not pairs:
+            continue
+        pi = dict(zip(pairs, rng.dirichlet(np.ones(len(pairs))), strict=True))
+        make = lambda: filters.Belief(t_edges, m_edges, pi, ["0", "1"], mode)
+        straight, jumping = make(), make()
+        for _ in range(5):
+            chunk = [(str(rng.integers(2)), str(rng.integers(2))) for _ in range(int(rng.integers(1, 7)))]
+            for x, y in chunk:
+                straight.update(x, y)
+            jumping.follow(make().map_of(chunk))
+            assert jumping.synced == straight.synced
+            if straight.synced is None:
+                assert jumping.weights.keys() == straight.weights.keys()
+                assert all(jumping.weights[k] == pytest.approx(w) for k, w in straight.weights.items())
+
+
+def test_processes_are_the_same_in_any_chunks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, t, str(rng.integers(2))) for s in range(3) for t in range(int(60 + 30 * s))]
+    inputs = spark.createDataFrame(rows, "series_id long, t long, x string")
+    table = {("11", "00"): 0.9, ("01", "01"): 0.4, ("00", "00"): 0.5}
+    delay = [("A", "0", "0", "A", 1.0), ("A", "1", "0", "B", 1.0), ("B", "0", "1", "A", 0.7), ("B", "0", "0", "B", 0.3), ("B", "1", "1", "B", 1.0)]
+    for make in (simulate.even_transducer, simulate.even_flip, simulate.float_reset, simulate.periodic_even_kick, lambda i, chunk: simulate.lookup_process(i, table, chunk), lambda i, chunk: simulate.simulate_transducer(i, delay, "A", 3, chunk)):
+        got = [sorted(map(tuple, make(inputs, chunk=c).collect())) for c in (7, 1 << 16)]
+        assert got[0] == got[1] and len({r[3] for r in got[0]}) == 2
 
 
 EVEN_MODEL = filters.SuffixModel({("000"[:k], w): s for k in (2, 3) for w, s in {"00": 0, "000": 0, "10": 0, "010": 0, "110": 0, "100": 0, "01": 1, "001": 1, "101": 1, "011": 0}.items() if len(w) == k}, {(0, "0", "0"): 0, (0, "0", "1"): 1, (1, "0", "1"): 0}, 3)
