@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.small import pinned
+
 CHUNK = 1 << 16
 
 
@@ -93,7 +95,7 @@ def joint_encoded_counts(symbols: DataFrame, length: int) -> DataFrame:
     """Words as lists of joint symbol numbers (x number times outputs, plus y number), with counts."""
     from .encode import emission_symbols
 
-    codes = F.broadcast(emission_symbols(symbols))  # rows: product of the alphabets
+    codes = F.broadcast(pinned(emission_symbols(symbols)))  # rows: product of the alphabets
     full = full_words(symbols, length)
     letters = full.select("xs", "ys", "n", F.explode(F.sequence(F.lit(1), F.lit(length + 1))).alias("i"))
     letters = letters.select("xs", "ys", "n", "i", F.expr("substring(xs, i, 1)").alias("x"), F.expr("substring(ys, i, 1)").alias("y")).join(codes, ["x", "y"])

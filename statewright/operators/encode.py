@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.small import pinned
+
 NULL_INPUT = "0"
 
 
@@ -72,6 +74,7 @@ def emission_symbols(symbols: DataFrame) -> DataFrame:
     """Every (x, y), numbered with x as the greater digit; as many rows as the alphabets' product."""
     x = alphabet(symbols, "x").select(F.col("symbol").alias("x"), F.col("idx").alias("i"))
     y = alphabet(symbols, "y").select(F.col("symbol").alias("y"), F.col("idx").alias("j"))
+    y = pinned(y)
     width = y.agg(F.count("*").alias("w"))
     return x.join(F.broadcast(y)).join(F.broadcast(width)).select("x", "y", (F.col("i") * F.col("w") + F.col("j")).cast("long").alias("e_idx"))
 

@@ -416,11 +416,17 @@ def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi
     return folded(symbols, chunk, lambda pairs: json.dumps(fresh().map_of(pairs)), compose, begin, step, shape, [*names, "p_seen", "states", "forbidden"])
 
 
-def next_symbol(words: DataFrame, past: str) -> DataFrame:
-    """x, p: the machine's next symbol after ``past``, from the probabilities of its words (word, p)."""
-    longer = words.where(F.length("word") == len(past) + 1).where(F.expr(f"left(word, {len(past)})") == past)
-    total = Window.partitionBy(F.lit(1))  # one row per symbol
-    return longer.select(F.expr("right(word, 1)").alias("x"), (F.col("p") / F.sum("p").over(total)).alias("p"))
+def next_symbol(edges_m: DataFrame, pi: DataFrame, past: str) -> DataFrame:
+    """x, p: the machine's next symbol after ``past`` from every state it may have begun in; no row if the past is impossible.  ``pi``: state, pi.
+
+    Only edges with the observed symbols are joined.
+    """
+    now = pi.where("pi > 0").select(F.col("state").alias("s"), F.col("pi").alias("w"))
+    steps = edges_m.where("p > 0").select(F.col("s_from").alias("s"), "x", "s_to", "p")
+    for symbol in past:
+        now = now.join(steps.where(F.col("x") == symbol), "s").groupBy(F.col("s_to").alias("s")).agg(F.sum(F.col("w") * F.col("p")).alias("w"))
+    following = now.join(steps, "s").groupBy("x").agg(F.sum(F.col("w") * F.col("p")).alias("w"))
+    return following.select("x", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1)))).alias("p"))  # one row per symbol
 
 
 def next_output(edges_m: DataFrame, edges_t: DataFrame, pi: DataFrame, xs: str, past: str) -> DataFrame:

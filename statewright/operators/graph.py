@@ -62,18 +62,21 @@ def recurrent(nodes: list[int], edges: set[tuple[int, int]]) -> set[int]:
     return {n for n in kept if label[n] == best}
 
 
-def history_transitions(histories: DataFrame, emissions: DataFrame, length: int) -> DataFrame:
+def history_transitions(histories: DataFrame, emissions: DataFrame, length: int, memoryless: bool = False) -> DataFrame:
     """model_id, s_from, x, y, s_to from ``histories(model_id, state, ord, xs, ys)``.
 
+    ``memoryless``: past outputs are masked, so every output leads to the same state.
+
     A history of full length loses its oldest pair first.  A state that owns
     histories of length L - 1 moves by these only; of several, the last counts.
     """
     sized = histories.withColumn("len", F.length("ys"))
     short = F.max((F.col("len") == length - 1).cast("int")).over(Window.partitionBy("model_id", "state"))
     used = sized.withColumn("short", short).where((F.col("short") == 0) | (F.col("len") == length - 1))
-    grown = used.join(F.broadcast(emissions.select("x", "y")))  # as many rows as histories times emissions
+    grown = used.join(F.broadcast(pinned(emissions.select("x", "y"))))  # as many rows as histories times emissions
+    seen = F.lit("n") if memoryless else F.col("y")
     drop = F.when(F.col("len") >= length, 2).otherwise(1)
-    nexts = grown.select("model_id", F.col("state").alias("s_from"), "ord", "x", "y", F.substring(F.concat("xs", "x"), drop, F.lit(length)).alias("nx"), F.substring(F.concat("ys", "y"), drop, F.lit(length)).alias("ny"))
+    nexts = grown.select("model_id", F.col("state").alias("s_from"), "ord", "x", "y", F.substring(F.concat("xs", "x"), drop, F.lit(length)).alias("nx"), F.substring(F.concat("ys", seen), drop, F.lit(length)).alias("ny"))
     goals = histories.select("model_id", F.col("state").alias("s_to"), F.col("xs").alias("nx"), F.col("ys").alias("ny"))
     found = nexts.join(goals, ["model_id", "nx", "ny"])
     return found.groupBy("model_id", "s_from", "x", "y").agg(F.max_by("s_to", "ord").alias("s_to"))
@@ -122,12 +125,26 @@ def without_transients(edges: DataFrame, depth: int) -> DataFrame:
     return kept.join(leaving.select(F.col("s_from").alias("s_to")), "s_to", "left_anti").select(*edges.columns)
 
 
+def largest_component(edges: DataFrame, depth: int) -> DataFrame:
+    """Edges of the component with the most states; of equals, of the one with the least state."""
+    parts = mutual_components(edges, depth)
+    best = parts.groupBy("component").agg(F.count("*").alias("size")).agg(F.min(F.struct((-F.col("size")).alias("size"), "component")).alias("best")).select("best.component")
+    states = parts.join(F.broadcast(best), "component", "left_semi").select("state")  # one row is broadcast
+    inner = edges.join(states.withColumnRenamed("state", "s_from"), "s_from", "left_semi")
+    return inner.join(states.withColumnRenamed("state", "s_to"), "s_to", "left_semi").select(*edges.columns)
+
+
+def recurrent_part(edges: DataFrame, depth: int) -> DataFrame:
+    """Transient states go; of what is left the largest component stays."""
+    return largest_component(pinned(without_transients(edges, depth)), depth)
+
+
 def map_words(words: DataFrame, edges_t: DataFrame, length: int, states: DataFrame) -> DataFrame:
     """xs, ys, state reached from the first state in which the word is possible (null if none).
 
     ``states``: state, idx gives their order; an edge's probability doesn't matter.
     """
-    now = words.select("xs", "ys").distinct().join(F.broadcast(states.select(F.col("state").alias("s"), F.col("idx").alias("start"))))
+    now = words.select("xs", "ys").distinct().join(F.broadcast(pinned(states).select(F.col("state").alias("s"), F.col("idx").alias("start"))))
     for i in range(1, length + 1):
         step = edges_t.select(F.col("s_from").alias("s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("s_to"))
         here = now.withColumns({"_x": F.substring("xs", i, 1), "_y": F.substring("ys", i, 1)})
@@ -139,7 +156,7 @@ def map_words(words: DataFrame, edges_t: DataFrame, length: int, states: DataFra
 def word_map(spark, edges_t: DataFrame, length: int, states: DataFrame) -> DataFrame:
     """x_num, y_num, state for all pairs of binary words: a word as a fraction, the newest symbol first."""
     half = spark.range(1 << length).select(F.lpad(F.bin("id"), length, "0").alias("w"))
-    words = half.select(F.col("w").alias("xs")).join(F.broadcast(half.select(F.col("w").alias("ys"))))
+    words = half.select(F.col("w").alias("xs")).crossJoin(half.select(F.col("w").alias("ys")))  # every pair of words is what is asked for
     fraction = lambda c: F.conv(F.reverse(c), 2, 10).cast("double") / float(1 << length)
     return map_words(words, edges_t, length, states).where("state is not null").select(fraction("xs").alias("x_num"), fraction("ys").alias("y_num"), "state")
 

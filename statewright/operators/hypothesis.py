@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.small import pinned
 from ..functions.stats import chi2_tail
 
 #: Degrees of freedom up to which critical values are laid out in a plan; beyond, :func:`rejected` raises.
@@ -42,7 +43,7 @@ def parent_pairs(words: DataFrame) -> DataFrame:
     rows = words.select("k", "xs", F.expr("left(ys, k - 1)").alias("past"), F.expr("right(ys, 1)").alias("y"), "n")
     child = rows.where("k > 1")
     cells = child.select(F.expr("left(xs, k - 1)").alias("hx"), F.col("past").alias("hy"), F.expr("right(xs, 1)").alias("x")).distinct()
-    outputs = rows.select("y").distinct()
+    outputs = pinned(rows.select("y").distinct())
     grid = cells.join(F.broadcast(outputs))  # rows times the output alphabet
     counted = grid.join(child.select(F.expr("left(xs, k - 1)").alias("hx"), F.col("past").alias("hy"), F.expr("right(xs, 1)").alias("x"), "y", F.col("n").alias("n_child")), ["hx", "hy", "x", "y"], "left")
     parent = rows.select(F.expr("left(xs, k - 1)").alias("px"), F.col("past").alias("py"), F.expr("right(xs, 1)").alias("x"), "y", F.col("n").alias("n_parent"))

@@ -13,11 +13,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.small import pinned
 from ..functions.stats import homogeneity_test
-from .graph import recurrent
+from .counts import morphs_from_filtered, word_counts
+from .graph import history_transitions, recurrent
 
 History = tuple[str, str]
 Morph = list[list[float]]
@@ -222,3 +224,54 @@ def edges(transitions: DataFrame, morph: DataFrame) -> DataFrame:
     """model_id, s_from, x, y, s_to, p: transitions with their probabilities."""
     p = emission(morph).select("model_id", F.col("state").alias("s_from"), "x", "y", "p")
     return transitions.join(p, ["model_id", "s_from", "x", "y"]).select("model_id", "s_from", "x", "y", "s_to", "p")
+
+
+@dataclass
+class Model:
+    """A fitted model as tables: histories(model_id, state, ord, xs, ys), transitions(.., s_from, x, y, s_to), morph(.., state, x, y, n), edges(.., s_from, x, y, s_to, p)."""
+
+    histories: DataFrame
+    transitions: DataFrame
+    morph: DataFrame
+    edges: DataFrame
+    length: int
+
+    def save(self, path: str) -> None:
+        for name in MODEL_TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.edges.sparkSession.range(1).selectExpr(f"{self.length} AS length").write.mode("overwrite").parquet(f"{path}/length")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(*[read(name) for name in MODEL_TABLES], read("length").first()["length"])
+
+
+MODEL_TABLES = ("histories", "transitions", "morph", "edges")
+
+
+def fitted(symbols: DataFrame, axs: list[str], ays: list[str], length: int, alpha: float = 0.001, kind: str = "chi2", longest: int | None = None, reestimate: bool = False, model_id: str = "model") -> Model:
+    """The model of a symbol table, its words counted once (to ``longest``, if that is more than ``length``).
+
+    ``reestimate`` counts outputs anew by the states that filtering assigns to
+    each position, instead of by the histories that make up a state.
+    """
+    words = pinned(word_counts(symbols, longest or length)).withColumn("model_id", F.lit(model_id))
+    return fitted_words(words.where(F.col("k") <= length + 1), axs, ays, length, alpha, kind, symbols if reestimate else None)
+
+
+def fitted_words(words: DataFrame, axs: list[str], ays: list[str], length: int, alpha: float = 0.001, kind: str = "chi2", refilter: DataFrame | None = None) -> Model:
+    """The model of counted words of one model_id; outputs counted anew along ``refilter``, if given."""
+    from .filters import SuffixModel, filter_states
+
+    found = pinned(infer(words, axs, ays, length, alpha, kind))
+    emissions = found.sparkSession.createDataFrame([(x, y) for x in axs for y in ays], "x string, y string")
+    transitions = pinned(history_transitions(found, emissions, length))
+    morph = morphs(found, words)
+    if refilter is not None:
+        model = SuffixModel.read(found, transitions, length)
+        model_id = found.select("model_id").first()[0]
+        counted = morphs_from_filtered(filter_states(refilter, model), refilter)
+        morph = counted.select(F.lit(model_id).alias("model_id"), F.col("state").cast("int").alias("state"), "x", "y", "n")
+    morph = pinned(morph)
+    return Model(found, transitions, morph, pinned(edges(transitions, morph)), length)

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PythonException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import pinned
+from ..functions.small import held, pinned
 from ..functions.stats import entropy
 from .algebra import stationary_exact
 from .counts import word_counts
-from .encode import constant_input
+from .encode import constant_input, split_train_test
 from .filters import Belief, belief_filter
-from .graph import history_transitions
-from .infer import Clustering, canonical, edges, infer, morphs
-from .measures import measures, symbol_matrices
+from .infer import Clustering, Model, canonical, fitted, fitted_words
+from .measures import measure_models, measures, symbol_matrices
 from .simulate import Walker, generator
 
 
@@ -90,34 +91,46 @@ def choose_length(spark: SparkSession, series: list[str], ays: list[str], longes
     return lengths.groupBy("length").applyInPandas(run, "length int, states int, loglik double, score double, topology string")
 
 
-def choose_length_of(symbols: DataFrame, ays: list[str], longest: int, alpha: float = 0.001, kind: str = "chi2") -> DataFrame:
-    """length, states, loglik, score (BIC) for symbol tables of any size under a constant input.
+def choose_length_of(symbols: DataFrame, ays: list[str], longest: int, alpha: float = 0.001, kind: str = "chi2", held_out: bool = False) -> DataFrame:
+    """length, states, loglik, score, topology for symbol tables of any size under a constant input.
 
     Counts are taken once, at the longest length; each length's machine is
     inferred from them and its likelihood summed by the distributed belief
-    filter.  A length without a recurrent part, or that finds a symbol
-    impossible, has an infinite score.
+    filter.  The score is BIC over all symbols, or the mean log loss on the second
+    half of each series with the model of the first halves.  A length without a
+    recurrent part, or that finds a symbol impossible, has an infinite score.
     """
     spark = symbols.sparkSession
-    symbols = constant_input(symbols)
-    words = pinned(word_counts(symbols, longest)).withColumn("model_id", F.lit(0))
-    n = symbols.count()
-    emissions = spark.createDataFrame([("0", y) for y in ays], "x string, y string")
+    fit = test = constant_input(symbols)
+    if held_out:
+        halves = split_train_test(fit)
+        cut = halves.where("part = 'train'").groupBy("series_id").agg(F.count("*").alias("_first"))
+        fit = halves.where("part = 'train'").drop("part")
+        late = halves.where("part = 'test'").join(cut, "series_id", "left")
+        test = late.select("series_id", (F.col("t") - F.coalesce("_first", F.lit(0))).alias("t"), "x", "y")
+    words = pinned(word_counts(fit, longest)).withColumn("model_id", F.lit("model"))
+    n = test.count()
     rows = []
     for length in range(1, longest + 1):
-        known = words.where(F.col("k") <= length + 1)
-        found = pinned(infer(known, ["0"], ays, length, alpha, kind))
-        edges_t = pinned(edges(history_transitions(found, emissions, length), morphs(found, known)).select(F.col("s_from").cast("string"), "x", "y", F.col("s_to").cast("string"), "p"))
-        table = [(r["s_from"], r["y"], r["s_to"], r["p"]) for r in edges_t.orderBy("s_from", "y").collect()]
+        try:
+            model = fitted_words(words.where(F.col("k") <= length + 1), ["0"], ays, length, alpha, kind)
+        except PythonException:  # no recurrent part
+            rows.append((length, 0, -math.inf, math.inf, ""))
+            continue
+        edges_t = model.edges.select(F.col("s_from").cast("string").alias("s_from"), "x", "y", F.col("s_to").cast("string").alias("s_to"), "p")
+        table = sorted((r["s_from"], r["y"], r["s_to"], r["p"]) for r in held(edges_t))
         states, mats = symbol_matrices(table)
         pi = stationary_exact(sum(mats.values()))
         start = spark.createDataFrame([(s, "M", float(p)) for s, p in zip(states, pi, strict=True)], "t string, m string, pi double")
         one = spark.createDataFrame([("M", "0", "M", 1.0)], "s_from string, x string, s_to string, p double")
-        seen = belief_filter(symbols, one, edges_t, start, ays)
+        seen = belief_filter(test, one, edges_t, start, ays)
         ll = seen.agg(F.sum(F.when(F.col("p_seen") > 0, F.log("p_seen")).otherwise(float("-inf")))).first()[0] or 0.0
-        count = found.select("state").distinct().count()
-        rows.append((length, count, float(ll), float(-2 * ll + count * (len(ays) - 1) * math.log(max(n, 1)))))
-    return spark.createDataFrame(rows, "length int, states int, loglik double, score double")
+        owners = {(r["xs"], r["ys"]): r["state"] for r in held(model.histories)}
+        shape = canonical(sorted(set(owners.values())), {(int(a), "0", y): int(b) for a, y, b, _ in table}, min(owners.items())[1])
+        count = len(set(owners.values()))
+        score = -ll / max(n, 1) if held_out else -2 * ll + count * (len(ays) - 1) * math.log(max(n, 1))
+        rows.append((length, count, float(ll), float(score), shape))
+    return spark.createDataFrame(rows, "length int, states int, loglik double, score double, topology string")
 
 
 def best_length(scores: DataFrame) -> int:
@@ -153,25 +166,61 @@ def bootstrap(spark: SparkSession, moves: list[tuple[object, str, object, float]
     return ids.mapInPandas(run, "boot_id bigint, cmu double, hmu double, excess double, failed boolean")
 
 
+@dataclass
+class Bootstrap:
+    """The chosen length, the model, its measures (one row), and those of the replicates."""
+
+    length: int
+    model: Model
+    measures: DataFrame
+    replicates: DataFrame
+
+
+def bootstrap_of(symbols: DataFrame, ays: list[str], longest: int, replicates: int, size: int | None = None, alpha: float = 0.001, seed: int = 0, length: int | None = None) -> Bootstrap:
+    """End to end: choose the length (unless given), fit, measure, simulate the fitted machine, fit and measure each replicate.
+
+    ``size``: symbols of a replicate; as many as were observed unless given.
+    """
+    observed = constant_input(symbols)
+    best = length or best_length(choose_length_of(observed, ays, longest, alpha))
+    model = fitted(observed, ["0"], ays, best, alpha, longest=longest)
+    moves = sorted((r["s_from"], r["y"], r["s_to"], r["p"]) for r in held(model.edges))
+    machine = model.edges.select("model_id", F.col("s_from").cast("string").alias("s_from"), F.col("y").alias("x"), F.col("s_to").cast("string").alias("s_to"), "p")
+    drawn = bootstrap(symbols.sparkSession, moves, ays, best, size or observed.count(), replicates, alpha, seed)
+    return Bootstrap(best, model, measure_models(machine), drawn)
+
+
 def interval(thetas: DataFrame, measure: str, level: float = 0.95) -> DataFrame:
     """measure, low, high, n, n_failed: a central percentile interval of a column; failures are counted, not used."""
     low, high = (1 - level) / 2, (1 + level) / 2
     return thetas.agg(F.lit(measure).alias("measure"), F.percentile(measure, F.lit(low)).alias("low"), F.percentile(measure, F.lit(high)).alias("high"), F.count(measure).alias("n"), F.count_if(F.col(measure).isNull()).alias("n_failed"))
 
 
-def confidence_curve(thetas: DataFrame, measure: str) -> DataFrame:
-    """theta, ecdf, cc = |2 ecdf - 1|, p = 1 - cc at each distinct value; ranks sum counts of values."""
-    from pyspark.sql import Window
+#: Ranges into which values are cut to be ranked side by side.
+RANGES = 64
+
 
+def confidence_curve(thetas: DataFrame, measure: str, ranges: int = RANGES) -> DataFrame:
+    """theta, ecdf, cc = |2 ecdf - 1|, p = 1 - cc at each distinct value.
+
+    Values are ranked inside ranges between quantiles, plus the counts of the ranges before.
+    """
     values = thetas.where(F.col(measure).isNotNull()).groupBy(F.col(measure).alias("theta")).agg(F.count("*").alias("n"))
-    upto, all_rows = Window.orderBy("theta").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(1))  # one row per replicate at most
-    ecdf = F.sum("n").over(upto) / F.sum("n").over(all_rows)
+    bounds = values.agg(F.percentile_approx("theta", [i / ranges for i in range(1, ranges)]).alias("b")).first()["b"] or []
+    within = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("theta"))) if bounds else F.lit(0)
+    placed = values.withColumn("range", within)
+    sizes = placed.groupBy("range").agg(F.sum("n").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    offsets = sizes.select(F.col("range").alias("_range"), before.alias("before"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("all"))
+    ranked = placed.join(F.broadcast(offsets), placed["range"] == offsets["_range"])
+    upto = Window.partitionBy("range").orderBy("theta").rowsBetween(Window.unboundedPreceding, 0)
+    ecdf = (F.col("before") + F.sum("n").over(upto)) / F.col("all")
     cc = F.abs(2 * ecdf - 1)
-    return values.select("theta", ecdf.alias("ecdf"), cc.alias("cc"), (1 - cc).alias("p"))
+    return ranked.select("theta", ecdf.alias("ecdf"), cc.alias("cc"), (1 - cc).alias("p"))
 
 
 def quantile(thetas: DataFrame, measure: str, q: float) -> DataFrame:
     return thetas.agg(F.percentile(measure, F.lit(q)).alias("theta"))
 
 
-__all__ = ["best_length", "bootstrap", "choose_length", "choose_length_of", "confidence_curve", "interval", "quantile"]
+__all__ = ["best_length", "bootstrap", "bootstrap_of", "choose_length", "choose_length_of", "confidence_curve", "interval", "quantile"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import pinned
+from ..functions.small import pinned, shared_folder
 from ..functions.stats import state_label
 from ..operators import algebra, counts, encode, filters, graph, hypothesis, infer, measures, metrics, selection, simulate
 from ..sources import models
@@ -384,6 +385,27 @@ def remove_transients(spark, sf):
     return graph.without_transients(edges, 4)
 
 
+FLOWS = """WITH RECURSIVE li AS (SELECT l_orderkey AS series_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS t, 'l' || l_returnflag AS y FROM lineitem),
+od AS (SELECT o_custkey AS series_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t, 'o' || o_orderstatus AS y FROM orders),
+w AS (SELECT y AS a, lead(y) OVER (PARTITION BY series_id ORDER BY t) AS b FROM li UNION ALL SELECT y, lead(y) OVER (PARTITION BY series_id ORDER BY t) FROM od),
+e AS (SELECT DISTINCT a AS s_from, b AS s_to FROM w WHERE b IS NOT NULL UNION SELECT 'start', 'lR' UNION SELECT 'end', 'end'),
+r AS (SELECT s_from, s_to, 1 AS d FROM e UNION SELECT r.s_from, e.s_to, d + 1 FROM r JOIN e ON r.s_to = e.s_from WHERE d < 6), q AS (SELECT DISTINCT s_from, s_to FROM r),
+n AS (SELECT s_from AS state FROM e UNION SELECT s_to FROM e),
+c AS (SELECT n.state, coalesce((SELECT min(a.s_to) FROM q a JOIN q b ON a.s_from = b.s_to AND a.s_to = b.s_from WHERE a.s_from = n.state), n.state) AS component FROM n),
+lv AS (SELECT DISTINCT e.s_from FROM e JOIN c x ON x.state = e.s_from JOIN c y ON y.state = e.s_to WHERE x.component <> y.component),
+k AS (SELECT component, count(*) AS size FROM c WHERE state NOT IN (SELECT s_from FROM lv) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"""
+
+
+@query(FLOWS + " SELECT e.* FROM e WHERE s_from IN (SELECT state FROM c JOIN k USING (component)) AND s_to IN (SELECT state FROM c JOIN k USING (component))")
+def recurrent_component(spark, sf):
+    """Of two flows, a sink and a transient start the largest closed component."""
+    after = F.lead("y").over(Window.partitionBy("series_id").orderBy("t"))
+    flow = lambda symbols, mark: symbols.select(F.concat(F.lit(mark), "y").alias("s_from"), F.concat(F.lit(mark), after).alias("s_to"))
+    seen = flow(lineitems(spark, sf), "l").unionByName(flow(orders(spark, sf), "o")).where("s_to is not null").distinct()
+    more = spark.createDataFrame([("start", "lR"), ("end", "end")], "s_from string, s_to string")
+    return graph.recurrent_part(pinned(seen.unionByName(more)), 6)
+
+
 @query(
     f"{MT}, h AS (SELECT lpad(bin(a.i), 3, '0') AS w FROM range(8) a(i)), st AS (SELECT s_from AS state, row_number() OVER (ORDER BY s_from) AS i FROM (SELECT DISTINCT s_from FROM tr)), "
     "z AS (SELECT x.w AS xs, y.w AS ys, t3.s_to AS state, row_number() OVER (PARTITION BY x.w, y.w ORDER BY st.i) AS o FROM h x, h y, st JOIN tr t1 ON t1.s_from = st.state JOIN tr t2 ON t2.s_from = t1.s_to JOIN tr t3 ON t3.s_from = t2.s_to WHERE t1.x || t2.x || t3.x = x.w AND t1.y || t2.y || t3.y = y.w) "
@@ -529,7 +551,9 @@ def empirical_entropy_rate(spark, sf):
 
 @query(WORDS3 + " SELECT right(word, 1) AS x, round(p / sum(p) OVER (), 6) AS p FROM wp WHERE length(word) = 3 AND left(word, 2) = 'pv'")
 def predict_presync_machine(spark, sf):
-    return filters.next_symbol(letter_words(spark, sf), "pv")
+    machine_edges = letter_machine(spark, sf)
+    pi = algebra.stationary(machine_edges, ["s_from"], ["s_to"]).select(F.col("s_from").alias("state"), "pi")
+    return filters.next_symbol(machine_edges, pi, "pv")
 
 
 @query(
@@ -685,6 +709,68 @@ def talk_words(spark: SparkSession, sf: str, length: int = 2) -> DataFrame:
     return counts.word_counts(conversations(spark, sf), length).withColumn("model_id", F.lit("talks"))
 
 
+DELAYED = f"{S}, d AS (SELECT series_id, t, x, coalesce(lag(x) OVER (PARTITION BY series_id ORDER BY t), '0') AS y FROM s)"
+
+
+def delayed_words(spark: SparkSession, sf: str, length: int = 2) -> DataFrame:
+    return counts.word_counts(simulate.delay(inputs(spark, sf)), length).withColumn("model_id", F.lit("delay"))
+
+
+def last_input(histories: DataFrame) -> DataFrame:
+    """States named by the last inputs of their histories; a state with two of them gets both."""
+    names = histories.groupBy("state").agg(F.array_join(F.array_sort(F.collect_set(F.expr("right(xs, 1)"))), "").alias("name"))
+    return histories.join(F.broadcast(names), "state")
+
+
+@query(f"WITH {DELAYED}, {words_sql(2, 'd')} SELECT DISTINCT left(xs, k - 1) AS xs, left(ys, k - 1) AS ys, right(left(xs, k - 1), 1) AS state FROM g WHERE k IN (2, 3)")
+def causal_states_delay(spark, sf):
+    """The states of a channel that answers the input before are its last inputs."""
+    found = infer.infer(delayed_words(spark, sf), ["0", "1"], ["0", "1"], 2)
+    return last_input(found).select("xs", "ys", F.col("name").alias("state"))
+
+
+@query(f"WITH {DELAYED} SELECT a.x AS s_from, b.x, a.x AS y, b.x AS s_to, 1.0::DOUBLE AS p FROM (SELECT DISTINCT x FROM d) a, (SELECT DISTINCT x FROM d) b")
+def causal_state_edges_delay(spark, sf):
+    model = infer.fitted(simulate.delay(inputs(spark, sf)), ["0", "1"], ["0", "1"], 2)
+    names = last_input(model.histories).select("state", "name").distinct()
+    one, two = (names.select(F.col("state").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s_from", "s_to"))
+    return model.edges.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "x", "y", F.col("s_to_name").alias("s_to"), "p")
+
+
+@query(f"WITH {DELAYED}, q AS (SELECT x, y, lag(x) OVER (PARTITION BY series_id ORDER BY t) AS state, t FROM d) SELECT state, x, y, count(*) AS n FROM q WHERE t >= 1 GROUP BY ALL")
+def morphs_refitted_delay(spark, sf):
+    """Outputs counted by the states that filtering assigns, from the second symbol on."""
+    model = infer.fitted(simulate.delay(inputs(spark, sf)), ["0", "1"], ["0", "1"], 2, reestimate=True)
+    names = last_input(model.histories).select("state", "name").distinct()
+    return model.morph.join(names, "state").select(F.col("name").alias("state"), "x", "y", "n")
+
+
+@query(f"WITH {DELAYED} SELECT a.x AS s_from, b.x, c.x AS y, b.x AS s_to FROM (SELECT DISTINCT x FROM d) a, (SELECT DISTINCT x FROM d) b, (SELECT DISTINCT x FROM d) c")
+def memoryless_transitions(spark, sf):
+    """With past outputs masked every output leads to the state of the input."""
+    words = counts.output_memoryless_counts(simulate.delay(inputs(spark, sf)), 2).withColumn("model_id", F.lit("delay"))
+    found = pinned(infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False, output_memoryless=True))
+    emissions = spark.createDataFrame([(x, y) for x in "01" for y in "01"], "x string, y string")
+    moves = graph.history_transitions(found, emissions, 2, memoryless=True)
+    names = last_input(found).select("state", "name").distinct()
+    one, two = (names.select(F.col("state").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s_from", "s_to"))
+    return moves.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "x", "y", F.col("s_to_name").alias("s_to"))
+
+
+CYCLE = "(VALUES ('10', '0', '00'), ('00', '1', '01'), ('01', '1', '11'), ('11', '0', '10'))"
+
+
+@query(f"SELECT s_from, y, s_to, 1.0::DOUBLE AS p FROM {CYCLE} v(s_from, y, s_to)")
+def model_round_trip(spark, sf):
+    """A fitted model written and read again; states go by their last two symbols."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    infer.fitted(simulate.period4(spark, 4000), ["0"], ["0", "1"], 3).save(path)
+    model = infer.Model.load(spark, path)
+    names = model.histories.groupBy("state").agg(F.min(F.expr("right(ys, 2)")).alias("name"))
+    one, two = (names.select(F.col("state").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s_from", "s_to"))
+    return model.edges.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "y", F.col("s_to_name").alias("s_to"), "p")
+
+
 @query()
 def causal_states(spark, sf):
     """Histories of the causal states of conversations."""
@@ -731,16 +817,26 @@ def model_measures(spark, sf):
 EVEN = [("A", "0", "A", 0.5), ("A", "1", "B", 0.5), ("B", "1", "A", 1.0)]
 
 
-@query()
-def choose_length_bic(spark, sf):
-    sample = ["".join(simulate.Walker(EVEN).run(simulate.generator(3, 0), 3000, 0)[0])]
-    return selection.choose_length(spark, sample, ["0", "1"], 4)
+# With one symbol of memory the cycle 1001 looks like coin tosses, and one state is left; with two or three it has four, and only the start is unsure.
+@query(
+    "WITH s AS (SELECT t, substr('1001', (t % 4 + 1)::INT, 1)::INT AS y FROM range(4000) r(t)), n AS (SELECT *, lead(y) OVER (ORDER BY t) AS z FROM s), p AS (SELECT (sum(y) + sum(z)) / (2 * count(*)) AS p FROM n WHERE t < 3997), "
+    "f AS (SELECT 1 AS length, 1 AS states, (SELECT sum(ln(CASE y WHEN 1 THEN p ELSE 1 - p END)) FROM s, p) AS ll UNION ALL SELECT 2, 4, ln(0.25) UNION ALL SELECT 3, 4, ln(0.25)) "
+    "SELECT length, states, round(ll, 6) AS loglik, round(-2 * ll + states * ln(4000), 6) AS score FROM f"
+)
+def choose_length_period4(spark, sf):
+    return selection.choose_length_of(simulate.period4(spark, 4000), ["0", "1"], 3).drop("topology")
+
+
+@query("SELECT 2 AS length")
+def best_length_period4(spark, sf):
+    """Lengths 2 and 3 give one topology: the shorter is chosen."""
+    return spark.createDataFrame([(selection.best_length(selection.choose_length_of(simulate.period4(spark, 4000), ["0", "1"], 3)),)], "length int")
 
 
 @query()
-def choose_length_logloss(spark, sf):
-    sample = ["".join(simulate.Walker(EVEN).run(simulate.generator(3, 0), 3000, 0)[0])]
-    return selection.choose_length(spark, sample, ["0", "1"], 4, held_out=True)
+def choose_length_orders_logloss(spark, sf):
+    """Held-out log loss: the first half of each customer's orders fits, the second is scored."""
+    return selection.choose_length_of(orders(spark, sf), ["F", "O", "P"], 3, held_out=True).drop("topology")
 
 
 @query()
@@ -753,23 +849,37 @@ def bootstrap_replicates(spark, sf):
     return selection.bootstrap(spark, EVEN, ["0", "1"], 3, 1000, 40)
 
 
+def cycle_bootstrap(spark: SparkSession) -> selection.Bootstrap:
+    return selection.bootstrap_of(simulate.period4(spark, 4000), ["0", "1"], 3, 20, 400)
+
+
+# A machine that leaves nothing to chance has the same measures in every replicate.
+@query("SELECT b AS boot_id, 2.0::DOUBLE AS cmu, 0.0::DOUBLE AS hmu, 2.0::DOUBLE AS excess, false AS failed FROM range(20) r(b)")
+def bootstrap_period4(spark, sf):
+    return cycle_bootstrap(spark).replicates
+
+
+@query("SELECT 'cmu' AS measure, 2.0::DOUBLE AS low, 2.0::DOUBLE AS high, 20::BIGINT AS n, 0::BIGINT AS n_failed")
+def bootstrap_period4_interval(spark, sf):
+    return selection.interval(cycle_bootstrap(spark).replicates, "cmu")
+
+
 def thetas(spark: SparkSession, sf: str) -> DataFrame:
-    """Figures standing for replicates: values of orders, some missing."""
-    table = spark.read.parquet(f"{sf}/orders.parquet")
-    return table.select(F.col("o_orderkey").alias("boot_id"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice").cast("double")).alias("cmu"))
+    """Figures standing for replicates: the values of all orders."""
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("boot_id"), F.col("o_totalprice").cast("double").alias("cmu"))
 
 
-@query("SELECT 'cmu' AS measure, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n, count(*) FILTER (v IS NULL) AS n_failed FROM (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice::DOUBLE END AS v FROM orders)")
+@query("SELECT 'cmu' AS measure, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n, count(*) FILTER (v IS NULL) AS n_failed FROM (SELECT o_totalprice::DOUBLE AS v FROM orders)")
 def bootstrap_interval(spark, sf):
     return selection.interval(thetas(spark, sf), "cmu")
 
 
-@query("SELECT round(quantile_cont(v, 0.25), 6) AS theta FROM (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice::DOUBLE END AS v FROM orders)")
+@query("SELECT round(quantile_cont(v, 0.25), 6) AS theta FROM (SELECT o_totalprice::DOUBLE AS v FROM orders)")
 def bootstrap_quantile(spark, sf):
     return selection.quantile(thetas(spark, sf), "cmu", 0.25)
 
 
-@query("WITH v AS (SELECT o_totalprice::DOUBLE AS v FROM orders WHERE o_orderkey % 10 <> 0), e AS (SELECT v AS theta, max(c) AS ecdf FROM (SELECT v, cume_dist() OVER (ORDER BY v) AS c FROM v) GROUP BY 1) SELECT round(theta, 6) AS theta, round(ecdf, 6) AS ecdf, round(abs(2 * ecdf - 1), 6) AS cc, round(1 - abs(2 * ecdf - 1), 6) AS p FROM e")
+@query("WITH v AS (SELECT o_totalprice::DOUBLE AS v FROM orders), e AS (SELECT v AS theta, max(c) AS ecdf FROM (SELECT v, cume_dist() OVER (ORDER BY v) AS c FROM v) GROUP BY 1) SELECT round(theta, 6) AS theta, round(ecdf, 6) AS ecdf, round(abs(2 * ecdf - 1), 6) AS cc, round(1 - abs(2 * ecdf - 1), 6) AS p FROM e")
 def confidence_curve(spark, sf):
     return selection.confidence_curve(thetas(spark, sf), "cmu")
 

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.small import held, pinned
 from ..functions.stats import significant, state_label
 
 EDGE = r'^\s*(\S+)\s*->\s*(\S+)\s*\[label = "(.*)"\];?\s*$'
 
-# The lines that open a graph file.
-GRAPH_HEAD = [
-    "digraph  {", 'size = "6,8.5";', 'ratio = "fill";', "node", "[shape = circle];", "node [fontsize = 24];", "node [penwidth = 5];", "edge [fontsize = 24];",
-    'node [fontname = "CMU Serif Roman"];', 'graph [fontname = "CMU Serif Roman"];', 'edge [fontname = "CMU Serif Roman"];',
-]
+GRAPH_HEAD = ["digraph {", "node [shape = circle];"]
 
 
 def read_series(spark: SparkSession, path: str, every_line: bool = False) -> DataFrame:
@@ -26,10 +23,20 @@ def read_series(spark: SparkSession, path: str, every_line: bool = False) -> Dat
 
 
 def pair_series(x: DataFrame, y: DataFrame) -> DataFrame:
-    """series_id (line), X, Y of two line tables; a line without its partner, or of another length, raises."""
-    both = x.select("line", F.col("text").alias("X")).join(y.select("line", F.col("text").alias("Y")), "line", "full")
+    """series_id, X, Y of two line tables: the n-th file of one (by path) goes with the n-th of the other, line by line.
+
+    A line without its partner, or of another length, raises.  ``series_id`` is
+    the line, plus 2^32 times the file's number.
+    """
+
+    def numbered(lines: DataFrame, name: str) -> DataFrame:
+        files = pinned(lines.select("path").distinct()).select("path", F.row_number().over(Window.orderBy("path")).alias("file"))  # one row per file
+        return lines.join(F.broadcast(files), "path").select((F.col("file") - 1).cast("long").alias("file"), "line", F.col("text").alias(name))
+
+    both = numbered(x, "X").join(numbered(y, "Y"), ["file", "line"], "full")
     ok = F.length("X") == F.length("Y")
-    return both.select(F.col("line").cast("long").alias("series_id"), F.when(F.coalesce(ok, F.lit(False)), F.col("X")).otherwise(F.raise_error(F.lit("series differ in number or length"))).alias("X"), "Y")
+    checked = F.when(F.coalesce(ok, F.lit(False)), F.col("X")).otherwise(F.raise_error(F.lit("series differ in number or length")))
+    return both.select((F.shiftleft("file", 32) + F.col("line")).alias("series_id"), checked.alias("X"), "Y")
 
 
 def edge_lines(text: DataFrame) -> DataFrame:
@@ -83,8 +90,6 @@ def read_machine(spark: SparkSession, path: str, dialect: str = "transducer") ->
 
 def state_order(edges: DataFrame) -> DataFrame:
     """path, state, idx in order of first appearance in the file."""
-    from pyspark.sql import Window
-
     seen = edges.select("path", F.col("s_from").alias("state"), (F.col("line") * 2).alias("at")).unionByName(edges.select("path", F.col("s_to").alias("state"), (F.col("line") * 2 + 1).alias("at")))
     first = seen.groupBy("path", "state").agg(F.min("at").alias("at"))
     return first.select("path", "state", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("idx"))
@@ -113,25 +118,43 @@ def null_machine(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("A", "0", "A", 1.0)], "s_from string, x string, s_to string, p double")
 
 
-def graph_text(edges: list[tuple[int, str, str, int, float | None]], all_digits: bool = False, one_line_per_pair: bool = True) -> str:
+def graph_text(edges: list[tuple[int, str, str, int, float | None]], all_digits: bool = False, one_line_per_pair: bool = True, dialect: str = "transducer") -> str:
     """Graph text of (s_from, x, y, s_to, p): labels ``y|x:p``, with three significant digits unless all are asked for.
 
     Edges of one pair of states share a line, each label ended by a backslash
-    and l; otherwise each has a line of its own, without that end.  Unknown or
-    zero probabilities are left out.
+    and l; otherwise each has a line of its own, without that end.  A model of one
+    state has a line per possible label, with all digits.  Unknown probabilities
+    are left out.  Dialects: 'machine' writes ``y:p``, 'memoryless' and
+    'transducer' ``y|x:p``.
     """
-    number = (lambda p: repr(float(p))) if all_digits else significant
+    if dialect not in ("transducer", "machine", "memoryless"):
+        raise ValueError(f"unknown dialect {dialect!r}")
+    single = len({s for a, _, _, b, _ in edges for s in (a, b)}) == 1 and one_line_per_pair
+    number = (lambda p: repr(float(p))) if all_digits or single else significant
     lines: dict[tuple[int, int], list[str]] = {}
     for a, x, y, b, p in edges:
-        if p is not None and p == p and p > 0:
-            lines.setdefault((a, b), []).append(f"{y}|{x}:{number(p)}")
+        if p is not None and p == p and (p > 0 or not single):
+            lines.setdefault((a, b), []).append(f"{y}:{number(p)}" if dialect == "machine" else f"{y}|{x}:{number(p)}")
     out = list(GRAPH_HEAD)
     for (a, b), labels in lines.items():
-        for text in ["".join(f"{x}\\l" for x in labels)] if one_line_per_pair else labels:
+        ended = [f"{x}\\l" for x in labels]
+        for text in (ended if single else ["".join(ended)]) if one_line_per_pair else labels:
             out.append(f'{state_label(a)} -> {state_label(b)} [label = "{text}"];')
     return "\n".join([*out, "}"])
 
 
+def model_edges(histories: DataFrame, transitions: DataFrame, morph: DataFrame) -> list[tuple[int, str, str, int, float | None]]:
+    """(s_from, x, y, s_to, p) of a fitted model in the order of states, outputs and inputs, for :func:`graph_text`."""
+    counts = {(r["state"], r["x"], r["y"]): r["n"] for r in held(morph.select("state", "x", "y", "n"))}
+    rows = held(transitions.select("s_from", "x", "y", "s_to"))
+    total: dict[tuple[int, str], int] = {}
+    for (s, x, _), n in counts.items():
+        total[s, x] = total.get((s, x), 0) + n
+    order = {s: i for i, s in enumerate(sorted({r["state"] for r in held(histories.select("state").distinct())}))}
+    out = [(order[r["s_from"]], r["x"], r["y"], order[r["s_to"]], counts.get((r["s_from"], r["x"], r["y"]), 0) / total[r["s_from"], r["x"]] if total.get((r["s_from"], r["x"])) else None) for r in rows]
+    return sorted(out, key=lambda e: (e[0], e[3], e[2], e[1]))
+
+
 def states_text(histories: list[tuple[int, str, str]], morph: dict[tuple[int, str, str], float], steps: dict[tuple[int, str, str], int], axs: list[str], ays: list[str]) -> str:
     """State listing: histories by length and name, the distribution, the transitions (NULL where there are none)."""
     blocks = []

@@ -25,19 +25,23 @@ def windowed_words(symbols: DataFrame, length: int, every: str = "1 hour", late:
     strings = held.select("w", text("x").alias("x"), text("y").alias("y"))
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("y") - length, F.lit(1)))).alias("i")
     cut = strings.where(F.length("y") > length).select("w", starts, "x", "y")
-    words = cut.select(F.col("w.start").alias("window_start"), F.substring("x", F.col("i"), F.lit(length + 1)).alias("xs"), F.substring("y", F.col("i"), F.lit(length + 1)).alias("ys"))
-    return words.withColumn("n", F.lit(1).cast("long"))
+    words = cut.select("w", F.substring("x", F.col("i"), F.lit(length + 1)).alias("xs"), F.substring("y", F.col("i"), F.lit(length + 1)).alias("ys"))
+    return words.groupBy("w", "xs", "ys").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "xs", "ys", "n")
 
 
-def filter_stream(symbols: DataFrame, model: SuffixModel) -> DataFrame:
+def filter_stream(symbols: DataFrame, model: SuffixModel, idle_ms: int | None = None) -> DataFrame:
     """series_id, t, state before each symbol, carried from batch to batch per series.
 
     What is kept for a series is its last symbols (as many as the model looks
     back on), its position and its state.  Symbols of a batch are put in order of
-    t; those that come after a later one has been filtered are dropped.
+    t; those that come after a later one has been filtered are dropped.  A series
+    without symbols for ``idle_ms`` of processing time is forgotten, if that is given.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         xs, ys, at, last = state.get if state.exists else ("", "", 0, UNKNOWN)
         rows = pd.concat(list(batches)).sort_values("t")
         rows = rows[rows["t"] >= at]
@@ -49,9 +53,11 @@ def filter_stream(symbols: DataFrame, model: SuffixModel) -> DataFrame:
             out.append((key[0], t, last if last != UNKNOWN else None))
             xs, ys, at = (xs + x)[-model.length :], (ys + y)[-model.length :], t + 1
         state.update((xs, ys, at, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["series_id", "t", "state"]).astype({"state": "Int64"})
 
     key = symbols.schema["series_id"].dataType.simpleString()
     return symbols.groupBy("series_id").applyInPandasWithState(
-        step, f"series_id {key}, t bigint, state bigint", "xs string, ys string, at bigint, last bigint", "append", GroupStateTimeout.NoTimeout
+        step, f"series_id {key}, t bigint, state bigint", "xs string, ys string, at bigint, last bigint", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )

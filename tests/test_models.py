@@ -264,9 +264,54 @@ def test_files_round_trip(spark, tmp_path):
     assert [r["text"] for r in models.read_series(spark, str(series)).collect()] == ["0101"]
     both = models.read_series(spark, str(series), every_line=True)
     assert models.pair_series(both, both).count() == 2
+    for name, lines in (("x1", "000\n11"), ("x2", "10"), ("y1", "010\n01"), ("y2", "11")):
+        (tmp_path / name).write_text(lines)
+    xs, ys = (models.read_series(spark, str(tmp_path / f"{c}?"), every_line=True) for c in "xy")
+    assert {(r["X"], r["Y"]) for r in models.pair_series(xs, ys).collect()} == {("000", "010"), ("11", "01"), ("10", "11")}
+    with pytest.raises(Exception, match="differ"):
+        models.pair_series(xs, ys.where("text <> '11'")).collect()
     assert models.null_machine(spark).count() == 1
 
 
+def test_graph_dialects():
+    edge = lambda text: [x for x in text.split("\n") if "->" in x]
+    one = [(0, "0", "0", 0, 1 / 3), (0, "0", "1", 0, 2 / 3), (0, "1", "1", 0, 0.0)]
+    assert edge(models.graph_text(one)) == [f'A -> A [label = "{y}|0:{p!r}\\l"];' for y, p in (("0", 1 / 3), ("1", 2 / 3))]
+    two = [(0, "0", "0", 1, 1 / 3), (0, "0", "1", 1, 2 / 3), (1, "0", "1", 0, 1.0), (1, "0", "0", 0, 0.0)]
+    assert edge(models.graph_text(two)) == ['A -> B [label = "0|0:0.333\\l1|0:0.667\\l"];', 'B -> A [label = "1|0:1.0\\l0|0:0.0\\l"];']
+    assert edge(models.graph_text(two, dialect="machine"))[1] == 'B -> A [label = "1:1.0\\l0:0.0\\l"];'
+    assert edge(models.graph_text(two, one_line_per_pair=False))[0] == 'A -> B [label = "0|0:0.333"];'
+
+
+def test_a_model_is_kept_with_its_graph(spark, tmp_path):
+    symbols = encode.explode_strings(spark.createDataFrame([(0, run_of(GOLDEN, 3000))], "series_id long, Y string"), x=None)
+    model = infer.fitted(symbols, ["0"], ["0", "1"], 3, reestimate=True)
+    model.save(str(tmp_path / "m"))
+    back = infer.Model.load(spark, str(tmp_path / "m"))
+    assert back.length == 3 and sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, model.edges.collect()))
+    edges = models.model_edges(back.histories, back.transitions, back.morph)
+    assert {(a, y, b) for a, _, y, b, p in edges if p} == {(a, y, b) for a, _, y, b, _ in edges} and len(edges) == 3
+    text = models.graph_text(edges, all_digits=True)
+    assert sum(p for _, _, _, _, p in edges) == pytest.approx(2) and text.count("->") == 3
+
+
+def test_failed_replicates_are_counted_not_used(spark):
+    thetas = spark.createDataFrame([(i, None if i % 4 == 0 else float(i)) for i in range(200)], "boot_id long, cmu double")
+    row = selection.interval(thetas, "cmu", 0.5).first()
+    values = sorted(float(i) for i in range(200) if i % 4)
+    assert (row["n"], row["n_failed"]) == (150, 50) and row["low"] == pytest.approx(np.quantile(values, 0.25))
+    curve = {r["theta"]: r["ecdf"] for r in selection.confidence_curve(thetas, "cmu", ranges=7).collect()}
+    assert curve == {v: pytest.approx((i + 1) / 150) for i, v in enumerate(values)}
+
+
+def test_bootstrap_end_to_end(spark):
+    symbols = encode.explode_strings(spark.createDataFrame([(0, run_of(EVEN, 2500))], "series_id long, Y string"), x=None)
+    found = selection.bootstrap_of(symbols, ["0", "1"], 3, 12, length=3)
+    observed = found.measures.first()
+    row = selection.interval(found.replicates, "hmu", 0.99).first()
+    assert row["low"] <= observed["hmu"] <= row["high"] and observed["hmu"] == pytest.approx(2 / 3, abs=0.05) and found.length == 3
+
+
 def test_streams(spark, tmp_path):
     from pyspark.sql import functions as F
 
