@@ -3,7 +3,9 @@
 A curated rule names a host (and all its subdomains) and the beginning of a
 path.  The urls that such rules judge are the labelled ones: their tokens (host
 labels, path words, query keys) together with the verdict are mined by Spark's
-FP-growth.  Rules from token combinations to a verdict are pruned by support and
+FP-growth.  Before that, tokens that always occur together in labelled urls (the
+labels of one domain, say) count as one, and tokens of nearly all of them, which
+tell nothing, go: n such tokens would be in 2^n itemsets.  Rules from token combinations to a verdict are pruned by support and
 confidence, and a longer combination goes where a part of it is as confident.
 They match urls by an inverted index: token to rules, joined with the urls'
 tokens; a rule fits if as many of its tokens are found as it has.  Each distinct
@@ -39,6 +41,8 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
+#: A token in this share of the labelled urls tells nothing.
+EVERYWHERE = 0.99
 BROADCAST_RULES = 50_000
 
 
@@ -69,6 +73,29 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(words(host_of(url), "[.]", "h:"), words(path, "[/._-]+", "p:"), words(keys, "&", "q:"))))
 
 
+def token_names(labelled: DataFrame, support: float) -> DataFrame:
+    """token, name of the tokens of enough labelled urls: the least of those that occur in the same ones; null for tokens of nearly all.
+
+    Two tokens are taken to occur in the same urls if their urls' digests have
+    equal counts and sums.
+    """
+    n = labelled.count()
+    rows = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    digest = F.xxhash64("tokens").cast("decimal(38,0)")
+    seen = rows.select(F.explode("tokens").alias("token"), "n", digest.alias("d")).groupBy("token").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).where(F.col("n") >= support * n)
+    seen = settle(seen)  # at most as many as tokens a url, over the support
+    names = seen.groupBy("n", "d").agg(F.min("token").alias("name"))
+    told = seen.join(names, ["n", "d"])
+    return settle(told.select("token", F.when(F.col("n") < EVERYWHERE * n, F.col("name")).alias("name")))
+
+
+def renamed(token_sets: DataFrame, names: DataFrame) -> DataFrame:
+    """The distinct ``tokens`` with ``items``: the names of those that have one."""
+    side = F.broadcast(names) if names.count() <= BROADCAST_RULES else names
+    spread = token_sets.select("tokens", F.explode("tokens").alias("token")).join(side, "token").where("name is not null")
+    return spread.groupBy("tokens").agg(F.sort_array(F.collect_set("name")).alias("items"))  # no more than the url has tokens
+
+
 def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, tokens, verdict, confidence from rows (tokens, verdict)."""
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("= "), F.col("verdict"))).alias("items"))
@@ -96,13 +123,36 @@ def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     return sides.where("block is not null and (allow is null or allow < block)").select("tokens", F.lit("block").alias("mined"))
 
 
-def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row."""
+def mined_verdicts(labelled: DataFrame, token_sets: DataFrame, support: float, confidence: float) -> DataFrame:
+    """tokens, mined of the distinct ``token_sets`` (tokens) that rules mined from ``labelled`` (tokens, verdict) block."""
+    names = token_names(labelled, support)
+    known = renamed(labelled.select("tokens").distinct(), names)
+    baskets = labelled.join(known, "tokens", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "verdict")
+    rules = mined_rules(baskets, support, confidence)
+    asked = settle(renamed(token_sets, names))
+    found = matched(asked.select(F.col("items").alias("tokens")).distinct(), rules).withColumnRenamed("tokens", "items")
+    return asked.join(found, "items").select("tokens", "mined")
+
+
+def _judged(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url_tokens(url), F.array().cast("array<string>")).alias("tokens"))
-    rows = rows.withColumn("hit", curated(F.col("host"), F.col("path"))).select("page_id", "host", "path", "tokens", "hit.rule", F.col("hit.verdict").alias("given"))
+    return rows.withColumn("hit", curated(F.col("host"), F.col("path"))).select("page_id", "host", "path", "tokens", "hit.rule", F.col("hit.verdict").alias("given"))
+
+
+def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row."""
+    rows = _judged(pages, id_col, url_col)
     labelled = rows.where("given is not null").select("tokens", F.col("given").alias("verdict"))
-    rules = mined_rules(labelled, support, confidence)
-    found = settle(matched(rows.where("given is null").select("tokens").distinct(), rules))
+    found = settle(mined_verdicts(labelled, rows.where("given is null").select("tokens").distinct(), support, confidence))
     judged = rows.join(found, ["tokens"], "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("given", "mined", F.lit("allow")).alias("verdict"))
+
+
+def held_out_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, parts: int = 5) -> DataFrame:
+    """given, mined, n: what curated rules say of one host in ``parts``, and what rules mined from the other hosts do."""
+    rows = _judged(pages, id_col, url_col).where("given is not null").withColumn("out", F.pmod(F.xxhash64("host"), F.lit(parts)) == 0)
+    known, asked = rows.where("not out").select("tokens", F.col("given").alias("verdict")), rows.where("out")
+    found = settle(mined_verdicts(known, asked.select("tokens").distinct(), support, confidence))
+    both = asked.join(found, ["tokens"], "left").select("given", F.coalesce("mined", F.lit("allow")).alias("mined"))
+    return both.groupBy("given", "mined").agg(F.count("*").alias("n"))

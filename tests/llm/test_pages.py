@@ -276,6 +276,49 @@ def test_mined_rules_equal_counting(spark):
     assert got == {(("h:a",), "block"): 1.0, (("h:b",), "allow"): 1.0}
 
 
+def test_tokens_that_go_together_are_mined_as_one(spark):
+    many = [f"h:x{i}" for i in range(30)]  # 2^30 itemsets, were they mined one by one
+    labelled = spark.createDataFrame([(["all", *many], "block")] * 20 + [(["all", "p:z"], "allow")] * 30 + [(["all", "p:z", "p:w"], "allow")] * 10, "tokens array<string>, verdict string")
+    names = {r["token"]: r["name"] for r in url_rules.token_names(labelled, 0.05).collect()}
+    assert names == {"all": None, "p:z": "p:z", "p:w": "p:w"} | dict.fromkeys(many, "h:x0")
+    asked = spark.createDataFrame([(["h:x7"],), (["all", "q:new"],), (["p:z"],), (["h:x1", "h:x2", "p:new"],), ([],)], "tokens array<string>")
+    found = {tuple(r["tokens"]): r["mined"] for r in url_rules.mined_verdicts(labelled, asked, 0.05, 0.9).collect()}
+    assert found == {("h:x7",): "block", ("h:x1", "h:x2", "p:new"): "block"}
+
+
+def test_verdicts_equal_mining_by_hand(spark):
+    """Every combination of up to all tokens, counted; the most confident rules that fit decide, allow before block."""
+    from itertools import combinations
+
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice(['a.example.com', 'www.example.com', 'b.c.net', 'd.org', 'e.org'])}/{rng.choice(['en', 'es', 'fr', 'x', 'x/y'])}/{i}{rng.choice(['', '?ref=1', '?page=2&ref=3'])}" for i in range(300)]
+    pages = page_table(spark, [(i, u, "") for i, u in enumerate(urls)])
+    rows = {r["page_id"]: r for r in url_rules.url_verdicts(pages, support=0.02, confidence=0.9).collect()}
+    tokens = {r["i"]: tuple(r["t"]) for r in pages.select(F.col("page_id").alias("i"), url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    given = {i: rule[1] for i, u in enumerate(urls) if (rule := slow_rule(*slow_parts(u)))}
+    seen, per = {}, {}
+    for i, verdict in given.items():
+        for k in range(1, len(tokens[i]) + 1):
+            for c in combinations(tokens[i], k):
+                seen[c] = seen.get(c, 0) + 1
+                per[c, verdict] = per.get((c, verdict), 0) + 1
+    everywhere = {t for t in {t for ts in tokens.values() for t in ts} if seen.get((t,), 0) >= url_rules.EVERYWHERE * len(given)}
+    rules = {k: n / seen[k[0]] for k, n in per.items() if n >= 0.02 * len(given) and n / seen[k[0]] >= 0.9 and not everywhere & set(k[0])}
+    for i, ts in tokens.items():
+        if i in given:
+            assert rows[i]["verdict"] == given[i]
+            continue
+        best = {v: max((p for (c, w), p in rules.items() if w == v and set(c) <= set(ts)), default=None) for v in ("allow", "block")}
+        blocked = best["block"] is not None and (best["allow"] is None or best["allow"] < best["block"])
+        assert rows[i]["verdict"] == ("block" if blocked else "allow")
+
+
+def test_held_out_hosts(spark):
+    pages = page_table(spark, [(i, f"http://h{i % 20}.example.com/{'en' if i % 3 else 'de'}/{i}", "") for i in range(300)])
+    got = {(r["given"], r["mined"]): r["n"] for r in url_rules.held_out_verdicts(pages).collect()}
+    assert set(got) == {("block", "block"), ("allow", "allow")}
+
+
 @pytest.mark.parametrize("limit", [50_000, -1])
 def test_index_matches_whole_combinations(spark, monkeypatch, limit):
     monkeypatch.setattr(url_rules, "BROADCAST_RULES", limit)
