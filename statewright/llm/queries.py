@@ -90,6 +90,34 @@ SELECT CASE mark WHEN '0a' THEN 'missing' ELSE 'changed' END AS status, file, pl
 FROM p WHERE mark IN ('0a', '1b')
 """
 
+# Every combination of a url's tokens is counted, which FP-growth does without listing them.
+OP8_SQL = r"""
+WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                  regexp_replace(coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), ''), '=[^&]*', '', 'g') AS keys FROM pages),
+g AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM u),
+w AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS given,
+             list_sort(list_distinct(list_concat(
+               list_transform(list_filter(string_split(host, '.'), lambda x: length(x) > 1 AND regexp_matches(x, '[^0-9]')), lambda x: 'h:' || x),
+               list_transform(list_filter(string_split_regex(regexp_replace(path, '[0-9]+', '', 'g'), '[/._-]+'), lambda x: length(x) > 1 AND regexp_matches(x, '[^0-9]')), lambda x: 'p:' || x),
+               list_transform(list_filter(string_split(keys, '&'), lambda x: length(x) > 1 AND regexp_matches(x, '[^0-9]')), lambda x: 'q:' || x)))) AS tokens FROM g),
+l AS (SELECT tokens, given, count(*) AS n FROM w WHERE given IS NOT NULL GROUP BY 1, 2),
+total AS (SELECT sum(n) AS n FROM l),
+everywhere AS (SELECT coalesce(list(token), []) AS names FROM (SELECT token FROM (SELECT unnest(tokens) AS token, n FROM l) GROUP BY 1 HAVING sum(n) >= 0.99 * (SELECT n FROM total))),
+told AS (SELECT given, n, list_filter(tokens, lambda x: NOT list_contains(names, x)) AS tokens FROM l, everywhere),
+part AS (SELECT given, n, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS combo FROM (SELECT given, n, tokens, unnest(range(1, (1 << len(tokens))::BIGINT)) AS m FROM told)),
+seen AS (SELECT combo, sum(n) AS n, sum(n) FILTER (given = 'block') AS block, sum(n) FILTER (given = 'allow') AS allow FROM part GROUP BY 1),
+rules AS (SELECT combo, 'block' AS verdict, block / n AS confidence FROM seen WHERE block >= 0.005 * (SELECT n FROM total) AND block / n >= 0.9
+          UNION ALL SELECT combo, 'allow', allow / n FROM seen WHERE allow >= 0.005 * (SELECT n FROM total) AND allow / n >= 0.9),
+asked AS (SELECT DISTINCT tokens FROM w WHERE given IS NULL),
+best AS (SELECT tokens, max(confidence) FILTER (verdict = 'block') AS block, max(confidence) FILTER (verdict = 'allow') AS allow FROM asked JOIN rules ON list_has_all(tokens, combo) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN block IS NOT NULL AND (allow IS NULL OR allow < block) THEN 'block' ELSE 'allow' END) AS verdict FROM w LEFT JOIN best USING (tokens)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_weak_toxicity": op2_weak_toxicity,
@@ -106,4 +134,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op3_merkle_audit": OP3_SQL,
+    "op8_url_rules": OP8_SQL,
 }
