@@ -2,9 +2,12 @@
 
 Three plain patterns give the base findings.  Beside them, runs of base64 or
 hex characters are decoded and their bytes are parsed: nested tag-length-value
-encodings of keys (PKCS#1, PKCS#8, SEC 1, SubjectPublicKeyInfo), length-prefixed
-key blobs, and the JSON headers of signed tokens.  Only what parses to the end
-of its stated lengths is reported, so a random run of the same characters isn't.
+encodings of keys (PKCS#1, PKCS#8 plain or encrypted, SEC 1, DSA,
+SubjectPublicKeyInfo), length-prefixed key blobs, and the JSON headers of signed
+tokens.  Only what parses to the end of its stated lengths is reported, so a
+random run of the same characters isn't.  A key inside a longer run is found by
+the length that its first bytes state, one that is wrapped over lines with or
+without armour by joining them; line ends may be written as escapes.
 
 The scan is local to a row: no shuffle, memory bounded by one Arrow batch.
 
@@ -38,9 +41,15 @@ RANK = {kind: i for i, kind in enumerate(["assign", "access", "hex", "jwt", "key
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nrt])+)-----END \1-----")
+LINE_END = re.compile(r"\\[nrt]|\s+")
+#: Lines of base64 as encoders wrap them, the last one shorter; line ends may be escapes.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA)[A-Za-z0-9+/]{58,74}(?:(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]{60,76})*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]{2,76}={0,2}")
 #: Heads of base64 text that a key encoding can start with: a sequence tag, or the four bytes of a blob's first length.
 HEADS = re.compile(r"M[A-P]|AAAA")
+#: A key's first bytes in base64: a sequence with a length of one, two or three bytes, then the tag of its first member.
+INNER = re.compile(r"(?=(M[A-P][A-Za-z0-9+/_-]{6}))")
+LEAST_KEY = 32
 
 
 class Node(NamedTuple):
@@ -82,6 +91,10 @@ def is_key_der(data: bytes) -> bool:
     tags = [n.tag for n in nodes[0].children]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True  # PKCS#1 private key: nine integers
+    if tags == [0x02] * 6 and nodes[0].children[0].body == b"\x00" and len(nodes[0].children[1].body) >= 64:
+        return True  # DSA private key: version and five integers
+    if tags == [0x30, 0x04] and nodes[0].children[0].children[:1] and nodes[0].children[0].children[0].tag == 0x06 and len(nodes[0].children[1].body) >= LEAST_KEY:
+        return True  # encrypted PKCS#8
     if tags[:3] == [0x02, 0x30, 0x04] and nodes[0].children[1].children[:1] and nodes[0].children[1].children[0].tag == 0x06:
         return True  # PKCS#8
     if tags[:2] == [0x02, 0x04] and nodes[0].children[0].body == b"\x01":
@@ -91,6 +104,37 @@ def is_key_der(data: bytes) -> bool:
     return tags == [0x02, 0x02] and len(nodes[0].children[0].body) >= 64  # PKCS#1 public key
 
 
+def stated_size(head: bytes) -> int:
+    """Bytes of the sequence that ``head`` begins, its own tag and length included; 0 if it begins none."""
+    if len(head) < 5 or head[0] != 0x30:
+        return 0
+    if head[1] < 0x80:
+        return 2 + head[1] if head[2] in (0x02, 0x30) else 0
+    n = head[1] & 0x7F
+    if n not in (1, 2, 3) or (n < 3 and head[2 + n] not in (0x02, 0x30)):
+        return 0
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big")
+
+
+def key_inside(run: str) -> tuple[int, int] | None:
+    """Start and end of the first key that stands anywhere in a run of base64, by the length it states."""
+    whole = len(run.rstrip("="))
+    for m in INNER.finditer(run):
+        head = decoded(m[1])
+        size = stated_size(head) if head else 0
+        if size < LEAST_KEY:
+            continue
+        end = m.start() + -(-size * 4 // 3)  # characters that hold so many bytes
+        if end > whole:
+            continue
+        data = decoded(run[m.start() : end])
+        if data and is_key_der(data[:size]):
+            while (end - m.start()) % 4 and run[end : end + 1] == "=":
+                end += 1
+            return m.start(), end
+    return None
+
+
 def is_key_blob(data: bytes) -> bool:
     """Length-prefixed fields filling the bytes, the first of which names a key kind."""
     fields, at = [], 0
@@ -145,7 +189,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            data = decoded("".join(m[2].split()))
+            data = decoded(LINE_END.sub("", m[2]))
             if data and (is_key_der(data) or data.startswith(b"openssh-key-v1\0")):
                 out.append(("pem", m.start(), m.end()))
     for m in ENCODED.finditer(text):
@@ -153,8 +197,16 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         if HEADS.match(run) and (data := decoded(run)):
             if is_key_der(data):
                 out.append(("key_der", m.start(), m.end()))
-            elif is_key_blob(data):
+                continue
+            if is_key_blob(data):
                 out.append(("key_blob", m.start(), m.end()))
+                continue
+        if inside := key_inside(run):
+            out.append(("key_der", m.start() + inside[0], m.start() + inside[1]))
+    for m in WRAPPED.finditer(text):
+        data = decoded(LINE_END.sub("", m[0]))
+        if data and (is_key_der(data) or is_key_blob(data)):
+            out.append(("key_der" if is_key_der(data) else "key_blob", m.start(), m.end()))
     for m in DER_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_key_der(bytes.fromhex(m[0])):
             out.append(("key_der", m.start(), m.end()))
