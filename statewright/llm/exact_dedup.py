@@ -4,8 +4,9 @@ A document's normalised text is cut into blocks of a fixed number of code
 points.  The distinct blocks are sorted and each gets an integer name; then
 adjacent pairs of names are sorted and named in turn, until every document has
 one name.  Two documents have the same ``(level, name)`` if and only if their
-normalised texts are equal: names come from sorting the values themselves, a
-digest only decides in which of many ranges a value is sorted.
+normalised texts are equal.  Blocks are sorted by a digest, and by the blocks
+themselves where different blocks share one (found by comparing the least and the
+greatest block of each digest); pairs are sorted by their two names.
 
 How it is laid out on a cluster
     * Texts are shuffled once, after a map-side combine: equal blocks of one
@@ -35,7 +36,7 @@ from .common import discard, settle, spread_name, text_of
 
 #: White space that does not count: space and the controls from tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
-RANGE_BITS, RANK_BITS = 12, 40
+RANGE_BITS, RANK_BITS = 16, 40
 
 
 def normalised(text: str | Column) -> Column:
