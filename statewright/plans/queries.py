@@ -786,22 +786,26 @@ def causal_state_edges(spark, sf):
     return infer.edges(graph.history_transitions(found, emissions, 2), infer.morphs(found, words))
 
 
-@query()
+DELAY_STATES = f"WITH {DELAYED}, {words_sql(2, 'd')} SELECT DISTINCT left(xs, k - 1) AS xs, left(ys, k - 1) AS ys, right(left(xs, k - 1), 1) AS state FROM g WHERE k IN (2, 3)"
+
+
+@query(DELAY_STATES)
 def causal_states_transducer(spark, sf):
-    words = counts.word_counts(binary_events(spark, sf), 2).withColumn("model_id", F.lit("events"))
-    return infer.infer(words, ["0", "1"], ["0", "1"], 2, kind="G")
+    """The same by the G test."""
+    return last_input(infer.infer(delayed_words(spark, sf), ["0", "1"], ["0", "1"], 2, kind="G")).select("xs", "ys", F.col("name").alias("state"))
 
 
-@query()
+@query(DELAY_STATES)
 def causal_states_past_only(spark, sf):
-    words = counts.past_only_counts(binary_events(spark, sf), 2).withColumn("model_id", F.lit("events"))
-    return infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False)
+    """Without the current input: the older formalism."""
+    words = counts.past_only_counts(simulate.delay(inputs(spark, sf)), 2).withColumn("model_id", F.lit("delay"))
+    return last_input(infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False)).select("xs", "ys", F.col("name").alias("state"))
 
 
-@query()
+@query(f"WITH {DELAYED}, {words_sql(2, 'd')} SELECT DISTINCT left(xs, k - 1) AS xs, repeat('n', k - 1) AS ys, right(left(xs, k - 1), 1) AS state FROM g WHERE k IN (2, 3)")
 def causal_states_output_memoryless(spark, sf):
-    words = counts.output_memoryless_counts(binary_events(spark, sf), 2).withColumn("model_id", F.lit("events"))
-    return infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False, output_memoryless=True)
+    words = counts.output_memoryless_counts(simulate.delay(inputs(spark, sf)), 2).withColumn("model_id", F.lit("delay"))
+    return last_input(infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False, output_memoryless=True)).select("xs", "ys", F.col("name").alias("state"))
 
 
 @query(
@@ -827,6 +831,15 @@ def choose_length_period4(spark, sf):
     return selection.choose_length_of(simulate.period4(spark, 4000), ["0", "1"], 3).drop("topology")
 
 
+@query(
+    "WITH s AS (SELECT t, substr('1001', (t % 4 + 1)::INT, 1)::INT AS y FROM range(4000) r(t)), n AS (SELECT *, lead(y) OVER (ORDER BY t) AS z FROM s), p AS (SELECT (sum(y) + sum(z)) / (2 * count(*)) AS p FROM n WHERE t < 1998), "
+    "f AS (SELECT 1 AS length, 1 AS states, (SELECT sum(ln(CASE y WHEN 1 THEN p ELSE 1 - p END)) FROM s, p WHERE t >= 2000) AS ll UNION ALL SELECT 2, 4, ln(0.25)) SELECT length, states, round(ll, 6) AS loglik, round(-ll / 2000, 6) AS score FROM f"
+)
+def choose_length_held_out(spark, sf):
+    """The first half of the cycle fits, the mean log loss of the second is the score."""
+    return selection.choose_length_of(simulate.period4(spark, 4000), ["0", "1"], 2, held_out=True).drop("topology")
+
+
 @query("SELECT 2 AS length")
 def best_length_period4(spark, sf):
     """Lengths 2 and 3 give one topology: the shorter is chosen."""
@@ -980,6 +993,12 @@ def lookup_process(spark, sf):
     return simulate.lookup_process(inputs(spark, sf), {("1", "0"): 0.95, ("0", "1"): 0.0, ("1", "1"): 0.0, ("0", "0"): 0.1})
 
 
+@query("SELECT s AS series_id, t, '0' AS x, substr('1100', (t % 4 + 1)::INT, 1) AS y FROM range(3) a(s), range(2000) r(t)")
+def simulate_cycle(spark, sf):
+    """A machine that leaves nothing to chance, from a given state."""
+    return simulate.simulate_machine(spark, [("A", "1", "C", 1.0), ("C", "1", "D", 1.0), ("D", "0", "B", 1.0), ("B", "0", "A", 1.0)], 3, 2000, start="A")
+
+
 @query()
 def simulate_machine(spark, sf):
     return simulate.simulate_machine(spark, EVEN, 4, 2000, seed=1)
