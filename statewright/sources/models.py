@@ -15,10 +15,19 @@ EDGE = r'^\s*(\S+)\s*->\s*(\S+)\s*\[label = "(.*)"\];?\s*$'
 GRAPH_HEAD = ["digraph {", "node [shape = circle];"]
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, text of every line, numbered from 0 in each file; a file is read by as many tasks as it has blocks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    within = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_at")) - 1
+    sizes = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per block
+    offsets = sizes.select("path", "_block", before.alias("_before"))
+    return rows.withColumn("_within", within).join(offsets, ["path", "_block"]).select("path", (F.col("_within") + F.col("_before")).cast("long").alias("line"), "text")
+
+
 def read_series(spark: SparkSession, path: str, every_line: bool = False) -> DataFrame:
     """path, line, text: the first line of each file, or with ``every_line`` each line as a realisation of its own."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("lines"))
-    rows = files.select("path", F.posexplode("lines").alias("line", "text")).withColumn("text", F.trim("text"))
+    rows = numbered_lines(spark, path).withColumn("text", F.trim("text"))
     return rows.where(F.col("text") != "") if every_line else rows.where(F.col("line") == 0)
 
 

@@ -264,6 +264,12 @@ def test_files_round_trip(spark, tmp_path):
     assert [r["text"] for r in models.read_series(spark, str(series)).collect()] == ["0101"]
     both = models.read_series(spark, str(series), every_line=True)
     assert models.pair_series(both, both).count() == 2
+    many = tmp_path / "many.dat"
+    many.write_text("\n".join(f"{i:05d}" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    lines = {r["line"]: r["text"] for r in models.numbered_lines(spark, str(many)).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines == {i: f"{i:05d}" for i in range(3000)}
     for name, lines in (("x1", "000\n11"), ("x2", "10"), ("y1", "010\n01"), ("y2", "11")):
         (tmp_path / name).write_text(lines)
     xs, ys = (models.read_series(spark, str(tmp_path / f"{c}?"), every_line=True) for c in "xy")
