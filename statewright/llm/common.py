@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,21 @@ def settle_in_small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
         conf.set(name, before)
 
 
+#: What Python workers remember between tasks, by operator, and how to forget it.
+_REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def remembers(name: str, forget: Callable[[], object]) -> None:
+    _REMEMBERED[name] = forget
+
+
+def remember_only(name: str) -> None:
+    """Called in a worker: what other operators left there goes, since a worker serves one after another."""
+    for other, forget in _REMEMBERED.items():
+        if other != name:
+            forget()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that no later plan reads."""
     path = getattr(df, "_settled_at", None)

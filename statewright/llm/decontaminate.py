@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread_name
+from .common import remember_only, settle_in_small_batches, spread_name
 
 RATE = 0.1
 LEAST_CHARS = 32
@@ -255,6 +255,7 @@ def contamination(
 
     def searched(items: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            remember_only("decontaminate")
             block = Block(items, rate)
             for batch in batches:
                 at, found = [], []
@@ -280,7 +281,7 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` without the rows that hold a test item, all columns as they were."""
     found = contamination(docs, benchmark, id_col, text_col, rate=rate)
-    hit = settle(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    hit = settle_in_small_batches(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
     key = spread_name(docs.columns, "_text_key")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     return keyed.join(hit, (keyed[key] == hit["_key"]) & keyed[id_col].eqNullSafe(hit["_id"]), "left_anti").select(*docs.columns)

@@ -47,7 +47,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, settle, spread_name
+from .common import discard, partitions, remember_only, remembers, settle, settle_in_small_batches, spread_name
 
 ORDER = 5
 BITS = 12
@@ -251,6 +251,7 @@ class Scorer:
 
 
 _SCORERS: dict[str, list[Scorer]] = {}
+remembers("kneser_ney", _SCORERS.clear)
 
 
 def _scorers(name: str, models: Broadcast, order: int) -> list[Scorer]:
@@ -282,6 +283,7 @@ def _partial_sums(docs: DataFrame, text_col: str, model: DataFrame, order: int,
     del tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("kneser_ney")
         scorers = _scorers(name, shared, order)
         for batch in batches:
             texts, at = batch.column(batch.num_columns - 1), 0
@@ -330,7 +332,7 @@ def scored(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int
         done: list[DataFrame] = []
         for k in range(shards):  # one shard at a time is held
             part, shared = _partial_sums(docs, text_col, model, order, keep, shards, k)
-            done.append(settle(part))
+            done.append(settle_in_small_batches(part))
             shared.unpersist()
         whole = done[0]
         for more in done[1:]:
@@ -351,12 +353,12 @@ def judged(
     good = settle(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct())
     side = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
     trusted = docs.join(side, docs["doc_id"] == side["_good"], "left_semi")
-    counts = settle(count_ngrams(trusted.withColumn("_half", _half("doc_id")), text_col, order, "_half"))
+    counts = settle_in_small_batches(count_ngrams(trusted.withColumn("_half", _half("doc_id")), text_col, order, "_half"))
     model = train(counts, order)
     lean = docs.select("doc_id", "lang", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     rows = scored(lean, model, "text", order, ["doc_id", "lang", "text_key"], shard_bytes)
     rows = rows.withColumn("bound", F.col("nll") - sigmas * F.col("spread") / F.sqrt("symbols"))
-    rows = settle(rows)
+    rows = settle_in_small_batches(rows)
     marked = rows.join(side, rows["doc_id"] == side["_good"], "left_semi").withColumn("bin", F.ceil(F.col("bound") / BIN))
     bins = marked.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     bins = settle(bins)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import remember_only, remembers, settle, settle_in_small_batches
 
 CAPACITY = 2048
 GROUP_ITEMS = 16_384
@@ -137,10 +137,14 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+remembers("packing", word_ids.cache_clear)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("packing")
         known, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
@@ -235,7 +239,7 @@ def pack_documents(
 ) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
-    pieces = settle(pieces.withColumn("item", F.monotonically_increasing_id()))
+    pieces = settle_in_small_batches(pieces.withColumn("item", F.monotonically_increasing_id()))
     places = pack_items(pieces.select("item", F.col("length").alias("size")), capacity, group_items)
     return pieces.join(places, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

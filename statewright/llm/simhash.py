@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, settle_in_small_batches, spread_name
+from .common import discard, remember_only, remembers, settle, settle_in_small_batches, spread_name
 from .components import components
 from .shingles import similar_links, sketch
 
@@ -90,6 +90,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``fingerprints`` with the digest and the keys of each text's set of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only("simhash")
         longs = pa.list_(pa.int64())
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -127,6 +128,9 @@ def decoded_index() -> np.ndarray:
     return out
 
 
+remembers("simhash", decoded_index.cache_clear)
+
+
 def segment(fps: np.ndarray, i: int) -> np.ndarray:
     shift, width = SEGMENTS[i]
     return (fps >> np.uint64(shift)).astype(np.uint64) & np.uint64((1 << width) - 1)
