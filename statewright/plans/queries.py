@@ -862,6 +862,12 @@ def bootstrap_replicates(spark, sf):
     return selection.bootstrap(spark, EVEN, ["0", "1"], 3, 1000, 40)
 
 
+@query()
+def bootstrap_conversations(spark, sf):
+    """The length chosen, the machine fitted, and its measures in replicates of 500 symbols."""
+    return selection.bootstrap_of(conversations(spark, sf), ["a", "s", "u"], 2, 20, 500).replicates
+
+
 def cycle_bootstrap(spark: SparkSession) -> selection.Bootstrap:
     return selection.bootstrap_of(simulate.period4(spark, 4000), ["0", "1"], 3, 20, 400)
 

@@ -137,7 +137,7 @@ def test_block_links_join_what_similar_pairs_join():
         assert joined(got) == joined(want)
 
 
-@pytest.mark.parametrize(("pairwise", "weight"), [(1, 1 << 20), (1, 3000), (64, 1 << 20)])
+@pytest.mark.parametrize(("pairwise", "weight"), [(1, 3000), (64, 1 << 20)])
 def test_similar_texts_are_linked_as_brute_force_links_them(spark, pairwise, weight):
     rng = random.Random(4)
     texts = ["one", "one two", "one two three four five six"]
