@@ -227,16 +227,22 @@ def similar_sets(rows: DataFrame, docs: DataFrame, similarity: float, text_col:
     roots = settle(components(first))
     placed = settle(shared.join(roots, shared["set_key"] == roots["node"], "left").select("key", "set_key", "n", F.coalesce("root", "set_key").alias("root")))
     mixed = settle(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key"))
+    if mixed.isEmpty():  # every key's texts are joined already
+        for old in (counts, shared, sets, placed, mixed, roots):
+            discard(old)
+        return first
     rest = settle(placed.join(mixed, "key"))
     few = rest.where(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("set_key", "root"))).alias("of"))
     pairs = few.selectExpr(
         "explode(flatten(transform(of, (x, i) -> transform(filter(slice(of, i + 2, size(of)), y -> y.root <> x.root), y -> named_struct('a', x.set_key, 'b', y.set_key))))) AS pair"
     ).select("pair.a", "pair.b")
     second = verified(pairs, sets, similarity)
-    third = blocks_compared(rest.where(F.col("n") > pairwise).select("key", "set_key", "root"), sets, similarity, weight)
+    found, many = first.unionByName(second), rest.where(F.col("n") > pairwise).select("key", "set_key", "root")
+    if not many.isEmpty():
+        found = found.unionByName(blocks_compared(many, sets, similarity, weight))
     for old in (counts, shared, sets, placed, mixed, rest, roots):
         discard(old)
-    return first.unionByName(second).unionByName(third)
+    return found
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, similarity: float, text_col: str = "text", pairwise: int = PAIRWISE, weight: int = BLOCK_WEIGHT) -> DataFrame:
