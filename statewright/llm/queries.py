@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .curve_packing import pack_along_curve
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
+from .fill_middle import fill_in_middle_digests
 from .kneser_ney import judged
 from .merkle import audit
 from .packing import pack_documents
@@ -17,6 +19,7 @@ from .secrets import secret_digests
 from .simhash import near_components
 from .toxicity import toxicity_scores
 from .url_rules import url_verdicts
+from .vector_codes import ROUNDS, vector_codes
 from .wrapper import extract_main_text
 
 
@@ -66,6 +69,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS z FROM documents)
 SELECT doc_id,
@@ -118,6 +135,34 @@ best AS (SELECT tokens, max(confidence) FILTER (verdict = 'block') AS block, max
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN block IS NOT NULL AND (allow IS NULL OR allow < block) THEN 'block' ELSE 'allow' END) AS verdict FROM w LEFT JOIN best USING (tokens)
 """
 
+# A round: the nearest entry of every part, then each entry's floored mean.
+NEAREST = "a{i} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, p, e, sum((v - c) * (v - c))::BIGINT AS d FROM x JOIN c{i} USING (p, k) GROUP BY r, p, e) GROUP BY r, p)"
+MOVED = "c{j} AS MATERIALIZED (SELECT p, e, k, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c) AS c FROM c{i} LEFT JOIN (SELECT p, e, k, sum(v)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} USING (r, p) GROUP BY p, e, k) USING (p, e, k))"
+OP12_SQL = (
+    """WITH f AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS ints FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, ints) AS r, len(ints) // 8 AS w FROM f),
+x AS MATERIALIZED (SELECT r, (i - 1) // w AS p, (i - 1) % w AS k, ints[i] AS v FROM (SELECT r, w, ints, unnest(range(1, len(ints) + 1)) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, k, v AS c FROM x WHERE r <= 16), """
+    + ", ".join(NEAREST.format(i=i) + ", " + MOVED.format(i=i, j=i + 1) for i in range(ROUNDS))
+    + ", "
+    + NEAREST.format(i=ROUNDS)
+    + f""", books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, k)) AS h FROM c{ROUNDS}),
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN v USING (r), books"""
+)
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+s AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             substr(t, 1, least(a, b)) AS prefix, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle, substr(t, greatest(a, b) + 1) AS suffix FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_weak_toxicity": op2_weak_toxicity,
@@ -129,10 +174,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_curve_packing": op11_curve_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op3_merkle_audit": OP3_SQL,
     "op8_url_rules": OP8_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
