@@ -25,6 +25,11 @@ def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, at, side="right") - 1)
 
 
+def sliced(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    raw, at = data.tobytes(), offsets.tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def batch_ids(known: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows one after another, each row's end id included, and where each row begins and the last one ends.
 
@@ -40,7 +45,7 @@ def batch_ids(known: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray,
     strings = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(folded))
     lists = pc.ascii_split_whitespace(strings)
     encoded = lists.flatten().dictionary_encode()
-    words = encoded.dictionary.cast(pa.large_binary()).to_pylist()
+    words = sliced(*buffers(encoded.dictionary.cast(pa.large_binary())))
     found = list(map(known.get, words))
     if None in found:
         known.learn({w for w, f in zip(words, found, strict=True) if f is None})

@@ -47,7 +47,9 @@ UNIT = 1 << 20
 #: Standard deviations from the mean to an edge of the grid; what lies beyond is set on the edge.
 REACH = 3
 #: Bytes of text that are tokenised together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
+#: Words remembered per generation of a worker's cache.
+REMEMBERED = 600_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -102,8 +104,8 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember_only("packing")
-        known = word_ids(tokenizer)
-        count = max(len(known.ends), end_id + 1)
+        known = word_ids(tokenizer, REMEMBERED)
+        count = max(known.size, end_id + 1)
         table, kind = directions(count, dims), "<u2" if count <= 1 << 16 else "<u4"
         for batch in batches:
             for part in runs(batch, 1, TOGETHER):

@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,65 +44,62 @@ REMEMBERED = 400_000
 TOGETHER = 1 << 21
 
 
+#: What may follow a run of letters and is a run of its own: not the apostrophe, which begins endings.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters by which the byte-level tokenizer writes bytes: printable ones stand for themselves, the rest come after 255 in order.
+WRITTEN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
+
 class WordIds(dict):
     """Ids of white-space-free words as little-endian 32-bit bytes, remembered in two generations.
 
     The tokenizer never joins characters across white space and folds case, so
-    the ids of a text are those of its words one after another.  Words that are
-    new to a batch are encoded together: a word of letters is one run of the
-    tokenizer, and the last token of a run is marked in the vocabulary.
+    the ids of a text are those of its words one after another.  A word of letters
+    is one run of the tokenizer, marks after it are another.  Letters up to U+012F
+    are composed already: such a run is lowered and given to the tokenizer's model
+    directly.  All other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.old, self.remembered = Tokenizer.from_file(path), {}, remembered
+        self.model, self.marks, self.size = self.tokenizer.model, {}, max(self.tokenizer.get_vocab().values()) + 1
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def letters(self, run: bytes) -> bytes | None:
+        """Ids of a run of letters; None if it isn't one."""
+        text = run.decode("utf-8", "replace")
+        if not text.isalpha() or max(text) >= "\u0130":
+            return None
+        if (ids := self.get(run)) is not None:
+            return ids
+        text = text.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(WRITTEN)
+        ids = [token.id for token in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, words: set[bytes]) -> None:
-        letters: list[str] = []
-        marked: list[bytes] = []
         for word in words:
-            ids = self.old.get(word)
-            if ids is not None:
-                self[word] = ids
-                continue
-            core = word
-            if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
-                core = word[:-1]  # a mark after a letter is a token run of its own
-                marked.append(word)
-                if core in self:
-                    continue
-            text = core.decode("utf-8", "replace")
-            if text.isalpha() and max(text) < "\u0130":
-                letters.append(text)
-            else:
-                self[core] = self.encode(text)
-        for at in range(0, len(letters), 1000):
-            part = letters[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                raw, begin = ids.tobytes(), 0
-                for text, stop in zip(part, (4 * stops).tolist(), strict=True):
-                    self[text.encode()] = raw[begin:stop]
-                    begin = stop
-            else:
-                self.update({text.encode(): self.encode(text) for text in part})
-        for mark in (b".", b","):
-            if mark not in self:
-                self[mark] = self.encode(mark.decode())
-        for word in marked:
-            self[word] = self[word[:-1]] + self[word[-1:]]
+            if (ids := self.old.get(word)) is None:
+                run = word.rstrip(MARKS)
+                ids = self.letters(run)
+                if ids is None:
+                    ids = self.encode(word.decode("utf-8", "replace"))
+                elif len(run) < len(word):
+                    self[run], mark = ids, word[len(run) :]
+                    if mark not in self.marks:
+                        self.marks[mark] = self.encode(mark.decode())
+                    ids += self.marks[mark]
+            self[word] = ids
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > REMEMBERED:
+        if len(self) > self.remembered:
             self.old = dict(self)
             self.clear()
         lists: list[list[bytes] | None] = []
@@ -133,8 +131,8 @@ def in_parts(column: pa.Array, size: int) -> Iterator[list[bytes]]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(path, remembered)
 
 
 remembers("packing", word_ids.cache_clear)

@@ -42,6 +42,18 @@ def test_batches_equal_the_tokenizer():
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
+def test_words_of_any_kind_equal_the_tokenizer():
+    tok, known, rng = Tokenizer.from_file(PATH), word_ids(PATH, 50), np.random.default_rng(8)
+    letters = list("abcxyzABCéüßÉÑªºµĲŉŁłİıαя") + ["'", "'s", "'ll", ".", ",", "***", "!?", "$", "<", ">", "1", "²", "½", "…", "—", "日", "́", "n", "e", "s"]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(4000)]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    for part in (column.slice(0, 1500), column.slice(1000)):
+        ids, bounds = batch_ids(known, part, 2)
+        want = [[*tok.encode(v.as_py().decode(), add_special_tokens=False).ids, 2] for v in part]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+        assert known.of([v.as_py() for v in part]) == [np.array(w[:-1], dtype="<u4").tobytes() for w in want]
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_pieces_cover_each_document_once(spark, capacity):
     tok = Tokenizer.from_file(PATH)
