@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that may be held in a plan; larger tables are checkpointed instead.
 HELD_ROWS = 100_000
@@ -33,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, wherever Spark reaches it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held(df: DataFrame, limit: int = HELD_ROWS) -> list:
     """The rows of a table that is as large as a model; raises if it is larger than that."""
     rows = df.limit(limit + 1).collect()
@@ -52,3 +59,19 @@ def pinned(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
         return df.sparkSession.createDataFrame(rows, df.schema)
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, by: list[str], name: str = "n", first: int = 0) -> DataFrame:
+    """``df`` with whole numbers from ``first`` in the order of ``by``, a key: rows are counted in ranges side by side.
+
+    The result is computed: asking it twice gives the same numbers.
+    """
+    placed = pinned(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # how that function numbers rows
+    before, total = [], first
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # one row per partition
+        before.append((r["part"], total))
+        total += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+    both = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # as many rows as partitions
+    return both.select(*df.columns, (F.col("_before") + within).alias(name))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import pinned
+from ..functions.small import pinned, shared_folder
 
 CHUNK = 1 << 16
 
@@ -65,6 +65,87 @@ def marginal_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("k", "xs", F.expr("left(ys, k - 1)").alias("ys")).agg(F.sum("n").alias("n"))
 
 
+def words_and_margins(symbols: DataFrame, length: int) -> DataFrame:
+    """k, xs, past, y (null in a row that sums over the last output), margin, n: words and their margins from one shuffle."""
+    k = F.explode(F.sequence(F.lit(1), F.lit(length + 1))).alias("k")
+    cut = full_words(symbols, length).select("xs", "ys", "n", k)
+    cut = cut.select("k", F.expr("left(xs, k)").alias("xs"), F.expr("left(ys, k - 1)").alias("past"), F.expr("substring(ys, k, 1)").alias("y"), "n")
+    keys = [F.col(c) for c in ("k", "xs", "past", "y")]
+    both = cut.groupingSets([keys, keys[:3]], *keys).agg(F.grouping("y").cast("boolean").alias("margin"), F.sum("n").alias("n"))
+    return both.select("k", "xs", "past", "y", "margin", "n")
+
+
+def revised_counts(words: DataFrame, deltas: DataFrame) -> DataFrame:
+    """k, xs, ys, n after signed changes (k, xs, ys, n) of the counts; words that are gone are left out.
+
+    Only the two count tables are read, not the series.  A count that would fall
+    below nothing raises: something was withdrawn that never was counted.
+    """
+    summed = words.select("k", "xs", "ys", "n").unionByName(deltas.select("k", "xs", "ys", "n")).groupBy("k", "xs", "ys").agg(F.sum("n").alias("n"))
+    left = F.when(F.col("n") < 0, F.raise_error(F.concat(F.lit("withdrawn more often than counted: "), "xs", F.lit(","), "ys"))).otherwise(F.col("n"))
+    return summed.withColumn("n", left).where("n > 0")
+
+
+def word_deltas(length: int, added: DataFrame | None = None, withdrawn: DataFrame | None = None) -> DataFrame:
+    """k, xs, ys, n: what whole series that come or go do to the counts of words."""
+    if added is None and withdrawn is None:
+        raise ValueError("nothing was added or withdrawn")
+    parts = [word_counts(symbols, length).withColumn("n", F.col("n") * sign) for symbols, sign in ((added, 1), (withdrawn, -1)) if symbols is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def appended_deltas(symbols: DataFrame, since: DataFrame, length: int, chunk: int = CHUNK) -> DataFrame:
+    """k, xs, ys, n: what symbols from ``since(series_id, first)`` on add to the counts of the series so far.
+
+    Only the new symbols and the ``length`` before them are cut into windows; a
+    series that isn't in ``since`` has nothing new.
+    """
+    late = symbols.join(since, "series_id").where(F.col("t") >= F.col("first") - length).select("series_id", "t", "x", "y")
+    return _prefixes(windows(late, length, chunk).groupBy("xs", "ys").agg(F.count("*").alias("n")), length)
+
+
+def long_word_counts(symbols: DataFrame, width: int) -> DataFrame:
+    """xs, ys, n of all words of ``width`` symbols: integers are shuffled, words are spelt out once each.
+
+    A word of twice the length is the pair of the names of its halves; equal
+    pairs get one name, a whole number.  The widths are powers of two up to the
+    largest in ``width``, and a word is named by those that make it up.  Names are
+    written to the checkpoint folder before they are used: they don't change.
+    """
+    if width < 1:
+        raise ValueError("a word has one symbol at least")
+    shared_folder(symbols.sparkSession)
+    spelt = symbols.select("x", "y").distinct().withColumn("name", F.monotonically_increasing_id()).checkpoint()
+    words = spelt.select("name", F.col("x").alias("xs"), F.col("y").alias("ys"))
+    names = symbols.join(spelt, ["x", "y"]).select("series_id", "t", "name").checkpoint()
+    whole, done, span = None, 0, 1  # names of words of ``done`` symbols, made of the bits of width met so far
+    whole_words = None
+    while span <= width:
+        if width & span:
+            if whole is None:
+                whole, whole_words, done = names, words, span
+            else:
+                whole, whole_words = _joined(whole, whole_words, names, words, done)
+                done += span
+        if 2 * span <= width:
+            names, words = _joined(names, words, names, words, span)
+        span *= 2
+    counted = whole.groupBy("name").agg(F.count("*").alias("n"))
+    return counted.join(whole_words, "name").select("xs", "ys", "n")
+
+
+def _joined(first: DataFrame, first_words: DataFrame, second: DataFrame, second_words: DataFrame, apart: int) -> tuple[DataFrame, DataFrame]:
+    """Names and spelling of words that are one of ``first`` and then, ``apart`` symbols on, one of ``second``."""
+    after = second.select("series_id", (F.col("t") - apart).alias("t"), F.col("name").alias("right"))
+    pairs = first.withColumnRenamed("name", "left").join(after, ["series_id", "t"]).select("series_id", "t", "left", "right")
+    told = pairs.select("left", "right").distinct().withColumn("name", F.monotonically_increasing_id()).checkpoint()
+    names = pairs.join(told, ["left", "right"]).select("series_id", "t", "name").checkpoint()
+    one = first_words.select(F.col("name").alias("left"), F.col("xs").alias("x1"), F.col("ys").alias("y1"))
+    two = second_words.select(F.col("name").alias("right"), F.col("xs").alias("x2"), F.col("ys").alias("y2"))
+    words = told.join(one, "left").join(two, "right").select("name", F.concat("x1", "x2").alias("xs"), F.concat("y1", "y2").alias("ys"))
+    return names, words
+
+
 def conditional(words: DataFrame) -> DataFrame:
     """k, xs, past (outputs before), y, n, p: the distribution of the next output."""
     base = words.select("k", "xs", F.expr("left(ys, k - 1)").alias("past"), F.expr("right(ys, 1)").alias("y"), "n")

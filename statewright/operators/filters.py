@@ -5,9 +5,11 @@ may be met in where that leads, these maps are composed in order (a small row pe
 chunk), and each chunk is then replayed from its start: two parallel passes over
 the symbols, no task longer than a chunk.  For the suffix filter and the processes
 of :mod:`.simulate` a map is from state to state.  A belief over pairs of states
-is a mixture, and models are unifilar: each pair goes one way until it dies, so a
+is a mixture.  In unifilar models each pair goes one way until it dies, so a
 chunk's map is where each pair ends and with what weight, or when it dies, and
-what a fresh start after each such death comes to.
+what a fresh start after each such death comes to.  Where a label leads to
+several states (a hidden Markov source), the map is the product of the chunk's
+matrices, rescaled row by row, with the logarithm of what was taken out.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 import math
 from collections.abc import Callable, Hashable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,48 +172,62 @@ def lagged_prior(filtered: DataFrame, symbols: DataFrame, emission: DataFrame, a
 class Belief:
     """Bayesian filter over pairs of a transducer state and a machine state.
 
+    Edges are {(state, x, y): (next, p)} and {(state, x): (next, p)}, or lists of
+    such pairs where a label leads to several states.
+
     ``mode``: 'restart' begins anew from the stationary distribution where a
     symbol is impossible; 'never' does not settle on one state; 'strict' raises.
+    A transducer with a label of several goals doesn't settle in any mode: one
+    state is not followed by one state.
     """
 
     def __init__(self, t_edges: dict, m_edges: dict, pi: dict[tuple, float], ays: list[str], mode: str = "restart") -> None:
-        self.t, self.m, self.pi, self.ays, self.mode = t_edges, m_edges, pi, ays, mode
+        if mode not in ("restart", "never", "strict"):
+            raise ValueError(f"unknown mode {mode!r}: restart, never or strict")
+        listed = lambda edges: {k: v if isinstance(v, list) else [v] for k, v in edges.items()}
+        self.t, self.m, self.pi, self.ays, self.mode = listed(t_edges), listed(m_edges), pi, ays, mode
+        single = lambda edges: all(sum(p > 0 for _, p in goals) <= 1 for goals in edges.values())
+        self.settles = mode != "never" and single(self.t)
+        self.unifilar = single(self.t) and single(self.m)
         self.start()
 
     def start(self) -> None:
         self.weights, self.synced = {k: w for k, w in self.pi.items() if w > 0}, None
 
+    def answer(self, t: object, x: str, y: str) -> float:
+        return sum(p for _, p in self.t.get((t, x, y), ()))
+
     def forecast(self, x: str) -> list[float]:
         if self.synced is not None:
-            return [self.t.get((self.synced, x, y), (None, 0.0))[1] for y in self.ays]
+            return [self.answer(self.synced, x, y) for y in self.ays]
         sums, total = [0.0] * len(self.ays), 0.0
         for (t, m), w in self.weights.items():
-            a = w * self.m.get((m, x), (None, 0.0))[1]
+            a = w * sum(q for _, q in self.m.get((m, x), ()))
             if a:
                 total += a
                 for i, y in enumerate(self.ays):
-                    sums[i] += a * self.t.get((t, x, y), (None, 0.0))[1]
+                    sums[i] += a * self.answer(t, x, y)
         return [s / total for s in sums] if total else [float("nan")] * len(self.ays)
 
     def update(self, x: str, y: str) -> bool:
         """Take a pair in; whether it was impossible."""
         if self.synced is not None:
-            to, p = self.t.get((self.synced, x, y), (None, 0.0))
-            if p > 0:
-                self.synced = to
-                return False
+            for to, p in self.t.get((self.synced, x, y), ()):
+                if p > 0:
+                    self.synced = to
+                    return False
         else:
             moved: dict[tuple, float] = {}
             for (t, m), w in self.weights.items():
-                t_to, p = self.t.get((t, x, y), (None, 0.0))
-                m_to, q = self.m.get((m, x), (None, 0.0))
-                if w * p * q > 0:
-                    moved[t_to, m_to] = moved.get((t_to, m_to), 0.0) + w * p * q
+                for t_to, p in self.t.get((t, x, y), ()):
+                    for m_to, q in self.m.get((m, x), ()):
+                        if w * p * q > 0:
+                            moved[t_to, m_to] = moved.get((t_to, m_to), 0.0) + w * p * q
             total = sum(moved.values())
             if total > 0:
                 self.weights = {k: w / total for k, w in moved.items()}
                 possible = {t for t, _ in self.weights}
-                if len(possible) == 1 and self.mode != "never":
+                if len(possible) == 1 and self.settles:
                     self.synced = possible.pop()
                 return False
         if self.mode == "strict":
@@ -221,7 +238,6 @@ class Belief:
     def possible(self) -> list:
         return [self.synced] if self.synced is not None else sorted({t for t, _ in self.weights})
 
-
     def written(self) -> str:
         return json.dumps([self.synced, [[*k, w] for k, w in self.weights.items()]])
 
@@ -233,11 +249,38 @@ class Belief:
 
     def map_of(self, pairs: list[tuple[str, str]]) -> dict:
         """Where each state and pair goes along ``pairs``, and the belief at the end after a fresh start past each death."""
-        alone, both, deaths = {}, [], set()
-        for t in sorted({k[0] for k in self.t} | {to for to, _ in self.t.values()} | {k[0] for k in self.pi}):
-            here = t
+        if not self.unifilar:
+            return self.product_of(pairs)
+        alone, paths, deaths = self.alone_of(pairs)
+        both = []
+        for t in alone:
+            for m in self.m_states():
+                b, w = m, 0.0
+                for i, (x, y) in enumerate(pairs):
+                    a = paths[t][i] if i < len(paths[t]) else None
+                    (_, p), (at, q) = self.one(self.t, (a, x, y)), self.one(self.m, (b, x))
+                    if p * q <= 0:
+                        deaths.add(i)
+                        both.append([t, m, None, a, i])
+                        break
+                    b, w = at, w + math.log(p * q)
+                else:
+                    both.append([t, m, alone[t][0], b, w])
+        return {"alone": alone, "both": both, "fresh": self.fresh_after(deaths, pairs)}
+
+    @staticmethod
+    def one(edges: dict, key: tuple) -> tuple:
+        """The goal of a label that has one, and its probability."""
+        return next((e for e in edges.get(key, ()) if e[1] > 0), (None, 0.0))
+
+    def alone_of(self, pairs: list[tuple[str, str]]) -> tuple[dict, dict, set[int]]:
+        """By transducer state: where it ends or when it dies, and the states on the way (before each pair); all times of death."""
+        alone, paths, deaths = {}, {}, set()
+        for t in self.t_states():
+            here, paths[t] = t, []
             for i, (x, y) in enumerate(pairs):
-                to, p = self.t.get((here, x, y), (None, 0.0))
+                paths[t].append(here)
+                to, p = self.one(self.t, (here, x, y))
                 if p <= 0:
                     deaths.add(i)
                     alone[t] = [None, i]
@@ -245,60 +288,87 @@ class Belief:
                 here = to
             else:
                 alone[t] = [here, -1]
-        for t in alone:
-            for m in sorted({k[0] for k in self.m} | {to for to, _ in self.m.values()} | {k[1] for k in self.pi}):
-                a, b, w = t, m, 0.0
-                for i, (x, y) in enumerate(pairs):
-                    (to, p), (at, q) = self.t.get((a, x, y), (None, 0.0)), self.m.get((b, x), (None, 0.0))
-                    if p * q <= 0:
-                        deaths.add(i)
-                        both.append([t, m, None, a, i])
-                        break
-                    a, b, w = to, at, w + math.log(p * q)
-                else:
-                    both.append([t, m, a, b, w])
+        return alone, paths, deaths
+
+    def t_states(self) -> list:
+        return sorted({k[0] for k in self.t} | {to for goals in self.t.values() for to, _ in goals} | {k[0] for k in self.pi})
+
+    def m_states(self) -> list:
+        return sorted({k[0] for k in self.m} | {to for goals in self.m.values() for to, _ in goals} | {k[1] for k in self.pi})
+
+    def fresh_after(self, deaths: set[int], pairs: list[tuple[str, str]]) -> dict[str, str]:
+        """The belief at the end of ``pairs`` after a fresh start past each of some places."""
         fresh = {}
         for d in sorted(deaths) if self.mode != "strict" else ():
             self.start()
             for x, y in pairs[d + 1 :]:
                 self.update(x, y)
             fresh[str(d)] = self.written()
-        return {"alone": alone, "both": both, "fresh": fresh}
+        return fresh
+
+    def product_of(self, pairs: list[tuple[str, str]]) -> dict:
+        """A row of the chunk's product of matrices for each pair of states that may be met: its goals and the logarithm of its scale, or when it dies."""
+        alone, paths, deaths = self.alone_of(pairs) if self.settles else ({}, {}, set())
+        states = [(t, m) for t in self.t_states() for m in self.m_states()]
+        at = {k: i for i, k in enumerate(states)}
+        matrices: dict[tuple[str, str], np.ndarray] = {}
+        rows, scale, died = np.eye(len(states)), np.zeros(len(states)), np.full(len(states), -1)
+        for i, (x, y) in enumerate(pairs):
+            if (x, y) not in matrices:
+                one = matrices[x, y] = np.zeros((len(states), len(states)))
+                for (t, m), k in at.items():
+                    for t_to, p in self.t.get((t, x, y), ()):
+                        for m_to, q in self.m.get((m, x), ()):
+                            one[k, at[t_to, m_to]] += p * q
+            rows = rows @ matrices[x, y]
+            total = rows.sum(axis=1)
+            died[(total <= 0) & (died < 0)] = i
+            alive = total > 0
+            rows[alive] /= total[alive, None]
+            scale[alive] += np.log(total[alive])
+        goals = lambda k: [[*states[j], float(rows[k, j])] for j in np.flatnonzero(rows[k])]
+        ways = [[t, m, int(died[k]), paths[t][died[k]] if paths and died[k] >= 0 else None, float(scale[k]), goals(k)] for (t, m), k in at.items()]
+        return {"alone": alone, "product": ways, "fresh": self.fresh_after(deaths | set(died[died >= 0].tolist()), pairs)}
 
     def follow(self, step: dict) -> None:
         """Go through a chunk by its map."""
-
-        def alone(t: str) -> None:
-            to, death = step["alone"].get(t, [None, 0])
-            if to is not None:
-                self.synced = to
-            else:
-                self.anew(step, death)
-
         if self.synced is not None:
-            alone(self.synced)
+            self.follow_alone(step, self.synced)
             return
-        ways = {(t, m): rest for t, m, *rest in step["both"]}
-        alive = {k: ways[k] for k in self.weights if k in ways and ways[k][0] is not None}
+        if "product" in step:
+            ways = {(t, m): rest for t, m, *rest in step["product"]}
+            dead = [(ways[k][0], ways[k][1], k[0]) for k in self.weights if ways[k][0] >= 0]
+            alive = [(w, *ways[k][2:]) for k, w in self.weights.items() if ways[k][0] < 0]
+        else:
+            ways = {(t, m): rest for t, m, *rest in step["both"]}
+            dead = [(ways[k][2], ways[k][1], k[0]) for k in self.weights if ways[k][0] is None]
+            alive = [(w, ways[k][2], [[*ways[k][:2], 1.0]]) for k, w in self.weights.items() if ways[k][0] is not None]
         if alive:
-            top = max(w for _, _, w in alive.values())
+            top = max(scale for _, scale, _ in alive)
             moved: dict[tuple, float] = {}
-            for k, (t, m, w) in alive.items():
-                moved[t, m] = moved.get((t, m), 0.0) + self.weights[k] * math.exp(w - top)
+            for w, scale, goals in alive:
+                for t, m, p in goals:
+                    moved[t, m] = moved.get((t, m), 0.0) + w * math.exp(scale - top) * p
             total = sum(moved.values())
             self.weights = {k: w / total for k, w in moved.items() if w > 0}
             possible = {t for t, _ in self.weights}
-            if len(possible) == 1 and self.mode != "never":
+            if len(possible) == 1 and self.settles:
                 self.synced = possible.pop()
             return
-        dead = [(ways[k][2], ways[k][1], k[0]) for k in self.weights if k in ways]
         last = max((d for d, _, _ in dead), default=0)
         before = {t for d, t, _ in dead if d == last}
-        if len(before) == 1 and last > 0 and self.mode != "never":  # one state was left: it goes on whatever the machine does
-            alone(next(start for d, _, start in dead if d == last))
+        if len(before) == 1 and last > 0 and self.settles:  # one state was left: it goes on whatever the machine does
+            self.follow_alone(step, next(start for d, _, start in dead if d == last))
         else:
             self.anew(step, last)
 
+    def follow_alone(self, step: dict, t: str) -> None:
+        to, death = step["alone"].get(t, [None, 0])
+        if to is not None:
+            self.synced = to
+        else:
+            self.anew(step, death)
+
     def anew(self, step: dict, death: int) -> None:
         if self.mode == "strict":
             raise ValueError("impossible pair")
@@ -386,10 +456,18 @@ def folded_states(symbols: DataFrame, states: list[Hashable], first: Hashable, r
     return folded(symbols, chunk, map_of, compose, lambda b: Run(first if b is None else states[int(b)]), step, shape, names)
 
 
+def goals_by_label(edges: DataFrame, label: list[str]) -> dict[tuple, list[tuple[str, float]]]:
+    """The goals and probabilities of each label of a model's edges; edges between the same states add up."""
+    out: dict[tuple, dict[str, float]] = {}
+    for r in held(edges.select(*label, "s_to", "p").where("p > 0")):
+        goals = out.setdefault((str(r[label[0]]), *(r[c] for c in label[1:])), {})
+        goals[str(r["s_to"])] = goals.get(str(r["s_to"]), 0.0) + r["p"]
+    return {k: sorted(v.items()) for k, v in out.items()}
+
+
 def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi: DataFrame, ays: list[str], mode: str = "restart", chunk: int = CHUNK) -> DataFrame:
     """series_id, t, p_<y> before each output, p_seen of the one that came, states possible after it, forbidden; ``pi``: t, m, pi."""
-    t_edges = {(str(r["s_from"]), r["x"], r["y"]): (str(r["s_to"]), r["p"]) for r in held(edges_t)}
-    m_edges = {(str(r["s_from"]), r["x"]): (str(r["s_to"]), r["p"]) for r in held(edges_m)}
+    t_edges, m_edges = goals_by_label(edges_t, ["s_from", "x", "y"]), goals_by_label(edges_m, ["s_from", "x"])
     start = {(str(r["t"]), str(r["m"])): r["pi"] for r in held(pi)}
     fresh = lambda: Belief(t_edges, m_edges, start, ays, mode)
 

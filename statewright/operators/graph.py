@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import pinned
+from ..functions.small import HELD_ROWS, pinned
+
+
+class NoRecurrentPart(ValueError):
+    """Every state of a model is transient: data too short or too varied for the length asked for."""
 
 
-def strong_components(nodes: list[int], edges: set[tuple[int, int]]) -> dict[int, int]:
+def strong_components(nodes: list, edges: set[tuple]) -> dict:
     """Component number of each node; two nodes share one if each reaches the other."""
     out: dict[int, list[int]] = {n: [] for n in nodes}
     back: dict[int, list[int]] = {n: [] for n in nodes}
@@ -57,7 +63,7 @@ def recurrent(nodes: list[int], edges: set[tuple[int, int]]) -> set[int]:
     for c in label.values():
         sizes[c] = sizes.get(c, 0) + 1
     if not sizes:
-        raise ValueError("every state is transient: no recurrent part")
+        raise NoRecurrentPart("every state is transient: no recurrent part")
     best = min(sizes, key=lambda c: (-sizes[c], c))
     return {n for n in kept if label[n] == best}
 
@@ -96,28 +102,155 @@ def components_of(edges: DataFrame) -> DataFrame:
     return lean.groupBy("model_id").applyInPandas(run, shape)
 
 
-def reachable(edges: DataFrame, depth: int) -> DataFrame:
-    """s_from, s_to: pairs joined by a path of 1 to ``depth`` edges."""
+def reachable(edges: DataFrame) -> DataFrame:
+    """s_from, s_to: all pairs joined by a path; only pairs found in the last round are lengthened.
+
+    As many rows as there are pairs: for components see :func:`mutual_components`,
+    for what a few states lead to :func:`reachable_from`.
+    """
     direct = pinned(edges.select("s_from", "s_to").distinct())
-    found = direct
-    for _ in range(depth - 1):
-        longer = found.join(direct.select(F.col("s_from").alias("s_to"), F.col("s_to").alias("s_next")), "s_to").select("s_from", F.col("s_next").alias("s_to"))
-        found = pinned(found.unionByName(longer).distinct())
+    step = direct.select(F.col("s_from").alias("s_to"), F.col("s_to").alias("s_next"))
+    found = fresh = direct
+    while fresh.head(1):
+        longer = fresh.join(step, "s_to").select("s_from", F.col("s_next").alias("s_to")).distinct()
+        fresh = pinned(longer.join(found, ["s_from", "s_to"], "left_anti"))
+        found = pinned(found.unionByName(fresh))
+    return found
+
+
+def reachable_from(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """state: ``states(state)`` and all that they lead to, a frontier at a time."""
+    step = pinned(edges.select("s_from", "s_to").distinct())
+    found = fresh = pinned(states.select("state").distinct())
+    while fresh.head(1):
+        met = fresh.join(step, fresh["state"] == step["s_from"]).select(F.col("s_to").alias("state")).distinct()
+        fresh = pinned(met.join(found, "state", "left_anti"))
+        found = pinned(found.unionByName(fresh))
     return found
 
 
-def mutual_components(edges: DataFrame, depth: int) -> DataFrame:
-    """state, component (its least state) by mutual reachability within ``depth`` edges, all in joins."""
-    both = reachable(edges, depth)
-    turned = both.select(F.col("s_to").alias("s_from"), F.col("s_from").alias("s_to"))
-    mutual = both.join(turned, ["s_from", "s_to"]).groupBy(F.col("s_from").alias("state")).agg(F.min("s_to").alias("least"))
-    nodes = edges.select(F.col("s_from").alias("state")).unionByName(edges.select(F.col("s_to").alias("state"))).distinct()
-    return nodes.join(mutual, "state", "left").select("state", F.least("state", F.coalesce("least", "state")).alias("component"))
+# -- strong components of a graph of any size, without a bound on the length of paths
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """Without the edges of states that none leads to or that lead to none: each is a component of its own."""
+    inner = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return inner.join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
 
 
-def without_transients(edges: DataFrame, depth: int) -> DataFrame:
+def _merged(pairs: DataFrame, salt: int) -> DataFrame | None:
+    """into, state: states with one way out that merge with where it leads; None if no state has one way out.
+
+    Which of a chain's states go is drawn anew each round; none of them is the
+    goal of another one, so that a round can be undone by itself.
+    """
+    ones = pinned(pairs.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b"))
+    if not ones.head(1):
+        return None
+    drawn = lambda c: F.xxhash64(c, F.lit(salt))
+    going = ones.where(drawn("a") > drawn("b"))
+    return pinned(going.join(going.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("b").alias("into"), F.col("a").alias("state")))
+
+
+def _without_chains(pairs: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Edges among the states left when no state has one way out or one way in.
+
+    A state with one way out is in the component of where that leads if one of
+    the states that lead to it is.  ``rounds`` gets a table per round: state, into,
+    near (those states), from which :func:`_told` reads it once they are known.
+    """
+    salt, idle = 0, 0
+    while idle < 2 and pairs.head(1):
+        salt += 1
+        turned = salt % 2 == 0
+        way = _turned(pairs) if turned else pairs
+        merged = _merged(way, salt)
+        if merged is None:
+            idle += 1
+            continue
+        idle = 0
+        rounds.append(pinned(way.join(merged, way["b"] == merged["state"]).select("state", "into", F.col("a").alias("near"))))
+        gone = merged.select(F.col("state").alias("a"))
+        moved = way.join(gone, "a", "left_anti").join(merged, F.col("b") == merged["state"], "left").select("a", F.coalesce("into", "b").alias("b")).where("a <> b").distinct()
+        pairs = pinned(_trimmed(_turned(moved) if turned else moved))
+    return pairs
+
+
+def _coloured(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """state, root of the components found in one sweep, and the edges inside what is left.
+
+    Each state takes the least state that leads to it; of one colour, those that
+    lead back to that state are its component.
+    """
+    colours = pinned(pairs.select(F.col("a").alias("state")).unionByName(pairs.select(F.col("b").alias("state"))).distinct().withColumn("colour", F.col("state")))
+    while True:
+        offered = pairs.join(colours.select(F.col("state").alias("a"), F.col("colour").alias("offer")), "a").groupBy(F.col("b").alias("state")).agg(F.min("offer").alias("offer"))
+        better = pinned(colours.join(offered, "state").where(F.col("offer") < F.col("colour")).select("state", "offer"))
+        if not better.head(1):
+            break
+        colours = pinned(colours.join(better, "state", "left").select("state", F.coalesce("offer", "colour").alias("colour")))
+    one, two = (colours.select(F.col("state").alias(c), F.col("colour").alias(f"colour_{c}")) for c in "ab")
+    inner = pinned(pairs.join(one, "a").join(two, "b").where("colour_a = colour_b").select("a", "b", F.col("colour_a").alias("colour")))
+    found = fresh = pinned(colours.where("state = colour"))
+    while fresh.head(1):
+        back = inner.join(fresh.select(F.col("state").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("state"), "colour").distinct()
+        fresh = pinned(back.join(found, "state", "left_anti"))
+        found = pinned(found.unionByName(fresh))
+    left = inner.select("a", "b").join(found.select(F.col("state").alias("a")), "a", "left_anti").join(found.select(F.col("state").alias("b")), "b", "left_anti")
+    return found.select("state", F.col("colour").alias("root")), pinned(_trimmed(left.select("a", "b")))
+
+
+def _told(rounds: list[DataFrame], known: DataFrame) -> DataFrame:
+    """``known(state, root)`` with the states that the rounds merged, the last round first; who isn't there is alone."""
+    for merged in reversed(rounds):
+        root = lambda c: known.select(F.col("state").alias(c), F.col("root").alias(f"root_{c}"))
+        both = merged.join(root("into"), "into", "left").join(root("near"), "near", "left")
+        both = both.select("state", F.coalesce("root_into", "into").alias("root"), F.coalesce("root_near", "near").alias("other"))
+        inside = both.where("root = other").groupBy("state").agg(F.first("root").alias("root"))
+        goals = inside.select(F.col("root").alias("state"), "root")  # a component of two: its root is not listed yet
+        known = pinned(known.unionByName(inside).unionByName(goals).distinct())
+    return known
+
+
+def _in_one_task(direct: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = {(a, b) for part in batches for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True)}
+        label = strong_components(sorted({s for pair in pairs for s in pair}), pairs)
+        yield pd.DataFrame({"state": list(label), "component": list(label.values())})
+
+    kind = direct.schema["a"].dataType.simpleString()
+    return direct.coalesce(1).mapInPandas(run, f"state {kind}, component {kind}")  # as many rows as its caller has checked
+
+
+def mutual_components(edges: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+    """state, component (its least state): states that lead to each other, whatever the length of the way.
+
+    A model's graph, of up to ``held_rows`` edges, is one task.  In a larger one
+    states without a way in or out are trimmed, chains are merged in a number of
+    rounds that grows with the logarithm of their length, and the rest is settled
+    by colours; all of it in joins over the edges, until nothing changes.
+    """
+    direct = pinned(edges.select(F.col("s_from").alias("a"), F.col("s_to").alias("b")).distinct())
+    if len(direct.limit(held_rows + 1).collect()) <= held_rows:
+        return _in_one_task(direct)
+    nodes = direct.select(F.col("a").alias("state")).unionByName(direct.select(F.col("b").alias("state"))).distinct()
+    left, rounds = pinned(_trimmed(direct.where("a <> b"))), []
+    known = direct.sparkSession.createDataFrame([], nodes.select("state", F.col("state").alias("root")).schema)
+    while (left := _without_chains(left, rounds)).head(1):
+        found, left = _coloured(left)
+        known = known.unionByName(found)
+    known = _told(rounds, pinned(known))
+    named = known.join(known.groupBy("root").agg(F.min("state").alias("component")), "root").select("state", "component")
+    return nodes.join(named, "state", "left").select("state", F.coalesce("component", "state").alias("component"))
+
+
+def without_transients(edges: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
     """Edges among states whose component none of their edges leaves."""
-    parts = mutual_components(edges, depth)
+    parts = pinned(mutual_components(edges, held_rows))
     a = parts.select(F.col("state").alias("s_from"), F.col("component").alias("c_from"))
     b = parts.select(F.col("state").alias("s_to"), F.col("component").alias("c_to"))
     leaving = edges.join(a, "s_from").join(b, "s_to").where("c_from <> c_to").select("s_from").distinct()
@@ -125,18 +258,18 @@ def without_transients(edges: DataFrame, depth: int) -> DataFrame:
     return kept.join(leaving.select(F.col("s_from").alias("s_to")), "s_to", "left_anti").select(*edges.columns)
 
 
-def largest_component(edges: DataFrame, depth: int) -> DataFrame:
+def largest_component(edges: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
     """Edges of the component with the most states; of equals, of the one with the least state."""
-    parts = mutual_components(edges, depth)
+    parts = pinned(mutual_components(edges, held_rows))
     best = parts.groupBy("component").agg(F.count("*").alias("size")).agg(F.min(F.struct((-F.col("size")).alias("size"), "component")).alias("best")).select("best.component")
     states = parts.join(F.broadcast(best), "component", "left_semi").select("state")  # one row is broadcast
     inner = edges.join(states.withColumnRenamed("state", "s_from"), "s_from", "left_semi")
     return inner.join(states.withColumnRenamed("state", "s_to"), "s_to", "left_semi").select(*edges.columns)
 
 
-def recurrent_part(edges: DataFrame, depth: int) -> DataFrame:
+def recurrent_part(edges: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
     """Transient states go; of what is left the largest component stays."""
-    return largest_component(pinned(without_transients(edges, depth)), depth)
+    return largest_component(pinned(without_transients(edges, held_rows)), held_rows)
 
 
 def map_words(words: DataFrame, edges_t: DataFrame, length: int, states: DataFrame) -> DataFrame:

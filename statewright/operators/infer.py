@@ -9,6 +9,7 @@ replicates) run side by side.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.small import pinned
 from ..functions.stats import homogeneity_test
 from .counts import morphs_from_filtered, word_counts
-from .graph import history_transitions, recurrent
+from .graph import NoRecurrentPart, history_transitions, recurrent
 
 History = tuple[str, str]
 Morph = list[list[float]]
@@ -133,33 +134,54 @@ class Clustering:
             del self.members[state], self.sums[state]
 
     def determinise(self) -> None:
-        """Split states until all histories of a state agree on the next state for each pair."""
-        while self.split_once():
-            pass
-
-    def split_once(self) -> bool:
+        """Split states until all histories of a state agree on the next state for each pair.
+
+        What is still to be looked at lies in a heap, in the order of states and
+        pairs.  A split puts back the two states it leaves, and by an inverse index
+        the pairs of those states whose histories lead to one that moved; what was
+        found in order and isn't put back is still in order.
+        """
+        labels = [(x, y) for x in self.axs for y in self.past_outputs or self.ays]
+        members = {s: dict.fromkeys(hs) for s, hs in self.members.items()}
         owner = self.owners()
-        for state, hs in self.members.items():
-            for x in self.axs:
-                for y in self.past_outputs or self.ays:
-                    goals = [owner.get(self.following(h, x, y)) for h in hs]
-                    known = [i for i, g in enumerate(goals) if g is not None]
-                    other = next((i for i in known if goals[i] != goals[known[0]]), None)
-                    if other is None:
-                        continue
-                    moving = [hs[i] for i in known if i >= other and goals[i] == goals[other]]
-                    fresh = None
-                    for h in moving:
-                        m = self.morph(h)
-                        self.members[state].remove(h)
-                        self.add(state, m, -1)
-                        if fresh is None:
-                            fresh = self.open(h, m)
-                        else:
-                            self.members[fresh].append(h)
-                            self.add(fresh, m)
-                    return True
-        return False
+        leading: dict[History, list[tuple[History, int]]] = {}
+        for h in owner:
+            for i, pair in enumerate(labels):
+                if (goal := self.following(h, *pair)) in owner:
+                    leading.setdefault(goal, []).append((h, i))
+        heap = [(s, i) for s in members for i in range(len(labels))]
+        heapq.heapify(heap)
+        waiting = set(heap)
+
+        def again(state: int, label: int) -> None:
+            if (state, label) not in waiting:
+                waiting.add((state, label))
+                heapq.heappush(heap, (state, label))
+
+        while heap:
+            state, label = heapq.heappop(heap)
+            waiting.discard((state, label))
+            goals = [(h, owner.get(self.following(h, *labels[label]))) for h in members[state]]
+            known = [(h, g) for h, g in goals if g is not None]
+            other = next((g for _, g in known if g != known[0][1]), None)
+            if other is None:
+                continue
+            moving = [h for h, g in known if g == other]
+            fresh = self.open(moving[0], self.morph(moving[0]))
+            for h in moving[1:]:
+                self.add(fresh, self.morph(h))
+            for h in moving:
+                self.add(state, self.morph(h), -1)
+                del members[state][h]
+                owner[h] = fresh
+            members[fresh] = dict.fromkeys(moving)
+            for i in range(len(labels)):
+                again(state, i)
+                again(fresh, i)
+            for h in moving:
+                for before, i in leading.get(h, ()):
+                    again(owner[before], i)
+        self.members = {s: list(hs) for s, hs in members.items()}
 
     def run(self) -> Clustering:
         self.grow()
@@ -189,18 +211,23 @@ def clustering_of(rows: pd.DataFrame, axs: list[str], ays: list[str], length: in
     return Clustering(counts, axs, ays, length, **options).run()
 
 
-def infer(words: DataFrame, axs: list[str], ays: list[str], length: int, alpha: float = 0.001, kind: str = "chi2", current_input: bool = True, output_memoryless: bool = False) -> DataFrame:
+def infer(words: DataFrame, axs: list[str], ays: list[str], length: int, alpha: float = 0.001, kind: str = "chi2", current_input: bool = True, output_memoryless: bool = False, skip_transient: bool = False) -> DataFrame:
     """histories(model_id, state, ord, xs, ys) from word counts (model_id, xs, ys, n); one task per model.
 
     States are numbered from 0 in order of creation.  A model without any
-    recurrent state raises.
+    recurrent state raises, or with ``skip_transient`` has no rows.
     """
     options = {"alpha": alpha, "kind": kind, "current_input": current_input, "past_outputs": ["n"] if output_memoryless else None}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = clustering_of(rows, axs, ays, length, **options)
-        out = [(rows["model_id"].iloc[0], k, i, *h) for k, hs in enumerate(found.members.values()) for i, h in enumerate(hs)]
-        return pd.DataFrame(out, columns=["model_id", "state", "ord", "xs", "ys"])
+        names = ["model_id", "state", "ord", "xs", "ys"]
+        try:
+            found = clustering_of(rows, axs, ays, length, **options)
+        except NoRecurrentPart:
+            if skip_transient:
+                return pd.DataFrame([], columns=names)
+            raise
+        return pd.DataFrame([(rows["model_id"].iloc[0], k, i, *h) for k, hs in enumerate(found.members.values()) for i, h in enumerate(hs)], columns=names)
 
     shape = f"model_id {words.schema['model_id'].dataType.simpleString()}, state int, ord int, xs string, ys string"
     return words.select("model_id", "xs", "ys", "n").groupBy("model_id").applyInPandas(run, shape)
@@ -260,11 +287,16 @@ def fitted(symbols: DataFrame, axs: list[str], ays: list[str], length: int, alph
     return fitted_words(words.where(F.col("k") <= length + 1), axs, ays, length, alpha, kind, symbols if reestimate else None)
 
 
-def fitted_words(words: DataFrame, axs: list[str], ays: list[str], length: int, alpha: float = 0.001, kind: str = "chi2", refilter: DataFrame | None = None) -> Model:
-    """The model of counted words of one model_id; outputs counted anew along ``refilter``, if given."""
+def fitted_words(words: DataFrame, axs: list[str], ays: list[str], length: int, alpha: float = 0.001, kind: str = "chi2", refilter: DataFrame | None = None, skip_transient: bool = False) -> Model | None:
+    """The model of counted words of one model_id; outputs counted anew along ``refilter``, if given.
+
+    A model without any recurrent state raises, or with ``skip_transient`` is None.
+    """
     from .filters import SuffixModel, filter_states
 
-    found = pinned(infer(words, axs, ays, length, alpha, kind))
+    found = pinned(infer(words, axs, ays, length, alpha, kind, skip_transient=skip_transient))
+    if skip_transient and not found.head(1):
+        return None
     emissions = found.sparkSession.createDataFrame([(x, y) for x in axs for y in ays], "x string, y string")
     transitions = pinned(history_transitions(found, emissions, length))
     morph = morphs(found, words)

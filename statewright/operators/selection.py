@@ -6,7 +6,6 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +15,9 @@ from .algebra import stationary_exact
 from .counts import word_counts
 from .encode import constant_input, split_train_test
 from .filters import Belief, belief_filter
+from .graph import NoRecurrentPart
 from .infer import Clustering, Model, canonical, fitted, fitted_words
-from .measures import measure_models, measures, symbol_matrices
+from .measures import TooManyMixedStates, measure_models, measures, symbol_matrices
 from .simulate import Walker, generator
 
 
@@ -81,7 +81,7 @@ def choose_length(spark: SparkSession, series: list[str], ays: list[str], longes
         try:
             found = Clustering(counts_of(fit, longest), ["0"], ays, length, alpha, kind).run()
             ll = log_likelihood(machine_edges(found), test, ays)
-        except ValueError:
+        except NoRecurrentPart:
             return pd.DataFrame({"length": [length], "states": [0], "loglik": [-math.inf], "score": [math.inf], "topology": [""]})
         n = sum(map(len, test))
         score = -ll / n if held_out else -2 * ll + len(found.members) * (len(ays) - 1) * math.log(n)
@@ -112,9 +112,8 @@ def choose_length_of(symbols: DataFrame, ays: list[str], longest: int, alpha: fl
     n = test.count()
     rows = []
     for length in range(1, longest + 1):
-        try:
-            model = fitted_words(words.where(F.col("k") <= length + 1), ["0"], ays, length, alpha, kind)
-        except PythonException:  # no recurrent part
+        model = fitted_words(words.where(F.col("k") <= length + 1), ["0"], ays, length, alpha, kind, skip_transient=True)
+        if model is None:
             rows.append((length, 0, -math.inf, math.inf, ""))
             continue
         edges_t = model.edges.select(F.col("s_from").cast("string").alias("s_from"), "x", "y", F.col("s_to").cast("string").alias("s_to"), "p")
@@ -141,7 +140,10 @@ def best_length(scores: DataFrame) -> int:
 
 
 def bootstrap(spark: SparkSession, moves: list[tuple[object, str, object, float]], ays: list[str], length: int, size: int, replicates: int, alpha: float = 0.001, seed: int = 0) -> DataFrame:
-    """boot_id, cmu, hmu, excess, failed: a machine simulated, inferred and measured anew per replicate, a task for each group."""
+    """boot_id, cmu, hmu, excess, failed: a machine simulated, inferred and measured anew per replicate, a task for each group.
+
+    A replicate without a recurrent part, or with too many mixed states, has failed; any other error raises.
+    """
 
     def run(batches):
         walker = Walker(moves)
@@ -158,7 +160,7 @@ def bootstrap(spark: SparkSession, moves: list[tuple[object, str, object, float]
                     else:
                         m = measures(machine_edges(found))
                         out.append((b, m.cmu, m.hmu, m.excess, False))
-                except ValueError:
+                except (NoRecurrentPart, TooManyMixedStates):
                     out.append((b, None, None, None, True))
             yield pd.DataFrame(out, columns=["boot_id", "cmu", "hmu", "excess", "failed"])
 

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import pinned, shared_folder
+from ..functions.small import pinned, removed, shared_folder
 from ..functions.stats import state_label
 from ..operators import algebra, counts, encode, filters, graph, hypothesis, infer, measures, metrics, selection, simulate
-from ..sources import models
+from ..operators.intervals import cumulative_intervals, interval_join
+from ..sources import model_files, models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -190,6 +191,46 @@ def marg_counts(spark, sf):
     return counts.marginal_counts(counts.word_counts(events(spark, sf), 3))
 
 
+@query(f"WITH {S}, {words_sql(3)} SELECT k, xs, left(ys, k - 1) AS past, right(ys, 1) AS y, grouping(right(ys, 1)) = 1 AS margin, sum(n)::BIGINT AS n FROM g GROUP BY GROUPING SETS ((k, xs, left(ys, k - 1), right(ys, 1)), (k, xs, left(ys, k - 1)))")
+def words_with_margins(spark, sf):
+    """Words and the sums over their last output, by grouping sets."""
+    return counts.words_and_margins(events(spark, sf), 3)
+
+
+@query(f"WITH {S}, f0 AS (SELECT series_id FROM s WHERE t = 0 AND y = 'p'), n0 AS (SELECT series_id, t, CASE WHEN series_id IN (FROM f0) THEN '0' ELSE x END AS x, y FROM s), {words_sql(3, 'n0')} SELECT * FROM g")
+def counts_after_retraction(spark, sf):
+    """Series that begin with a purchase are withdrawn and come again with their inputs masked; the others aren't counted again."""
+    symbols = events(spark, sf)
+    first = symbols.where("t = 0 and y = 'p'").select("series_id")
+    changed = symbols.join(first, "series_id", "left_semi")
+    return counts.revised_counts(counts.word_counts(symbols, 3), counts.word_deltas(3, encode.constant_input(changed), changed))
+
+
+@query(f"WITH {S}, {words_sql(3)} SELECT * FROM g")
+def counts_after_append(spark, sf):
+    """The symbols of the second half of each series arrive after the first half was counted."""
+    halves = encode.split_train_test(events(spark, sf))
+    before = halves.where("part = 'train'").drop("part")
+    since = halves.where("part = 'test'").groupBy("series_id").agg(F.min("t").alias("first"))
+    return counts.revised_counts(counts.word_counts(before, 3), counts.appended_deltas(halves.drop("part"), since, 3))
+
+
+def long_words_sql(width: int) -> str:
+    return f"SELECT string_agg(b.x, '' ORDER BY b.t) AS xs, string_agg(b.y, '' ORDER BY b.t) AS ys FROM b a JOIN b ON b.series_id = a.series_id AND b.t BETWEEN a.t AND a.t + {width - 1} GROUP BY a.series_id, a.t HAVING count(*) = {width}"
+
+
+@query(f"WITH {B}, f AS ({long_words_sql(33)}) SELECT xs, ys, count(*) AS n FROM f GROUP BY ALL")
+def word_counts_l32(spark, sf):
+    """Words of 33 pairs, by names of words of doubling length."""
+    return counts.long_word_counts(binary_events(spark, sf), 33)
+
+
+@query(f"WITH {LINES}, b AS (FROM s), f AS ({long_words_sql(3)}) SELECT xs, ys, count(*) AS n FROM f GROUP BY ALL")
+def word_counts_named(spark, sf):
+    """Words of three pairs of line items, by names."""
+    return counts.long_word_counts(lineitems(spark, sf), 3)
+
+
 @query(f"WITH {LINES}, {words_sql(2)} SELECT * FROM g")
 def multiline_counts(spark, sf):
     return counts.word_counts(lineitems(spark, sf), 2)
@@ -357,7 +398,7 @@ def order2_markov(spark, sf):
     return algebra.machine_from_counts(counts.word_counts(encode.constant_input(events(spark, sf)), 2), 2)
 
 
-STATUS = f"WITH RECURSIVE {ORDERS}, {words_sql(1)}, e AS (SELECT DISTINCT left(ys, 1) AS s_from, right(ys, 1) AS s_to FROM g WHERE k = 2), r AS (SELECT s_from, s_to, 1 AS d FROM e UNION SELECT r.s_from, e.s_to, d + 1 FROM r JOIN e ON r.s_to = e.s_from WHERE d < 3), q AS (SELECT DISTINCT s_from, s_to FROM r)"
+STATUS = f"WITH RECURSIVE {ORDERS}, {words_sql(1)}, e AS (SELECT DISTINCT left(ys, 1) AS s_from, right(ys, 1) AS s_to FROM g WHERE k = 2), q AS (SELECT s_from, s_to FROM e UNION SELECT q.s_from, e.s_to FROM q JOIN e ON q.s_to = e.s_from)"
 
 
 def status_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,15 +407,15 @@ def status_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(STATUS + " SELECT * FROM q")
 def reachability(spark, sf):
-    return graph.reachable(status_edges(spark, sf), 3)
+    return graph.reachable(status_edges(spark, sf))
 
 
 @query(STATUS + ", n AS (SELECT s_from AS state FROM e UNION SELECT s_to FROM e) SELECT state, least(state, coalesce((SELECT min(a.s_to) FROM q a JOIN q b ON a.s_from = b.s_to AND a.s_to = b.s_from WHERE a.s_from = state), state)) AS component FROM n")
 def strong_components(spark, sf):
-    return graph.mutual_components(status_edges(spark, sf), 3)
+    return graph.mutual_components(status_edges(spark, sf))
 
 
-LINEFLOW = f"WITH RECURSIVE {LINES}, w AS (SELECT series_id, y AS a, coalesce(lead(y) OVER (PARTITION BY series_id ORDER BY t), 'end') AS b FROM s), e AS (SELECT DISTINCT a AS s_from, b AS s_to FROM w UNION SELECT 'end', 'end'), r AS (SELECT s_from, s_to, 1 AS d FROM e UNION SELECT r.s_from, e.s_to, d + 1 FROM r JOIN e ON r.s_to = e.s_from WHERE d < 4), q AS (SELECT DISTINCT s_from, s_to FROM r)"
+LINEFLOW = f"WITH RECURSIVE {LINES}, w AS (SELECT series_id, y AS a, coalesce(lead(y) OVER (PARTITION BY series_id ORDER BY t), 'end') AS b FROM s), e AS (SELECT DISTINCT a AS s_from, b AS s_to FROM w UNION SELECT 'end', 'end'), q AS (SELECT s_from, s_to FROM e UNION SELECT q.s_from, e.s_to FROM q JOIN e ON q.s_to = e.s_from)"
 
 
 @query(LINEFLOW + " SELECT * FROM e WHERE EXISTS (SELECT 1 FROM q WHERE q.s_from = e.s_to AND q.s_to = e.s_from) AND NOT EXISTS (SELECT 1 FROM q WHERE q.s_from = e.s_from AND NOT EXISTS (SELECT 1 FROM q b WHERE b.s_from = q.s_to AND b.s_to = e.s_from))")
@@ -382,14 +423,14 @@ def remove_transients(spark, sf):
     flow = lineitems(spark, sf).withColumn("b", F.coalesce(F.lead("y").over(Window.partitionBy("series_id").orderBy("t")), F.lit("end")))
     edges = flow.select(F.col("y").alias("s_from"), F.col("b").alias("s_to")).distinct()
     edges = pinned(edges).unionByName(spark.createDataFrame([("end", "end")], "s_from string, s_to string"))
-    return graph.without_transients(edges, 4)
+    return graph.without_transients(edges)
 
 
 FLOWS = """WITH RECURSIVE li AS (SELECT l_orderkey AS series_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS t, 'l' || l_returnflag AS y FROM lineitem),
 od AS (SELECT o_custkey AS series_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t, 'o' || o_orderstatus AS y FROM orders),
 w AS (SELECT y AS a, lead(y) OVER (PARTITION BY series_id ORDER BY t) AS b FROM li UNION ALL SELECT y, lead(y) OVER (PARTITION BY series_id ORDER BY t) FROM od),
 e AS (SELECT DISTINCT a AS s_from, b AS s_to FROM w WHERE b IS NOT NULL UNION SELECT 'start', 'lR' UNION SELECT 'end', 'end'),
-r AS (SELECT s_from, s_to, 1 AS d FROM e UNION SELECT r.s_from, e.s_to, d + 1 FROM r JOIN e ON r.s_to = e.s_from WHERE d < 6), q AS (SELECT DISTINCT s_from, s_to FROM r),
+q AS (SELECT s_from, s_to FROM e UNION SELECT q.s_from, e.s_to FROM q JOIN e ON q.s_to = e.s_from),
 n AS (SELECT s_from AS state FROM e UNION SELECT s_to FROM e),
 c AS (SELECT n.state, coalesce((SELECT min(a.s_to) FROM q a JOIN q b ON a.s_from = b.s_to AND a.s_to = b.s_from WHERE a.s_from = n.state), n.state) AS component FROM n),
 lv AS (SELECT DISTINCT e.s_from FROM e JOIN c x ON x.state = e.s_from JOIN c y ON y.state = e.s_to WHERE x.component <> y.component),
@@ -403,7 +444,41 @@ def recurrent_component(spark, sf):
     flow = lambda symbols, mark: symbols.select(F.concat(F.lit(mark), "y").alias("s_from"), F.concat(F.lit(mark), after).alias("s_to"))
     seen = flow(lineitems(spark, sf), "l").unionByName(flow(orders(spark, sf), "o")).where("s_to is not null").distinct()
     more = spark.createDataFrame([("start", "lR"), ("end", "end")], "s_from string, s_to string")
-    return graph.recurrent_part(pinned(seen.unionByName(more)), 6)
+    return graph.recurrent_part(pinned(seen.unionByName(more)))
+
+
+# Each order leads to the customer's next one; where the last one is finished, it leads back to the order in the middle.
+RINGS = """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS st, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS n, lead(o_orderkey) OVER w AS z
+ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+e AS (SELECT k AS s_from, z AS s_to FROM o WHERE z IS NOT NULL UNION SELECT l.k, m.k FROM o l JOIN o m ON l.c = m.c AND m.i = (l.n + 1) // 2 WHERE l.i = l.n AND l.st = 'F'),
+q AS (SELECT s_from, s_to FROM e UNION SELECT q.s_from, e.s_to FROM q JOIN e ON q.s_to = e.s_from)"""
+
+
+def ring_edges(spark: SparkSession, sf: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    own, order = Window.partitionBy("o_custkey"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    placed = table.select("o_custkey", "o_orderkey", "o_orderstatus", F.row_number().over(order).alias("i"), F.count("*").over(own).alias("n"), F.lead("o_orderkey").over(order).alias("z"))
+    on = placed.where("z is not null").select(F.col("o_orderkey").alias("s_from"), F.col("z").alias("s_to"))
+    middle = placed.where("i = (n + 1) div 2").select("o_custkey", F.col("o_orderkey").alias("s_to"))
+    back = placed.where("i = n and o_orderstatus = 'F'").join(middle, "o_custkey").select(F.col("o_orderkey").alias("s_from"), "s_to")
+    return on.unionByName(back)
+
+
+@query(RINGS + " SELECT n.state, least(n.state, coalesce((SELECT min(a.s_to) FROM q a JOIN q b ON a.s_from = b.s_to AND a.s_to = b.s_from WHERE a.s_from = n.state), n.state)) AS component FROM (SELECT s_from AS state FROM e UNION SELECT s_to FROM e) n")
+def order_rings(spark, sf):
+    """Components of a graph with long ways: some orders of a customer lead round, those before them don't come back."""
+    return graph.mutual_components(ring_edges(spark, sf))
+
+
+@query(RINGS + " SELECT DISTINCT s_to AS state FROM q JOIN (SELECT min(k) AS first FROM o WHERE i = 1 AND st = 'P') f ON s_from = first UNION SELECT min(k) FROM o WHERE i = 1 AND st = 'P' HAVING count(*) > 0")
+def orders_reached(spark, sf):
+    """What the first order of one customer leads to: a frontier, not all pairs."""
+    edges = ring_edges(spark, sf)
+    starts = edges.join(edges.select(F.col("s_to").alias("s_from")).distinct(), "s_from", "left_anti").select("s_from").distinct()
+    pending = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("s_from"))
+    alone = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("s_from")).where("n = 1").select("s_from")
+    first = starts.unionByName(alone).join(pending, "s_from", "left_semi").agg(F.min("s_from").alias("state")).where("state is not null")
+    return graph.reachable_from(edges, first)
 
 
 @query(
@@ -702,6 +777,97 @@ def filter_beliefs_strict(spark, sf):
     return beliefs(spark, sf, "strict")
 
 
+# Symbols whose last two outputs are the transducer's state and whose last input is the machine's: two steps settle it.
+# Rare edges are taken out of the models, so that pairs which they forbid do occur.
+FLAGGED = """sym AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, substr(event_type, 1, 1) AS x, CASE WHEN value >= 30 THEN '1' ELSE '0' END AS y FROM events)"""
+SLOW = f"""WITH RECURSIVE {FLAGGED}, wd AS (SELECT lag(y, 2) OVER v || lag(y) OVER v AS s_from, lag(x) OVER v AS m_from, x, y, lag(y) OVER v || y AS s_to FROM sym WINDOW v AS (PARTITION BY series_id ORDER BY t)),
+tw AS (SELECT s_from, x, y, s_to, count(*) / sum(count(*)) OVER (PARTITION BY s_from, x) AS p FROM wd WHERE s_from IS NOT NULL GROUP BY s_from, x, y, s_to),
+mw AS (SELECT m_from AS s_from, x, x AS s_to, count(*) / sum(count(*)) OVER (PARTITION BY m_from) AS p FROM wd WHERE m_from IS NOT NULL GROUP BY m_from, x)"""
+MIXED_START = ", mm AS (SELECT tw.s_from || '|' || mw.s_from AS s_from, tw.s_to || '|' || mw.s_to AS s_to, sum(tw.p * mw.p) AS p FROM tw JOIN mw USING (x) GROUP BY 1, 2)" + LIMIT.format(e="mm") + ", pi0 AS (SELECT split_part(state, '|', 1) AS t, split_part(state, '|', 2) AS m, pi FROM st)"
+#: A step for every symbol of a series: the weights of all pairs of states as one list, a column of the label's matrix for each goal.
+BELIEF_RUN = """, pr AS (SELECT t, m, pi, row_number() OVER (ORDER BY t, m) AS k FROM pi0),
+mv AS (SELECT a.k, b.k AS j, te.x, te.y, sum(te.p * me.p) AS p FROM te JOIN me USING (x) JOIN pr a ON a.t = te.s_from AND a.m = me.s_from JOIN pr b ON b.t = te.s_to AND b.m = me.s_to GROUP BY ALL),
+ab AS (SELECT DISTINCT x, y FROM sym),
+ce AS (SELECT ab.x, ab.y, b.k AS j, list(coalesce(mv.p, 0::DOUBLE) ORDER BY a.k) AS col FROM ab CROSS JOIN pr a CROSS JOIN pr b LEFT JOIN mv ON mv.x = ab.x AND mv.y = ab.y AND mv.k = a.k AND mv.j = b.k GROUP BY 1, 2, 3),
+mt AS (SELECT x, y, list(col ORDER BY j) AS cols FROM ce GROUP BY 1, 2),
+me1 AS (SELECT s_from, x, sum(p) AS q FROM me GROUP BY 1, 2), te1 AS (SELECT s_from, x, coalesce(sum(p) FILTER (y = '0'), 0) AS a0, coalesce(sum(p) FILTER (y = '1'), 0) AS a1 FROM te GROUP BY 1, 2),
+fo AS (SELECT ax.x, list(coalesce(q, 0) ORDER BY k) AS tot, list(coalesce(q * a0, 0) ORDER BY k) AS f0, list(coalesce(q * a1, 0) ORDER BY k) AS f1 FROM (SELECT DISTINCT x FROM sym) ax CROSS JOIN pr LEFT JOIN me1 ON me1.s_from = m AND me1.x = ax.x LEFT JOIN te1 ON te1.s_from = t AND te1.x = ax.x GROUP BY 1),
+z AS (SELECT list(t ORDER BY k) AS names, list(pi ORDER BY k) AS start FROM pr),
+nx AS (SELECT s_from, x, y, min(s_to) AS s_to FROM te GROUP BY 1, 2, 3),
+r AS (SELECT series_id, (-1)::BIGINT AS t, start AS b, NULL::VARCHAR AS s, ''::VARCHAR AS y, NULL::DOUBLE AS p_0, NULL::DOUBLE AS p_1, NULL::VARCHAR[] AS seen, false AS forbidden FROM (SELECT DISTINCT series_id FROM sym), z
+ UNION ALL
+ SELECT series_id, t, b, s, y, p_0, p_1, CASE WHEN s IS NOT NULL THEN [s] ELSE possible END AS seen, forbidden FROM (
+  SELECT *, CASE WHEN forbidden THEN NULL WHEN was IS NOT NULL THEN onward WHEN {settles} AND len(possible) = 1 THEN possible[1] END AS s FROM (
+   SELECT *, list_sort(list_distinct(list_filter(list_transform(names, lambda n, i: CASE WHEN b[i] > 0 THEN n END), lambda n: n IS NOT NULL))) AS possible FROM (
+    SELECT *, CASE WHEN forbidden THEN start WHEN was IS NULL THEN list_transform(moved, lambda v: v / list_sum(moved)) ELSE prior END AS b FROM (
+     SELECT *, CASE WHEN was IS NULL THEN list_sum(moved) <= 0 ELSE onward IS NULL END AS forbidden FROM (
+      SELECT sym.series_id, sym.t, sym.y, r.b AS prior, r.s AS was, nx.s_to AS onward, names, start, list_transform(cols, lambda c: list_dot_product(r.b, c)) AS moved,
+             CASE WHEN r.s IS NOT NULL THEN coalesce(te1.a0, 0) WHEN list_dot_product(r.b, tot) > 0 THEN list_dot_product(r.b, f0) / list_dot_product(r.b, tot) END AS p_0,
+             CASE WHEN r.s IS NOT NULL THEN coalesce(te1.a1, 0) WHEN list_dot_product(r.b, tot) > 0 THEN list_dot_product(r.b, f1) / list_dot_product(r.b, tot) END AS p_1
+      FROM r JOIN sym ON sym.series_id = r.series_id AND sym.t = r.t + 1 JOIN mt ON mt.x = sym.x AND mt.y = sym.y JOIN fo ON fo.x = sym.x LEFT JOIN nx ON nx.s_from = r.s AND nx.x = sym.x AND nx.y = sym.y LEFT JOIN te1 ON te1.s_from = r.s AND te1.x = sym.x, z))))))
+SELECT series_id, t, round(p_0, 6) AS p_0, round(p_1, 6) AS p_1, round(CASE y WHEN '0' THEN p_0 ELSE p_1 END, 6) AS p_seen, array_to_string(seen, ',') AS states, forbidden FROM r WHERE t >= 0"""
+PRUNED = ", te AS (SELECT * FROM tw WHERE p >= 0.42), me AS (SELECT * FROM mw WHERE p >= 0.19)"
+WHOLE = ", te AS (SELECT * FROM tw), me AS (SELECT * FROM mw)"
+
+
+def flagged_events(spark: SparkSession, sf: str) -> DataFrame:
+    """symbols of users: x is the event's first letter, y tells values of 30 and more."""
+    table = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value")
+    return encode.encode(table, "user_id", ["ts", "event_id"], F.when(F.col("value") >= 30, "1").otherwise("0"), F.substring("event_type", 1, 1), bucket=F.to_date("ts"))
+
+
+def slow_beliefs(spark: SparkSession, sf: str, mode: str, chunk: int, pruned: bool = True) -> DataFrame:
+    symbols = flagged_events(spark, sf)
+    m = pinned(machine_of(counts.word_counts(symbols, 1)))
+    t = pinned(algebra.transducer_from_counts(counts.word_counts(symbols, 2), 2))
+    return told_beliefs(symbols, m, t, mode, chunk, 0.42 if pruned else 0.0, 0.19 if pruned else 0.0)
+
+
+def told_beliefs(symbols: DataFrame, m: DataFrame, t: DataFrame, mode: str, chunk: int, least_t: float = 0.0, least_m: float = 0.0) -> DataFrame:
+    found = filters.belief_filter(symbols, m.where(F.col("p") >= least_m), t.where(F.col("p") >= least_t), mixed_pi_of(m, t), ["0", "1"], mode, chunk)
+    known = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("p_0", "p_1", "p_seen")]
+    return found.select("series_id", "t", *known, F.array_join("states", ",").alias("states"), "forbidden")
+
+
+@query(SLOW + MIXED_START + PRUNED + BELIEF_RUN.replace("{settles}", "true"))
+def filter_beliefs_pruned(spark, sf):
+    """Settles in two steps, and begins anew at the pairs that the models forbid; chunks of 16 symbols."""
+    return slow_beliefs(spark, sf, "restart", 16)
+
+
+@query(SLOW + MIXED_START + PRUNED + BELIEF_RUN.replace("{settles}", "false"))
+def filter_beliefs_pruned_unsettled(spark, sf):
+    """Never settles: an input that the machine forbids counts too."""
+    return slow_beliefs(spark, sf, "never", 16)
+
+
+@query(SLOW + MIXED_START + WHOLE + BELIEF_RUN.replace("{settles}", "true"))
+def filter_beliefs_two_steps(spark, sf):
+    """Raises at an impossible pair, of which whole models have none."""
+    return slow_beliefs(spark, sf, "strict", 16, pruned=False)
+
+
+HIDDEN = """WITH RECURSIVE ev AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CASE WHEN hour(ts) >= 12 THEN '1' ELSE '0' END AS x, CASE WHEN value >= 30 THEN '1' ELSE '0' END AS y, substr(event_type, 1, 1) AS kind FROM events),
+sym AS (SELECT series_id, t, x, y FROM ev), wd AS (SELECT lag(kind) OVER v AS s_from, kind AS s_to, lag(x) OVER v AS m_from, x, y FROM ev WINDOW v AS (PARTITION BY series_id ORDER BY t)),
+tw AS (SELECT s_from, x, y, s_to, count(*) / sum(count(*)) OVER (PARTITION BY s_from, x) AS p FROM wd WHERE s_from IS NOT NULL GROUP BY s_from, x, y, s_to),
+mw AS (SELECT m_from AS s_from, x, x AS s_to, count(*) / sum(count(*)) OVER (PARTITION BY m_from) AS p FROM wd WHERE m_from IS NOT NULL GROUP BY m_from, x)"""
+
+
+@query(HIDDEN + MIXED_START + WHOLE + BELIEF_RUN.replace("{settles}", "false"))
+def filter_beliefs_hidden(spark, sf):
+    """A hidden Markov source: the kind of the event is the state, not seen; a label leads to all five kinds."""
+    table = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value")
+    both = F.concat(F.when(F.hour("ts") >= 12, "1").otherwise("0"), F.substring("event_type", 1, 1))
+    told = encode.encode(table, "user_id", ["ts", "event_id"], F.when(F.col("value") >= 30, "1").otherwise("0"), both, bucket=F.to_date("ts"))
+    named = told.select("series_id", "t", F.substring("x", 1, 1).alias("x"), "y", F.substring("x", 2, 1).alias("kind"))
+    symbols = named.drop("kind")
+    before = F.lag("kind").over(Window.partitionBy("series_id").orderBy("t"))
+    moves = named.select(before.alias("s_from"), "x", "y", F.col("kind").alias("s_to")).where("s_from is not null").groupBy("s_from", "x", "y", "s_to").agg(F.count("*").alias("n"))
+    t = moves.select("s_from", "x", "y", "s_to", (F.col("n") / F.sum("n").over(Window.partitionBy("s_from", "x"))).alias("p"))
+    m = machine_of(counts.word_counts(symbols, 1))
+    return told_beliefs(symbols, pinned(m), pinned(t), "restart", 16)
+
+
 # -- inference
 
 
@@ -757,18 +923,75 @@ def memoryless_transitions(spark, sf):
     return moves.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "x", "y", F.col("s_to_name").alias("s_to"))
 
 
+def kept_files(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` makes of files that ``write`` writes to a folder of their own, which goes again: a model's table, held."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    write(path)
+    try:
+        return pinned(read(path))
+    finally:
+        removed(spark, path)
+
+
 CYCLE = "(VALUES ('10', '0', '00'), ('00', '1', '01'), ('01', '1', '11'), ('11', '0', '10'))"
 
 
 @query(f"SELECT s_from, y, s_to, 1.0::DOUBLE AS p FROM {CYCLE} v(s_from, y, s_to)")
 def model_round_trip(spark, sf):
     """A fitted model written and read again; states go by their last two symbols."""
-    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    infer.fitted(simulate.period4(spark, 4000), ["0"], ["0", "1"], 3).save(path)
-    model = infer.Model.load(spark, path)
-    names = model.histories.groupBy("state").agg(F.min(F.expr("right(ys, 2)")).alias("name"))
-    one, two = (names.select(F.col("state").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s_from", "s_to"))
-    return model.edges.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "y", F.col("s_to_name").alias("s_to"), "p")
+    fitted = infer.fitted(simulate.period4(spark, 4000), ["0"], ["0", "1"], 3)
+
+    def read(path: str) -> DataFrame:
+        model = infer.Model.load(spark, path)
+        names = model.histories.groupBy("state").agg(F.min(F.expr("right(ys, 2)")).alias("name"))
+        one, two = (names.select(F.col("state").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s_from", "s_to"))
+        return model.edges.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "y", F.col("s_to_name").alias("s_to"), "p")
+
+    return kept_files(spark, fitted.save, read)
+
+
+def state_names(histories: DataFrame) -> DataFrame:
+    return last_input(histories).select("state", "name").distinct()
+
+
+@query(f"WITH {DELAYED} SELECT a.x AS s_from, b.x, a.x AS y, b.x AS s_to, 1.0::DOUBLE AS p FROM (SELECT DISTINCT x FROM d) a, (SELECT DISTINCT x FROM d) b")
+def model_files_round_trip(spark, sf):
+    """Graph text and state listing of a fitted channel, written by executors and read again; states go by the last inputs that the listing has."""
+    model = infer.fitted(simulate.delay(inputs(spark, sf)), ["0", "1"], ["0", "1"], 2)
+
+    def write(path: str) -> None:
+        model_files.write_graphs(model.edges.where("p > 0"), f"{path}/graph")
+        model_files.write_listings(model.histories, infer.emission(model.morph), model.transitions, f"{path}/states", ["0", "1"], ["0", "1"])
+
+    def read(path: str) -> DataFrame:
+        histories, _, _ = model_files.read_listings(spark, f"{path}/states/*/*")
+        names = state_names(histories).select(model_files.state_name(F.col("state")).alias("state"), "name")
+        edges = models.read_transducer(spark, f"{path}/graph/*/*")
+        one, two = (names.select(F.col("state").alias(c), F.col("name").alias(f"{c}_name")) for c in ("s_from", "s_to"))
+        return edges.join(one, "s_from").join(two, "s_to").select(F.col("s_from_name").alias("s_from"), "x", "y", F.col("s_to_name").alias("s_to"), "p")
+
+    return kept_files(spark, write, read)
+
+
+@query(f"WITH {DELAYED} SELECT a.x AS state, b.x AS y, (a.x = b.x)::INT::DOUBLE AS p, c.x, c.x AS s_to FROM (SELECT DISTINCT x FROM d) a, (SELECT DISTINCT x FROM d) b, (SELECT DISTINCT x FROM d) c")
+def memoryless_listing(spark, sf):
+    """The listing of a channel fitted without past outputs, written and read again."""
+    words = counts.output_memoryless_counts(simulate.delay(inputs(spark, sf)), 2).withColumn("model_id", F.lit("delay"))
+    found = pinned(infer.infer(words, ["0", "1"], ["0", "1"], 2, current_input=False, output_memoryless=True))
+    emissions = spark.createDataFrame([(x, y) for x in "01" for y in "01"], "x string, y string")
+    moves = graph.history_transitions(found, emissions, 2, memoryless=True)
+    nexts = words.select("model_id", F.col("xs"), F.expr("left(ys, length(ys) - 1)").alias("ys"), F.expr("right(ys, 1)").alias("y"), "n")
+    seen = found.join(nexts, ["model_id", "xs", "ys"]).groupBy("model_id", "state", "y").agg(F.sum("n").alias("n"))
+    shares = seen.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("model_id", "state")))
+
+    def read(path: str) -> DataFrame:
+        histories, told, steps = model_files.read_listings(spark, f"{path}/*/*")
+        names = state_names(histories)
+        goals = names.select(F.col("state").alias("s_to"), F.col("name").alias("goal"))
+        onward = steps.join(goals, "s_to").select(F.col("s_from").alias("state"), "x", "goal")
+        return told.drop("x").join(onward, "state").join(names, "state").select(F.col("name").alias("state"), "y", "p", "x", F.col("goal").alias("s_to"))
+
+    return kept_files(spark, lambda path: model_files.write_listings(found, shares, moves, path, ["0", "1"], ["0", "1"], memoryless=True), read)
 
 
 @query()
@@ -818,6 +1041,32 @@ def model_measures(spark, sf):
     return found.select("model_id", "cmu", "hmu", "hmu_state_graph", "excess", F.col("h_l")[0].alias("h_1"), F.col("h_l")[1].alias("h_2"), F.col("big_h")[1].alias("big_h_2"))
 
 
+ORDER2 = f"""WITH {S}, lw AS (SELECT lag(y) OVER w || y AS a, lead(y) OVER w AS x, y || lead(y) OVER w AS b FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+l AS (SELECT a AS s_from, x, b AS s_to, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p FROM lw WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, x, b){LIMIT.format(e="l")}"""
+KNOWN = """, w AS (SELECT state, pi, p, x, right(state, 1) AS a FROM st JOIN l ON s_from = state),
+lv AS (SELECT 0 AS level, '' AS name, x, sum(pi * p) AS p FROM w GROUP BY x UNION ALL SELECT 1, a, x, sum(pi * p) / any_value(q) FROM (SELECT *, (SELECT sum(pi) FROM st WHERE right(state, 1) = w.a) AS q FROM w) GROUP BY a, x UNION ALL SELECT 2, state, x, p FROM w)"""
+
+
+def two_letters(spark: SparkSession, sf: str) -> DataFrame:
+    return pinned(algebra.machine_from_counts(counts.word_counts(encode.constant_input(events(spark, sf)), 2), 2))
+
+
+@query(ORDER2 + KNOWN + " SELECT level::INT AS level, x, round(p, 6) AS p, least(level + 1, 2)::INT AS goal_level FROM lv")
+def mixed_state_steps(spark, sf):
+    """Of a machine that remembers two letters: what is known before, after one, and after two of them."""
+    found = measures.mixed_state_tables(two_letters(spark, sf))
+    level = found.states.select("id", "level")
+    goals = level.select(F.col("id").alias("goal"), F.col("level").alias("goal_level"))
+    return found.steps.join(level, "id").join(goals, "goal").select("level", "x", "p", "goal_level")
+
+
+@query(ORDER2 + KNOWN + """, h AS (SELECT level, name, -sum(p * log2(p)) AS bits FROM lv GROUP BY 1, 2), g AS (SELECT 1 AS length, bits AS h FROM h WHERE level = 0
+ UNION ALL SELECT 2, sum(bits * (SELECT sum(pi) FROM st WHERE right(state, 1) = name)) FROM h WHERE level = 1 UNION ALL SELECT k, sum(bits * pi) FROM h JOIN st ON state = name AND level = 2, range(3, 7) r(k) GROUP BY k)
+SELECT length::INT AS length, round(h, 6) AS h_l, round(sum(h) OVER (ORDER BY length), 6) AS big_h FROM g""")
+def mixed_state_curve(spark, sf):
+    return measures.closure_curve(measures.mixed_state_tables(two_letters(spark, sf)), 6)
+
+
 EVEN = [("A", "0", "A", 0.5), ("A", "1", "B", 0.5), ("B", "1", "A", 1.0)]
 
 
@@ -903,6 +1152,33 @@ def confidence_curve(spark, sf):
     return selection.confidence_curve(thetas(spark, sf), "cmu")
 
 
+# -- intervals
+
+
+@query("WITH c AS (SELECT c_custkey, c_acctbal * 50 AS lo, lead(c_acctbal) OVER (ORDER BY c_acctbal, c_custkey) * 50 AS hi FROM customer) SELECT o_orderkey, c_custkey FROM orders JOIN c ON o_totalprice > lo AND o_totalprice <= hi")
+def price_intervals(spark, sf):
+    """The interval of every order price among the balances of all customers, scaled to the range of prices."""
+    balances = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_acctbal")
+    ranked = encode.encode(balances, F.lit(0), ["c_acctbal", "c_custkey"], F.col("c_custkey"), F.col("c_acctbal"), bucket=F.floor(F.col("c_acctbal") / 100))
+    upper = ranked.select((F.col("t") - 1).alias("t"), (F.col("x") * 50).alias("hi"))
+    intervals = ranked.join(upper, "t").select(F.col("y").alias("c_custkey"), (F.col("x") * 50).alias("lo"), "hi")
+    prices = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("u"))
+    return interval_join(prices, intervals).select("o_orderkey", "c_custkey")
+
+
+@query(
+    f"WITH {S}, cd AS (SELECT x, y, sum(count(*)) OVER (PARTITION BY x ORDER BY y) / sum(count(*)) OVER (PARTITION BY x) AS hi, count(*) / sum(count(*)) OVER (PARTITION BY x) AS p FROM s GROUP BY x, y), "
+    "u AS (SELECT series_id, t, x, (('0x' || substr(md5('3:' || series_id || ':' || t), 1, 8))::BIGINT + 1) / 4294967296 AS u FROM s) "
+    "SELECT series_id, t, u.x, cd.y FROM u JOIN cd ON cd.x = u.x AND u.u > coalesce((SELECT max(hi) FROM cd c WHERE c.x = u.x AND c.y < cd.y), 0) AND u.u <= cd.hi"
+)
+def drawn_outputs(spark, sf):
+    """An output for every input, drawn by its cumulative distribution: the interval that a number made of the position falls in."""
+    symbols = events(spark, sf)
+    shares = pinned(symbols.groupBy("x", "y").agg(F.count("*").alias("p")))
+    number = (F.conv(F.substring(F.md5(F.concat(F.lit("3:"), F.col("series_id").cast("string"), F.lit(":"), F.col("t").cast("string"))), 1, 8), 16, 10).cast("double") + 1) / 4294967296
+    return interval_join(symbols.select("series_id", "t", "x", number.alias("u")), cumulative_intervals(shares, "y", "p", ["x"]), on=["x"]).select("series_id", "t", "x", "y")
+
+
 # -- processes
 
 
