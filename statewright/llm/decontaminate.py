@@ -18,8 +18,8 @@ one Arrow batch.
 Defined results
     Texts are compared in lower case with white space runs as one space.  Null
     or empty items match nothing; null texts count as empty.  Items of under
-    ``LEAST_CHARS`` normalised characters are ordinary phrases: they match a text
-    that is nothing else.  The best place of each item in a document is reported
+    ``SHORT_CHARS`` normalised characters are found as they stand, without edits,
+    where no letter or digit joins them: inside a text too.  The best place of each item in a document is reported
     (least distance, then first).  Repeated rows are searched alike.  Items
     repeated under other ids are each reported.  Empty documents or an empty
     benchmark give an empty result.
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import remember_only, settle_in_small_batches, spread_name
 
 RATE = 0.1
-LEAST_CHARS = 32
+#: Items of fewer characters are one piece, found between the edges of words; 0: all items are found with edits.
+SHORT_CHARS = 32
 #: Characters of items in one block: bounds the automaton in a worker.
 BLOCK_CHARS = 1_000_000
 
@@ -85,14 +86,20 @@ def best_end(bits: dict[str, int], m: int, text: str, enough: int = 0) -> tuple[
     return best, end
 
 
+def stands(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit outside joins one at the ends of a part."""
+    joined = lambda a, b: text[a].isalnum() and text[b].isalnum()
+    return not (start > 0 and joined(start - 1, start)) and not (end < len(text) and joined(end - 1, end))
+
+
 class Item:
     """A test item with its pieces, and the branches above them in a binary tree."""
 
-    __slots__ = ("name", "text", "cuts", "budget", "bits", "back", "above")
+    __slots__ = ("name", "text", "short", "cuts", "budget", "bits", "back", "above")
 
-    def __init__(self, name: object, text: str, rate: float) -> None:
-        self.name, self.text = name, text
-        found = pieces(text, rate)
+    def __init__(self, name: object, text: str, rate: float, short_chars: int = 0) -> None:
+        self.name, self.text, self.short = name, text, len(text) < short_chars
+        found = pieces(text, 0.0 if self.short else rate)
         self.cuts = [start for start, _ in found] + [len(text)]
         self.budget = len(found) - 1
         self.bits: dict[tuple[int, int], dict[str, int]] = {}
@@ -156,19 +163,15 @@ class Item:
 class Block:
     """Items and their pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[object, str]], rate: float, short_chars: int = SHORT_CHARS) -> None:
         import ahocorasick
 
-        self.short: dict[str, list[int]] = {}
-        self.items = [Item(name, text, rate) for name, text in items]
+        self.items = [Item(name, text, rate, short_chars) for name, text in items]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.owners: list[list[tuple[int, int]]] = []
         self.sizes: list[int] = []
         seen: dict[str, int] = {}
         for k, item in enumerate(self.items):
-            if len(item.text) < LEAST_CHARS:
-                self.short.setdefault(item.text, []).append(k)
-                continue
             for i, (a, b) in enumerate(zip(item.cuts, item.cuts[1:], strict=False)):
                 piece = item.text[a:b]
                 at = seen.get(piece)
@@ -182,20 +185,25 @@ class Block:
 
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """Item number, distance, start and end in the normalised text, of each item found."""
-        for k in self.short.get(text, ()):
-            yield k, 0, 0, len(text)
         proposed: dict[int, set[int]] = {}
+        standing: dict[int, int] = {}  # short items and the first place where they stand
         known: dict[tuple, bool] = {}
         for last, piece in self.machine.iter(text) if self.owners else ():
             at = last + 1 - self.sizes[piece]
             for k, i in self.owners[piece]:
                 item = self.items[k]
+                if item.short:
+                    if k not in standing and stands(text, at, last + 1):
+                        standing[k] = at
+                    continue
                 shift = at - item.cuts[i]
                 found = proposed.get(k)
                 if (found is None or shift not in found) and item.bears(i, at, text, known):
                     proposed.setdefault(k, set()).add(shift)
             if len(known) > 100_000:
                 known.clear()
+        for k, at in standing.items():
+            yield k, 0, at, at + len(self.items[k].text)
         for k, shifts in proposed.items():
             item = self.items[k]
             m, budget = len(item.text), item.budget
@@ -245,7 +253,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) ->
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, short_chars: int = SHORT_CHARS
 ) -> DataFrame:
     """doc_id, item_id, distance, item_chars, start, end, text_key: the best place of each item found in each row."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
@@ -256,7 +264,7 @@ def contamination(
     def searched(items: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             remember_only("decontaminate")
-            block = Block(items, rate)
+            block = Block(items, rate, short_chars)
             for batch in batches:
                 at, found = [], []
                 for row, value in enumerate(batch.column(1)):

@@ -55,10 +55,35 @@ def test_recall_of_edited_passages(spark):
     assert found == {(i, i % 20) for i in range(100)}
 
 
-def test_short_items_match_whole_texts_only(spark):
-    docs = spark.createDataFrame([(1, "  YES\n"), (2, "yes it is"), (3, "no")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "yes"), (2, "Yes ")], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in contamination(docs, bench).collect()} == {(1, 1, 0), (1, 2, 0)}
+def test_short_items_are_found_inside_texts(spark):
+    docs = spark.createDataFrame([(1, "  YES\n"), (2, "yes it is"), (3, "no"), (4, "eyes"), (5, "(yes)"), (6, "They asked: What is the capital of France? Paris."), (7, "yes2"), (8, "oh,yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "Yes "), (3, "What is the capital of France?")], "item_id long, text string")
+    rows = contamination(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in rows} == {(d, i, 0) for d in (1, 2, 5, 8) for i in (1, 2)} | {(6, 3, 0)}
+    assert all(normal({6: "They asked: What is the capital of France? Paris."}.get(r["doc_id"], ""))[r["start"] : r["end"]] in ("", "what is the capital of france?") for r in rows)
+
+
+def test_items_of_every_length_equal_brute_force(spark):
+    """Lengths 1 to 60: under 32 as they stand between edges, from there on within the edits that the rate allows."""
+    rng = random.Random(21)
+    source = words(77, 200)
+    items = [(n, source[at : at + n].strip() or "a") for n in range(1, 61) for at in [rng.randrange(400)]]
+    docs = [(i, f"{words(i, 6)} {edited(rng, items[i % 60][1], rng.choice([0, 0, 1, 3]))} {words(900 + i, 6)}") for i in range(120)]
+    want = {}
+    for d, t in docs:
+        t = normal(t)
+        for k, item in items:
+            item = normal(item)
+            if len(item) < 32:
+                places = [at for at in range(len(t)) if t.startswith(item, at)]
+                edges = lambda a, b: not (a and t[a - 1].isalnum() and t[a].isalnum()) and not (b < len(t) and t[b].isalnum() and t[b - 1].isalnum())  # noqa: B023, E731
+                if any(edges(at, at + len(item)) for at in places):
+                    want[d, k] = 0
+            elif (distance := slow_best(item, t)[0]) <= int(RATE * len(item)):
+                want[d, k] = distance
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got.collect()} == want
+    assert len({k for _, k in want}) > 50
 
 
 def edited(rng, text, n):
