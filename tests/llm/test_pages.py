@@ -51,6 +51,21 @@ def test_copies_of_pages_without_article_keep_their_text(spark):
         assert got == {(i, f"Title {k} Text {k}") for i in range(8)} | {(i, f"Title {i} Text {i}") for i in range(10, 18)}
 
 
+def test_pages_with_the_same_long_boilerplate_are_not_copies(spark):
+    """Three long blocks on every page and a short story on each: the blocks are template."""
+    rng = random.Random(12)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    plates = [word(60) for _ in range(3)]
+    stories = [f"Story {i} tells of {word(5)} and ends." for i in range(30)]
+    html = [f"<html><body><div>{plates[0]}</div><div>{plates[1]}</div><div><p>{s}</p></div><div>{plates[2]}</div></body></html>" for s in stories]
+    pages = page_table(spark, [(i, f"http://plates.example.org/{i}", h) for i, h in enumerate(html)])
+    assert {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages).collect()} == dict(enumerate(stories))
+
+
+def test_long_blocks_keep_their_length():
+    assert wrapper.digest("x" * 100_000) & wrapper.LONGEST == 100_000
+
+
 def test_pages_without_article_or_markup():
     text = lambda h: wrapper.extract(h, None)
     assert text("plain &lt;b&gt; text") == "plain <b> text"
