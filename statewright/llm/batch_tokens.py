@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .fill_middle import buffers
+from .fill_middle import buffers, runs
 from .packing import WordIds
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,3 +63,6 @@ def batch_ids(known: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray,
     upto = np.cumsum(each)
     taken = ids[np.arange(upto[-1] if n else 0) + np.repeat(begins[which] - upto + each, each)]
     return taken, np.concatenate([[0], upto])[np.concatenate([[0], stops[1:] + np.arange(1, n + 1)])]
+
+
+__all__ = ["batch_ids", "runs"]

@@ -34,9 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batch_tokens import batch_ids
+from .batch_tokens import batch_ids, runs
 from .common import discard, partitions, remember_only, settle, settle_in_small_batches
-from .fill_middle import runs
 from .packing import word_ids
 
 CAPACITY = 4096

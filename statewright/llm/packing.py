@@ -41,7 +41,7 @@ NEARLY = 1 / 128
 #: Words remembered per generation of a worker's cache; two generations live at a time.
 REMEMBERED = 400_000
 #: Bytes of text whose words are looked up together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 
 
 #: What may follow a run of letters and is a run of its own: not the apostrophe, which begins endings.
@@ -118,18 +118,6 @@ class WordIds(dict):
         return [self.encode(t.decode("utf-8", "replace")) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
 
-def in_parts(column: pa.Array, size: int) -> Iterator[list[bytes]]:
-    """Values of a binary column, null as empty, in runs of about ``size`` bytes."""
-    part, held = [], 0
-    for value in column:
-        part.append(value.as_py() or b"")
-        held += len(part[-1])
-        if held >= size:
-            yield part
-            part, held = [], 0
-    yield part
-
-
 @lru_cache(maxsize=2)
 def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     return WordIds(path, remembered)
@@ -142,22 +130,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .batch_tokens import batch_ids, runs  # that module reads this one
+
         remember_only("packing")
-        known, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        known = word_ids(tokenizer)
         for batch in batches:
-            at, piece, start, length, crc = [], [], [], [], []
-            ids_of_rows = (ids for part in in_parts(batch.column(1), TOGETHER) for ids in known.of(part))
-            for row, found in enumerate(ids_of_rows):
-                ids = found + end
-                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    at.append(row)
-                    piece.append(k)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for texts in runs(batch, 1, TOGETHER):
+                ids, bounds = batch_ids(known, texts.column(1), end_id)
+                at, piece, start, length, crc = [], [], [], [], []
+                for row, (first, last) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    for k, a in enumerate(range(first, last, capacity)):
+                        part = ids[a : min(a + capacity, last)]
+                        at.append(row)
+                        piece.append(k)
+                        start.append(a - first)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                columns = [texts.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
