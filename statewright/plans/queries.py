@@ -994,6 +994,39 @@ def memoryless_listing(spark, sf):
     return kept_files(spark, lambda path: model_files.write_listings(found, shares, moves, path, ["0", "1"], ["0", "1"], memoryless=True), read)
 
 
+@query(f"WITH {S}, {words_sql(2)} SELECT * FROM g")
+def series_files(spark, sf):
+    """Words of all series after both sides were written as lines of text and paired again."""
+
+    def read(path: str) -> DataFrame:
+        x, y = (models.read_series(spark, f"{path}/{role}/*/*", every_line=True) for role in ("X", "Y"))
+        return counts.word_counts(encode.explode_strings(models.pair_series(x, y)), 2)
+
+    return kept_files(spark, lambda path: model_files.write_pairs(events(spark, sf), path), read)
+
+
+@query(f"WITH {LETTERS}, n AS (SELECT s AS letter, chr((64 + row_number() OVER (ORDER BY s))::INT) AS name FROM (SELECT s_from AS s FROM l UNION SELECT s_to FROM l)) SELECT a.name AS s_from, x, b.name AS s_to, round(p, 6) AS p FROM l JOIN n a ON a.letter = s_from JOIN n b ON b.letter = s_to")
+def machine_file(spark, sf):
+    """The machine of the letters as graph text with a label a line, and read again."""
+    edges = letter_machine(spark, sf)
+    letters = edges.select(F.col("s_from").alias("state")).unionByName(edges.select(F.col("s_to").alias("state"))).distinct().withColumn("model_id", F.lit("letters"))
+    numbers = model_files.numbered_states(letters).select("state", "n")
+    one, two = (numbers.select(F.col("state").alias(c), F.col("n").alias(f"{c}_n")) for c in ("s_from", "s_to"))
+    told = edges.join(one, "s_from").join(two, "s_to").select(F.lit("letters").alias("model_id"), F.col("s_from_n").alias("s_from"), F.lit("0").alias("x"), F.col("x").alias("y"), F.col("s_to_n").alias("s_to"), "p")
+    read = lambda path: models.read_machine(spark, f"{path}/*/*", "machine").select("s_from", "x", "s_to", "p")
+    return kept_files(spark, lambda path: model_files.write_graphs(told, path, "machine", all_digits=True), read)
+
+
+@query(f"WITH {B}, w AS (SELECT lag(x) OVER v AS xs, lag(y) OVER v AS ys, y FROM b WINDOW v AS (PARTITION BY series_id ORDER BY t)) SELECT xs, ys, round(avg((y = '1')::INT), 6) AS p FROM w WHERE xs IS NOT NULL GROUP BY 1, 2")
+def generator_file(spark, sf):
+    """The probability of a one after the last pair, as a generator's table, written and read again."""
+    pairs = counts.word_counts(binary_events(spark, sf), 1).where("k = 2")
+    last = pairs.groupBy(F.expr("left(xs, 1)").alias("xs"), F.expr("left(ys, 1)").alias("ys")).agg((F.sum(F.when(F.expr("right(ys, 1)") == "1", F.col("n")).otherwise(0)) / F.sum("n")).alias("p"))
+    rules = last.select(F.lit("events").alias("model_id"), F.concat(F.lit("S"), "xs", "ys").alias("state"), "xs", "ys", "p")
+    read = lambda path: model_files.read_generators(spark, f"{path}/*/*").select("xs", "ys", "p")
+    return kept_files(spark, lambda path: model_files.write_lines(model_files.generator_table(rules), path), read)
+
+
 @query()
 def causal_states(spark, sf):
     """Histories of the causal states of conversations."""
@@ -1106,6 +1139,61 @@ def choose_length_conversations(spark, sf):
     return selection.choose_length_of(conversations(spark, sf), ["a", "s", "u"], 3)
 
 
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each turn of a conversation is odd: a source that leaves nothing to chance but its beginning."""
+    table = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn")
+    return encode.encode(table, "conv_id", ["turn"], (F.col("turn") % 2).cast("string"))
+
+
+TWO = "2 AS states, round(c * ln(0.5), 6) AS loglik"
+TURNED = "'2;0>1:1|0;1>0:0|0' AS topology"
+
+
+@query(f"SELECT length::INT AS length, {TWO}, round(-2 * c * ln(0.5) + 2 * ln(n), 6) AS score, {TURNED} FROM (SELECT count(*) AS n, count(DISTINCT conv_id) AS c FROM conversations), range(1, 3) r(length)")
+def choose_length_turns(spark, sf):
+    """Every length finds the two states; only the first turn of a conversation is unsure."""
+    return selection.choose_length_of(turns(spark, sf), ["0", "1"], 2, alpha=0.05)
+
+
+@query(f"SELECT 1 AS length, {TWO}, round(-c * ln(0.5) / n, 6) AS score, {TURNED} FROM (SELECT sum(k - k // 2) AS n, count(*) AS c FROM (SELECT count(*) AS k FROM conversations GROUP BY conv_id))")
+def choose_length_turns_held_out(spark, sf):
+    """Fitted on the first half of each conversation, scored on the second."""
+    return selection.choose_length_of(turns(spark, sf), ["0", "1"], 1, alpha=0.3, held_out=True)
+
+
+@query(
+    f"WITH {ORDERS}, w AS (SELECT y, lead(y) OVER v AS y1, lead(y, 2) OVER v AS y2 FROM s WINDOW v AS (PARTITION BY series_id ORDER BY t)), f AS (SELECT * FROM w WHERE y2 IS NOT NULL), "
+    "c AS (SELECT 1 AS length, y FROM f UNION ALL SELECT 1, y1 FROM f UNION ALL SELECT 2, y1 FROM f UNION ALL SELECT 2, y2 FROM f), p AS (SELECT length, y, count(*) / sum(count(*)) OVER (PARTITION BY length) AS p FROM c GROUP BY 1, 2), "
+    "l AS (SELECT length, sum(ln(p)) AS ll, count(*) AS n FROM s JOIN p USING (y) GROUP BY 1) SELECT length, 1 AS states, round(ll, 6) AS loglik, round(-2 * ll + 2 * ln(n), 6) AS score, '1;0>0:F|0;0>0:O|0;0>0:P|0' AS topology FROM l"
+)
+def choose_length_orders(spark, sf):
+    """The status of an order doesn't depend on the ones before: the tests accept, and one state is left at each length."""
+    return selection.choose_length_of(orders(spark, sf), ["F", "O", "P"], 2)
+
+
+def turns_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.bootstrap_of(turns(spark, sf), ["0", "1"], 2, 20, 200, alpha=0.05).replicates
+
+
+BITS = "(SELECT log2(count(DISTINCT turn % 2)) FROM conversations)"
+
+
+@query(f"SELECT b AS boot_id, round({BITS}, 6) AS cmu, 0.0::DOUBLE AS hmu, round({BITS}, 6) AS excess, false AS failed FROM range(20) r(b)")
+def bootstrap_turns(spark, sf):
+    """Length, machine and measures of the turns: what alternates is known by one bit, in every replicate."""
+    return turns_bootstrap(spark, sf)
+
+
+@query(f"SELECT 'excess' AS measure, round({BITS}, 6) AS low, round({BITS}, 6) AS high, 20::BIGINT AS n, 0::BIGINT AS n_failed")
+def bootstrap_turns_interval(spark, sf):
+    return selection.interval(turns_bootstrap(spark, sf), "excess")
+
+
+@query(f"SELECT round({BITS}, 6) AS theta, 1.0::DOUBLE AS ecdf, 1.0::DOUBLE AS cc, 0.0::DOUBLE AS p")
+def bootstrap_turns_curve(spark, sf):
+    return selection.confidence_curve(turns_bootstrap(spark, sf), "cmu")
+
+
 @query()
 def bootstrap_replicates(spark, sf):
     return selection.bootstrap(spark, EVEN, ["0", "1"], 3, 1000, 40)

@@ -47,6 +47,19 @@ def model_of(path: Column) -> Column:
     return plain(plain(F.regexp_extract(path, r"model_id=([^/]*)/", 1)))
 
 
+def write_pairs(symbols: DataFrame, path: str, files: int = 16) -> None:
+    """Series as text under ``path``/X and ``path``/Y: a line per series, in so many files, the n-th line of one with the n-th of the other.
+
+    The series dealt to a file by their number are put in the same order on both
+    sides, so :func:`.models.pair_series` finds each pair again.
+    """
+    from ..operators.encode import to_strings
+
+    wide = to_strings(symbols).withColumn("model_id", F.lpad(F.pmod(F.xxhash64("series_id"), F.lit(files)).cast("string"), 4, "0"))
+    for role in ("X", "Y"):
+        write_lines(wide.select("model_id", F.array(F.col("series_id").cast("string")).alias("at"), F.col(role).alias("text")), f"{path}/{role}")
+
+
 def graph_table(edges: DataFrame, dialect: str = "transducer", all_digits: bool = False, one_line_per_pair: bool = True) -> DataFrame:
     """model_id, at, text: the lines of graph text of ``edges(model_id, s_from, x, y, s_to, p)``, states numbered from 0.
 
