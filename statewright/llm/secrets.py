@@ -5,8 +5,8 @@ hex characters are decoded and their bytes are parsed: nested tag-length-value
 encodings of keys (PKCS#1, PKCS#8 plain or encrypted, SEC 1, DSA,
 SubjectPublicKeyInfo), length-prefixed key blobs, and the JSON headers of signed
 tokens.  Only what parses to the end of its stated lengths is reported, so a
-random run of the same characters isn't.  A key inside a longer run is found by
-the length that its first bytes state, one that is wrapped over lines with or
+random run of the same characters isn't.  Keys inside a longer run are found by
+the lengths that their first bytes state, one that is wrapped over lines with or
 without armour by joining them; line ends may be written as escapes.
 
 The scan is local to a row: no shuffle, memory bounded by one Arrow batch.
@@ -116,10 +116,12 @@ def stated_size(head: bytes) -> int:
     return 2 + n + int.from_bytes(head[2 : 2 + n], "big")
 
 
-def key_inside(run: str) -> tuple[int, int] | None:
-    """Start and end of the first key that stands anywhere in a run of base64, by the length it states."""
-    whole = len(run.rstrip("="))
+def keys_inside(run: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the keys that stand anywhere in a run of base64, by the lengths they state; none overlaps the one before."""
+    whole, after = len(run.rstrip("=")), 0
     for m in INNER.finditer(run):
+        if m.start() < after:
+            continue
         head = decoded(m[1])
         size = stated_size(head) if head else 0
         if size < LEAST_KEY:
@@ -131,8 +133,8 @@ def key_inside(run: str) -> tuple[int, int] | None:
         if data and is_key_der(data[:size]):
             while (end - m.start()) % 4 and run[end : end + 1] == "=":
                 end += 1
-            return m.start(), end
-    return None
+            yield m.start(), end
+            after = end
 
 
 def is_key_blob(data: bytes) -> bool:
@@ -201,8 +203,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             if is_key_blob(data):
                 out.append(("key_blob", m.start(), m.end()))
                 continue
-        if inside := key_inside(run):
-            out.append(("key_der", m.start() + inside[0], m.start() + inside[1]))
+        out += [("key_der", m.start() + a, m.start() + b) for a, b in keys_inside(run)]
     for m in WRAPPED.finditer(text):
         data = decoded(LINE_END.sub("", m[0]))
         if data and (is_key_der(data) or is_key_blob(data)):

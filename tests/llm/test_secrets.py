@@ -72,6 +72,8 @@ def test_keys_inside_runs_and_over_lines():
         for before, after in (("/x/", ""), ("key_", "/tail"), ("abcde", "xyz")):
             found = spans(f"{before}{core}{after} end")
             assert found and found[0][0] == "key_der" and found[0][1] == len(before)
+        two = f"{core}/{core}"
+        assert spans(f"x {two} y") == [("key_der", 2, 2 + len(core)), ("key_der", 3 + len(core), 3 + 2 * len(core))]
         lines = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
         assert ("key_der", 3, 3 + len(lines)) in spans(f"in\n{lines}\nout")
         assert "pem" in kinds("-----BEGIN PRIVATE KEY-----\\n" + lines.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----")
