@@ -32,7 +32,9 @@ Defined results
     such.  A language without ``LEAST_TRUSTED`` trusted documents (null counts
     as a language) is held against all trusted documents.  Without any trusted
     document nothing is rejected.  A doc_id with several labels is trusted if
-    any of them is good.  Repeated rows get the same verdict.
+    any of them is good; labels and documents of null id never match.  Repeated
+    rows get the same verdict.  Texts are scored whole, however long.  An empty
+    table gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ Defined results
     Null text counts as empty and gets the score of a text with no feature.
     Without usable labels, or with one class only, every row gets the share of
     toxic labels (0 without labels).  Labels of null id are ignored; of several
-    labels of an id the greatest counts.  Repeated rows get equal scores.
+    labels of an id the greatest counts.  Repeated rows get equal scores, rows of
+    null id their text's.  Texts are read whole, however long.  An empty table
+    gives an empty result.
 """
 
 from __future__ import annotations

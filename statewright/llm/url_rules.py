@@ -20,7 +20,8 @@ allowed otherwise.
 Defined results
     Null urls and those without ``://`` have empty host and path, no rule, no
     tokens, and are allowed.  Repeated rows are judged alike.  If no url is
-    labelled, or there are no mined rules, all others are allowed.
+    labelled, or there are no mined rules, all others are allowed.  Urls are read
+    whole, however long.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
