@@ -80,16 +80,17 @@ def lower_bound(sums: np.ndarray, others: np.ndarray, residual: np.ndarray, othe
 def nearest(rows: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of each row's nearest entry, the lower of equals, and its squared distance."""
     n, k = len(rows), len(entries)
-    ours, theirs = Means(rows), Means(entries)
+    ours, theirs = Means(rows).levels, Means(entries).levels
     exact = lambda r, e: ((rows[r] - entries[e]) ** 2).sum(axis=1)
-    at, entry = np.divmod(np.arange(n * k), k)
-    least = np.full(n, np.iinfo(np.int64).max)
-    for (sums, residual, width), (their_sums, their_residual, _) in zip(ours.levels, theirs.levels, strict=True):
-        bound = lower_bound(sums[at], their_sums[entry], residual[at], their_residual[entry], width)
-        order = np.lexsort((bound, at))
-        first = order[np.r_[True, at[order][1:] != at[order][:-1]]] if len(order) else order
-        least[at[first]] = np.minimum(least[at[first]], exact(at[first], entry[first]))  # the most promising entry of each row
-        alive = bound <= least[at]
+    if ours:
+        (sums, residual, width), (their_sums, their_residual, _) = ours[0], theirs[0]
+        bound = lower_bound(sums[:, None], their_sums[None], residual[:, None], their_residual[None], width)
+        least = exact(np.arange(n), bound.argmin(axis=1))  # of the most promising entry of each row
+        at, entry = np.nonzero(bound <= least[:, None])
+    else:
+        at, entry = np.divmod(np.arange(n * k), k)
+    for (sums, residual, width), (their_sums, their_residual, _) in zip(ours[1:], theirs[1:], strict=True):
+        alive = lower_bound(sums[at], their_sums[entry], residual[at], their_residual[entry], width) <= least[at]
         at, entry = at[alive], entry[alive]
     distance = np.full((n, k), np.iinfo(np.int64).max)
     distance[at, entry] = exact(at, entry)
