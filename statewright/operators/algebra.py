@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.small import pinned, shared_folder
+from ..functions.small import numbered, pinned, shared_folder
 
 #: States of a chain that is solved on the driver: a dense matrix of 8 MB.
 STATES_HELD = 1000
+#: Lazy steps between two solutions of the chain of blocks, and such rounds at most.
+SMOOTHING, ROUNDS = 4, 200
 
 
 def machine_from_counts(words: DataFrame, order: int) -> DataFrame:
@@ -62,12 +64,16 @@ def uniform_machine(edges_m: DataFrame) -> DataFrame:
     return seen.withColumn("p", 1.0 / F.count("*").over(Window.partitionBy("s_from")))
 
 
-def stationary(matrix: DataFrame, source: list[str], target: list[str], tolerance: float = 1e-13, states_most: int = STATES_HELD) -> DataFrame:
+def stationary(matrix: DataFrame, source: list[str], target: list[str], tolerance: float = 1e-13, states_most: int = STATES_HELD, rounds: int = ROUNDS) -> DataFrame:
     """The state columns ``source`` and pi, with pi P = pi; source and target name the state columns.
 
     A model of up to ``states_most`` states is solved on the driver.  A larger one
-    takes lazy steps, half a chance to stay so that periodic chains converge, from
-    the uniform distribution until none moves ``tolerance``.
+    is aggregated and disaggregated by turns: its states, in order, are put into
+    that many blocks, the chain of the blocks is solved, each block gets its share,
+    and lazy steps (half a chance to stay, so that periods die out) even out what is
+    inside and between blocks.  So it takes few rounds where single steps would have
+    to carry weight all the way round.  It ends when a round moves no state by
+    ``tolerance``, and raises if ``rounds`` of them don't get there.
     """
     matrix = pinned(matrix.select(*source, *target, "p"))
     back = [F.col(t).alias(s) for s, t in zip(source, target, strict=True)]
@@ -82,18 +88,36 @@ def stationary(matrix: DataFrame, source: list[str], target: list[str], toleranc
         shape = StructType([*[matrix.schema[c] for c in source], StructField("pi", DoubleType())])
         return matrix.sparkSession.createDataFrame([(*r, float(w)) for r, w in zip(names, pi, strict=True)], shape)
     shared_folder(matrix.sparkSession)
-    states = states.checkpoint()
-    now = states.withColumn("pi", F.lit(1.0 / states.count()))
-    back_again = [F.col(s).alias(f"_{s}") for s in source]
-    while True:
-        before = now
-        moved = now.join(matrix, source).select(*[F.col(t).alias(s) for s, t in zip(source, target, strict=True)], (F.col("pi") * F.col("p") / 2).alias("pi"))
-        now = moved.unionByName(now.withColumn("pi", F.col("pi") / 2)).groupBy(*source).agg(F.sum("pi").alias("pi")).checkpoint()
-        old = before.select(*back_again, F.col("pi").alias("_pi"))
-        same = [now[s] == old[f"_{s}"] for s in source]
-        gap = now.join(old, same).agg(F.max(F.abs(F.col("pi") - F.col("_pi")))).first()[0]
+    states = numbered(states, source, "_n").checkpoint()
+    total = states.count()
+    placed = states.select(*source, F.col("_n").alias("i"), F.floor(F.col("_n") * states_most / total).alias("block"))
+    ends = placed.select(*[F.col(s).alias(t) for s, t in zip(source, target, strict=True)], F.col("i").alias("j"), F.col("block").alias("to_block"))
+    moves = matrix.join(placed, source).join(ends, target).select("i", "block", "j", "to_block", "p").checkpoint()
+    now = placed.select("i", "block", F.lit(1.0 / total).alias("pi"))
+    stay = placed.select("i", "block")
+    for _ in range(rounds):
+        inside = pinned(now.groupBy("block").agg(F.sum("pi").alias("mass")))
+        flows = moves.join(now.select("i", "pi"), "i").groupBy("block", "to_block").agg(F.sum(F.col("pi") * F.col("p")).alias("flow"))
+        coarse = np.zeros((states_most, states_most))
+        for r in flows.collect():  # at most as many rows as pairs of blocks
+            coarse[r["block"], r["to_block"]] = r["flow"]
+        mass = np.zeros(states_most)
+        for r in inside.collect():  # a row per block
+            mass[r["block"]] = r["mass"]
+        used = np.flatnonzero(mass > 0)
+        chain = coarse[np.ix_(used, used)]
+        shares = stationary_exact(chain / chain.sum(axis=1, keepdims=True))
+        scales = matrix.sparkSession.createDataFrame([(int(b), float(w / mass[b])) for b, w in zip(used, shares, strict=True)], "block bigint, scale double")
+        before = now.join(F.broadcast(scales), "block").select("i", "block", (F.col("pi") * F.col("scale")).alias("pi")).checkpoint()
+        now = before
+        for _ in range(SMOOTHING):
+            moved = now.join(moves.select("i", "j", "p"), "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("pi") * F.col("p")).alias("moved"))
+            now = stay.join(now.select("i", "pi"), "i", "left").join(moved, "i", "left").select("i", "block", ((F.coalesce("pi", F.lit(0.0)) + F.coalesce("moved", F.lit(0.0))) / 2).alias("pi"))
+        now = now.checkpoint()
+        gap = now.select("i", F.col("pi").alias("after")).join(before, "i").agg(F.max(F.abs(F.col("after") - F.col("pi")))).first()[0]
         if gap is None or gap <= tolerance:
-            return now
+            return placed.join(now.select("i", "pi"), "i").select(*source, "pi")
+    raise ArithmeticError(f"not stationary after {rounds} rounds: the last one still moved a state by {gap:.3g}")
 
 
 def stationary_exact(matrix: np.ndarray) -> np.ndarray:

@@ -277,11 +277,13 @@ def map_words(words: DataFrame, edges_t: DataFrame, length: int, states: DataFra
 
     ``states``: state, idx gives their order; an edge's probability doesn't matter.
     """
-    now = words.select("xs", "ys").distinct().join(F.broadcast(pinned(states).select(F.col("state").alias("s"), F.col("idx").alias("start"))))
-    for i in range(1, length + 1):
-        step = edges_t.select(F.col("s_from").alias("s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("s_to"))
-        here = now.withColumns({"_x": F.substring("xs", i, 1), "_y": F.substring("ys", i, 1)})
-        now = here.join(step, ["s", "_x", "_y"]).select("xs", "ys", "start", F.col("s_to").alias("s"))
+    step = edges_t.select(F.col("s_from").alias("s"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("s_to"))
+    symbols = lambda df, i: df.withColumns({"_x": F.substring("xs", i, 1), "_y": F.substring("ys", i, 1)})
+    first = step.join(F.broadcast(pinned(states)).select(F.col("state").alias("s"), F.col("idx").alias("start")), "s")
+    # A word meets the states that have an edge for its first symbols, not all.
+    now = symbols(words.select("xs", "ys").distinct(), 1).join(first, ["_x", "_y"]).select("xs", "ys", "start", F.col("s_to").alias("s"))
+    for i in range(2, length + 1):
+        now = symbols(now, i).join(step, ["s", "_x", "_y"]).select("xs", "ys", "start", F.col("s_to").alias("s"))
     reached = now.groupBy("xs", "ys").agg(F.min_by("s", "start").alias("state"))
     return words.select("xs", "ys").distinct().join(reached, ["xs", "ys"], "left")
 

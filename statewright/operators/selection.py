@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import held, pinned
+from ..functions.small import held, pinned, shared_folder
 from ..functions.stats import entropy
 from .algebra import stationary_exact
 from .counts import word_counts
@@ -108,8 +108,10 @@ def choose_length_of(symbols: DataFrame, ays: list[str], longest: int, alpha: fl
         fit = halves.where("part = 'train'").drop("part")
         late = halves.where("part = 'test'").join(cut, "series_id", "left")
         test = late.select("series_id", (F.col("t") - F.coalesce("_first", F.lit(0))).alias("t"), "x", "y")
-    words = pinned(word_counts(fit, longest)).withColumn("model_id", F.lit("model"))
-    n = test.count()
+    shared_folder(spark)
+    kept = test.checkpoint()  # each length goes over these symbols again, not over what they are made of
+    words = pinned(word_counts(fit if held_out else kept, longest)).withColumn("model_id", F.lit("model"))
+    test, n = kept, kept.count()
     rows = []
     for length in range(1, longest + 1):
         model = fitted_words(words.where(F.col("k") <= length + 1), ["0"], ays, length, alpha, kind, skip_transient=True)

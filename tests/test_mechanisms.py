@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statewright.functions.small import numbered
-from statewright.operators import counts, encode, filters, infer, intervals, measures, selection
+from statewright.operators import algebra, counts, encode, filters, infer, intervals, measures, selection
 from statewright.operators.algebra import stationary_exact
 from statewright.operators.graph import NoRecurrentPart
 
@@ -219,6 +219,25 @@ def test_numbers_follow_the_order(spark):
     assert sorted((r["k"], r["n"]) for r in got) == [(i, i + 5) for i in range(1009)]
 
 
+# -- stationary distributions of many states
+
+
+def test_a_long_ring_is_solved_in_few_rounds(spark):
+    """A walk round 40 states: lazy steps alone take 653 rounds to this tolerance, and are further off then."""
+    n, rng = 40, np.random.default_rng(1)
+    p = rng.uniform(0.3, 0.7, n)
+    matrix = np.zeros((n, n))
+    matrix[np.arange(n), (np.arange(n) + 1) % n] = p
+    matrix[np.arange(n), (np.arange(n) - 1) % n] = 1 - p
+    rows = [(i, int(j), float(matrix[i, j])) for i in range(n) for j in np.flatnonzero(matrix[i])]
+    df = spark.createDataFrame(rows, "a long, b long, p double")
+    got = {r["a"]: r["pi"] for r in algebra.stationary(df, ["a"], ["b"], 1e-6, states_most=20, rounds=20).collect()}
+    want = stationary_exact(matrix)
+    assert [got[i] for i in range(n)] == pytest.approx(want.tolist(), abs=2e-5)
+    with pytest.raises(ArithmeticError, match="not stationary"):
+        algebra.stationary(df, ["a"], ["b"], 1e-16, states_most=20, rounds=1)
+
+
 # -- counts
 
 
