@@ -118,12 +118,20 @@ def recurrent_distribution(w: np.ndarray, rounds: int = 64) -> np.ndarray:
     return step[0].clip(0) / step[0].clip(0).sum()
 
 
-def measure_models(edges: DataFrame, length: int = 10) -> DataFrame:
-    """model_id, cmu, hmu, hmu_state_graph, excess and arrays h_l, big_h, e_l per model of ``edges(model_id, s_from, x, s_to, p)``."""
+def measure_models(edges: DataFrame, length: int = 10, skip_too_many: bool = False) -> DataFrame:
+    """model_id, cmu, hmu, hmu_state_graph, excess and arrays h_l, big_h, e_l per model of ``edges(model_id, s_from, x, s_to, p)``.
+
+    A model with more mixed states than one task holds raises, or with ``skip_too_many`` has no row.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["s_from", "x", "s_to"])
-        m = measures(list(zip(rows["s_from"], rows["x"], rows["s_to"], rows["p"], strict=True)), length)
+        try:
+            m = measures(list(zip(rows["s_from"], rows["x"], rows["s_to"], rows["p"], strict=True)), length)
+        except TooManyMixedStates:
+            if skip_too_many:
+                return pd.DataFrame([], columns=["model_id", "cmu", "hmu", "hmu_state_graph", "excess", "h_l", "big_h", "e_l"])
+            raise
         return pd.DataFrame([(rows["model_id"].iloc[0], m.cmu, m.hmu, m.hmu_state_graph, m.excess, m.h_l, m.big_h, m.e_l)], columns=["model_id", "cmu", "hmu", "hmu_state_graph", "excess", "h_l", "big_h", "e_l"])
 
     key = edges.schema["model_id"].dataType.simpleString()

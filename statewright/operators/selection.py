@@ -15,10 +15,14 @@ from .algebra import stationary_exact
 from .counts import word_counts
 from .encode import constant_input, split_train_test
 from .filters import Belief, belief_filter
-from .graph import NoRecurrentPart
-from .infer import Clustering, Model, canonical, fitted, fitted_words
+from .graph import NoRecurrentPart, history_transitions
+from .infer import Clustering, Model, canonical, edges, fitted, fitted_words, infer, morphs
 from .measures import TooManyMixedStates, measure_models, measures, symbol_matrices
-from .simulate import Walker, generator
+from .simulate import Walker, generator, simulate_machine
+
+
+#: Symbols of a replicate that one task simulates and counts by itself.
+LONG_REPLICATE = 1 << 16
 
 
 def counts_of(series: list[str], length: int) -> dict[tuple[str, str], int]:
@@ -170,6 +174,29 @@ def bootstrap(spark: SparkSession, moves: list[tuple[object, str, object, float]
     return ids.mapInPandas(run, "boot_id bigint, cmu double, hmu double, excess double, failed boolean")
 
 
+def bootstrap_tables(spark: SparkSession, moves: list[tuple[object, str, object, float]], ays: list[str], length: int, size: int, replicates: int, alpha: float = 0.001, seed: int = 0) -> DataFrame:
+    """The replicates of :func:`bootstrap` for long series: their symbols are a table, counted by chunks, and only their words meet in a task.
+
+    Columns and draws are the same.
+    """
+    symbols = simulate_machine(spark, moves, replicates, size, seed)
+    words = pinned(word_counts(symbols, length, by=["series_id"])).withColumnRenamed("series_id", "model_id")
+    found = pinned(infer(words, ["0"], ays, length, alpha, skip_transient=True))
+    emissions = spark.createDataFrame([("0", y) for y in ays], "x string, y string")
+    told_states = pinned(found.groupBy("model_id").agg(F.countDistinct("state").alias("states")))
+    morph = pinned(morphs(found, words).join(told_states, "model_id"))
+    # What one state does next is all there is to know of it, whether or not its histories lead on.
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("model_id"))
+    alone = morph.where("states = 1").select("model_id", share.alias("p")).where("p > 0").groupBy("model_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("hmu"))
+    alone = alone.select("model_id", F.lit(0.0).alias("cmu"), (F.col("hmu") + 0.0).alias("hmu"), F.lit(0.0).alias("excess"))
+    machines = edges(history_transitions(found, emissions, length), morph.where("states > 1").drop("states"))
+    several = measure_models(machines.select("model_id", "s_from", F.col("y").alias("x"), "s_to", "p"), skip_too_many=True)
+    told = alone.unionByName(several.select("model_id", "cmu", "hmu", "excess"))
+    ids = spark.range(replicates).withColumnRenamed("id", "boot_id")
+    both = ids.join(told, ids["boot_id"] == told["model_id"], "left")
+    return both.select("boot_id", "cmu", "hmu", "excess", F.col("model_id").isNull().alias("failed"))
+
+
 @dataclass
 class Bootstrap:
     """The chosen length, the model, its measures (one row), and those of the replicates."""
@@ -190,7 +217,9 @@ def bootstrap_of(symbols: DataFrame, ays: list[str], longest: int, replicates: i
     model = fitted(observed, ["0"], ays, best, alpha, longest=longest)
     moves = sorted((r["s_from"], r["y"], r["s_to"], r["p"]) for r in held(model.edges))
     machine = model.edges.select("model_id", F.col("s_from").cast("string").alias("s_from"), F.col("y").alias("x"), F.col("s_to").cast("string").alias("s_to"), "p")
-    drawn = bootstrap(symbols.sparkSession, moves, ays, best, size or observed.count(), replicates, alpha, seed)
+    symbols_each = size or observed.count()
+    draw = bootstrap if symbols_each <= LONG_REPLICATE else bootstrap_tables
+    drawn = draw(symbols.sparkSession, moves, ays, best, symbols_each, replicates, alpha, seed)
     return Bootstrap(best, model, measure_models(machine), drawn)
 
 
@@ -227,4 +256,4 @@ def quantile(thetas: DataFrame, measure: str, q: float) -> DataFrame:
     return thetas.agg(F.percentile(measure, F.lit(q)).alias("theta"))
 
 
-__all__ = ["best_length", "bootstrap", "bootstrap_of", "choose_length", "choose_length_of", "confidence_curve", "interval", "quantile"]
+__all__ = ["best_length", "bootstrap", "bootstrap_of", "bootstrap_tables", "choose_length", "choose_length_of", "confidence_curve", "interval", "quantile"]

@@ -895,6 +895,14 @@ def causal_states_delay(spark, sf):
     return last_input(found).select("xs", "ys", F.col("name").alias("state"))
 
 
+@query(f"WITH {DELAYED}, {words_sql(2, 'd')} SELECT * FROM (SELECT DISTINCT left(xs, k - 1) AS xs, left(ys, k - 1) AS ys, right(left(xs, k - 1), 1) AS state FROM g WHERE k IN (2, 3)) WHERE state <> '0'")
+def state_removed(spark, sf):
+    """The channel's histories without those of one state."""
+    found = pinned(last_input(infer.infer(delayed_words(spark, sf), ["0", "1"], ["0", "1"], 2)))
+    gone = found.where("name = '0'").agg(F.min("state")).first()[0]
+    return graph.remove_state(found, gone).select("xs", "ys", F.col("name").alias("state"))
+
+
 @query(f"WITH {DELAYED} SELECT a.x AS s_from, b.x, a.x AS y, b.x AS s_to, 1.0::DOUBLE AS p FROM (SELECT DISTINCT x FROM d) a, (SELECT DISTINCT x FROM d) b")
 def causal_state_edges_delay(spark, sf):
     model = infer.fitted(simulate.delay(inputs(spark, sf)), ["0", "1"], ["0", "1"], 2)
@@ -1005,6 +1013,14 @@ def series_files(spark, sf):
     return kept_files(spark, lambda path: model_files.write_pairs(events(spark, sf), path), read)
 
 
+@query(f"WITH {TALKS}, c AS (SELECT series_id, string_agg(y, '' ORDER BY t) AS text FROM s GROUP BY 1) SELECT arg_min(text, series_id) AS text FROM c GROUP BY left(text, 1)")
+def first_lines(spark, sf):
+    """Conversations as lines of text, a file for each role that begins them; the first line of each file is its series."""
+    wide = encode.to_strings(conversations(spark, sf))
+    lines = wide.select(F.left("Y", F.lit(1)).alias("model_id"), F.array(F.lpad(F.col("series_id").cast("string"), 20, "0")).alias("at"), F.col("Y").alias("text"))
+    return kept_files(spark, lambda path: model_files.write_lines(lines, path), lambda path: models.read_series(spark, f"{path}/*/*").select("text"))
+
+
 @query(f"WITH {LETTERS}, n AS (SELECT s AS letter, chr((64 + row_number() OVER (ORDER BY s))::INT) AS name FROM (SELECT s_from AS s FROM l UNION SELECT s_to FROM l)) SELECT a.name AS s_from, x, b.name AS s_to, round(p, 6) AS p FROM l JOIN n a ON a.letter = s_from JOIN n b ON b.letter = s_to")
 def machine_file(spark, sf):
     """The machine of the letters as graph text with a label a line, and read again."""

@@ -319,3 +319,12 @@ def test_choice_of_length_tells_errors_apart(spark):
     assert issubclass(NoRecurrentPart, ValueError)
     scores = {r["length"]: r["score"] for r in selection.choose_length_of(short, ["0", "1"], 5).collect()}
     assert scores[5] == float("inf")
+
+
+def test_replicates_as_tables_equal_those_of_one_task(spark):
+    """The same draws, and the same of them have failed; short series have models of one state too."""
+    for length, size in ((2, 900), (4, 7)):
+        one, two = (sorted(map(tuple, f(spark, EVEN, ["0", "1"], length, size, 5).collect())) for f in (selection.bootstrap, selection.bootstrap_tables))
+        assert [(r[0], r[4]) for r in one] == [(r[0], r[4]) for r in two]
+        for a, b in zip(one, two, strict=True):
+            assert a[1:4] == b[1:4] or a[1:4] == pytest.approx(b[1:4], abs=1e-9)
