@@ -14,19 +14,22 @@ matrices, rescaled row by row, with the logarithm of what was taken out.
 
 from __future__ import annotations
 
+import copy
 import json
 import math
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.small import held, pinned
 
 CHUNK = 1 << 16
 UNKNOWN = -1
+#: Cells of the products of matrices that are made side by side.
+PRODUCT_CELLS = 1 << 22
 
 
 class SuffixModel:
@@ -68,6 +71,22 @@ class SuffixModel:
         return self.states.get((xs[a:i], ys[a:i]), UNKNOWN) if a >= 0 else UNKNOWN
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """The rows of each chunk in one task, in order."""
+    return rows.repartition("series_id", "part").sortWithinPartitions("series_id", "part", "t")
+
+
+def met_in(rows: DataFrame, begins: DataFrame, unknown: Column) -> DataFrame:
+    """``rows`` and, before each chunk's first one, a row of t = -1 with what the chunk is met in.
+
+    Not a join: Spark would leave out the shuffle after a join by the same keys,
+    and, where it then turns that join into a broadcast, read the rows as they lie,
+    a chunk in several tasks.
+    """
+    told = begins.select("series_id", "part", F.lit(-1).cast("long").alias("t"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), "begins")
+    return rows.select("series_id", "part", "t", "x", "y", unknown.alias("begins")).unionByName(told)
+
+
 def filter_states(symbols: DataFrame, model: SuffixModel, chunk: int = CHUNK) -> DataFrame:
     """series_id, t, state before each symbol (null while unknown)."""
     halo = model.length
@@ -76,32 +95,49 @@ def filter_states(symbols: DataFrame, model: SuffixModel, chunk: int = CHUNK) ->
     spread = symbols.select("series_id", "t", "x", "y", F.explode(places).alias("part"))
     key = symbols.schema["series_id"].dataType.simpleString()
 
-    def ends(rows: pd.DataFrame) -> pd.DataFrame:
-        """Where a chunk leads from each state it may be met in."""
-        rows = rows.sort_values("t")
-        part = int(rows["part"].iloc[0])
-        if int(rows["t"].iloc[-1]) < part * chunk:  # a halo with no symbols of its own after it
-            return pd.DataFrame({"series_id": [], "part": [], "begins": [], "ends": []})
-        starts = [UNKNOWN] if part == 0 else [UNKNOWN, *sorted(set(model.states.values()))]
-        last = []
-        for s in starts:
-            cursor = Cursor(model, part, chunk, s)
-            for t, x, y in zip(rows["t"].tolist(), rows["x"], rows["y"], strict=True):
-                cursor.take(t, x, y)
-            last.append(cursor.upcoming())
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": part, "begins": starts, "ends": last})
-
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = UNKNOWN, []
-        for part, group in rows.groupby("part", sort=True):
-            out.append((part, state))
-            state = dict(zip(group["begins"], group["ends"], strict=True)).get(state, UNKNOWN)
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": [p for p, _ in out], "begins": [s for _, s in out]})
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Where each chunk leads from each state it may be met in."""
+        known = sorted(set(model.states.values()))
+        at, cursors, last, out = None, [], -1, []
+
+        def tell() -> None:
+            if at is not None and last >= at[1] * chunk:  # else a halo with no symbols of its own after it
+                out.extend((*at, start, cursor.upcoming()) for start, cursor in cursors)
+
+        names = ["series_id", "part", "begins", "ends"]
+        for rows in batches:
+            out = []
+            for s, part, t, x, y in zip(*(rows[c].tolist() for c in ("series_id", "part", "t", "x", "y")), strict=True):
+                if (s, part) != at:
+                    tell()
+                    at = (s, part)
+                    cursors = [(start, Cursor(model, part, chunk, start)) for start in ([UNKNOWN] if part == 0 else [UNKNOWN, *known])]
+                for _, cursor in cursors:
+                    cursor.take(t, x, y)
+                last = t
+            yield pd.DataFrame(out, columns=names)
+        out = []
+        tell()
+        yield pd.DataFrame(out, columns=names)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Which state each chunk is met in: a series' chunks come in order."""
+        at, met, state, goals = None, None, UNKNOWN, {}
+        for rows in batches:
+            out = []
+            for s, part, b, e in zip(*(rows[c].tolist() for c in ("series_id", "part", "begins", "ends")), strict=True):
+                if (s, part) != (at, met):
+                    state = goals.get(state, UNKNOWN) if s == at else UNKNOWN
+                    at, met, goals = s, part, {}
+                    out.append((s, part, state))
+                goals[b] = e
+            yield pd.DataFrame(out, columns=["series_id", "part", "begins"])
 
     # Only series of more than one chunk need the first pass.
     long = symbols.where(F.col("t") == chunk).select("series_id").distinct()
-    maps = spread.join(long, "series_id", "left_semi").groupBy("series_id", "part").applyInPandas(ends, f"series_id {key}, part bigint, begins bigint, ends bigint")
-    begins = maps.groupBy("series_id").applyInPandas(compose, f"series_id {key}, part bigint, begins bigint")
+    maps = in_order(spread.join(long, "series_id", "left_semi")).mapInPandas(ends, f"series_id {key}, part bigint, begins bigint, ends bigint")
+    by_series = maps.repartition("series_id").sortWithinPartitions("series_id", "part")
+    begins = by_series.mapInPandas(compose, f"series_id {key}, part bigint, begins bigint")
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, cursor = None, None
@@ -111,14 +147,14 @@ def filter_states(symbols: DataFrame, model: SuffixModel, chunk: int = CHUNK) ->
             for s, part, t, x, y, b in zip(*columns, strict=True):
                 if (s, part) != at:
                     at, cursor = (s, part), Cursor(model, part, chunk, b)
+                if t < 0:
+                    continue
                 state = cursor.take(t, x, y)
                 if state is not None:
                     out.append((s, t, state))
             yield pd.DataFrame(out, columns=["series_id", "t", "state"])
 
-    met = spread.join(begins, ["series_id", "part"], "left").select("series_id", "part", "t", "x", "y", F.coalesce("begins", F.lit(UNKNOWN)).alias("begins"))
-    ordered = met.repartition("series_id", "part").sortWithinPartitions("series_id", "part", "t")
-    replayed = ordered.mapInPandas(replay, f"series_id {key}, t bigint, state bigint")
+    replayed = in_order(met_in(spread, begins, F.lit(UNKNOWN))).mapInPandas(replay, f"series_id {key}, t bigint, state bigint")
     return replayed.select("series_id", "t", F.when(F.col("state") != UNKNOWN, F.col("state")).alias("state"))
 
 
@@ -189,24 +225,57 @@ class Belief:
         single = lambda edges: all(sum(p > 0 for _, p in goals) <= 1 for goals in edges.values())
         self.settles = mode != "never" and single(self.t)
         self.unifilar = single(self.t) and single(self.m)
+        self.t_states = sorted({k[0] for k in self.t} | {to for goals in self.t.values() for to, _ in goals} | {k[0] for k in self.pi})
+        self.m_states = sorted({k[0] for k in self.m} | {to for goals in self.m.values() for to, _ in goals} | {k[1] for k in self.pi})
+        self.states = [(t, m) for t in self.t_states for m in self.m_states]
+        self.at = {k: i for i, k in enumerate(self.states)}
+        # What was asked of the models before: tables that copies share.
+        self.answers, self.emitted, self.moved, self.matrices, self.forecasts = {}, {}, {}, {}, {}
         self.start()
 
+    def anew_from(self, text: str | None) -> Belief:
+        """Another belief over the same models, at the start or where ``text`` was written."""
+        b = copy.copy(self)
+        b.start()
+        if text is not None:
+            b.resume(text)
+        return b
+
     def start(self) -> None:
         self.weights, self.synced = {k: w for k, w in self.pi.items() if w > 0}, None
 
-    def answer(self, t: object, x: str, y: str) -> float:
-        return sum(p for _, p in self.t.get((t, x, y), ()))
+    def answer(self, t: object, x: str) -> list[float]:
+        """The probability of each output in one state of the transducer."""
+        found = self.answers.get((t, x))
+        if found is None:
+            found = self.answers[t, x] = [sum(p for _, p in self.t.get((t, x, y), ())) for y in self.ays]
+        return found
+
+    def emits(self, m: object, x: str) -> float:
+        found = self.emitted.get((m, x))
+        if found is None:
+            found = self.emitted[m, x] = sum(q for _, q in self.m.get((m, x), ()))
+        return found
+
+    def moves(self, pair: tuple, x: str, y: str) -> list[tuple[tuple, float]]:
+        """Where a pair of states goes with a symbol, and its probability."""
+        found = self.moved.get((pair, x, y))
+        if found is None:
+            t, m = pair
+            both = (((t_to, m_to), p * q) for t_to, p in self.t.get((t, x, y), ()) for m_to, q in self.m.get((m, x), ()))
+            found = self.moved[pair, x, y] = [(to, p) for to, p in both if p > 0]
+        return found
 
     def forecast(self, x: str) -> list[float]:
         if self.synced is not None:
-            return [self.answer(self.synced, x, y) for y in self.ays]
+            return self.answer(self.synced, x)
         sums, total = [0.0] * len(self.ays), 0.0
         for (t, m), w in self.weights.items():
-            a = w * sum(q for _, q in self.m.get((m, x), ()))
+            a = w * self.emits(m, x)
             if a:
                 total += a
-                for i, y in enumerate(self.ays):
-                    sums[i] += a * self.answer(t, x, y)
+                for i, p in enumerate(self.answer(t, x)):
+                    sums[i] += a * p
         return [s / total for s in sums] if total else [float("nan")] * len(self.ays)
 
     def update(self, x: str, y: str) -> bool:
@@ -218,11 +287,10 @@ class Belief:
                     return False
         else:
             moved: dict[tuple, float] = {}
-            for (t, m), w in self.weights.items():
-                for t_to, p in self.t.get((t, x, y), ()):
-                    for m_to, q in self.m.get((m, x), ()):
-                        if w * p * q > 0:
-                            moved[t_to, m_to] = moved.get((t_to, m_to), 0.0) + w * p * q
+            for pair, w in self.weights.items():
+                for to, p in self.moves(pair, x, y):
+                    if w * p > 0:
+                        moved[to] = moved.get(to, 0.0) + w * p
             total = sum(moved.values())
             if total > 0:
                 self.weights = {k: w / total for k, w in moved.items()}
@@ -247,25 +315,28 @@ class Belief:
 
     # -- a chunk as a map of beliefs
 
+    def maps_of(self, chunks: list[list[tuple[str, str]]]) -> list[dict]:
+        return [self.ends_of(pairs) for pairs in chunks] if self.unifilar else self.products_of(chunks)
+
     def map_of(self, pairs: list[tuple[str, str]]) -> dict:
+        return self.maps_of([pairs])[0]
+
+    def ends_of(self, pairs: list[tuple[str, str]]) -> dict:
         """Where each state and pair goes along ``pairs``, and the belief at the end after a fresh start past each death."""
-        if not self.unifilar:
-            return self.product_of(pairs)
         alone, paths, deaths = self.alone_of(pairs)
         both = []
-        for t in alone:
-            for m in self.m_states():
-                b, w = m, 0.0
-                for i, (x, y) in enumerate(pairs):
-                    a = paths[t][i] if i < len(paths[t]) else None
-                    (_, p), (at, q) = self.one(self.t, (a, x, y)), self.one(self.m, (b, x))
-                    if p * q <= 0:
-                        deaths.add(i)
-                        both.append([t, m, None, a, i])
-                        break
-                    b, w = at, w + math.log(p * q)
-                else:
-                    both.append([t, m, alone[t][0], b, w])
+        for t, m in self.states:
+            now, w = (t, m), 0.0
+            for i, (x, y) in enumerate(pairs):
+                goal = self.moves(now, x, y)
+                if not goal:
+                    deaths.add(i)
+                    both.append([t, m, None, paths[t][i] if i < len(paths[t]) else None, i])
+                    break
+                now, p = goal[0]
+                w += math.log(p)
+            else:
+                both.append([t, m, *now, w])
         return {"alone": alone, "both": both, "fresh": self.fresh_after(deaths, pairs)}
 
     @staticmethod
@@ -276,7 +347,7 @@ class Belief:
     def alone_of(self, pairs: list[tuple[str, str]]) -> tuple[dict, dict, set[int]]:
         """By transducer state: where it ends or when it dies, and the states on the way (before each pair); all times of death."""
         alone, paths, deaths = {}, {}, set()
-        for t in self.t_states():
+        for t in self.t_states:
             here, paths[t] = t, []
             for i, (x, y) in enumerate(pairs):
                 paths[t].append(here)
@@ -290,45 +361,122 @@ class Belief:
                 alone[t] = [here, -1]
         return alone, paths, deaths
 
-    def t_states(self) -> list:
-        return sorted({k[0] for k in self.t} | {to for goals in self.t.values() for to, _ in goals} | {k[0] for k in self.pi})
-
-    def m_states(self) -> list:
-        return sorted({k[0] for k in self.m} | {to for goals in self.m.values() for to, _ in goals} | {k[1] for k in self.pi})
-
     def fresh_after(self, deaths: set[int], pairs: list[tuple[str, str]]) -> dict[str, str]:
         """The belief at the end of ``pairs`` after a fresh start past each of some places."""
-        fresh = {}
-        for d in sorted(deaths) if self.mode != "strict" else ():
+        fresh: dict[str, str] = {}
+
+        def run(d: int) -> str:
             self.start()
-            for x, y in pairs[d + 1 :]:
-                self.update(x, y)
-            fresh[str(d)] = self.written()
+            for i in range(d + 1, len(pairs)):
+                if self.update(*pairs[i]):  # from here on it is a fresh start past this place
+                    return f"@{i}"
+            return self.written()
+
+        todo = sorted(deaths) if self.mode != "strict" else []
+        while todo:
+            d = todo.pop()
+            if str(d) not in fresh:
+                text = fresh[str(d)] = run(d)
+                if text.startswith("@"):
+                    todo.append(int(text[1:]))
+        for d in sorted(map(int, fresh), reverse=True):
+            if fresh[str(d)].startswith("@"):
+                fresh[str(d)] = fresh[fresh[str(d)][1:]]
         return fresh
 
-    def product_of(self, pairs: list[tuple[str, str]]) -> dict:
-        """A row of the chunk's product of matrices for each pair of states that may be met: its goals and the logarithm of its scale, or when it dies."""
+    # -- many runs side by side, as rows of one table of weights over all pairs of states
+
+    def matrix(self, x: str, y: str) -> np.ndarray:
+        found = self.matrices.get((x, y))
+        if found is None:
+            found = self.matrices[x, y] = np.zeros((len(self.states), len(self.states)))
+            for pair, k in self.at.items():
+                for to, p in self.moves(pair, x, y):
+                    found[k, self.at[to]] += p
+        return found
+
+    def forecasting(self, x: str) -> np.ndarray:
+        """By pair of states: the probability of the input, then of it with each output."""
+        found = self.forecasts.get(x)
+        if found is None:
+            emits = np.array([self.emits(m, x) for _, m in self.states])
+            found = self.forecasts[x] = np.column_stack([emits, emits[:, None] * np.array([self.answer(t, x) for t, _ in self.states])])
+        return found
+
+    def products_of(self, chunks: list[list[tuple[str, str]]]) -> list[dict]:
+        """For each chunk the rows of its product of matrices, one for each pair of states that may be met: its goals and the logarithm of its scale, or when it dies."""
+        out: list[dict] = []
+        n = len(self.states)
+        size = max(1, PRODUCT_CELLS // (n * n))
+        for begin in range(0, len(chunks), size):
+            some = chunks[begin : begin + size]
+            rows = np.repeat(np.eye(n)[None], len(some), axis=0)
+            scale, died = np.zeros((len(some), n)), np.full((len(some), n), -1)
+            for i in range(max(map(len, some))):
+                for (x, y), own in places_of(some, i).items():
+                    moved = rows[own] @ self.matrix(x, y)
+                    total = moved.sum(axis=2)
+                    alive = total > 0
+                    ends = died[own]
+                    ends[~alive & (ends < 0)] = i
+                    died[own] = ends
+                    total[~alive] = 1.0
+                    scale[own] += np.log(total)
+                    rows[own] = moved / total[:, :, None]
+            out += [self.product_row(pairs, rows[c], scale[c], died[c].tolist()) for c, pairs in enumerate(some)]
+        return out
+
+    def product_row(self, pairs: list[tuple[str, str]], rows: np.ndarray, scale: np.ndarray, died: list[int]) -> dict:
         alone, paths, deaths = self.alone_of(pairs) if self.settles else ({}, {}, set())
-        states = [(t, m) for t in self.t_states() for m in self.m_states()]
-        at = {k: i for i, k in enumerate(states)}
-        matrices: dict[tuple[str, str], np.ndarray] = {}
-        rows, scale, died = np.eye(len(states)), np.zeros(len(states)), np.full(len(states), -1)
-        for i, (x, y) in enumerate(pairs):
-            if (x, y) not in matrices:
-                one = matrices[x, y] = np.zeros((len(states), len(states)))
-                for (t, m), k in at.items():
-                    for t_to, p in self.t.get((t, x, y), ()):
-                        for m_to, q in self.m.get((m, x), ()):
-                            one[k, at[t_to, m_to]] += p * q
-            rows = rows @ matrices[x, y]
-            total = rows.sum(axis=1)
-            died[(total <= 0) & (died < 0)] = i
-            alive = total > 0
-            rows[alive] /= total[alive, None]
-            scale[alive] += np.log(total[alive])
-        goals = lambda k: [[*states[j], float(rows[k, j])] for j in np.flatnonzero(rows[k])]
-        ways = [[t, m, int(died[k]), paths[t][died[k]] if paths and died[k] >= 0 else None, float(scale[k]), goals(k)] for (t, m), k in at.items()]
-        return {"alone": alone, "product": ways, "fresh": self.fresh_after(deaths | set(died[died >= 0].tolist()), pairs)}
+        goals = [[[*self.states[j], p] for j, p in enumerate(row) if p] for row in rows.tolist()]
+        ways = []
+        for k, ((t, m), end, taken) in enumerate(zip(self.states, died, scale.tolist(), strict=True)):
+            before = paths[t][end] if paths and 0 <= end < len(paths[t]) else None
+            ways.append([t, m, end, before, taken, goals[k]])
+        return {"alone": alone, "product": ways, "fresh": self.fresh_after(deaths | {d for d in died if d >= 0}, pairs)}
+
+    def steps(self, beliefs: list[Belief], runs: list[list[tuple[str, str]]]) -> list[tuple]:
+        """Takes each run's pairs into its belief; a row for each pair, run after run."""
+        if self.unifilar or self.settles:
+            return [b.step(x, y) for b, pairs in zip(beliefs, runs, strict=True) for x, y in pairs]
+        weights = np.zeros((len(runs), len(self.states)))
+        start = np.zeros(len(self.states))
+        for pair, w in self.pi.items():
+            start[self.at[pair]] = max(w, 0.0)
+        for c, b in enumerate(beliefs):
+            for pair, w in b.weights.items():
+                weights[c, self.at[pair]] = w
+        of_t = np.array([[t == u for u in self.t_states] for t, _ in self.states], dtype=float)
+        names: dict[bytes, list] = {}
+        out: list[list[tuple]] = [[] for _ in runs]
+        for i in range(max(map(len, runs))):
+            for (x, y), own in places_of(runs, i).items():
+                told = weights[own] @ self.forecasting(x)
+                p = np.full((len(own), len(self.ays)), np.nan)
+                np.divide(told[:, 1:], told[:, :1], out=p, where=told[:, :1] > 0)
+                moved = weights[own] @ self.matrix(x, y)
+                total = moved.sum(axis=1)
+                dead = total <= 0
+                if self.mode == "strict" and dead.any():
+                    raise ValueError(f"impossible pair ({x}, {y})")
+                total[dead] = 1.0
+                moved /= total[:, None]
+                moved[dead] = start
+                weights[own] = moved
+                possible, seen = (moved > 0).astype(float) @ of_t > 0, self.ays.index(y)
+                for c, forecast, flags, forbidden in zip(own, p.tolist(), possible, dead.tolist(), strict=True):
+                    key = flags.tobytes()
+                    if key not in names:
+                        names[key] = [t for t, f in zip(self.t_states, flags.tolist(), strict=True) if f]
+                    out[c].append((*forecast, forecast[seen], names[key], forbidden))
+        for b, row in zip(beliefs, weights.tolist(), strict=True):
+            b.weights = {pair: w for pair, w in zip(self.states, row, strict=True) if w > 0}
+        return [row for rows in out for row in rows]
+
+    def step(self, x: str, y: str) -> tuple:
+        p = self.forecast(x)
+        forbidden = self.update(x, y)
+        return (*p, p[self.ays.index(y)], self.possible(), forbidden)
 
     def follow(self, step: dict) -> None:
         """Go through a chunk by its map."""
@@ -375,22 +523,56 @@ class Belief:
         self.resume(step["fresh"][str(death)])
 
 
+def places_of(runs: list[list[tuple[str, str]]], i: int) -> dict[tuple[str, str], list[int]]:
+    """Which runs have each pair at place ``i``."""
+    found: dict[tuple[str, str], list[int]] = {}
+    for c, pairs in enumerate(runs):
+        if i < len(pairs):
+            found.setdefault(pairs[i], []).append(c)
+    return found
+
+
+def runs_of(keys: list[tuple]) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+    return list(zip(cuts, cuts[1:], strict=False)) if keys else []
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[pd.DataFrame]]:
+    """Sorted rows as lists of whole groups: the last group of a batch waits for the next one."""
+    waiting: list[pd.DataFrame] = []
+    at = None
+    for rows in batches:
+        groups, told = [], list(zip(*(rows[k].tolist() for k in keys), strict=True))
+        for a, b in runs_of(told):
+            if told[a] != at:
+                if waiting:
+                    groups.append(pd.concat(waiting) if len(waiting) > 1 else waiting[0])
+                at, waiting = told[a], []
+            waiting.append(rows.iloc[a:b])
+        yield groups
+    if waiting:
+        yield [pd.concat(waiting) if len(waiting) > 1 else waiting[0]]
+
+
 def folded(
     symbols: DataFrame,
     chunk: int,
-    map_of: Callable[[list[tuple]], str],
+    maps_of: Callable[[list[list[tuple]]], list[str]],
     compose: Callable[[list[str]], list[str]],
     begin: Callable[[str | None], object],
-    step: Callable[[object, str, str], tuple],
+    steps: Callable[[list, list[list[tuple]]], list[tuple]],
     shape: str,
     names: list[str],
 ) -> DataFrame:
     """Carries a state along each series in order, chunk by chunk.
 
-    ``map_of`` writes what a chunk's (x, y) do, ``compose`` what each chunk of a
-    series is met in, given the chunks' maps in order; ``begin`` makes the state
-    from that (None at the start of a series), ``step`` takes a pair in and
-    returns the columns ``names``.
+    ``maps_of`` writes what the (x, y) of each of some chunks do, ``compose`` what
+    each chunk of a series is met in, given the chunks' maps in order; ``begin``
+    makes the state from that (None at the start of a series), ``steps`` takes the
+    pairs of some runs into their states and returns the columns ``names`` of each
+    pair, run after run.  Chunks are rows in order, many to a task: none of the
+    three passes calls Python for a chunk alone.
     """
     key = symbols.schema["series_id"].dataType.simpleString()
     placed = symbols.select("series_id", "t", "x", "y", F.floor(F.col("t") / chunk).alias("part"))
@@ -398,33 +580,56 @@ def folded(
     sizes = symbols.groupBy("series_id").agg(F.max("t").alias("last")).where(F.col("last") >= chunk)
     long = placed.join(sizes, "series_id").where(F.col("part") < F.floor(F.col("last") / chunk))
 
-    def one_map(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        return pd.DataFrame({"series_id": [rows["series_id"].iloc[0]], "part": [int(rows["part"].iloc[0])], "map": [map_of(list(zip(rows["x"], rows["y"], strict=True)))]})
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, pairs, found = None, [], []
 
-    def composed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "part": rows["part"] + 1, "begins": compose(rows["map"].tolist())})
+        def written() -> pd.DataFrame:
+            told = maps_of([p for _, p in found]) if found else []
+            return pd.DataFrame({"series_id": [s for (s, _), _ in found], "part": [p for (_, p), _ in found], "map": told})
 
-    maps = long.select("series_id", "part", "t", "x", "y").groupBy("series_id", "part").applyInPandas(one_map, f"series_id {key}, part bigint, map string")
-    begins = maps.groupBy("series_id").applyInPandas(composed, f"series_id {key}, part bigint, begins string")
+        for rows in batches:
+            found = []
+            told = list(zip(rows["series_id"].tolist(), rows["part"].tolist(), strict=True))
+            taken = list(zip(rows["x"].tolist(), rows["y"].tolist(), strict=True))
+            for a, b in runs_of(told):
+                if told[a] != at:
+                    if at is not None:
+                        found.append((at, pairs))
+                    at, pairs = told[a], []
+                pairs += taken[a:b]
+            yield written()
+        if at is not None:
+            found = [(at, pairs)]
+            yield written()
+
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in whole_groups(batches, ["series_id"]):
+            for rows in groups:
+                yield pd.DataFrame({"series_id": rows["series_id"], "part": rows["part"] + 1, "begins": compose(rows["map"].tolist())})
+
+    maps = in_order(long.select("series_id", "part", "t", "x", "y")).mapInPandas(mapped, f"series_id {key}, part bigint, map string")
+    by_series = maps.repartition("series_id").sortWithinPartitions("series_id", "part")
+    begins = by_series.mapInPandas(composed, f"series_id {key}, part bigint, begins string")
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = object(), None
+        at, last = None, None
         for rows in batches:
-            out = []
-            for s, part, b, x, y in zip(rows["series_id"], rows["part"], rows["begins"], rows["x"], rows["y"], strict=True):
-                if (s, part) != at:
-                    at, state = (s, part), begin(b if isinstance(b, str) else None)
-                out.append(step(state, x, y))
-            frame = pd.DataFrame(out, columns=names)
-            frame.insert(0, "t", rows["t"].to_numpy())
-            frame.insert(0, "series_id", rows["series_id"].to_numpy())
+            told = list(zip(rows["series_id"].tolist(), rows["part"].tolist(), strict=True))
+            taken, starts = list(zip(rows["x"].tolist(), rows["y"].tolist(), strict=True)), rows["begins"].tolist()
+            bounds = runs_of(told)
+            states = [last if told[a] == at else begin(starts[a] if isinstance(starts[a], str) else None) for a, _ in bounds]
+            times = rows["t"].to_numpy()
+            own = times >= 0
+            taken = [taken[a + (times[a] < 0) : b] for a, b in bounds]
+            frame = pd.DataFrame(steps(states, taken) if bounds else [], columns=names)
+            frame.insert(0, "t", times[own])
+            frame.insert(0, "series_id", rows["series_id"].to_numpy()[own])
+            if bounds:
+                at, last = told[-1], states[-1]
             yield frame
 
-    met = placed.join(begins, ["series_id", "part"], "left").select("series_id", "part", "t", "x", "y", "begins")
-    ordered = met.repartition("series_id", "part").sortWithinPartitions("series_id", "part", "t")
-    return ordered.mapInPandas(replay, f"series_id {key}, t bigint, {shape}")
+    met = met_in(placed, begins, F.lit(None).cast("string"))
+    return in_order(met).mapInPandas(replay, f"series_id {key}, t bigint, {shape}")
 
 
 def folded_states(symbols: DataFrame, states: list[Hashable], first: Hashable, rule: Callable[[Hashable, str, str], tuple[tuple, Hashable]], shape: str, names: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -434,13 +639,16 @@ def folded_states(symbols: DataFrame, states: list[Hashable], first: Hashable, r
         def __init__(self, state: Hashable) -> None:
             self.state = state
 
-    def map_of(pairs: list[tuple]) -> str:
-        ends = []
-        for state in [first, *states]:
-            for x, y in pairs:
-                _, state = rule(state, x, y)
-            ends.append(states.index(state))
-        return json.dumps(ends)
+    def maps_of(chunks: list[list[tuple]]) -> list[str]:
+        out = []
+        for pairs in chunks:
+            ends = []
+            for state in [first, *states]:
+                for x, y in pairs:
+                    _, state = rule(state, x, y)
+                ends.append(states.index(state))
+            out.append(json.dumps(ends))
+        return out
 
     def compose(maps: list[str]) -> list[str]:
         at, out = 0, []
@@ -449,11 +657,15 @@ def folded_states(symbols: DataFrame, states: list[Hashable], first: Hashable, r
             out.append(str(at - 1))
         return out
 
-    def step(run: Run, x: str, y: str) -> tuple:
-        out, run.state = rule(run.state, x, y)
-        return out
+    def steps(runs: list[Run], taken: list[list[tuple]]) -> list[tuple]:
+        rows = []
+        for run, pairs in zip(runs, taken, strict=True):
+            for x, y in pairs:
+                out, run.state = rule(run.state, x, y)
+                rows.append(out)
+        return rows
 
-    return folded(symbols, chunk, map_of, compose, lambda b: Run(first if b is None else states[int(b)]), step, shape, names)
+    return folded(symbols, chunk, maps_of, compose, lambda b: Run(first if b is None else states[int(b)]), steps, shape, names)
 
 
 def goals_by_label(edges: DataFrame, label: list[str]) -> dict[tuple, list[tuple[str, float]]]:
@@ -469,29 +681,18 @@ def belief_filter(symbols: DataFrame, edges_m: DataFrame, edges_t: DataFrame, pi
     """series_id, t, p_<y> before each output, p_seen of the one that came, states possible after it, forbidden; ``pi``: t, m, pi."""
     t_edges, m_edges = goals_by_label(edges_t, ["s_from", "x", "y"]), goals_by_label(edges_m, ["s_from", "x"])
     start = {(str(r["t"]), str(r["m"])): r["pi"] for r in held(pi)}
-    fresh = lambda: Belief(t_edges, m_edges, start, ays, mode)
-
-    def begin(text: str | None) -> Belief:
-        b = fresh()
-        if text is not None:
-            b.resume(text)
-        return b
+    model = Belief(t_edges, m_edges, start, ays, mode)
 
     def compose(maps: list[str]) -> list[str]:
-        b, out = fresh(), []
+        b, out = model.anew_from(None), []
         for m in maps:
             b.follow(json.loads(m))
             out.append(b.written())
         return out
 
-    def step(b: Belief, x: str, y: str) -> tuple:
-        p = b.forecast(x)
-        forbidden = b.update(x, y)
-        return (*p, p[ays.index(y)], b.possible(), forbidden)
-
     names = [f"p_{y}" for y in ays]
     shape = ", ".join(f"`{n}` double" for n in names) + ", p_seen double, states array<string>, forbidden boolean"
-    return folded(symbols, chunk, lambda pairs: json.dumps(fresh().map_of(pairs)), compose, begin, step, shape, [*names, "p_seen", "states", "forbidden"])
+    return folded(symbols, chunk, lambda chunks: [json.dumps(m) for m in model.maps_of(chunks)], compose, model.anew_from, model.steps, shape, [*names, "p_seen", "states", "forbidden"])
 
 
 def next_symbol(edges_m: DataFrame, pi: DataFrame, past: str) -> DataFrame:

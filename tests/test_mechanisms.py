@@ -328,3 +328,38 @@ def test_replicates_as_tables_equal_those_of_one_task(spark):
         assert [(r[0], r[4]) for r in one] == [(r[0], r[4]) for r in two]
         for a, b in zip(one, two, strict=True):
             assert a[1:4] == b[1:4] or a[1:4] == pytest.approx(b[1:4], abs=1e-9)
+
+
+def scattered(spark, series, length):
+    """Symbols whose chunks come from several tasks, as they do where a table is large."""
+    rng = np.random.default_rng(5)
+    rows = [(s, t, str(rng.integers(2)), str(rng.integers(2))) for s in range(series) for t in range(length)]
+    return rows, spark.createDataFrame(rows, "series_id long, t long, x string, y string").repartition(4, "t")
+
+
+def test_chunks_of_a_scattered_series_stay_whole(spark):
+    rows, symbols = scattered(spark, 6, 100)
+    owners = {(x, y): int(y) for x in "01" for y in "01"}
+    model = filters.SuffixModel(owners, {(s, x, y): int(y) for s in (0, 1) for x in "01" for y in "01"}, 2)
+    was = {(s, t + 1): int(y) for s, t, _, y in rows}
+    assert {(r["series_id"], r["t"]): r["state"] for r in filters.filter_states(symbols, model, chunk=8).collect()} == {(s, t): was.get((s, t)) for s, t, _, _ in rows}
+
+
+@pytest.mark.parametrize("goals", [1, 2])
+@pytest.mark.parametrize("mode", ["restart", "never"])
+def test_beliefs_of_a_scattered_series(spark, goals, mode):
+    rows, symbols = scattered(spark, 6, 100)
+    t = {(f"t{s}", x, y): [(f"t{(s + int(y) + i) % 2}", (0.5 if goals == 2 else 1.0) * (0.25 if y == "0" else 0.75)) for i in range(goals)] for s in (0, 1) for x in "01" for y in "01" if (s, x, y) != (1, "1", "0")}
+    m = {("m", x): [("m", 0.5)] for x in "01"}
+    pi = {("t0", "m"): 0.25, ("t1", "m"): 0.75}
+    edges_t = spark.createDataFrame([(a, x, y, b, p) for (a, x, y), g in t.items() for b, p in g], "s_from string, x string, y string, s_to string, p double")
+    edges_m = spark.createDataFrame([(a, x, b, p) for (a, x), g in m.items() for b, p in g], "s_from string, x string, s_to string, p double")
+    start = spark.createDataFrame([(*k, p) for k, p in pi.items()], "t string, m string, pi double")
+    found = {(r["series_id"], r["t"]): r for r in filters.belief_filter(symbols, edges_m, edges_t, start, ["0", "1"], mode, 8).collect()}
+    assert len(found) == len(rows)
+    for s in range(6):
+        b = filters.Belief(t, m, pi, ["0", "1"], mode)
+        for _, at, x, y in rows[s * 100 : s * 100 + 100]:
+            p = b.forecast(x)
+            forbidden, got = b.update(x, y), found[s, at]
+            assert (got["p_0"], got["p_1"]) == pytest.approx(p) and got["forbidden"] == forbidden and got["states"] == b.possible()
