@@ -330,6 +330,17 @@ def test_replicates_as_tables_equal_those_of_one_task(spark):
             assert a[1:4] == b[1:4] or a[1:4] == pytest.approx(b[1:4], abs=1e-9)
 
 
+@pytest.fixture
+def joined_late(spark):
+    """Small joins are found out while they run, as those of large tables are."""
+    late = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in late.items():
+        spark.conf.set(k, v)
+    yield
+    for k in late:
+        spark.conf.unset(k)
+
+
 def scattered(spark, series, length):
     """Symbols whose chunks come from several tasks, as they do where a table is large."""
     rng = np.random.default_rng(5)
@@ -337,7 +348,7 @@ def scattered(spark, series, length):
     return rows, spark.createDataFrame(rows, "series_id long, t long, x string, y string").repartition(4, "t")
 
 
-def test_chunks_of_a_scattered_series_stay_whole(spark):
+def test_chunks_of_a_scattered_series_stay_whole(spark, joined_late):
     rows, symbols = scattered(spark, 6, 100)
     owners = {(x, y): int(y) for x in "01" for y in "01"}
     model = filters.SuffixModel(owners, {(s, x, y): int(y) for s in (0, 1) for x in "01" for y in "01"}, 2)
@@ -347,7 +358,7 @@ def test_chunks_of_a_scattered_series_stay_whole(spark):
 
 @pytest.mark.parametrize("goals", [1, 2])
 @pytest.mark.parametrize("mode", ["restart", "never"])
-def test_beliefs_of_a_scattered_series(spark, goals, mode):
+def test_beliefs_of_a_scattered_series(spark, joined_late, goals, mode):
     rows, symbols = scattered(spark, 6, 100)
     t = {(f"t{s}", x, y): [(f"t{(s + int(y) + i) % 2}", (0.5 if goals == 2 else 1.0) * (0.25 if y == "0" else 0.75)) for i in range(goals)] for s in (0, 1) for x in "01" for y in "01" if (s, x, y) != (1, "1", "0")}
     m = {("m", x): [("m", 0.5)] for x in "01"}
