@@ -47,11 +47,12 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import math
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ DEPTH = 100
 #: A block's text is told by a checksum above its length in so many bits; only a text of over 16 million characters counts as shorter than it is.
 LENGTH_BITS = 24
 LONGEST = (1 << LENGTH_BITS) - 1
-#: Pairs of siblings compared in a table; longer lists are matched in one sweep.
+#: Pairs of siblings compared in a table; of longer lists the same table is made row by row.
 TABLE_CELLS = 250_000
 
 # Element names of the HTML standard by how they are treated.
@@ -344,7 +345,7 @@ class Matcher:
         out = list(zip(xs[:head], ys[:head], strict=True))
         rest_x, rest_y = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
         if rest_x and rest_y:
-            out += self.swept(rest_x, rest_y) if len(rest_x) * len(rest_y) > TABLE_CELLS else self.tabled(rest_x, rest_y)
+            out += self.by_rows(rest_x, rest_y) if len(rest_x) * len(rest_y) > TABLE_CELLS else self.tabled(rest_x, rest_y)
         return out + list(zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True))
 
     def tabled(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
@@ -366,22 +367,42 @@ class Matcher:
                 out.append((xs[i], ys[j]))
         return out[::-1]
 
-    def swept(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-        """For very long lists: each node with the next of its shape, else of its label."""
-        places: dict[object, list[int]] = {}
-        for j, y in enumerate(ys):
-            places.setdefault(self.shape_b[y], []).append(j)
-            places.setdefault(self.b.labels[y], []).append(j)
-        out, after, reach = [], 0, max(64, len(ys) // 16)
-        for x in xs:
-            for key in (self.shape_a[x], self.a.labels[x]):
-                found = places.get(key, [])
-                k = bisect_left(found, after)
-                if k < len(found) and found[k] - after <= reach:
-                    out.append((x, ys[found[k]]))
-                    after = found[k] + 1
-                    break
-        return out
+    def by_rows(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        """What :meth:`tabled` finds, for long lists: whole rows at a time, of which only every n-th is kept and the others are made again on the way back."""
+        shapes, kind = np.unique([self.shape_b[y] for y in ys], return_inverse=True)
+        first = {shape: y for y, shape in zip(ys, (self.shape_b[y] for y in ys), strict=True)}
+        by_shape: dict[int, np.ndarray] = {}
+
+        def following(last: np.ndarray, x: int) -> np.ndarray:
+            own = by_shape.get(self.shape_a[x])
+            if own is None:
+                own = by_shape[self.shape_a[x]] = np.array([self.score(x, first[shape]) for shape in shapes.tolist()])
+            score = own[kind]
+            row = np.zeros_like(last)
+            np.maximum.accumulate(np.maximum(last[1:], np.where(score > 0, last[:-1] + score, 0)), out=row[1:])
+            return row
+
+        block = math.isqrt(len(xs)) + 1
+        row, kept = np.zeros(len(ys) + 1, dtype=np.int64), []
+        for i, x in enumerate(xs):
+            if i % block == 0:
+                kept.append(row)
+            row = following(row, x)
+        out, i, j = [], len(xs), len(ys)
+        while kept and j:
+            begin = (len(kept) - 1) * block
+            rows = [kept.pop()]
+            rows += [row := following(rows[-1] if k == begin else row, xs[k]) for k in range(begin, i)]
+            while i > begin and j:
+                here = rows[i - begin]
+                if here[j] == rows[i - begin - 1][j]:
+                    i -= 1
+                elif here[j] == here[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((xs[i], ys[j]))
+        return out[::-1]
 
     def pairs(self) -> Iterator[tuple[int, int]]:
         """Matched nodes of the two trees, whose roots match."""

@@ -149,6 +149,19 @@ def test_long_lists_are_matched_in_one_sweep():
     assert len(pairs) == 900 and len({j for _, j in pairs}) == 900
 
 
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    """The table's limit tells how a matching is found, not which one."""
+    rng = random.Random(4)
+    for n in (12, 60, 600):
+        xs, ys = (["r", [[rng.choice("pdu"), [["s", []]] * rng.randint(0, 2)] for _ in range(n + rng.randint(0, 9))]] for _ in "ab")
+        found = []
+        for cells in (0, 10**9):
+            monkeypatch.setattr(wrapper, "TABLE_CELLS", cells)
+            m = wrapper.Matcher(tree_of(xs), tree_of(ys))
+            found.append((list(m.pairs()), m.score(0, 0)))
+        assert found[0] == found[1] and len(found[0][0]) == found[0][1]
+
+
 def plain_site(rng, pages, pool=5):
     """Pages of div elements whose names say nothing, and the article of each: menus, adverts and footers come from small pools."""
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
