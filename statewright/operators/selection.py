@@ -225,8 +225,43 @@ def bootstrap_of(symbols: DataFrame, ays: list[str], longest: int, replicates: i
 
 def interval(thetas: DataFrame, measure: str, level: float = 0.95) -> DataFrame:
     """measure, low, high, n, n_failed: a central percentile interval of a column; failures are counted, not used."""
-    low, high = (1 - level) / 2, (1 + level) / 2
-    return thetas.agg(F.lit(measure).alias("measure"), F.percentile(measure, F.lit(low)).alias("low"), F.percentile(measure, F.lit(high)).alias("high"), F.count(measure).alias("n"), F.count_if(F.col(measure).isNull()).alias("n_failed"))
+    n, failed, (low, high) = _quantiles(thetas, measure, [(1 - level) / 2, (1 + level) / 2])
+    return thetas.sparkSession.createDataFrame([(measure, low, high, n, failed)], "measure string, low double, high double, n long, n_failed long")
+
+
+#: Share of ranks by which the values beside a quantile are bounded; twice and more what percentile_approx may be wrong by.
+RANK_ERROR = 4e-4
+
+
+def _quantiles(thetas: DataFrame, measure: str, shares: list[float], error: float = RANK_ERROR) -> tuple[int, int, list[float | None]]:
+    """How many values and nulls there are, and exact quantiles, between two values where the rank is.
+
+    Approximate quantiles on both sides of each bound it; only the values between
+    them are put in order, and all before them are counted.
+    """
+    value = F.col(measure).cast("double")
+    sides = [b for q in shares for b in (max(q - error, 0.0), min(q + error, 1.0))]
+    told = thetas.agg(F.count(measure).alias("n"), F.count_if(F.col(measure).isNull()).alias("failed"), F.percentile_approx(value, sides, 10000).alias("b")).first()
+    n, failed = told["n"], told["failed"]
+    if not n:
+        return n, failed, [None] * len(shares)
+    bounds = [(None if q - error <= 0 else told["b"][2 * i], None if q + error >= 1 else told["b"][2 * i + 1]) for i, q in enumerate(shares)]
+    under = lambda b: F.lit(False) if b is None else value < b
+    over = lambda b: F.lit(False) if b is None else value > b
+    values = thetas.where(F.col(measure).isNotNull())
+    before = values.agg(*[F.count_if(under(a)).alias(f"b{i}") for i, (a, _) in enumerate(bounds)]).first()
+    found: list[float | None] = []
+    for i, (q, (a, b)) in enumerate(zip(shares, bounds, strict=True)):
+        counted = values.where(~under(a) & ~over(b)).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + before[f"b{i}"]  # a small share of the values
+        rank = q * (n - 1)
+        first, last = math.floor(rank), math.ceil(rank)
+        ranked = counted.select("v", upto.alias("upto"))
+        r = ranked.agg(F.min(F.when(F.col("upto") > first, F.col("v"))).alias("low"), F.min(F.when(F.col("upto") > last, F.col("v"))).alias("high")).first()
+        if before[f"b{i}"] > first or r["high"] is None:  # the bounds were wrong by more than they may be
+            return _quantiles(thetas, measure, shares, error * 10)
+        found.append(r["low"] if r["low"] == r["high"] else (last - rank) * r["low"] + (rank - first) * r["high"])
+    return n, failed, found
 
 
 #: Ranges into which values are cut to be ranked side by side.
@@ -253,7 +288,7 @@ def confidence_curve(thetas: DataFrame, measure: str, ranges: int = RANGES) -> D
 
 
 def quantile(thetas: DataFrame, measure: str, q: float) -> DataFrame:
-    return thetas.agg(F.percentile(measure, F.lit(q)).alias("theta"))
+    return thetas.sparkSession.createDataFrame([(_quantiles(thetas, measure, [q])[2][0],)], "theta double")
 
 
 __all__ = ["best_length", "bootstrap", "bootstrap_of", "bootstrap_tables", "choose_length", "choose_length_of", "confidence_curve", "interval", "quantile"]

@@ -374,3 +374,16 @@ def test_beliefs_of_a_scattered_series(spark, joined_late, goals, mode):
             p = b.forecast(x)
             forbidden, got = b.update(x, y), found[s, at]
             assert (got["p_0"], got["p_1"]) == pytest.approx(p) and got["forbidden"] == forbidden and got["states"] == b.possible()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 5000])
+def test_quantiles_without_all_values_in_one_task(spark, n):
+    rng = np.random.default_rng(3)
+    values = [float(v) for v in np.floor(rng.normal(0, 50, n))]
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)], "cmu double")
+    found = selection.interval(table, "cmu")
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    row = found.first()
+    want = np.quantile(values, [0.025, 0.975]).tolist() if n else [None, None]
+    assert [row["low"], row["high"]] == (pytest.approx(want) if n else want) and (row["n"], row["n_failed"]) == (n, 1)
+    assert selection.quantile(table, "cmu", 1.0).first()["theta"] == (max(values) if n else None)
