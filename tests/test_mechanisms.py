@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statewright.functions.small import numbered
+from statewright.functions.small import numbered, settled
 from statewright.operators import algebra, counts, encode, filters, infer, intervals, measures, selection
 from statewright.operators.algebra import stationary_exact
 from statewright.operators.graph import NoRecurrentPart
@@ -387,3 +387,31 @@ def test_quantiles_without_all_values_in_one_task(spark, n):
     want = np.quantile(values, [0.025, 0.975]).tolist() if n else [None, None]
     assert [row["low"], row["high"]] == (pytest.approx(want) if n else want) and (row["n"], row["n_failed"]) == (n, 1)
     assert selection.quantile(table, "cmu", 1.0).first()["theta"] == (max(values) if n else None)
+
+
+def test_bins_of_many_intervals_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BIN_INTERVALS", 4)
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 400), rng.choice([0, 1, 3, 40])) for i in range(300)]
+    rows = [(i, float(a), float(a + w)) for i, a, w in rows] + [(300, None, 5.0), (301, 0.0, 400.0), (302, 390.0, 1000.0)]
+    points = [(i, float(rng.choice([7, rng.randint(-5, 450)]))) for i in range(200)] + [(200, None)]
+    table = spark.createDataFrame(rows, "k long, lo double, hi double")
+    found = intervals.interval_join(spark.createDataFrame(points, "i long, u double"), table, bins=4)
+    assert "_cuts" in found._jdf.queryExecution().toString()
+    got = Counter((r["i"], r["k"]) for r in found.collect())
+    assert got == Counter((i, k) for i, u in points for k, a, b in rows if u is not None and a is not None and a < u <= b)
+
+
+def test_settled_tables_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    table = spark.range(1000, numPartitions=4).mapInPandas(counted, "id long")
+    for limit in (10, 10_000):
+        seen.value = 0
+        assert sorted(r["id"] for r in settled(table, limit).collect()) == list(range(1000))
+        assert seen.value == 1000
