@@ -1,7 +1,9 @@
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from statewright.operators import counts, encode
 
@@ -84,6 +86,25 @@ def test_ranks_by_bucket_equal_plain_ranks(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
 
 
+def test_tasks_rank_bounded_numbers_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(encode, "TASK_ROWS", 100, raising=False)
+    rows = [(u, d, i, "ab"[(i + d) % 2]) for u in range(300) for d in range(2) for i in range(3)]
+    table = spark.createDataFrame(rows, "u long, day int, i int, y string")
+    symbols = encode.encode(table, "u", ["day", "i"], F.col("y"))
+    sizes = [r["count"] for r in symbols.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 300
+    assert {(r["series_id"], r["t"], r["y"]) for r in symbols.collect()} == {(u, 3 * d + i, y) for u, d, i, y in rows}
+
+
+@pytest.mark.parametrize("task_rows", [2, 1 << 21])
+def test_followers(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(encode, "TASK_ROWS", task_rows, raising=False)
+    table = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, None), (2, 5, "z"), (None, 1, "m"), (None, 2, "n")], "u long, i int, y string")
+    found = sorted(map(repr, ((r["y"], r["after"]) for r in encode.followers(table, "u", ["i"], "y").collect())))
+    assert found == sorted(map(repr, [("a", None), (None, "c"), ("c", None), ("z", None), ("m", "n"), ("n", None)]))
+    assert encode.followers(table.where("i > 9"), "u", ["i"], "y").count() == 0
+
+
 def test_methods_are_named(spark):
     import pytest
 
